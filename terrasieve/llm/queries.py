@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from terrasieve.llm import accessions as acc
 from terrasieve.llm.clusters import describe_clusters, grid_clusters
+from terrasieve.llm.leakage import leaked_passages
 from terrasieve.llm.overlap import cross_split_overlaps
+from terrasieve.llm.spam import spam_pages
 from terrasieve.llm.splits import assign_splits, place_edges, related_groups, shared_value_edges
 from terrasieve.llm.topn import top_n_per_group
 from terrasieve.plans.scratch import Scratch
@@ -79,7 +81,30 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(_climates(spark, d), "iid").select(F.col("cluster").alias("cluster_iid"), "size", "densest_cell", F.array_join(F.transform("typical", lambda x: x.cast("string")), ";").alias("typical"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents, and the longest run of words."""
+    leaked = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    n = leaked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("run").alias("longest_run"))
+    return table(spark, d, "eval_items").select("item_id", "suite").join(n, "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Spam pages per source, with how much of them repeats."""
+    docs = table(spark, d, "documents")
+    found = spam_pages(docs)
+    return docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source")).join(found, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_spam"), F.round(F.avg("covered"), 6).alias("mean_covered"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters,
+    "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 
 _ACC = """c as (select iid, max(case when ok then long end) x, max(case when ok then lat end) y, max(case when fid not in (0, -9) then fid end) fid
  from (select *, long is not null and lat is not null and not isnan(long) and not isnan(lat) and long <> -9 and lat <> -9 and abs(long) <= 180 and abs(lat) <= 90 ok from coords_with_bioclim)
