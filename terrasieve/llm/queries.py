@@ -9,6 +9,7 @@ from terrasieve.llm import accessions as acc
 from terrasieve.llm.clusters import describe_clusters, grid_clusters
 from terrasieve.llm.leakage import leaked_passages
 from terrasieve.llm.overlap import cross_split_overlaps
+from terrasieve.llm.packing import pack_containers
 from terrasieve.llm.spam import spam_pages
 from terrasieve.llm.splits import assign_splits, place_edges, related_groups, shared_value_edges
 from terrasieve.llm.topn import top_n_per_group
@@ -81,6 +82,21 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(_climates(spark, d), "iid").select(F.col("cluster").alias("cluster_iid"), "size", "densest_cell", F.array_join(F.transform("typical", lambda x: x.cast("string")), ";").alias("typical"))
 
 
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Where every token of every text goes; a container is named by its seed."""
+    return pack_containers(table(spark, d, "documents"), capacity=CAPACITY)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    held = p7_containers(spark, d).groupBy("seed", "seed_part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("texts"))
+    return held.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"), F.round(F.sum("n") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"), F.round(F.avg("texts"), 6).alias("mean_texts"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -104,7 +120,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters,
-    "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 
 _ACC = """c as (select iid, max(case when ok then long end) x, max(case when ok then lat end) y, max(case when fid not in (0, -9) then fid end) fid
  from (select *, long is not null and lat is not null and not isnan(long) and not isnan(lat) and long <> -9 and lat <> -9 and abs(long) <= 180 and abs(lat) <= 90 ok from coords_with_bioclim)
