@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasieve.queries import quality
+from terrasieve.queries import environment, genetics, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (quality,)
+MODULES = (quality, environment, genetics)
 
 
 def queries() -> dict[str, Query]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.functions.values import present
-from terrasieve.plans.positions import global_positions
+from terrasieve.plans.quantiles import quantiles_of_counts
 from terrasieve.plans.scratch import Scratch
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -35,29 +35,6 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("v.col", "load_no", "v.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(counts: DataFrame, scratch: Scratch, quantiles: Sequence[float], name: str = "ranked") -> DataFrame:
-    """(col, load_no, q_0, q_1, ...) by linear interpolation, for any number of distinct values.
-
-    ``counts`` is as ``value_counts`` gives it. Ranks come from global positions, so no group is held in a task.
-    """
-    values = counts.filter(F.col("value").isNotNull())
-    placed = global_positions(values, ["col", "load_no"], [F.col("value")], scratch, name, weight="n")
-    totals = values.groupBy("col", "load_no").agg(F.sum("n").alias("total"))
-    on = placed["col"].eqNullSafe(totals["col"]) & placed["load_no"].eqNullSafe(totals["load_no"])
-    rows = placed.join(totals, on).select(placed["col"], placed["load_no"], "value", "n", "position", "total")
-    covers = lambda rank: (F.col("position") <= rank) & (rank < F.col("position") + F.col("n"))
-    ends = []
-    for i, q in enumerate(quantiles):
-        h = (F.col("total") - 1) * F.lit(float(q))
-        ends += [
-            F.max(F.when(covers(F.floor(h)), F.col("value"))).alias(f"lo_{i}"),
-            F.max(F.when(covers(F.ceil(h)), F.col("value"))).alias(f"hi_{i}"),
-            F.max(h - F.floor(h)).alias(f"f_{i}"),
-        ]
-    found = rows.groupBy("col", "load_no").agg(*ends)
-    return found.select("col", "load_no", *[(F.col(f"lo_{i}") + F.col(f"f_{i}") * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))).alias(f"q_{i}") for i in range(len(quantiles))])
-
-
 def base_profile(counts: DataFrame, valid: dict[str, tuple[float, float]]) -> DataFrame:
     """Exact aggregates per column and load: rows, missing, distinct, range, values outside ``valid``, most frequent value."""
     v, n = F.col("value"), F.col("n")
@@ -157,7 +134,7 @@ def profile(
     columns = list(columns)
     counts = scratch.write(value_counts(df, load, columns), "counts")
     base = base_profile(counts, valid or {})
-    ranks = scratch.write(exact_quantiles(counts, scratch, [*QUARTILES, *DECILES]), "quantiles")
+    ranks = scratch.write(quantiles_of_counts(counts, ["col", "load_no"], scratch, [*QUARTILES, *DECILES]), "quantiles")
     on = lambda a, b: a["col"].eqNullSafe(b["col"]) & a["load_no"].eqNullSafe(b["load_no"])
     q = ranks.select("col", "load_no", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"), (F.col("q_2") - F.col("q_0")).alias("iqr"))
     out = base.join(q, on(base, q), "left").select(base["*"], "q1", "median", "q3", "iqr")
