@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from terrasieve.plans.scratch import Scratch
 
-#: Columns added on the way; callers see only ``position``.
+#: Columns added on the way; callers see only the position.
 _PART, _EDGE, _LOCAL, _TOTAL = "__part", "__edge", "__local", "__total"
 
 
@@ -44,8 +44,9 @@ def global_positions(
     *,
     weight: str | None = None,
     keep: int | None = None,
+    as_: str = "position",
 ) -> DataFrame:
-    """Adds ``position``, the number of rows (or the sum of ``weight``) before a row in its group.
+    """Adds ``as_``, the number of rows (or the sum of ``weight``) before a row in its group.
 
     Rows come in the order given; rows equal in ``group`` and ``order`` are numbered arbitrarily, so make
     the order total where that matters. ``keep`` returns only rows with position < keep: a task then passes
@@ -134,7 +135,7 @@ def global_positions(
     on = F.col(_PART) == F.col("__p")
     for c in same_group:
         on = on & c
-    placed = rows.join(F.broadcast(offsets), on, "left").withColumn("position", F.col(_LOCAL) + F.coalesce("__offset", F.lit(0)))
+    placed = rows.join(F.broadcast(offsets), on, "left").withColumn("__at", F.col(_LOCAL) + F.coalesce("__offset", F.lit(0)))
     if keep is not None:
-        placed = placed.filter(F.col("position") < keep)
-    return placed.select(*names, "position")
+        placed = placed.filter(F.col("__at") < keep)
+    return placed.select(*names, F.col("__at").alias(as_))

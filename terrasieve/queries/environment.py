@@ -157,7 +157,7 @@ def prediction_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     m = stats.score_summary(table(spark, d, "gradient_peaks_summary"), ["variable"], "zscore")
-    return m.select("variable", "n", *[_r(c) for c in ("mean", "sem", "median", "mean_top")])
+    return m.select("variable", "n", *[_r(c, 9) for c in ("mean", "sem", "median", "mean_top")])
 
 
 def quantiles_by_load(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +202,7 @@ def consensus_extremes(spark: SparkSession, d: str) -> DataFrame:
 def _model_scores(spark: SparkSession, d: str) -> DataFrame:
     """A score per variable (as model) and block of sites, from the peaks."""
     rows = table(spark, d, "gradient_peaks_summary").withColumn("block", F.pmod("snp_index", F.lit(40)))
-    return rows.groupBy("block", "variable").agg(F.round(F.avg(present("zscore")), 4).alias("score"))
+    return rows.groupBy("block", "variable").agg((F.sum(F.round(present("zscore") * 1000).cast("long")) / F.count(present("zscore"))).alias("score"))
 
 
 def win_tie_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +342,7 @@ _COMPONENTS = f"""with recursive {_corr_sql()}, e as (select a, b, 1 - abs(r) q
 reach as (select a node, a root from u union select u.b, reach.root from reach join u on reach.node = u.a),
 n as (select node from (values {', '.join(f"('{c}')" for c in CORRELATED)}) t(node)),
 c as (select n.node, coalesce(min(root), n.node) component from n left join reach on reach.node = n.node group by n.node)"""
-_SCORES = f"s as (select snp_index % 40 block, variable, round(avg({val('zscore')}), 4) score from gradient_peaks_summary group by 1, 2)"
+_SCORES = f"s as (select snp_index % 40 block, variable, sum(cast(round({val('zscore')} * 1000) as bigint)) / count({val('zscore')}) score from gradient_peaks_summary group by 1, 2)"
 _RANK = "(rank() over (partition by {p} order by {o}) + (count(*) over (partition by {p}, {v}) - 1) / 2.0)"
 _SUPPORT = f"select iid, count(distinct load_no) n from {COMBINED} where iid is not null group by iid having count(distinct load_no) >= "
 
@@ -381,7 +381,7 @@ select load_no, iid, bio1, r "rank" from k union all select load_no, iid, bio1,
     "prediction_metrics": f"""with v as (select source, {val('bio11')} y, {val('bio6')} p from {COORDS} where source is not null), c as (select *, {_RANK.format(p='source', o='y', v='y')} ry, {_RANK.format(p='source', o='p', v='p')} rp from v where y is not null and p is not null)
 select source, count(*) n, round(avg((y - p) * (y - p)), 6) mse, round(avg(abs(y - p)), 6) mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) r2, round(corr(y, p) * corr(y, p), 6) r2_cor, round(corr(ry, rp), 6) spearman from c group by 1""",
     "score_summary": f"""with v as (select variable, zscore v, row_number() over (partition by variable order by zscore desc) r from gradient_peaks_summary where {ok('zscore')})
-select variable, count(*) n, round(avg(v), 6) mean, round(stddev_samp(v) / sqrt(count(*)), 6) sem, round(median(v), 6) median, round(avg(case when r <= 5 then v end), 6) mean_top from v group by 1""",
+select variable, count(*) n, round(avg(v), 9) mean, round(stddev_samp(v) / sqrt(count(*)), 9) sem, round(median(v), 9) median, round(avg(case when r <= 5 then v end), 9) mean_top from v group by 1""",
     "quantiles_by_load": f"select load_no, round(quantile_cont(x, 0.05), 6) q_0, round(quantile_cont(x, 0.5), 6) q_1, round(quantile_cont(x, 0.95), 6) q_2 from (select load_no, {val('bio12')} x from {FIXED}) where x is not null group by 1",
     "histogram": f"""with v as (select least(cast(floor((bio1 + 3.0) / 0.25) as integer), 23) bin from {NORMALIZED} where {ok('bio1')} and bio1 between -3 and 3), c as (select bin, count(*) n from v group by 1)
 select bin, round(n / (sum(n) over ()) / 0.25, 6) density, round((sum(n) over (order by bin)) / (sum(n) over ()), 6) cdf from c""",
