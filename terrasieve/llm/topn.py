@@ -21,10 +21,10 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], score: Column, ties: Se
     rows. Equal scores are ordered by the tie columns, ascending, nulls first. Other columns are ignored.
     """
     scratch = Scratch(df.sparkSession, "topn")
-    ranked = df.select(*group, *ties, score.cast("double").alias("score"))
-    ranked = ranked.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    ranked = df.select(*group, *ties, score.cast("double").alias("__score"))
+    ranked = ranked.filter(F.col("__score").isNotNull() & ~F.isnan("__score"))
     # copies are combined before they are shuffled; one group of copies may be a large part of the table
     distinct = ranked.dropDuplicates()
-    order = [F.col("score").desc(), *[F.col(c).asc() for c in ties]]
-    placed = global_positions(distinct, list(group), order, scratch, "placed", keep=n)
-    return placed.select(*group, *ties, "score", (F.col("position") + 1).cast("int").alias("rank"))
+    order = [F.col("__score").desc(), *[F.col(c).asc() for c in ties]]
+    placed = global_positions(distinct, list(group), order, scratch, "placed", keep=n, as_="__position")
+    return placed.select(*group, *ties, F.col("__score").alias("score"), (F.col("__position") + 1).cast("int").alias("rank"))
