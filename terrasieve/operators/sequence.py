@@ -123,16 +123,16 @@ def base_composition(df: DataFrame, group: Sequence[str], seq: str, gaps: bool =
     rows = letters(df, group, seq).filter(F.col("position").isNotNull())
     is_ = lambda *bs: F.col("base").isin(*bs)
     n = lambda c: F.sum(c.cast("int"))
-    counts = rows.groupBy(*group, "position").agg(*[n(is_(b)).alias(b) for b in ("A", "T", "G", "C")], n(is_("-")).alias("gap"), F.count(F.lit(1)).alias("seen"))
+    counts = rows.groupBy(*group, "position").agg(*[n(is_(b)).alias(f"__{b}") for b in ("A", "T", "G", "C")], n(is_("-")).alias("__gap"), F.count(F.lit(1)).alias("__seen"))
+    known = F.col("__A") + F.col("__T") + F.col("__G") + F.col("__C")
     if gaps:
-        whole = F.nullif(F.col("seen") - F.col("gap"), F.lit(0))
-        other = F.col("seen") - F.col("gap") - F.col("A") - F.col("T") - F.col("G") - F.col("C")
+        whole = F.nullif(F.col("__seen") - F.col("__gap"), F.lit(0))
         pct = lambda c: F.coalesce(100.0 * c / whole, F.lit(0.0))
-        return counts.select(*group, "position", *[pct(F.col(b)).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], pct(other).alias("pct_n"), (100.0 * F.col("gap") / F.col("seen")).alias("pct_gap"))
-    total = df.groupBy(*group).agg(F.count(seq).alias("total"))
+        return counts.select(*group, "position", *[pct(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], pct(F.col("__seen") - F.col("__gap") - known).alias("pct_n"), (100.0 * F.col("__gap") / F.col("__seen")).alias("pct_gap"))
+    total = df.groupBy(*group).agg(F.count(seq).alias("__total"))
     joined = counts.join(total, list(group)) if group else counts.join(F.broadcast(total))
-    other = F.col("total") - F.col("A") - F.col("T") - F.col("G") - F.col("C")
-    return joined.select(*group, "position", *[(100.0 * F.col(b) / F.col("total")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], (100.0 * other / F.col("total")).alias("pct_n"))
+    share = lambda c: 100.0 * c / F.col("__total")
+    return joined.select(*group, "position", *[share(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], share(F.col("__total") - known).alias("pct_n"))
 
 
 def position_counts(df: DataFrame, group: Sequence[str], seq: str) -> DataFrame:
