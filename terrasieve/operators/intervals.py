@@ -1,15 +1,21 @@
 """Regions of a genome: labels, windows, merging and spacing.
 
-The greedy rules depend on what was accepted before, so a group's sorted positions are folded inside one row. Groups
-are chromosomes of selected sites, and what is folded is the distinct positions, so a group has a known bound.
+The greedy rules depend on what was accepted before, but start afresh after a wide enough gap; positions are therefore
+cut into islands at such gaps, which spread over tasks and are walked through in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from terrasieve.plans.positions import same_as_before
 
 #: Longest region that merging may make, in bases.
 LONGEST_REGION = 131_072
@@ -34,31 +40,101 @@ def parse_site(name: Column, window: int) -> dict[str, Column]:
     return {"chromosome": F.when(ok, F.try_element_at(parts, F.lit(1)).try_cast("int")), "position": position, "window": F.floor(position / window)}
 
 
-def _sorted_positions(df: DataFrame, group: Sequence[str], position: str) -> DataFrame:
-    return df.filter(F.col(position).isNotNull()).groupBy(*group).agg(F.array_sort(F.collect_set(F.col(position).cast("long"))).alias("ps"))
+def _islands(df: DataFrame, group: Sequence[str], position: str, gap: int) -> DataFrame:
+    """(group, island, p): distinct positions, numbered by stretches between which at least ``gap`` is free.
+
+    A greedy rule starts afresh after such a gap, so islands are independent. The window sorts one chromosome's
+    distinct positions, of which a genome has a fixed number.
+    """
+    rows = df.filter(F.col(position).isNotNull()).select(*group, F.col(position).cast("long").alias("__p")).dropDuplicates()
+    w = Window.partitionBy(*group).orderBy("__p")
+    new = F.coalesce((F.col("__p") - F.lag("__p").over(w) >= gap).cast("int"), F.lit(1))
+    return rows.withColumn("__new", new).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[tuple[int, int, bool]]]]:
+    """Each batch with its positions (the last column) and its runs of equal keys: (from, to, whether it goes on from the batch before)."""
+    last: list[pa.Array] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i) for i in range(keys)]
+        same = same_as_before([pa.concat_arrays([last[i] if last else c.slice(0, 1), c]) for i, c in enumerate(columns)])
+        goes_on = bool(same[0]) and last is not None
+        starts = np.flatnonzero(~same[1:]) + 1
+        edges = [0, *starts.tolist(), batch.num_rows]
+        last = [c.slice(len(c) - 1, 1) for c in columns]
+        yield batch, batch.column(batch.num_columns - 1).to_numpy(), [(x, y, goes_on and x == 0) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def _by_island(islands: DataFrame, group: Sequence[str]) -> DataFrame:
+    keys = [*group, "__island"]
+    return islands.select(*keys, "__p").repartition(*keys).sortWithinPartitions(*keys, "__p")
 
 
 def spaced_positions(df: DataFrame, group: Sequence[str], position: str, spacing: int) -> DataFrame:
-    """Positions kept greedily from the lowest on, each at least ``spacing`` from the last kept."""
-    kept = F.aggregate(
-        "ps", F.array().cast("array<long>"), lambda acc, p: F.when((F.size(acc) == 0) | (p - F.try_element_at(acc, F.lit(-1)) >= spacing), F.concat(acc, F.array(p))).otherwise(acc)
-    )
-    return _sorted_positions(df, group, position).select(*group, F.explode(kept).alias(position))
+    """Positions kept greedily from the lowest on, each at least ``spacing`` from the last kept.
+
+    Islands are independent, so they spread over tasks; within one each step jumps to the next kept position.
+    """
+    group = list(group)
+    schema = T.StructType([*(df.schema[g] for g in group), T.StructField(position, T.LongType())])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch, p, runs in _runs(batches, len(group) + 1):
+            kept = []
+            for x, y, goes_on in runs:
+                i = x + int(np.searchsorted(p[x:y], last + spacing)) if goes_on else x
+                while i < y:
+                    kept.append(i)
+                    last = int(p[i])
+                    i += int(np.searchsorted(p[i:y], last + spacing))
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(group))), rows.column(rows.num_columns - 1)], names=[*group, position])
+
+    return _by_island(_islands(df, group, position, spacing), group).mapInArrow(keep, schema)
 
 
 def merged_windows(df: DataFrame, group: Sequence[str], position: str, width: int, longest: int = LONGEST_REGION) -> DataFrame:
-    """(group, start, end, n): windows of ``width`` around positions, merged while the gap is at most half a window and the region stays within ``longest``."""
-    half = width // 2
-    new = lambda p: F.struct((p - half).alias("start"), (p + half).alias("end"), F.lit(1).alias("n"))
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (p - half <= last["end"] + half) & (p + half - last["start"] <= longest)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], p + half).alias("end"), (last["n"] + 1).alias("n"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new(p))))
-
-    merged = F.aggregate("ps", F.array().cast("array<struct<start:bigint,end:bigint,n:int>>"), step)
-    return _sorted_positions(df, group, position).select(*group, F.inline(merged))
+    """(group, start, end, n): windows of ``width`` around positions, merged while the gap is at most half a window and the region stays within ``longest``.
+
+    Stretches that stay within the cap are plain aggregates; only the positions of longer ones are walked through.
+    """
+    group, half = list(group), width // 2
+    islands = _islands(df, group, position, 3 * half + 1)
+    whole = islands.groupBy(*group, "__island").agg((F.min("__p") - half).alias("start"), (F.max("__p") + half).alias("end"), F.count(F.lit(1)).cast("int").alias("n"))
+    fits = F.col("end") - F.col("start") <= longest
+    schema = T.StructType([*(df.schema[g] for g in group), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n", T.IntegerType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[pa.RecordBatch, int, int, int] | None = None  # a row of the open region's group, its first and last position, its count
+
+        def region(row: pa.RecordBatch, first: int, last: int, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(row.column(i) for i in range(len(group))), pa.array([first - half]), pa.array([last + half]), pa.array([n], pa.int32())], names=[*group, "start", "end", "n"])
+
+        for batch, p, runs in _runs(batches, len(group) + 1):
+            for x, y, goes_on in runs:
+                if held and not goes_on:
+                    yield region(*held)
+                    held = None
+                i = x
+                while i < y:
+                    first = held[1] if held else int(p[i])
+                    # the first position whose window would end beyond the cap; a lone window may
+                    j = i + int(np.searchsorted(p[i:y], first - 2 * half + longest, side="right"))
+                    j = max(j, i + 1) if not held else j
+                    if j > i:
+                        held = (held[0] if held else batch.slice(i, 1), first, int(p[j - 1]), (held[3] if held else 0) + j - i)
+                    if j < y:
+                        yield region(*held)
+                        held = None
+                    i = j
+        if held:
+            yield region(*held)
+
+    long_ones = islands.join(whole.filter(~fits).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__island").alias("__i")), reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__island") == F.col("__i")), "left_semi")
+    return whole.filter(fits).select(*group, "start", "end", "n").unionByName(_by_island(long_ones, group).mapInArrow(cut, schema))
 
 
 def exact_windows(df: DataFrame, position: str, size: Column, width: int) -> DataFrame:

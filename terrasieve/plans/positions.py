@@ -23,7 +23,7 @@ from terrasieve.plans.scratch import Scratch
 _PART, _EDGE, _LOCAL, _TOTAL = "__part", "__edge", "__local", "__total"
 
 
-def _same_as_before(columns: list[pa.Array]) -> np.ndarray:
+def same_as_before(columns: list[pa.Array]) -> np.ndarray:
     """Whether each row but the first has the group of the row before it; nulls equal nulls."""
     n = len(columns[0]) - 1
     same = np.ones(n, dtype=bool)
@@ -87,7 +87,7 @@ def global_positions(
             columns = [batch.column(batch.schema.get_field_index(c)) for c in group]
             w = np.ones(batch.num_rows, np.int64) if weight is None else batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False).astype(np.int64)
             head = [pa.concat_arrays([last[i] if last else c.slice(0, 1), c]) for i, c in enumerate(columns)] if group else []
-            same = _same_as_before(head) if group else np.ones(batch.num_rows, bool)
+            same = same_as_before(head) if group else np.ones(batch.num_rows, bool)
             if last is None and current is None:
                 same[0] = False
             before = np.cumsum(w) - w

@@ -84,6 +84,24 @@ def test_merging_stops_at_the_cap(spark):
     assert got == [(-50, 250, 3), (250, 350, 1), (4950, 5050, 1)]
 
 
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(0, 900), min_size=1, max_size=60), st.sampled_from([4, 20]), st.sampled_from([10, 60, 200]))
+def test_merging_matches_a_loop(spark, positions, width, longest):
+    half, want = width // 2, []
+    for p in sorted(set(positions)):
+        if want and p - half <= want[-1][1] + half and p + half - want[-1][0] <= longest:
+            want[-1] = (want[-1][0], p + half, want[-1][2] + 1)
+        else:
+            want.append((p - half, p + half, 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame([("c", p) for p in positions], "g string, p long")
+        got = sorted((r["start"], r["end"], r["n"]) for r in intervals.merged_windows(df, ["g"], "p", width, longest=longest).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    assert got == sorted(want)
+
+
 def test_tiles_cover_every_point_once(spark):
     pts = [(x * 1.3, y * 0.9) for x in range(12) for y in range(9)]
     got = intervals.greedy_tiles(spark.createDataFrame(pts, "x double, y double"), "x", "y", 3.8).collect()
