@@ -32,8 +32,8 @@ FUNCTION_WORDS = frozenset(
         "que qui ce cette ces car après avant entre depuis"
     ).split()
 )
-#: Function words that also stand inside names of wares; alone they don't make a clause.
-_LINKING = frozenset("de du des del en".split())
+#: Function words that also stand inside names of wares; they don't count towards the kinds a clause needs.
+_LINKING = frozenset("de du des del en pas".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _SEGMENT = re.compile(r"[.!?…]+(?=[\s\"'”»)]|$)|[\r\n]+")
 _TOKEN = re.compile(r"\S*\w\S*")
@@ -98,7 +98,7 @@ def _is_clause(words: list[str]) -> bool:
     """Whether a segment's words are joined by function words, and no content word is stuffed into it."""
     joined = [w for w in words if w in FUNCTION_WORDS]
     kinds = set(joined)
-    if len(words) < 4 or len(joined) < 0.14 * len(words) or len(kinds) < (2 if len(words) <= 20 else 4) or kinds <= _LINKING:
+    if len(words) < 4 or len(joined) < 0.14 * len(words) or len(kinds - _LINKING) < (2 if len(words) <= 20 else 4):
         return False
     content = Counter(w for w in words if w not in FUNCTION_WORDS and len(w) > 2)
     most = max(content.values(), default=0)
@@ -147,8 +147,11 @@ def page_measures(text: str, threshold: float, min_repeats: int) -> tuple[float,
     return outside / total, found / letters
 
 
-def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", *, threshold: float = 0.55, min_cover: float = 0.08, min_repeats: int = 2) -> DataFrame:
-    """(key, outside, covered) of the pages with at least ``threshold`` of their words outside clauses and ``min_cover`` of the letters there repeated.
+def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", *, threshold: float = 0.55, min_cover: float = 0.08, min_score: float = 0.8, min_repeats: int = 2) -> DataFrame:
+    """(key, outside, covered) of the pages that are mostly repeated matter outside clauses.
+
+    At least ``threshold`` of the words must stand outside clauses, ``min_cover`` of the letters there be repeated, and
+    both together, as outside + covered / 2, reach ``min_score``: a page with sentences needs more repetition.
 
     Whole texts are read, one page at a time; the table is not shuffled. Null, empty and blank texts are no
     spam; other columns are ignored; a null key is kept as it is. An empty table gives no rows.
@@ -162,7 +165,7 @@ def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", *, thre
             for i, value in enumerate(batch.column(1)):
                 t = value.as_py()
                 outside, covered = page_measures(t, threshold, min_repeats) if t else (0.0, 0.0)
-                if outside >= threshold and covered >= min_cover:
+                if outside >= threshold and covered >= min_cover and outside + covered / 2 >= min_score:
                     keep.append(i), outsides.append(outside), covers.append(covered)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(outsides, pa.float64()), pa.array(covers, pa.float64())], names=[key, "outside", "covered"])
 
