@@ -112,6 +112,66 @@ def elastic_net(df: DataFrame, features: Sequence[str], targets: Sequence[str],
     return _moments(df, features, targets, fold).groupBy("target").applyInPandas(fit, "target string, alpha double, cv_mse double, coefs array<double>, intercept double, n long")
 
 
+def linear_svr(df: DataFrame, features: Sequence[str], targets: Sequence[str], *, penalties: Sequence[float] = (0.01, 0.1, 1.0), epsilon: float = 0.1, rounds: int = 20) -> DataFrame:
+    """(target, penalty, coefs, intercept, loss, n): linear support vector regression with squared epsilon-insensitive loss.
+
+    Minimises |w|^2 / 2 + C / n * sum(max(0, |y - b - xw| - epsilon)^2) by Newton steps: a step solves for the rows outside
+    the tube, whose moments are one distributed aggregate for all targets and penalties at once. Models of a few
+    dozen features each come to the driver between steps. Features should be standardised; rows with a missing
+    feature or target are left out for that target.
+    """
+    p = len(features) + 1
+    models = [(t, float(c)) for t in targets for c in penalties]
+    beta = {m: np.zeros(p) for m in models}
+    rows = df.select(*[present(F.col(f"`{f}`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)], *[present(F.col(f"`{t}`").cast("double")).alias(f"y{i}") for i, t in enumerate(targets)])
+    loss: dict = {}
+    count: dict = {}
+
+    def sums(batches: Iterator[pd.DataFrame], beta: dict) -> Iterator[pd.DataFrame]:
+        total = {m: [0, 0.0, np.zeros(p), np.zeros((p, p))] for m in models}
+        for pdf in batches:
+            x = np.column_stack([pdf[[f"x{i}" for i in range(p - 1)]].to_numpy(np.float64), np.ones(len(pdf))])
+            for i, t in enumerate(targets):
+                y = pdf[f"y{i}"].to_numpy(np.float64)
+                ok = ~(np.isnan(y) | np.isnan(x).any(axis=1))
+                for m in models:
+                    if m[0] != t:
+                        continue
+                    e = y[ok] - x[ok] @ beta[m]
+                    out = np.abs(e) > epsilon
+                    xa = x[ok][out]
+                    goal = y[ok][out] - np.sign(e[out]) * epsilon
+                    held = total[m]
+                    held[0] += int(ok.sum())
+                    held[1] += float(np.sum((np.abs(e[out]) - epsilon) ** 2))
+                    held[2] += xa.T @ goal
+                    held[3] += xa.T @ xa
+        yield pd.DataFrame([{"k": models.index(m), "v": [float(n), e, *xy.tolist(), *xx.ravel().tolist()]} for m, (n, e, xy, xx) in total.items()])
+
+    for _ in range(rounds):
+        parts = rows.mapInPandas(lambda batches, now=dict(beta): sums(batches, now), "k int, v array<double>")
+        flat = parts.select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).collect()
+        moved = 0.0
+        for k, m in enumerate(models):
+            v = np.zeros(2 + p + p * p)
+            for r in flat:
+                if r["k"] == k:
+                    v[r["i"]] = r["x"]
+            n, loss[m], xy, xx = v[0], v[1], v[2 : 2 + p], v[2 + p :].reshape(p, p)
+            count[m] = int(n)
+            if not n:
+                continue
+            ridge = np.eye(p) * (n / (2 * m[1]))
+            ridge[-1, -1] = 1e-9
+            new = np.linalg.solve(xx + ridge, xy)
+            moved = max(moved, float(np.abs(new - beta[m]).max()))
+            beta[m] = new
+        if moved < 1e-8:
+            break
+    out = [(t, c, beta[t, c][:-1].tolist(), float(beta[t, c][-1]), float(loss[t, c]), count[t, c]) for t, c in models]
+    return df.sparkSession.createDataFrame(out, "target string, penalty double, coefs array<double>, intercept double, loss double, n long")
+
+
 def model_predictions(df: DataFrame, models: DataFrame, features: Sequence[str], key: Sequence[str], fit_on=None) -> DataFrame:  # noqa: ANN001
     """(key, target, prediction): every complete row scored by every model; features are standardised by the rows of ``fit_on``."""
     z = scale(df, features, "zscore0", fit_on=fit_on).select(*key, F.array(*features).alias("z")).filter(~F.exists("z", lambda x: x.isNull()))

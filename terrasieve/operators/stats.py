@@ -267,6 +267,53 @@ def friedman(df: DataFrame, block: str, model: str, score: str, higher_is_better
     return sums.select(model, "n_blocks", "mean_rank", F.lit(chi2).cast("double").alias("chi2"), F.lit(p).cast("double").alias("p"))
 
 
+def conover_pairs(df: DataFrame, block: str, model: str, score: str, higher_is_better: bool = True) -> DataFrame:
+    """(a, b, rank_difference, t, p, p_holm) for every pair of models after a rank test over whole blocks.
+
+    The ranking is distributed; the models' rank sums, one row each, come to the driver for the tail probabilities.
+    """
+    rows = df.select(block, F.col(model).alias("model"), present(F.col(score).cast("double")).alias("s")).dropna(subset=["s"])
+    k = rows.select("model").distinct().count()
+    whole = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    ranked = average_rank(rows.join(whole.select(block), block, "left_semi"), "s", [block], "rank", descending=higher_is_better)
+    sums = ranked.groupBy("model").agg(F.sum("rank").alias("r"), F.sum(F.col("rank") * F.col("rank")).alias("q"), F.count(F.lit(1)).alias("n")).orderBy("model").collect()
+    schema = "a string, b string, rank_difference double, t double, p double, p_holm double"
+    if len(sums) < 2 or sums[0]["n"] < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    n, df_ = sums[0]["n"], (sums[0]["n"] - 1) * (len(sums) - 1)
+    error = math.sqrt(max(2 * (n * sum(s["q"] for s in sums) - sum(s["r"] ** 2 for s in sums)) / df_, 0.0))
+    out = []
+    for x, y in combinations(sums, 2):
+        gap = x["r"] - y["r"]
+        t = abs(gap) / error if error else (math.inf if gap else 0.0)
+        out.append([str(x["model"]), str(y["model"]), gap / n, t, 0.0 if math.isinf(t) else 2 * t_tail(t, df_)])
+    for row, p in zip(out, holm([r[4] for r in out]), strict=True):
+        row.append(p)
+    return df.sparkSession.createDataFrame([tuple(r) for r in out], schema)
+
+
+def smooth_curve(df: DataFrame, x: str, y: str, fraction: float = 0.1, points: int = 50) -> DataFrame:
+    """(x, y, n): a local linear fit with tricube weights at evenly spaced ranks of x, each over ``fraction`` of the rows, half on either side.
+
+    The curve's ``points`` and their reaches are exact quantiles, one broadcast row each; a row meets only the points
+    it is in reach of, and the weighted sums of a point are combined before the shuffle. Where x doesn't vary within
+    reach the weighted mean is given.
+    """
+    rows = df.select(present(F.col(x).cast("double")).alias("x"), present(F.col(y).cast("double")).alias("y")).dropna()
+    at = [(i + 0.5) / points for i in range(points)]
+    bounds = [q for p in at for q in (max(p - fraction / 2, 0.0), p, min(p + fraction / 2, 1.0))]
+    q = quantiles(rows, [], "x", bounds)
+    reach = lambda i: F.greatest(F.col(f"q_{3 * i + 2}") - F.col(f"q_{3 * i + 1}"), F.col(f"q_{3 * i + 1}") - F.col(f"q_{3 * i}"))
+    targets = q.select(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q_{3 * i + 1}").alias("x0"), reach(i).alias("reach")) for i in range(points)]).alias("ts"))
+    near = rows.join(F.broadcast(targets)).select("x", "y", F.inline(F.filter("ts", lambda t: F.abs(F.col("x") - t["x0"]) <= t["reach"])))
+    u = F.coalesce(F.abs(F.col("x") - F.col("x0")) / F.nullif(F.col("reach"), F.lit(0.0)), F.lit(0.0))
+    w, d = F.greatest(F.pow(1 - F.pow(u, 3), 3), F.lit(1e-9)), F.col("x") - F.col("x0")
+    sums = near.groupBy("i", "x0").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * d).alias("wx"), F.sum(w * d * d).alias("wxx"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * d * F.col("y")).alias("wxy"))
+    det = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
+    fit = F.when(det > 1e-12 * F.col("w") * F.col("w"), (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / det).otherwise(F.col("wy") / F.col("w"))
+    return sums.select(F.col("x0").alias("x"), fit.alias("y"), "n")
+
+
 def wilcoxon(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
     """Per group: n (non-zero differences), w_plus, w_minus and z of the signed-rank test with tie correction."""
     d = df.select(*group, (present(F.col(a).cast("double")) - present(F.col(b).cast("double"))).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))

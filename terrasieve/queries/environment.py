@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasieve.functions.values import present
-from terrasieve.operators import clean, cluster, graph, rank, stats
+from terrasieve.operators import clean, cluster, graph, models, rank, raster, stats
+from terrasieve.plans.positions import global_positions
+from terrasieve.plans.scratch import Scratch
 from terrasieve.queries import table
 
 COORDS, FIXED, COMBINED, NORMALIZED = "coords_with_bioclim", "coords_with_bioclim_30s_fixed", "combined_variables_dataset", "combined_variables_dataset_normalized"
@@ -304,10 +306,60 @@ def consensus_areas(spark: SparkSession, d: str) -> DataFrame:
     return cluster.area_under_cdf(cluster.consensus_agreement(rows, "iid", columns, (2, 3), runs=3))
 
 
+def nearest_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A half-degree grid of mean bio1; cells whose records all lack it take the nearest valid cell's."""
+    rows = clean.with_place(table(spark, d, COORDS)).filter("abs(long) <= 180 and abs(lat) <= 90")
+    cells = rows.groupBy(F.floor(F.col("lat") * 2).alias("r"), F.floor(F.col("long") * 2).alias("c")).agg(F.min(F.when(F.pmod("iid", F.lit(7)) != 0, present("bio1"))).alias("v"))
+    out = raster.nearest_valid(cells, "r", "c", "v", 6)
+    return out.select("r", "c", "v", F.round("distance", 6).alias("distance"))
+
+
+def conover_pairs(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.conover_pairs(_model_scores(spark, d), "block", "variable", "score")
+    return out.select("a", "b", _r("rank_difference"), _r("t"))
+
+
+def smoothed_uncertainty(spark: SparkSession, d: str) -> DataFrame:
+    """How the relative yearly range changes with the mean temperature."""
+    rows = clean.complete_rows(table(spark, d, COORDS), ["bio1", "bio2", "bio7"])
+    return stats.smooth_curve(rows.withColumn("ratio", F.try_divide("bio2", "bio7")), "bio1", "ratio")
+
+
+def support_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = stats.scale(table(spark, d, COMBINED).filter("load_no in (1, 3, 8)"), ["bio1", "bio2", "bio5", "bio9"], "zscore0")
+    return models.linear_svr(rows, ["bio1", "bio2", "bio5", "bio9"], ["bio_11_6", "bio_10_5"])
+
+
+def column_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Columns grouped by average linkage on their correlation distance, cut where they share nine tenths."""
+    pairs = stats.correlation_pairs(table(spark, d, COORDS), CORRELATED).collect()  # one row per pair of columns
+    at = {c: i for i, c in enumerate(CORRELATED)}
+    gaps = [[0.0] * len(at) for _ in at]
+    for p in pairs:
+        gaps[at[p["a"]]][at[p["b"]]] = gaps[at[p["b"]]][at[p["a"]]] = (2 * (1 - min(1.0, abs(p["r"] or 0.0)))) ** 0.5
+    labels = cluster.linkage_labels(gaps, cut=(2 * 0.1) ** 0.5)
+    return spark.createDataFrame([(c, int(k)) for c, k in zip(CORRELATED, labels, strict=True)], "variable string, cluster int")
+
+
+def aligned_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Accessions of three tables at once, in the order of their identifiers, with a place."""
+    key = lambda t: table(spark, d, t).select("iid").dropna().dropDuplicates()
+    common = key(COORDS).join(key(NORMALIZED), "iid").join(key(COMBINED), "iid")
+    return global_positions(common, [], [F.col("iid")], Scratch(spark, "aligned"), "ids")
+
+
+def family_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by family of sources (the name before the first dash or dot) and by source within it."""
+    docs = table(spark, d, "documents").filter("source is not null").withColumn("family", F.regexp_extract("source", r"^([^.-]+)", 1))
+    by_source = docs.groupBy("family", "source").agg(F.count(F.lit(1)).alias("n"))
+    total = by_source.groupBy("family").agg(F.sum("n").alias("n_family"))
+    return by_source.join(total, "family").select("family", "source", "n", "n_family", F.round(F.col("n") / F.col("n_family"), 6).alias("share"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_complete, missing_by_column, merge_inner, merge_fallback, ids_semi, ids_anti, places_in_box, places_by_source, frequent_sources, split_labels, label_lookup,
+        nearest_cells, conover_pairs, smoothed_uncertainty, support_vectors, column_groups, aligned_ids, family_shares, clean_complete, missing_by_column, merge_inner, merge_fallback, ids_semi, ids_anti, places_in_box, places_by_source, frequent_sources, split_labels, label_lookup,
         ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_components, corr_representatives, partitions_compared, average_ranks,
         prediction_metrics, score_summary, quantiles_by_load, histogram, area_changes, explained_count, median_neighbours, extreme_climates, consensus_extremes, win_tie_loss,
         friedman_ranks, wilcoxon_by_source, bootstrap_interval, id_sets, loads_appended, pivoted_languages, source_counts, global_range, repeated_rows, loads_majority, loads_all,
@@ -347,6 +399,15 @@ _RANK = "(rank() over (partition by {p} order by {o}) + (count(*) over (partitio
 _SUPPORT = f"select iid, count(distinct load_no) n from {COMBINED} where iid is not null group by iid having count(distinct load_no) >= "
 
 ORACLES = {
+    "nearest_cells": f"""with g as (select cast(floor(lat * 2) as bigint) r, cast(floor(long * 2) as bigint) c, min(case when iid % 7 <> 0 and {ok('bio1')} then bio1 end) v from {COORDS} where {_PLACED} and abs(long) <= 180 and abs(lat) <= 90 group by 1, 2),
+m as (select a.r, a.c, b.v, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) s, row_number() over (partition by a.r, a.c order by (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c), b.r, b.c) k
+ from g a left join g b on b.v is not null and abs(a.r - b.r) <= 6 and abs(a.c - b.c) <= 6 where a.v is null)
+select r, c, v, cast(0 as double) distance from g where v is not null union all select r, c, v, round(sqrt(s), 6) from m where k = 1""",
+    "conover_pairs": f"""with {_SCORES}, k as (select count(distinct variable) k from s where score is not null), w as (select * from s where score is not null and block in (select block from s where score is not null group by 1 having count(*) = (select k from k))),
+r as (select *, {_RANK.format(p='block', o='score desc', v='score')} rk from w), m as (select variable, count(*) n, sum(rk) r, sum(rk * rk) q from r group by 1), e as (select sqrt(2 * (max(n) * sum(q) - sum(r * r)) / ((max(n) - 1) * (count(*) - 1))) e from m)
+select a.variable a, b.variable b, round((a.r - b.r) / a.n, 6) rank_difference, round(abs(a.r - b.r) / e.e, 6) t from m a join m b on a.variable < b.variable, e""",
+    "aligned_ids": f"""select iid, row_number() over (order by iid) - 1 "position" from (select iid from {COORDS} where iid is not null intersect select iid from {NORMALIZED} intersect select iid from {COMBINED})""",
+    "family_shares": """with f as (select regexp_extract(source, '^([^.-]+)', 1) family, source, count(*) n from documents where source is not null group by 1, 2) select *, cast(sum(n) over (partition by family) as bigint) n_family, round(n / (sum(n) over (partition by family)), 6) share from f""",
     "clean_complete": f"select iid, load_no, bio1, bio12, bio19 from {FIXED} where {' and '.join(ok(c) for c in BIO)}",
     "missing_by_column": " union all ".join(f"select '{c}' \"name\", count(*) - count({val(c)}) n_missing from {FIXED}" for c in ["long", "lat", *BIO]),
     "merge_inner": f"select a.iid, a.bio1, b.bio1 bio1_right, a.bio2, b.bio2 bio2_right from {COORDS} a join {NORMALIZED} b on a.fid = b.fid and a.iid = b.iid and a.long = b.long and a.lat = b.lat",
