@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 
 # Fixed patterns of the notation: a value outside quotes is a run of letters, digits, '-', '_' and '.'
 # with a letter or digit in it; inside quotes everything up to the closing quote is one value.
-WORD = r"[-_.]*[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}]|[-_.])*"
-DOUBLE = '"(?:[^"]|"")*"'
-SINGLE = "'(?:[^']|'')*'"
+# Groups repeat possessively: the matcher would otherwise need stack for every repetition of a long field.
+WORD = r"[-_.]*[\p{L}\p{N}][\p{L}\p{N}\p{M}_.-]*"
+DOUBLE = '"(?:[^"]|"")*+"'
+SINGLE = "'(?:[^']|'')*+'"
 ITEM = f"{DOUBLE}|{SINGLE}|{WORD}"
 
 #: Above this many distinct skeletons (about 100 bytes each) the rules are joined with a shuffle.
@@ -27,13 +28,16 @@ BROADCAST_SKELETONS = 20_000
 
 
 def skeleton(field: Column) -> Column:
-    """The field with quoted values as D or S, other values as x, separators as one comma, repeats collapsed."""
+    """The field with quoted values as D or S, other values as x, separators as one comma; two or more values are xx.
+
+    What is left are the ends and unpaired quotes, so even large tables have few distinct skeletons.
+    """
     s = F.regexp_replace(field, DOUBLE, "\u0001")
     s = F.regexp_replace(s, SINGLE, "\u0002")
     s = F.regexp_replace(s, WORD, "\u0003")
     s = F.regexp_replace(s, "[^\u0001\u0002\u0003\"']+", ",")
     s = F.translate(s, "\u0001\u0002\u0003", "DSx")
-    return F.regexp_replace(s, r"([DSx],?)\1+", "$1$1")
+    return F.regexp_replace(s, "[DSx],?(?:[DSx],?)++", "xx")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -55,6 +55,13 @@ def test_null_count_and_long_field(spark):
     assert {r["field"]: r["count"] for r in got} == {"positions": 20_000, "accession_ids": 50}
 
 
+def test_very_long_quoted_value_and_unpaired_quote(spark):
+    word = "ab, " * 50_000
+    df = spark.createDataFrame([(1, None, None, None, 1, f'"{word}"'), (2, None, None, None, 3, '"' + "c" * 100_000 + ";d;e")], SCHEMA)
+    got = {(r["variant_id"], r["item_no"]): len(r["item"]) for r in unpack_variants(df).collect()}
+    assert got == {(1, 1): 200_000, (2, 1): 100_000, (2, 2): 1, (2, 3): 1}
+
+
 def test_rules_joined_without_broadcast(spark):
     from pyspark.sql import functions as F
 
