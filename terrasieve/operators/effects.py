@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.operators.rank import first_rows
+from terrasieve.operators.stats import quantiles
+from terrasieve.plans.joins import join_same
 
 #: How many accessions a packed list shows before it is cut.
 LISTED = 50
@@ -79,9 +81,10 @@ def variant_overlap(df: DataFrame, variant: Sequence[str], accession: str, delta
     Ids are cut to 51 a task before they are shuffled, so a variant of very many accessions stays small.
     """
     rows = df.select(*variant, F.col(accession).alias("__a"), delta)
-    stats = rows.groupBy(*variant).agg(F.count(F.lit(1)).alias("n_accessions"), F.avg(delta).alias("mean_delta"), F.percentile(delta, F.lit(0.5)).alias("median_delta"), F.max(delta).alias("max_delta"), F.min(delta).alias("min_delta"))
+    stats = rows.groupBy(*variant).agg(F.count(F.lit(1)).alias("n_accessions"), F.avg(delta).alias("mean_delta"), F.max(delta).alias("max_delta"), F.min(delta).alias("min_delta"))
+    middle = quantiles(rows, variant, delta, (0.5,)).withColumnRenamed("q_0", "median_delta")
     ids = first_rows(rows.select(*variant, "__a").dropDuplicates(), variant, [F.col("__a")], LISTED + 1).groupBy(*variant).agg(joined_list(F.array_sort(F.collect_list(F.col("__a").cast("string")))).alias("accession_ids"))
-    return stats.join(ids, list(variant)).withColumn("accession_fraction", F.col("n_accessions") / F.lit(float(n_accessions)))
+    return join_same(join_same(stats, middle, variant, "left"), ids, variant, "left").withColumn("accession_fraction", F.col("n_accessions") / F.lit(float(n_accessions)))
 
 
 def site_overlap(overlap: DataFrame, site: str, kind: str, variant: str) -> DataFrame:
@@ -92,7 +95,7 @@ def site_overlap(overlap: DataFrame, site: str, kind: str, variant: str) -> Data
     top = first_rows(overlap, [site, kind], order).select(site, kind, F.col(variant).alias("v"), F.col("n_accessions").alias("n"))
     for k in ("single", "combo"):
         own = top.filter(F.col(kind) == k).select(site, F.col("v").alias(f"top_{k}"), F.col("n").alias(f"top_{k}_count"))
-        counts = counts.join(own, site, "left").fillna({f"top_{k}": "", f"top_{k}_count": 0})
+        counts = join_same(counts, own, [site], "left").fillna({f"top_{k}": "", f"top_{k}_count": 0})
     return counts
 
 
@@ -100,13 +103,15 @@ def effect_magnitude(df: DataFrame, group: Sequence[str], effect: str, key: str)
     """Per group: n, mean, median and largest |effect| with the key it belongs to (smallest key on ties)."""
     rows = df.select(*group, key, F.abs(F.col(effect)).alias("size")).dropna(subset=["size"])
     top = first_rows(rows, group, [F.col("size").desc(), F.col(key)]).select(*group, F.col(key).alias("largest_key"), F.col("size").alias("largest"))
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"), F.percentile("size", F.lit(0.5)).alias("median_size")).join(top, list(group))
+    means = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
+    middle = quantiles(rows, group, "size", (0.5,)).withColumnRenamed("q_0", "median_size")
+    return join_same(join_same(means, middle, group), top, group)
 
 
 def common_items(df: DataFrame, item: str, unit: str, value: str, order: Sequence[str]) -> DataFrame:
     """Per item: in how many units it occurs, statistics of its value, and the first unit in the given order."""
     stats = df.groupBy(item).agg(F.count_distinct(unit).alias("n_units"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return stats.join(first_rows(df, [item], [F.col(o) for o in order]).select(item, F.col(unit).alias("first_unit")), item)
+    return join_same(stats, first_rows(df, [item], [F.col(o) for o in order]).select(item, F.col(unit).alias("first_unit")), [item])
 
 
 def trajectory(steps: DataFrame, stats: DataFrame, variable: str) -> DataFrame:

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasieve.plans.joins import join_same
+
 
 def series_zscore(df: DataFrame, group: Sequence[str], value: str, absolute: bool = False, name: str = "z") -> DataFrame:
     """Adds the z-score of ``value`` within its series (population deviation), of |value| with ``absolute``; a constant series has none and its rows go."""
     v = F.col(value).cast("double")
     v = F.when(v.isNotNull() & ~F.isnan(v), F.abs(v) if absolute else v)
     stats = df.groupBy(*group).agg(F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s")).filter("__s > 0")
-    return df.join(stats, list(group)).withColumn(name, (v - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+    return join_same(df, stats, group).withColumn(name, (v - F.col("__m")) / F.col("__s")).drop("__m", "__s")
 
 
 def greedy_peaks(df: DataFrame, group: Sequence[str], position: str, value: str, *, window: int = 10, max_peaks: int = 3, threshold: float = 1.96) -> DataFrame:
@@ -28,7 +30,7 @@ def greedy_peaks(df: DataFrame, group: Sequence[str], position: str, value: str,
     for i in range(max_peaks):
         top = left.groupBy(*group).agg(F.max(F.struct("z", (-F.col("p")).alias("np"))).alias("t")).select(*group, F.lit(i).alias("peak_index"), (-F.col("t.np")).alias("at"), F.col("t.z").alias("zscore"))
         found = top if found is None else found.unionByName(top)
-        left = left.join(top.select(*group, "at"), list(group)).filter(F.abs(F.col("p") - F.col("at")) > half).drop("at")
+        left = join_same(left, top.select(*group, "at"), group).filter(F.abs(F.col("p") - F.col("at")) > half).drop("at")
     return found.select(*group, "peak_index", F.col("at").alias(position), "zscore")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasieve.plans.joins import join_same
 from terrasieve.plans.positions import global_positions
 from terrasieve.plans.scratch import Scratch
 
@@ -69,7 +70,7 @@ def weight_mass(df: DataFrame, group: Sequence[str], weight: str, shares: Sequen
     by_n = global_positions(counts, list(group), [F.col("w").desc()], scratch, "rows", weight="n").withColumnRenamed("position", "rows_before")
     both = global_positions(by_n, list(group), [F.col("w").desc()], scratch, "mass", weight="mass")
     totals = counts.groupBy(*group).agg(F.sum("mass").alias("total"))
-    placed = both.join(totals, list(group)) if group else both.join(F.broadcast(totals))
+    placed = join_same(both, totals, group)
     reach = lambda p: F.min(F.when((F.col("total") > 0) & (F.col("w") > 0) & (F.col("position") + F.col("mass") >= F.lit(p) * F.col("total")), F.col("rows_before") + F.ceil(F.greatest(F.lit(p) * F.col("total") - F.col("position"), F.lit(1.0)) / F.col("w"))))
     return placed.groupBy(*group).agg(*[F.coalesce(reach(p), F.lit(0)).cast("long").alias(f"n_{round(p * 100)}") for p in shares])
 

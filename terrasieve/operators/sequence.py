@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasieve.operators.rank import first_rows
+from terrasieve.plans.joins import join_same
 
 BASES = ("A", "C", "G", "T")
 #: Symbols of the character tokeniser and their ids.
@@ -130,7 +131,7 @@ def base_composition(df: DataFrame, group: Sequence[str], seq: str, gaps: bool =
         pct = lambda c: F.coalesce(100.0 * c / whole, F.lit(0.0))
         return counts.select(*group, "position", *[pct(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], pct(F.col("__seen") - F.col("__gap") - known).alias("pct_n"), (100.0 * F.col("__gap") / F.col("__seen")).alias("pct_gap"))
     total = df.groupBy(*group).agg(F.count(seq).alias("__total"))
-    joined = counts.join(total, list(group)) if group else counts.join(F.broadcast(total))
+    joined = join_same(counts, total, group)
     share = lambda c: 100.0 * c / F.col("__total")
     return joined.select(*group, "position", *[share(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], share(F.col("__total") - known).alias("pct_n"))
 

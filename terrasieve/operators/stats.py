@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from terrasieve.functions.values import present
 from terrasieve.operators.clean import row_mean
+from terrasieve.plans.joins import join_same
 from terrasieve.plans.positions import global_positions
 from terrasieve.plans.quantiles import quantiles_of_counts
 from terrasieve.plans.scratch import Scratch
@@ -87,9 +88,8 @@ def average_rank(df: DataFrame, value: str, group: Sequence[str] = (), name: str
     counts = df.select(*group, v.alias("__v")).filter("__v is not null").groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
     order = F.col("__v").desc() if descending else F.col("__v").asc()
     placed = global_positions(counts, list(group), [order], Scratch(df.sparkSession, "rank"), "placed", weight="__n")
-    ranks = placed.withColumn(name, F.col("position") + (F.col("__n") + 1) / 2.0).drop("__n", "position")
-    on = [F.col(f"l.`{g}`").eqNullSafe(F.col(f"r.`{g}`")) for g in group] + [F.col("l.__v") == F.col("r.__v")]
-    return df.withColumn("__v", v).alias("l").join(ranks.alias("r"), reduce(lambda a, b: a & b, on), "left").select(*[F.col(f"l.`{c}`") for c in df.columns], F.col(f"r.{name}"))
+    ranks = placed.select(*group, "__v", (F.col("position") + (F.col("__n") + 1) / 2.0).alias("__rank"))
+    return join_same(df.withColumn("__v", v), ranks, [*group, "__v"], "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col("__rank").alias(name))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -128,7 +128,7 @@ def score_summary(df: DataFrame, group: Sequence[str], value: str, top: int = 5)
     tops = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).groupBy(*group).agg(F.avg("v").alias("mean_top"))
     all_ = rows.groupBy(*group).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("sem"))
     middle = quantiles(rows, group, "v", (0.5,)).withColumnRenamed("q_0", "median")
-    return all_.join(middle, list(group)).join(tops, list(group))
+    return join_same(join_same(all_, middle, group), tops, group)
 
 
 def density_histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
@@ -177,7 +177,7 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, *, group: Sequence[str]
     means = drawn.groupBy(*group, "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     bounds = means.groupBy(*group).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
     plain = rows.groupBy(*group).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
-    return plain.join(bounds, list(group)) if group else plain.join(F.broadcast(bounds))
+    return join_same(plain, bounds, group)
 
 
 def win_tie_loss(df: DataFrame, block: str, model: str, score: str) -> DataFrame:
@@ -320,7 +320,7 @@ def wilcoxon(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
     ranked = average_rank(d, "m", group, "rank")
     ties = d.groupBy(*group, "m").agg(F.count(F.lit(1)).alias("t")).groupBy(*group).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
     sums = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
-    both = sums.join(ties, list(group)) if group else sums.join(F.broadcast(ties))
+    both = join_same(sums, ties, group)
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     return both.select(*group, "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"))
