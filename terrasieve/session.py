@@ -1,7 +1,11 @@
-"""Session defaults for local work; on a cluster the submitted configuration wins."""
+"""Session defaults for local work, and the package's code for executors; on a cluster the submitted configuration wins."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,4 +23,22 @@ def local_session(cores: int | str = 8, app: str = "terrasieve", memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's code, once per application, so that their Python can import it.
+
+    The registered queries call this; where the package is installed on every machine it changes nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_terrasieve_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="terrasieve-code-")) / "terrasieve-code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._terrasieve_shipped = True
