@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Evaluation items indexed at once; a larger set goes through the documents in blocks of this size.
-BLOCK_ITEMS = 20_000
+#: Evaluation items, and letters of theirs, indexed at once; a larger set goes through the documents in such blocks.
+BLOCK_ITEMS, BLOCK_LETTERS = 20_000, 10_000_000
 #: Letters of documents hashed at once in a task.
 BATCH_LETTERS = 2_000_000
+#: Shared q-grams counted at once; repetitive texts have many.
+SLICE_HITS = 2_000_000
 MAX_Q = 16
 
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -149,33 +151,46 @@ class ItemIndex:
         return cls(q, bound, hashes, np.append(first, len(order)), item_of[order], place[order], maybe, streams, ends, keys)
 
 
-def _shared(index: ItemIndex, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, item, item place) of every q-gram that a text shares with an item."""
+def _shared(index: ItemIndex, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, item, item place) of every q-gram that a text shares with an item, in slices of bounded size."""
     h = gram_hashes(codes, index.q)
     near = np.flatnonzero(index.maybe[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     if not len(near) or not len(index.hashes):
-        none = np.zeros(0, np.int64)
-        return none, none, none
+        return
     at = np.minimum(np.searchsorted(index.hashes, h[near]), len(index.hashes) - 1)
     exact = index.hashes[at] == h[near]
     near, at = near[exact], at[exact]
     n = index.first[at + 1] - index.first[at]
-    entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.first[at], n)
-    return np.repeat(near, n), index.item_of[entry].astype(np.int64), index.place[entry].astype(np.int64)
+    slice_of = np.cumsum(n) // SLICE_HITS
+    for cut in np.split(np.arange(len(near)), np.flatnonzero(np.diff(slice_of)) + 1):
+        if len(cut):
+            m = n[cut]
+            entry = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(index.first[at[cut]], m)
+            yield np.repeat(near[cut], m), index.item_of[entry].astype(np.int64), index.place[entry].astype(np.int64)
 
 
-def _bands(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, bound: np.ndarray, edits: int) -> Iterator[tuple[int, int, int]]:
-    """(doc, item, first diagonal) of bands 2(k + 1) wide, each half over the next, that reach the item's bound."""
-    half = edits + 1
-    slot = np.concatenate([diagonal // half, diagonal // half - 1])  # a diagonal lies in the band that starts here and the one before
-    rows = np.stack([np.tile(doc, 2), np.tile(item, 2), slot], axis=1)
+def _counted(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows once, with the sum of their counts."""
     order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    new = np.flatnonzero(np.any(rows[1:] != rows[:-1], axis=1)) + 1
-    starts = np.concatenate([[0], new])
-    counts = np.diff(np.append(starts, len(rows)))
-    for i in np.flatnonzero(counts >= bound[rows[starts, 1]]):
-        d, t, s = rows[starts[i]]
+    rows, counts = rows[order], counts[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.any(rows[1:] != rows[:-1], axis=1)) + 1])
+    return rows[starts], np.add.reduceat(counts, starts)
+
+
+def _bands(hits: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bound: np.ndarray, edits: int) -> Iterator[tuple[int, int, int]]:
+    """(doc, item, first diagonal) of bands 2(k + 1) wide, each half over the next, in which (doc, item, diagonal) hits reach the item's bound."""
+    half = edits + 1
+    parts = []
+    for doc, item, diagonal in hits:
+        # a diagonal lies in the band that starts here and in the one before
+        slot = np.concatenate([diagonal // half, diagonal // half - 1])
+        rows = np.stack([np.tile(doc, 2), np.tile(item, 2), slot], axis=1)
+        parts.append(_counted(rows, np.ones(len(rows), np.int64)))
+    if not parts:
+        return
+    rows, counts = parts[0] if len(parts) == 1 else _counted(np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts]))
+    for i in np.flatnonzero(counts >= bound[rows[:, 1]]):
+        d, t, s = rows[i]
         yield int(d), int(t), int(s) * half
 
 
@@ -203,20 +218,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id
     """(doc_key, item_key, run), once each: documents that show at least ``words`` consecutive words of an item.
 
     ``edits`` is the budget of the retained regions; the run itself must be unchanged. Items must be a held-out
-    set whose index a task can hold; they are read in blocks of ``BLOCK_ITEMS``, each of which passes over the
-    documents, without any shuffle. Items of fewer words, null texts and empty documents match nothing; whole
+    set; they are indexed and broadcast in blocks of bounded size, each of which passes over the documents, without
+    any shuffle of these. Items of fewer words, null texts and empty documents match nothing; whole
     documents are read, of any length; equal texts give a row each; equal items give a row each.
     """
     source = docs.select(doc_key, text)
     schema = T.StructType([T.StructField(doc_key, source.schema[0].dataType), T.StructField(item_key, items.schema[item_key].dataType), T.StructField("run", T.IntegerType())])
     batch_type = to_arrow_type(items.schema[item_key].dataType)
-    blocks: list[list[tuple]] = [[]]
-    for row in items.select(item_key, text).dropna().toLocalIterator():
-        if len(blocks[-1]) >= BLOCK_ITEMS:
-            blocks.append([])
-        blocks[-1].append((row[0], row[1]))
     out: DataFrame | None = None
-    for block in blocks:
+    for block in _blocks(items.select(item_key, text).dropna().toLocalIterator()):
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex.build(block, words, edits))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -242,12 +252,25 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id
                     names=[doc_key, item_key, "run"],
                 )
 
-
         part = source.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out.groupBy(doc_key, item_key).agg(F.max("run").alias("run"))
 
 
+def _blocks(rows: Iterator) -> Iterator[list[tuple]]:
+    """Items in blocks of bounded number and length, read one after another; one empty block if there are none."""
+    block: list[tuple] = []
+    letters, given = 0, False
+    for key, text in rows:
+        if block and (len(block) >= BLOCK_ITEMS or letters + len(text) > BLOCK_LETTERS):
+            yield block
+            block, letters, given = [], 0, True
+        block.append((key, text))
+        letters += len(text)
+    if block or not given:
+        yield block
+
+
 def _search(index: ItemIndex, held: list[tuple[int, np.ndarray, np.ndarray]], words: int, edits: int) -> list[tuple[int, int, int]]:
     """(row, item, run) of the texts held; texts are joined by symbols that occur in no text."""
     if not held:
@@ -255,12 +278,9 @@ def _search(index: ItemIndex, held: list[tuple[int, np.ndarray, np.ndarray]], wo
     wall = np.full(1, 0xFFFFFFFF, np.uint32)
     joined = np.concatenate([x for _, codes, _ in held for x in (codes, wall)])
     begin = np.cumsum([0, *(len(codes) + 1 for _, codes, _ in held)])
-    at, item, place = _shared(index, joined)
-    if not len(at):
-        return []
-    doc = np.searchsorted(begin, at, side="right") - 1
+    hits = ((d := np.searchsorted(begin, at, side="right") - 1, item, at - begin[d] - place) for at, item, place in _shared(index, joined))
     best: dict[tuple[int, int], int] = {}
-    for d, t, diagonal in _bands(doc, item, at - begin[doc] - place, index.bound, edits):
+    for d, t, diagonal in _bands(hits, index.bound, edits):
         row, codes, gaps = held[d]
         run = longest_run(index.streams[t], index.ends[t], codes, gaps, diagonal, 2 * (edits + 1))
         if run >= words:

@@ -37,6 +37,8 @@ _LINKING = frozenset("de du des del en pas".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _SEGMENT = re.compile(r"[.!?…]+(?=[\s\"'”»)]|$)|[\r\n]+")
 _TOKEN = re.compile(r"\S*\w\S*")
+#: A longer page is measured in sections of so many words, which bounds an automaton's memory; stuffing repeats within a section.
+SECTION_WORDS = 200_000
 _ANY_WORD = re.compile(r"\w+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _FIGURE = re.compile(r"\d")
@@ -138,7 +140,7 @@ def page_measures(text: str, threshold: float, min_repeats: int) -> tuple[float,
         return (outside / total if total else 0.0), 0.0
     ids: dict[str, int] = {}
     symbols = [ids.setdefault(w, len(ids)) for words, _, _ in segments for w in words]
-    cover = repeated_cover(symbols, min_repeats)
+    cover = [c for i in range(0, len(symbols), SECTION_WORDS) for c in repeated_cover(symbols[i : i + SECTION_WORDS], min_repeats)]
     found = i = 0
     for words, loose, tagged in segments:
         if loose:

@@ -71,6 +71,15 @@ def test_odd_texts(spark):
     assert leaks(spark, [], [(1, item)]) == {}
 
 
+def test_repetitive_texts_are_counted_in_slices(spark, monkeypatch):
+    item = " ".join(["aa"] * 60)
+    docs = [(1, "aa " * 5_000), (2, "aa " * 12), (3, "aa " * 13)]
+    want = {(1, 1), (3, 1)}
+    assert set(leaks(spark, docs, [(1, item)])) == want
+    monkeypatch.setattr(leakage, "SLICE_HITS", 1_000)
+    assert set(leaks(spark, docs, [(1, item)])) == want
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     r = random.Random(3)
     items = [(i, words(r, 16)) for i in range(9)]
