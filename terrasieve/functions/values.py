@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 NO_DATA = -1e30
 
 
+def is_present(c: Column | str) -> Column:
+    """Whether a number is neither null nor NaN nor a no-data mark; as a filter it reaches the scan."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c.isNotNull() & ~F.isnan(c) & (c > NO_DATA)
+
+
 def present(c: Column | str) -> Column:
     """The number, or NULL where it is null, NaN or a no-data mark."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNotNull() & ~F.isnan(c) & (c > NO_DATA), c)
+    return F.when(is_present(c), c)
 
 
 def as_number(c: Column | str) -> Column:
