@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.functions.values import as_number, present
+from terrasieve.functions.values import as_number, is_present
 
 #: A coordinate of exactly this value marks a missing place.
 NO_PLACE = -9.0
@@ -49,4 +51,5 @@ def in_both(coords: DataFrame, normalized: DataFrame) -> DataFrame:
 
 def measured(normalized: DataFrame, columns: list[str]) -> DataFrame:
     """(iid, columns), distinct, of rows in which none of the columns is missing."""
-    return normalized.select(F.col("iid").cast("long").alias("iid"), *[present(F.col(c).cast("double")).alias(c) for c in columns]).dropna().dropDuplicates()
+    rows = normalized.filter(reduce(lambda a, b: a & b, [is_present(c) for c in columns], F.col("iid").isNotNull()))
+    return rows.select(F.col("iid").cast("long").alias("iid"), *[F.col(c).cast("double").alias(c) for c in columns]).dropDuplicates()
