@@ -271,11 +271,11 @@ select snp_index, string_agg(cast(p as varchar), ';' order by p) || case when ma
     "best_matches": """with l as (select l_suppkey query, l_partkey target, l_tax p, round(l_discount * l_quantity, 4) q from lineitem where l_suppkey % 7 <> 0), b as (select *, row_number() over (partition by query order by q, p, target) r from l where q > 0)
 select s_suppkey query, coalesce(target, -1) target, case when target is null then 'novel' when q < 0.015 then 'significant' else 'non' end status from supplier left join b on b.query = s_suppkey and r = 1""",
     "pool_max": f"with {_E} select label, dim, max(v) v from e group by 1, 2",
-    "pool_mean": f"with {_E} select label, dim, round(avg(v), 6) v from e group by 1, 2",
-    "strand_averages": f"with {_E} select a.vec_id, a.dim, round((a.v + b.v) / 2, 6) v from e a join e b on b.vec_id = a.vec_id + 1 and b.dim = 63 - a.dim",
+    "pool_mean": f"with {_E} select label, dim, round(avg(v), 6) + 0.0 v from e group by 1, 2",
+    "strand_averages": f"with {_E} select a.vec_id, a.dim, round((a.v + b.v) / 2, 6) + 0.0 v from e a join e b on b.vec_id = a.vec_id + 1 and b.dim = 63 - a.dim",
     "flattened_regions": f"with {_E}, r as (select label, cast(dense_rank() over (partition by label order by vec_id) - 1 as integer) region, v * (dim + 1) c from e) select label, region, round(sum(c), 4) checksum from r group by 1, 2",
-    "linear_predictions": f"with {_E} select vec_id, round(sum(v * {_WT}) + 1.5, 6) prediction from e group by 1",
-    "mutation_deltas": f"with {_E} select a.vec_id accession, 'v' variable, round(sum((b.v - a.v) * {_WT.replace('dim', 'a.dim')} / 2), 6) delta from e a join e b on b.vec_id = a.vec_id + 2 and b.dim = a.dim group by 1",
+    "linear_predictions": f"with {_E} select vec_id, round(sum(v * {_WT}) + 1.5, 6) + 0.0 prediction from e group by 1",
+    "mutation_deltas": f"with {_E} select a.vec_id accession, 'v' variable, round(sum((b.v - a.v) * {_WT.replace('dim', 'a.dim')} / 2), 6) + 0.0 delta from e a join e b on b.vec_id = a.vec_id + 2 and b.dim = a.dim group by 1",
     "explained_weights": f"with {_E}, m as (select label, dim, max(v) v from e group by 1, 2) select cast(label as varchar) variable, cast(dim // 16 as integer) snp_index, cast(dim % 16 as integer) embedding_dim, v weight from m",
     "csv_round_trip": "select iid % 10 digit, count(*) n, round(sum(case when bio12 is not null and not isnan(bio12) and bio12 > -1e30 then bio12 end), 2) rain, count(case when bio1 is not null and not isnan(bio1) and bio1 > -1e30 then 1 end) n_bio1 from coords_with_bioclim group by 1",
     "phenotype_files": "select cast(iid as varchar) iid, coalesce(max(case when bio1 is not null and not isnan(bio1) and bio1 > -1e30 then bio1 end), -9.0) phenotype from coords_with_bioclim where iid is not null group by iid",

@@ -380,7 +380,7 @@ def _scale_sql(method: str) -> str:
     columns = ("bio1", "bio3", "bio_11_6")
     centre, spread = _SCALE[method]
     agg = ", ".join(f"{centre.format(x=c)} c_{c}, {spread.format(x=c)} s_{c}" for c in columns)
-    out = ", ".join(f"round(({c} - c_{c}) / coalesce(nullif(s_{c}, 0), 1), 6) {c}" for c in columns)
+    out = ", ".join(f"round(({c} - c_{c}) / coalesce(nullif(s_{c}, 0), 1), 6) + 0.0 {c}" for c in columns)
     return f"with v as (select iid, load_no, {', '.join(f'{val(c)} {c}' for c in columns)} from {COMBINED}), a as (select {agg} from v) select iid, load_no, {out} from v, a"
 
 
@@ -426,10 +426,10 @@ z as (select distinct iid, bio2 z from {NORMALIZED} where {ok('bio2')}) select r
     "names_parsed": " union all ".join(f"select load_no, '{i}' \"number\", round(avg({val(f'bio{i}')}), 6) mean, count({val(f'bio{i}')}) n from {FIXED} group by load_no" for i in range(1, 20)),
     "row_means": f"select iid, load_no, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a is not null)::int + (b is not null)::int + (c is not null)::int, 0), 6) mean from (select iid, load_no, {val('bio8')} a, {val('bio9')} b, {val('bio10')} c from {FIXED})",
     **{f"scale_{m}": _scale_sql(m) for m in _SCALE},
-    "scale_train_apply": f"with v as (select iid, load_no, {val('bio1')} bio1, {val('bio5')} bio5 from {COMBINED}), a as (select avg(bio1) m1, stddev_pop(bio1) s1, avg(bio5) m5, stddev_pop(bio5) s5 from v where load_no = 1) select iid, load_no, round((bio1 - m1) / s1, 6) bio1, round((bio5 - m5) / s5, 6) bio5 from v, a",
+    "scale_train_apply": f"with v as (select iid, load_no, {val('bio1')} bio1, {val('bio5')} bio5 from {COMBINED}), a as (select avg(bio1) m1, stddev_pop(bio1) s1, avg(bio5) m5, stddev_pop(bio5) s5 from v where load_no = 1) select iid, load_no, round((bio1 - m1) / s1, 6) + 0.0 bio1, round((bio5 - m5) / s5, 6) + 0.0 bio5 from v, a",
     "combine_correlated": f"""with v as (select iid, {val('bio6')} a, {val('bio11')} b from {COORDS}), s as (select avg(a) ma, stddev_samp(a) sa, avg(b) mb, stddev_samp(b) sb from v)
-select iid, round((coalesce((a - ma) / sa, 0) + coalesce((b - mb) / sb, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) bio_11_6 from v, s""",
-    "corr_pairs": f"with {_corr_sql()} select a, b, round(r, 6) r from r",
+select iid, round((coalesce((a - ma) / sa, 0) + coalesce((b - mb) / sb, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) + 0.0 bio_11_6 from v, s""",
+    "corr_pairs": f"with {_corr_sql()} select a, b, round(r, 6) + 0.0 r from r",
     "corr_components": f"{_COMPONENTS} select c.node, c.component, z.size from c join (select component, count(*) size from c group by 1 having count(*) > 1) z using (component)",
     "corr_representatives": f"""{_COMPONENTS}, k as (select a node, q from e union all select b, q from e), d as (select c.component, c.node, round(z.size - 1 - coalesce(sum(1 - k.q), 0), 6) distance, z.size
  from c join (select component, count(*) size from c group by 1) z using (component) left join k on k.node = c.node group by c.component, c.node, z.size)

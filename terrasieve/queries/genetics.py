@@ -321,7 +321,7 @@ select chromosome, abs_max_pos, "start", least("start" + 512, 30000000) "end" fr
     "shifted_windows": """with p as (select distinct max_grad_pos, sequence_length from gradient_peaks_summary where max_grad_pos is not null and sequence_length is not null), s as (select *, greatest(0, least(max_grad_pos - 5, sequence_length - 11)) "first" from p)
 select *, least("first" + 11, sequence_length) "last" from s""",
     "window_slices": f"with {_SEQ} select doc_id, record_no, substr(seq, 1, 8) head, substr(seq, greatest(length(seq) - 7, 0) + 1) tail from x",
-    "series_zscores": "select user_id, event_id, round(z, 6) z from (select user_id, event_id, (value - avg(value) over (partition by user_id)) / nullif(stddev_pop(value) over (partition by user_id), 0) z from events) where z is not null",
+    "series_zscores": "select user_id, event_id, round(z, 6) + 0.0 z from (select user_id, event_id, (value - avg(value) over (partition by user_id)) / nullif(stddev_pop(value) over (partition by user_id), 0) z from events) where z is not null",
     "greedy_peaks": """with v as (select user_id, cast(floor(epoch(ts) / 60) as bigint) "minute", max(value) v from events group by 1, 2), s as (select user_id, avg(abs(v)) m, stddev_pop(abs(v)) s from v group by 1),
 c0 as (select v.user_id, "minute", (abs(v) - m) / s z from v join s using (user_id) where s > 0 and (abs(v) - m) / s >= 1.96),
 t0 as (select * from (select *, row_number() over (partition by user_id order by z desc, "minute") r from c0) where r = 1),
