@@ -19,10 +19,16 @@ ID_COLUMNS = ("fid", "iid", "long", "lat")
 MISSING_CALL = 3
 
 
-def value_columns(df: DataFrame, exclude: Sequence[str] = ID_COLUMNS, exclude_suffix: Sequence[str] = ("_uncertainty",)) -> list[str]:
+def value_columns(
+    df: DataFrame,
+    exclude: Sequence[str] = ID_COLUMNS,
+    exclude_suffix: Sequence[str] = ("_uncertainty",),
+) -> list[str]:
     """The numeric columns that are neither identifiers nor carry an excluded suffix, in table order; names compare without case."""
     out = {e.lower() for e in exclude}
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name.lower() not in out and not f.name.lower().endswith(tuple(exclude_suffix))]
+    return [
+        f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name.lower() not in out and not f.name.lower().endswith(tuple(exclude_suffix))
+    ]
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,10 +76,18 @@ def with_place(df: DataFrame, x: str = "long", y: str = "lat", mark: float = -9.
 def plain_names(df: DataFrame, drop_suffix: str = "_uncertainty", suffix: str = "_soil") -> DataFrame:
     """Without columns of ``drop_suffix``; ``x<suffix>`` becomes ``x`` where there is no x."""
     kept = [c for c in df.columns if not c.endswith(drop_suffix)]
-    return df.select(*[F.col(f"`{c}`").alias(c[: -len(suffix)] if c.endswith(suffix) and c[: -len(suffix)] not in kept else c) for c in kept])
-
-
-def merge_tables(left: DataFrame, right: DataFrame, keys: Sequence[str] = ID_COLUMNS, suffix: str = "_right", least: int = 0) -> DataFrame:
+    return df.select(
+        *[F.col(f"`{c}`").alias(c[: -len(suffix)] if c.endswith(suffix) and c[: -len(suffix)] not in kept else c) for c in kept]
+    )
+
+
+def merge_tables(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str] = ID_COLUMNS,
+    suffix: str = "_right",
+    least: int = 0,
+) -> DataFrame:
     """Inner join on exact keys; columns of the right table that clash get ``suffix``.
 
     With ``least`` > 0 a result of fewer rows falls back to a left join; this looks at no more than that many rows.
@@ -109,7 +123,9 @@ def named_parts(df: DataFrame, ids: Sequence[str], pattern: str, parts: Sequence
 
 def genotype_arrays(calls: DataFrame, site: Sequence[str], sample: str, call: str) -> DataFrame:
     """One row per site with ``gt``, the calls in sample order. A site's samples are a bounded panel."""
-    return calls.groupBy(*site).agg(F.transform(F.array_sort(F.collect_list(F.struct(sample, call))), lambda s: s[call]).alias("gt"))
+    return calls.groupBy(*site).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(sample, call))), lambda s: s[call]).alias("gt")
+    )
 
 
 def missing_share(gt: Column) -> Column:
@@ -140,7 +156,10 @@ def allele_frequency(gt: Column, folded: bool = False) -> Column:
 def genotype_qc(sites: DataFrame, max_missing: float = 0.05, min_freq: float = 0.05, folded: bool = False) -> DataFrame:
     """Sites with few missing calls and frequent alleles, imputed by mode, with ``missing`` and ``freq``. Sites of missing calls alone go."""
     checked = sites.withColumn("missing", missing_share(F.col("gt"))).filter(F.col("missing") <= max_missing)
-    return checked.withColumn("gt", impute_mode(F.col("gt"))).withColumn("freq", allele_frequency(F.col("gt"), folded)).filter(F.col("freq") >= min_freq)
+    return checked.withColumn("gt", impute_mode(F.col("gt"))).withColumn(
+        "freq",
+        allele_frequency(F.col("gt"), folded),
+    ).filter(F.col("freq") >= min_freq)
 
 
 def row_mean(columns: Sequence[Column]) -> Column:

@@ -16,7 +16,10 @@ from terrasieve.plans.scratch import Scratch
 
 def kmeans_labels(df: DataFrame, columns: Sequence[str], k: int, seed: int = 0) -> DataFrame:
     """Adds ``cluster`` by distributed k-means on complete rows."""
-    rows = df.dropna(subset=list(columns)).withColumn("__v", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
+    rows = df.dropna(subset=list(columns)).withColumn(
+        "__v",
+        array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])),
+    )
     model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(rows)
     return model.transform(rows).drop("__v")
 
@@ -26,7 +29,18 @@ def in_sample(key: str, run: int, share: float, seed: int = 0):  # noqa: ANN201
     return F.pmod(F.xxhash64(F.col(key), F.lit(run), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
 
 
-def consensus_agreement(df: DataFrame, key: str, columns: Sequence[str], ks: Sequence[int], runs: int = 5, share: float = 0.5, reference: int = 200, seed: int = 0, bins: int = 20, labels: Callable[..., DataFrame] = kmeans_labels) -> DataFrame:
+def consensus_agreement(
+    df: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    ks: Sequence[int],
+    runs: int = 5,
+    share: float = 0.5,
+    reference: int = 200,
+    seed: int = 0,
+    bins: int = 20,
+    labels: Callable[..., DataFrame] = kmeans_labels,
+) -> DataFrame:
     """(k, bin, pairs): for each k, how often two reference records fall into one cluster of those runs that sample both.
 
     Agreement is measured between all records in the sample of the run and ``reference`` fixed records (the smallest
@@ -34,18 +48,32 @@ def consensus_agreement(df: DataFrame, key: str, columns: Sequence[str], ks: Seq
     any function with the arguments of ``kmeans_labels``. A density over the agreement in ``bins`` bins.
     """
     scratch = Scratch(df.sparkSession, "consensus")
-    ref = scratch.write(df.select(key).dropDuplicates().orderBy(F.xxhash64(key, F.lit(seed))).limit(reference).select(F.col(key).alias("ref")), "reference")
+    ref = scratch.write(
+        df.select(key).dropDuplicates().orderBy(F.xxhash64(key, F.lit(seed))).limit(reference).select(F.col(key).alias("ref")),
+        "reference",
+    )
     out = None
     for k in ks:
         together = None
         for r in range(runs):
-            got = labels(df.filter(in_sample(key, r, share, seed)), columns, k, seed + r).select(F.col(key).alias("id"), "cluster")
+            got = labels(
+                df.filter(in_sample(key, r, share, seed)),
+                columns,
+                k,
+                seed + r,
+            ).select(F.col(key).alias("id"), "cluster")
             got = scratch.write(got, f"labels_{k}_{r}")
             anchors = got.join(F.broadcast(ref), F.col("id") == F.col("ref")).select("ref", F.col("cluster").alias("c"))
-            pair = got.join(F.broadcast(anchors)).filter("id <> ref").select("id", "ref", (F.col("cluster") == F.col("c")).cast("int").alias("same"))
+            pair = got.join(F.broadcast(anchors)).filter("id <> ref").select(
+                "id",
+                "ref",
+                (F.col("cluster") == F.col("c")).cast("int").alias("same"),
+            )
             together = pair if together is None else together.unionByName(pair)
         agreed = together.groupBy("id", "ref").agg((F.sum("same") / F.count(F.lit(1))).alias("m"))
-        hist = agreed.groupBy(F.least(F.floor(F.col("m") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("pairs")).withColumn("k", F.lit(k))
+        hist = agreed.groupBy(
+            F.least(F.floor(F.col("m") * bins), F.lit(bins - 1)).cast("int").alias("bin")
+        ).agg(F.count(F.lit(1)).alias("pairs")).withColumn("k", F.lit(k))
         out = hist if out is None else out.unionByName(hist)
     return out.select("k", "bin", "pairs")
 
@@ -57,7 +85,11 @@ def area_under_cdf(hist: DataFrame, bins: int = 20) -> DataFrame:
     width = (F.coalesce(F.lead("bin").over(Window.partitionBy("k").orderBy("bin")), F.lit(bins)) - F.col("bin")) / bins
     areas = hist.withColumn("part", F.sum("pairs").over(so_far) / total * width).groupBy("k").agg(F.sum("part").alias("area"))
     before = F.lag("area").over(Window.orderBy("k"))
-    return areas.select("k", "area", F.when(before.isNull(), F.col("area")).otherwise((F.col("area") - before) / F.nullif(before, F.lit(0.0))).alias("gain"))
+    return areas.select(
+        "k",
+        "area",
+        F.when(before.isNull(), F.col("area")).otherwise((F.col("area") - before) / F.nullif(before, F.lit(0.0))).alias("gain"),
+    )
 
 
 def linkage_labels(distances: np.ndarray, cut: float | None = None, n: int | None = None, how: str = "average") -> np.ndarray:
@@ -81,7 +113,9 @@ def linkage_labels(distances: np.ndarray, cut: float | None = None, n: int | Non
                 continue
             if how == "ward":
                 t = size[a] + size[b] + size[c]
-                d[a, c] = d[c, a] = np.sqrt(((size[a] + size[c]) * d[a, c] ** 2 + (size[b] + size[c]) * d[b, c] ** 2 - size[c] * d[a, b] ** 2) / t)
+                d[a, c] = d[c, a] = np.sqrt(
+                    ((size[a] + size[c]) * d[a, c] ** 2 + (size[b] + size[c]) * d[b, c] ** 2 - size[c] * d[a, b] ** 2) / t
+                )
             else:
                 d[a, c] = d[c, a] = (size[a] * d[a, c] + size[b] * d[b, c]) / (size[a] + size[b])
         size[a] += size[b]
@@ -100,7 +134,9 @@ def simplified_silhouette(df: DataFrame, columns: Sequence[str], cluster: str) -
     rows = df.dropna(subset=[*columns, cluster])
     centres = rows.groupBy(F.col(cluster).alias("__c")).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])
     number = F.array(*[F.col(c).cast("double") for c in columns])
-    one = centres.agg(F.collect_list(F.struct("__c", F.array(*[F.col(f"__m{i}") for i in range(len(columns))]).alias("m"))).alias("cs"))
+    one = centres.agg(
+        F.collect_list(F.struct("__c", F.array(*[F.col(f"__m{i}") for i in range(len(columns))]).alias("m"))).alias("cs")
+    )
     dist = lambda m: F.sqrt(F.aggregate(F.zip_with(number, m, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
     own = F.array_max(F.transform(F.filter("cs", lambda c: c["__c"] == F.col(cluster)), lambda c: dist(c["m"])))
     other = F.array_min(F.transform(F.filter("cs", lambda c: c["__c"] != F.col(cluster)), lambda c: dist(c["m"])))
@@ -108,7 +144,17 @@ def simplified_silhouette(df: DataFrame, columns: Sequence[str], cluster: str) -
     return scored.agg(F.avg((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
 
 
-def stratified_split(df: DataFrame, key: str, stratum: str, place: Sequence[str], *, test: float = 0.2, val: float = 0.08, least: int = 3, seed: int = 0) -> DataFrame:
+def stratified_split(
+    df: DataFrame,
+    key: str,
+    stratum: str,
+    place: Sequence[str],
+    *,
+    test: float = 0.2,
+    val: float = 0.08,
+    least: int = 3,
+    seed: int = 0,
+) -> DataFrame:
     """(key, split): within each stratum places are shuffled by hash and cut by their records: test, then val, then train.
 
     All records of a place share a split. Strata of fewer than ``least`` places go to train. Strata may be of any
@@ -117,7 +163,14 @@ def stratified_split(df: DataFrame, key: str, stratum: str, place: Sequence[str]
     rows = df.select(key, stratum, F.xxhash64(*place).alias("place"))
     places = rows.groupBy(stratum, "place").agg(F.count(F.lit(1)).alias("n"))
     totals = places.groupBy(stratum).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("places"))
-    placed = global_positions(places.withColumn("h", F.md5(F.concat_ws(":", F.col("place").cast("string"), F.lit(str(seed))))), [stratum], [F.col("h")], Scratch(df.sparkSession, "stratified"), "places", weight="n")
+    placed = global_positions(
+        places.withColumn("h", F.md5(F.concat_ws(":", F.col("place").cast("string"), F.lit(str(seed))))),
+        [stratum],
+        [F.col("h")],
+        Scratch(df.sparkSession, "stratified"),
+        "places",
+        weight="n",
+    )
     on = placed[stratum].eqNullSafe(totals[stratum])
     at = F.col("position") / F.col("total")
     split = F.when(F.col("places") < least, "train").when(at < test, "test").when(at < test + val, "val").otherwise("train")
@@ -128,4 +181,8 @@ def stratified_split(df: DataFrame, key: str, stratum: str, place: Sequence[str]
 def split_report(splits: DataFrame, total: str = "n") -> DataFrame:
     """(split, n, share) of a table of keys and splits."""
     counts = splits.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("split", "n", (F.col("n") / F.col("all")).alias("share"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("all")))).select(
+        "split",
+        "n",
+        (F.col("n") / F.col("all")).alias("share"),
+    )

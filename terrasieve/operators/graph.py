@@ -23,7 +23,14 @@ def similar_edges(table: DataFrame, a: str, b: str, q: str, threshold: float) ->
     return rows.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.min(q).alias("q"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(
+    nodes: DataFrame,
+    edges: DataFrame,
+    node: str = "node",
+    a: str = "a",
+    b: str = "b",
+    max_rounds: int = 60,
+) -> DataFrame:
     """(node, component): every node with the smallest node of its component; lone nodes are their own.
 
     Minimum labels pass along edges and a node also takes its label's label, so rounds grow with the logarithm of a
@@ -31,12 +38,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     """
     scratch = Scratch(nodes.sparkSession, "components")
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
-    both = scratch.write(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").dropDuplicates(), "edges")
+    both = scratch.write(
+        both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").dropDuplicates(),
+        "edges",
+    )
     every = nodes.select(F.col(node).alias("x")).unionByName(both.select("x")).dropna().dropDuplicates()
     labels = scratch.write(every.select("x", F.col("x").alias("label")), "labels_0")
     for r in range(1, max_rounds + 1):
         offers = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("offer"))
-        lower = labels.join(offers, "x", "left").select("x", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("to"))
+        lower = labels.join(offers, "x", "left").select(
+            "x",
+            F.col("label").alias("old"),
+            F.least("label", F.coalesce("offer", "label")).alias("to"),
+        )
         above = labels.select(F.col("x").alias("to"), F.col("label").alias("up"))
         moved = lower.join(above, "to", "left").select("x", F.least("to", F.coalesce("up", "to")).alias("label"), "old")
         step = scratch.write(moved.select("x", "label", (F.col("label") < F.col("old")).alias("changed")), f"labels_{r}")
@@ -60,7 +74,10 @@ def representatives(components: DataFrame, edges: DataFrame, node: str = "node")
     links = edges.select(F.col("a").alias(node), "q").unionByName(edges.select(F.col("b").alias(node), "q"))
     saved = links.groupBy(node).agg(F.sum(1 - F.col("q")).alias("saved"))
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    scored = components.join(sizes, "component").join(saved, node, "left").withColumn("distance", F.col("size") - 1 - F.coalesce("saved", F.lit(0.0)))
+    scored = components.join(sizes, "component").join(saved, node, "left").withColumn(
+        "distance",
+        F.col("size") - 1 - F.coalesce("saved", F.lit(0.0)),
+    )
     return first_rows(scored, ["component"], [F.round("distance", 9), F.col(node)]).select("component", node, "distance", "size")
 
 
@@ -68,7 +85,10 @@ def cooccurrence(df: DataFrame, group: Sequence[str], item: str) -> DataFrame:
     """(a, b, n): in how many groups two different items stand together. Groups are small sets, such as one accession's step."""
     rows = df.select(*group, F.col(item).alias("a")).dropna(subset=["a"]).dropDuplicates()
     sets = rows.groupBy(*group).agg(F.array_sort(F.collect_list("a")).alias("items")).filter(F.size("items") > 1)
-    pairs = sets.select(F.posexplode("items").alias("i", "a"), "items").select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
+    pairs = sets.select(F.posexplode("items").alias("i", "a"), "items").select(
+        "a",
+        F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"),
+    )
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -86,7 +106,15 @@ def supported(df: DataFrame, item: str, run: str, n_runs: int, how: str = "major
     return df.groupBy(item).agg(F.count_distinct(run).alias("n")).filter(F.col("n") >= need)
 
 
-def best_matches(table: DataFrame, query: str, target: str, p: str, q: str, threshold: float, queries: DataFrame | None = None) -> DataFrame:
+def best_matches(
+    table: DataFrame,
+    query: str,
+    target: str,
+    p: str,
+    q: str,
+    threshold: float,
+    queries: DataFrame | None = None,
+) -> DataFrame:
     """(query, target, p, q, status): each query's best match; significant below the threshold, else non, and novel without any match."""
     best = first_rows(table, [query], [F.col(q).asc(), F.col(p).asc(), F.col(target).asc()]).select(query, target, p, q)
     status: Column = F.when(F.col(q) < threshold, "significant").otherwise("non")

@@ -37,7 +37,11 @@ def parse_site(name: Column, window: int) -> dict[str, Column]:
     ok = name.rlike(r"^\d{1,9}_\d{1,18}$")
     parts = F.split(name, "_")
     position = F.when(ok, F.try_element_at(parts, F.lit(2)).try_cast("long"))
-    return {"chromosome": F.when(ok, F.try_element_at(parts, F.lit(1)).try_cast("int")), "position": position, "window": F.floor(position / window)}
+    return {
+        "chromosome": F.when(ok, F.try_element_at(parts, F.lit(1)).try_cast("int")),
+        "position": position,
+        "window": F.floor(position / window),
+    }
 
 
 def _islands(df: DataFrame, group: Sequence[str], position: str, gap: int) -> DataFrame:
@@ -49,10 +53,15 @@ def _islands(df: DataFrame, group: Sequence[str], position: str, gap: int) -> Da
     rows = df.filter(F.col(position).isNotNull()).select(*group, F.col(position).cast("long").alias("__p")).dropDuplicates()
     w = Window.partitionBy(*group).orderBy("__p")
     new = F.coalesce((F.col("__p") - F.lag("__p").over(w) >= gap).cast("int"), F.lit(1))
-    return rows.withColumn("__new", new).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    return rows.withColumn("__new", new).withColumn(
+        "__island",
+        F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    ).drop("__new")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[tuple[int, int, bool]]]]:
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[
+    tuple[pa.RecordBatch, np.ndarray, list[tuple[int, int, bool]]]
+]:
     """Each batch with its positions (the last column) and its runs of equal keys: (from, to, whether it goes on from the batch before)."""
     last: list[pa.Array] | None = None
     for batch in batches:
@@ -64,7 +73,9 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Rec
         starts = np.flatnonzero(~same[1:]) + 1
         edges = [0, *starts.tolist(), batch.num_rows]
         last = [c.slice(len(c) - 1, 1) for c in columns]
-        yield batch, batch.column(batch.num_columns - 1).to_numpy(), [(x, y, goes_on and x == 0) for x, y in zip(edges, edges[1:], strict=False)]
+        yield batch, batch.column(batch.num_columns - 1).to_numpy(), [
+            (x, y, goes_on and x == 0) for x, y in zip(edges, edges[1:], strict=False)
+        ]
 
 
 def _by_island(islands: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -91,7 +102,10 @@ def spaced_positions(df: DataFrame, group: Sequence[str], position: str, spacing
                     last = int(p[i])
                     i += int(np.searchsorted(p[i:y], last + spacing))
             rows = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(group))), rows.column(rows.num_columns - 1)], names=[*group, position])
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(i) for i in range(len(group))), rows.column(rows.num_columns - 1)],
+                names=[*group, position],
+            )
 
     return _by_island(_islands(df, group, position, spacing), group).mapInArrow(keep, schema)
 
@@ -103,15 +117,34 @@ def merged_windows(df: DataFrame, group: Sequence[str], position: str, width: in
     """
     group, half = list(group), width // 2
     islands = _islands(df, group, position, 3 * half + 1)
-    whole = islands.groupBy(*group, "__island").agg((F.min("__p") - half).alias("start"), (F.max("__p") + half).alias("end"), F.count(F.lit(1)).cast("int").alias("n"))
+    whole = islands.groupBy(*group, "__island").agg(
+        (F.min("__p") - half).alias("start"),
+        (F.max("__p") + half).alias("end"),
+        F.count(F.lit(1)).cast("int").alias("n"),
+    )
     fits = F.col("end") - F.col("start") <= longest
-    schema = T.StructType([*(df.schema[g] for g in group), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType(
+        [
+            *(df.schema[g] for g in group),
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+            T.StructField("n", T.IntegerType()),
+        ]
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[pa.RecordBatch, int, int, int] | None = None  # a row of the open region's group, its first and last position, its count
 
         def region(row: pa.RecordBatch, first: int, last: int, n: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(row.column(i) for i in range(len(group))), pa.array([first - half]), pa.array([last + half]), pa.array([n], pa.int32())], names=[*group, "start", "end", "n"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    *(row.column(i) for i in range(len(group))),
+                    pa.array([first - half]),
+                    pa.array([last + half]),
+                    pa.array([n], pa.int32()),
+                ],
+                names=[*group, "start", "end", "n"],
+            )
 
         for batch, p, runs in _runs(batches, len(group) + 1):
             for x, y, goes_on in runs:
@@ -133,8 +166,14 @@ def merged_windows(df: DataFrame, group: Sequence[str], position: str, width: in
         if held:
             yield region(*held)
 
-    long_ones = islands.join(whole.filter(~fits).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__island").alias("__i")), reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__island") == F.col("__i")), "left_semi")
-    return whole.filter(fits).select(*group, "start", "end", "n").unionByName(_by_island(long_ones, group).mapInArrow(cut, schema))
+    long_ones = islands.join(
+        whole.filter(~fits).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__island").alias("__i")),
+        reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__island") == F.col("__i")),
+        "left_semi",
+    )
+    return whole.filter(fits).select(*group, "start", "end", "n").unionByName(
+        _by_island(long_ones, group).mapInArrow(cut, schema)
+    )
 
 
 def exact_windows(df: DataFrame, position: str, size: Column, width: int) -> DataFrame:
@@ -149,14 +188,36 @@ def greedy_tiles(df: DataFrame, x: str, y: str, step: float, margin: float = 0.1
     The fold runs over distinct values rounded to ``step`` / 4, of which a bounded map has a bounded number.
     """
     quarter = step / 4
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().filter(~F.isnan("x") & ~F.isnan("y"))
-    cells = rows.groupBy(F.floor(F.col("x") / quarter).alias("cx"), F.floor(F.col("y") / quarter).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    rows = df.select(
+        F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"),
+    ).dropna().filter(~F.isnan("x") & ~F.isnan("y"))
+    cells = rows.groupBy(F.floor(F.col("x") / quarter).alias("cx"), F.floor(F.col("y") / quarter).alias("cy")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("x").alias("x0"),
+        F.max("x").alias("x1"),
+        F.min("y").alias("y0"),
+        F.max("y").alias("y1"),
+    )
 
     def starts(values: str) -> Column:
-        return F.aggregate(values, F.array().cast("array<long>"), lambda acc, v: F.when((F.size(acc) == 0) | (v >= F.try_element_at(acc, F.lit(-1)) + 4), F.concat(acc, F.array(v))).otherwise(acc))
+        return F.aggregate(
+            values,
+            F.array().cast("array<long>"),
+            lambda acc,
+            v: F.when((F.size(acc) == 0) | (v >= F.try_element_at(acc, F.lit(-1)) + 4), F.concat(acc, F.array(v))).otherwise(acc),
+        )
 
     columns = cells.agg(F.array_sort(F.collect_set("cx")).alias("vs")).select(F.explode(starts("vs")).alias("tx"))
     in_x = cells.join(F.broadcast(columns), (F.col("cx") >= F.col("tx")) & (F.col("cx") < F.col("tx") + 4))
-    rows_ = in_x.groupBy("tx").agg(F.array_sort(F.collect_set("cy")).alias("vs")).select("tx", F.explode(starts("vs")).alias("ty"))
+    rows_ = in_x.groupBy("tx").agg(
+        F.array_sort(F.collect_set("cy")).alias("vs")
+    ).select("tx", F.explode(starts("vs")).alias("ty"))
     both = in_x.join(rows_, ["tx"]).filter((F.col("cy") >= F.col("ty")) & (F.col("cy") < F.col("ty") + 4))
-    return both.groupBy(F.col("tx").alias("tile_x"), F.col("ty").alias("tile_y")).agg(F.sum("n").alias("n"), (F.min("x0") - margin).alias("x0"), (F.max("x1") + margin).alias("x1"), (F.min("y0") - margin).alias("y0"), (F.max("y1") + margin).alias("y1"))
+    return both.groupBy(F.col("tx").alias("tile_x"), F.col("ty").alias("tile_y")).agg(
+        F.sum("n").alias("n"),
+        (F.min("x0") - margin).alias("x0"),
+        (F.max("x1") + margin).alias("x1"),
+        (F.min("y0") - margin).alias("y0"),
+        (F.max("y1") + margin).alias("y1"),
+    )

@@ -26,7 +26,11 @@ L1_RATIO = 0.1
 def _moments(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold: str) -> DataFrame:
     """(target, fold, n, s, m): count, sums and products of [features, target] over complete rows, added up per partition first."""
     p = len(features) + 1
-    long = df.select(F.col(fold).cast("int").alias("fold"), *[present(F.col(f"`{f}`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)], *[present(F.col(f"`{t}`").cast("double")).alias(f"y{i}") for i, t in enumerate(targets)])
+    long = df.select(
+        F.col(fold).cast("int").alias("fold"),
+        *[present(F.col(f"`{f}`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)],
+        *[present(F.col(f"`{t}`").cast("double")).alias(f"y{i}") for i, t in enumerate(targets)],
+    )
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], list] = {}
@@ -42,15 +46,47 @@ def _moments(df: DataFrame, features: Sequence[str], targets: Sequence[str], fol
                     held[0] += len(part)
                     held[1] += part.sum(axis=0)
                     held[2] += part.T @ part
-        yield pd.DataFrame([{"target": targets[t], "fold": f, "n": n, "s": s.tolist(), "m": m.ravel().tolist()} for (t, f), (n, s, m) in total.items()], columns=["target", "fold", "n", "s", "m"])
+        yield pd.DataFrame(
+            [
+                {
+                    "target": targets[t],
+                    "fold": f,
+                    "n": n,
+                    "s": s.tolist(),
+                    "m": m.ravel().tolist(),
+                } for (t, f), (n, s, m) in total.items()
+            ],
+            columns=["target", "fold", "n", "s", "m"],
+        )
 
     parts = long.mapInPandas(add, "target string, fold int, n long, s array<double>, m array<double>")
-    flat = parts.select("target", "fold", "n", F.posexplode(F.concat("s", "m")).alias("i", "v")).groupBy("target", "fold", "i").agg(F.sum("v").alias("v"))
-    whole = flat.groupBy("target", "fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda z: z["v"]).alias("v"))
-    return whole.join(parts.groupBy("target", "fold").agg(F.sum("n").alias("n")), ["target", "fold"]).select("target", "fold", "n", F.slice("v", 1, p).alias("s"), F.slice("v", p + 1, p * p).alias("m"))
+    flat = parts.select(
+        "target",
+        "fold",
+        "n",
+        F.posexplode(F.concat("s", "m")).alias("i", "v"),
+    ).groupBy("target", "fold", "i").agg(F.sum("v").alias("v"))
+    whole = flat.groupBy("target", "fold").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda z: z["v"]).alias("v")
+    )
+    return whole.join(parts.groupBy("target", "fold").agg(F.sum("n").alias("n")), ["target", "fold"]).select(
+        "target",
+        "fold",
+        "n",
+        F.slice("v", 1, p).alias("s"),
+        F.slice("v", p + 1, p * p).alias("m"),
+    )
 
 
-def descend(gram: np.ndarray, xy: np.ndarray, alpha: float, l1: float, start: np.ndarray, tol: float = 1e-10, rounds: int = 5_000) -> np.ndarray:
+def descend(
+    gram: np.ndarray,
+    xy: np.ndarray,
+    alpha: float,
+    l1: float,
+    start: np.ndarray,
+    tol: float = 1e-10,
+    rounds: int = 5_000,
+) -> np.ndarray:
     """Coefficients that minimise |y - Xw|^2 / 2n + alpha l1 |w|_1 + alpha (1 - l1) |w|^2 / 2, from X'X / n and X'y / n."""
     w = start.copy()
     for _ in range(rounds):
@@ -67,7 +103,15 @@ def descend(gram: np.ndarray, xy: np.ndarray, alpha: float, l1: float, start: np
     return w
 
 
-def elastic_net(df: DataFrame, features: Sequence[str], targets: Sequence[str], *, fold: str, alphas: Sequence[float] = ALPHAS, l1_ratio: float = L1_RATIO) -> DataFrame:
+def elastic_net(
+    df: DataFrame,
+    features: Sequence[str],
+    targets: Sequence[str],
+    *,
+    fold: str,
+    alphas: Sequence[float] = ALPHAS,
+    l1_ratio: float = L1_RATIO,
+) -> DataFrame:
     """(target, alpha, cv_mse, coefs, intercept, n): per target the penalty of least mean squared error over the folds, refitted on all rows.
 
     Features are standardised by the training rows' mean and population deviation; coefficients are for
@@ -106,13 +150,33 @@ def elastic_net(df: DataFrame, features: Sequence[str], targets: Sequence[str],
                 held_rows += n
         best = int(np.argmin(errors))
         ws, mean, _ = path(n_all, s_all, m_all)
-        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "alpha": [float(alphas[best])], "cv_mse": [float(errors[best]) if held_rows else None], "coefs": [ws[best].tolist()], "intercept": [float(mean[p])], "n": [int(n_all)]})
+        return pd.DataFrame(
+            {
+                "target": [pdf["target"].iloc[0]],
+                "alpha": [float(alphas[best])],
+                "cv_mse": [float(errors[best]) if held_rows else None],
+                "coefs": [ws[best].tolist()],
+                "intercept": [float(mean[p])],
+                "n": [int(n_all)],
+            }
+        )
 
     # one group holds the folds of one target: a matrix each, whatever the number of records
-    return _moments(df, features, targets, fold).groupBy("target").applyInPandas(fit, "target string, alpha double, cv_mse double, coefs array<double>, intercept double, n long")
+    return _moments(df, features, targets, fold).groupBy("target").applyInPandas(
+        fit,
+        "target string, alpha double, cv_mse double, coefs array<double>, intercept double, n long",
+    )
 
 
-def linear_svr(df: DataFrame, features: Sequence[str], targets: Sequence[str], *, penalties: Sequence[float] = (0.01, 0.1, 1.0), epsilon: float = 0.1, rounds: int = 20) -> DataFrame:
+def linear_svr(
+    df: DataFrame,
+    features: Sequence[str],
+    targets: Sequence[str],
+    *,
+    penalties: Sequence[float] = (0.01, 0.1, 1.0),
+    epsilon: float = 0.1,
+    rounds: int = 20,
+) -> DataFrame:
     """(target, penalty, coefs, intercept, loss, n): linear support vector regression with squared epsilon-insensitive loss.
 
     Minimises |w|^2 / 2 + C / n * sum(max(0, |y - b - xw| - epsilon)^2) by Newton steps: a step solves for the rows outside
@@ -123,7 +187,10 @@ def linear_svr(df: DataFrame, features: Sequence[str], targets: Sequence[str], *
     p = len(features) + 1
     models = [(t, float(c)) for t in targets for c in penalties]
     beta = {m: np.zeros(p) for m in models}
-    rows = df.select(*[present(F.col(f"`{f}`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)], *[present(F.col(f"`{t}`").cast("double")).alias(f"y{i}") for i, t in enumerate(targets)])
+    rows = df.select(
+        *[present(F.col(f"`{f}`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)],
+        *[present(F.col(f"`{t}`").cast("double")).alias(f"y{i}") for i, t in enumerate(targets)],
+    )
     loss: dict = {}
     count: dict = {}
 
@@ -146,7 +213,14 @@ def linear_svr(df: DataFrame, features: Sequence[str], targets: Sequence[str], *
                     held[1] += float(np.sum((np.abs(e[out]) - epsilon) ** 2))
                     held[2] += xa.T @ goal
                     held[3] += xa.T @ xa
-        yield pd.DataFrame([{"k": models.index(m), "v": [float(n), e, *xy.tolist(), *xx.ravel().tolist()]} for m, (n, e, xy, xx) in total.items()])
+        yield pd.DataFrame(
+            [
+                {
+                    "k": models.index(m),
+                    "v": [float(n), e, *xy.tolist(), *xx.ravel().tolist()],
+                } for m, (n, e, xy, xx) in total.items()
+            ]
+        )
 
     for _ in range(rounds):
         parts = rows.mapInPandas(lambda batches, now=dict(beta): sums(batches, now), "k int, v array<double>")
@@ -169,11 +243,23 @@ def linear_svr(df: DataFrame, features: Sequence[str], targets: Sequence[str], *
         if moved < 1e-8:
             break
     out = [(t, c, beta[t, c][:-1].tolist(), float(beta[t, c][-1]), float(loss[t, c]), count[t, c]) for t, c in models]
-    return df.sparkSession.createDataFrame(out, "target string, penalty double, coefs array<double>, intercept double, loss double, n long")
+    return df.sparkSession.createDataFrame(
+        out,
+        "target string, penalty double, coefs array<double>, intercept double, loss double, n long",
+    )
 
 
 def model_predictions(df: DataFrame, models: DataFrame, features: Sequence[str], key: Sequence[str], fit_on=None) -> DataFrame:  # noqa: ANN001
     """(key, target, prediction): every complete row scored by every model; features are standardised by the rows of ``fit_on``."""
-    z = scale(df, features, "zscore0", fit_on=fit_on).select(*key, F.array(*features).alias("z")).filter(~F.exists("z", lambda x: x.isNull()))
+    z = scale(
+        df,
+        features,
+        "zscore0",
+        fit_on=fit_on,
+    ).select(*key, F.array(*features).alias("z")).filter(~F.exists("z", lambda x: x.isNull()))
     # one row a target on the broadcast side
-    return z.join(F.broadcast(models.select("target", "coefs", "intercept"))).select(*key, "target", (dot(F.col("z"), F.col("coefs")) + F.col("intercept")).alias("prediction"))
+    return z.join(F.broadcast(models.select("target", "coefs", "intercept"))).select(
+        *key,
+        "target",
+        (dot(F.col("z"), F.col("coefs")) + F.col("intercept")).alias("prediction"),
+    )

@@ -101,7 +101,15 @@ def unpack(
     Null, empty and value-free fields give no rows; repeated rows count once; other columns are ignored.
     """
     packed = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"`{name}`").alias("text"), n.cast("int").alias("expected")) for name, n in fields.items()])
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("field"),
+                    F.col(f"`{name}`").alias("text"),
+                    n.cast("int").alias("expected"),
+                ) for name, n in fields.items()
+            ]
+        )
     )
     long = (
         df.select(F.col(key).alias("key"), packed.alias("p"))

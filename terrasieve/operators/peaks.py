@@ -18,17 +18,35 @@ def series_zscore(df: DataFrame, group: Sequence[str], value: str, absolute: boo
     return join_same(df, stats, group).withColumn(name, (v - F.col("__m")) / F.col("__s")).drop("__m", "__s")
 
 
-def greedy_peaks(df: DataFrame, group: Sequence[str], position: str, value: str, *, window: int = 10, max_peaks: int = 3, threshold: float = 1.96) -> DataFrame:
+def greedy_peaks(
+    df: DataFrame,
+    group: Sequence[str],
+    position: str,
+    value: str,
+    *,
+    window: int = 10,
+    max_peaks: int = 3,
+    threshold: float = 1.96,
+) -> DataFrame:
     """(group, peak_index, position, zscore): up to ``max_peaks`` positions of highest z, each more than half a window from those before.
 
     Each peak is one aggregate over what the peaks before leave, so a series of any length is never gathered. Ties
     go to the smaller position.
     """
     half = window // 2
-    left = series_zscore(df, group, value, absolute=True).filter(F.col("z") >= threshold).select(*group, F.col(position).alias("p"), "z")
+    left = series_zscore(df, group, value, absolute=True).filter(F.col("z") >= threshold).select(
+        *group,
+        F.col(position).alias("p"),
+        "z",
+    )
     found = None
     for i in range(max_peaks):
-        top = left.groupBy(*group).agg(F.max(F.struct("z", (-F.col("p")).alias("np"))).alias("t")).select(*group, F.lit(i).alias("peak_index"), (-F.col("t.np")).alias("at"), F.col("t.z").alias("zscore"))
+        top = left.groupBy(*group).agg(F.max(F.struct("z", (-F.col("p")).alias("np"))).alias("t")).select(
+            *group,
+            F.lit(i).alias("peak_index"),
+            (-F.col("t.np")).alias("at"),
+            F.col("t.z").alias("zscore"),
+        )
         found = top if found is None else found.unionByName(top)
         left = join_same(left, top.select(*group, "at"), group).filter(F.abs(F.col("p") - F.col("at")) > half).drop("at")
     return found.select(*group, "peak_index", F.col("at").alias(position), "zscore")

@@ -30,7 +30,9 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """(col, load_no, value, n) over all rows; a missing value is NULL. Combined map-side, so a stuck value costs one row a task."""
     long = df.select(
         F.col(load).alias("load_no"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("col"), present(F.col(f"`{c}`").cast("double")).alias("value")) for c in columns])).alias("v"),
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("col"), present(F.col(f"`{c}`").cast("double")).alias("value")) for c in columns])
+        ).alias("v"),
     )
     return long.groupBy("v.col", "load_no", "v.value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -39,8 +41,18 @@ def base_profile(counts: DataFrame, valid: dict[str, tuple[float, float]]) -> Da
     """Exact aggregates per column and load: rows, missing, distinct, range, values outside ``valid``, most frequent value."""
     v, n = F.col("value"), F.col("n")
     # ANSI comparison with a NULL bound is NULL, so a column without a valid range has no violations
-    low = reduce(lambda acc, kv: acc.when(F.col("col") == kv[0], F.lit(float(kv[1][0]))), valid.items(), F.when(F.lit(False), F.lit(0.0)))
-    high = reduce(lambda acc, kv: acc.when(F.col("col") == kv[0], F.lit(float(kv[1][1]))), valid.items(), F.when(F.lit(False), F.lit(0.0)))
+    low = reduce(
+        lambda acc,
+        kv: acc.when(F.col("col") == kv[0], F.lit(float(kv[1][0]))),
+        valid.items(),
+        F.when(F.lit(False), F.lit(0.0)),
+    )
+    high = reduce(
+        lambda acc,
+        kv: acc.when(F.col("col") == kv[0], F.lit(float(kv[1][1]))),
+        valid.items(),
+        F.when(F.lit(False), F.lit(0.0)),
+    )
     return counts.groupBy("col", "load_no").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("n_missing"),
@@ -65,22 +77,57 @@ def _cells(df: DataFrame, load: str, columns: Sequence[str], edges: dict[str, li
         at_end = F.when(x == F.lit(edges[c][0]), F.lit(1)).otherwise(above) if edges[c] else F.lit(0)
         bins.append(F.coalesce(at_end, F.lit(-1)).alias(f"bin_{c}"))
     fold = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in fold_key]), F.lit(2)).alias("fold")
-    return df.filter(F.col(load).isNotNull()).select(F.col(load).alias("load_no"), fold, *bins).groupBy("load_no", "fold", *[f"bin_{c}" for c in columns]).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return df.filter(F.col(load).isNotNull()).select(F.col(load).alias("load_no"), fold, *bins).groupBy(
+        "load_no",
+        "fold",
+        *[f"bin_{c}" for c in columns],
+    ).agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def _discrimination(cells: DataFrame, loads: Sequence[int], reference: int, subset: Sequence[str], edges: dict[str, list[float]], iterations: int) -> DataFrame:
+def _discrimination(
+    cells: DataFrame,
+    loads: Sequence[int],
+    reference: int,
+    subset: Sequence[str],
+    edges: dict[str, list[float]],
+    iterations: int,
+) -> DataFrame:
     """(load_no, auc): how well the columns of ``subset`` tell a load from the reference on rows not fitted to."""
     hot = [(F.col(f"bin_{c}") == b).cast("double") for c in subset for b in range(-1, len(edges[c]) + 1)]
-    index = reduce(lambda acc, kv: acc.when(F.col("load_no") == kv[1], F.lit(float(kv[0]))), enumerate(loads), F.when(F.lit(False), F.lit(0.0)))
+    index = reduce(
+        lambda acc,
+        kv: acc.when(F.col("load_no") == kv[1], F.lit(float(kv[0]))),
+        enumerate(loads),
+        F.when(F.lit(False), F.lit(0.0)),
+    )
     data = cells.withColumn("features", array_to_vector(F.array(*hot))).withColumn("label", index)
     ref = list(loads).index(reference)
     others = [(i, k) for i, k in enumerate(loads) if k != reference]
     parts = []
     for held in (0, 1):
-        fit = LogisticRegression(family="multinomial", weightCol="w", maxIter=iterations, regParam=1e-3, standardization=False).fit(data.filter(F.col("fold") != held))
+        fit = LogisticRegression(
+            family="multinomial",
+            weightCol="w",
+            maxIter=iterations,
+            regParam=1e-3,
+            standardization=False,
+        ).fit(data.filter(F.col("fold") != held))
         raw = fit.transform(data.filter(F.col("fold") == held)).withColumn("raw", vector_to_array("rawPrediction"))
-        pair = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.element_at("raw", i + 1) - F.element_at("raw", ref + 1), 2).alias("score")) for i, k in others]))
-        parts.append(raw.select("load_no", "w", F.lit(held).alias("held"), pair.alias("p")).filter((F.col("load_no") == F.col("p.k")) | (F.col("load_no") == reference)).select("load_no", "w", "held", "p.*"))
+        pair = F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(k).alias("k"),
+                        F.round(F.element_at("raw", i + 1) - F.element_at("raw", ref + 1), 2).alias("score"),
+                    ) for i, k in others
+                ]
+            )
+        )
+        parts.append(
+            raw.select("load_no", "w", F.lit(held).alias("held"), pair.alias("p")).filter(
+                (F.col("load_no") == F.col("p.k")) | (F.col("load_no") == reference)
+            ).select("load_no", "w", "held", "p.*")
+        )
     # scores are rounded, so a window holds a bounded number of rows however large the loads are
     scored = parts[0].unionByName(parts[1]).groupBy("held", "k", "score").agg(
         F.sum(F.when(F.col("load_no") == reference, F.col("w")).otherwise(0.0)).alias("ref"),
@@ -88,11 +135,26 @@ def _discrimination(cells: DataFrame, loads: Sequence[int], reference: int, subs
     )
     below = Window.partitionBy("held", "k").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = scored.withColumn("under", F.coalesce(F.sum("ref").over(below), F.lit(0.0)))
-    auc = ranked.groupBy("held", "k").agg((F.sum(F.col("own") * (F.col("under") + F.col("ref") / 2)) / F.nullif(F.sum("own") * F.sum("ref"), F.lit(0.0))).alias("auc"))
+    auc = ranked.groupBy("held", "k").agg(
+        (
+            F.sum(F.col("own") * (F.col("under") + F.col("ref") / 2)) / F.nullif(F.sum("own") * F.sum("ref"), F.lit(0.0))
+        ).alias("auc")
+    )
     return auc.groupBy(F.col("k").alias("load_no")).agg(F.avg("auc").alias("auc"))
 
 
-def classifier_test(df: DataFrame, load: str, columns: Sequence[str], edges: dict[str, list[float]], loads: Sequence[int], reference: int, fold_key: Sequence[str], scratch: Scratch, *, iterations: int = 25) -> DataFrame:
+def classifier_test(
+    df: DataFrame,
+    load: str,
+    columns: Sequence[str],
+    edges: dict[str, list[float]],
+    loads: Sequence[int],
+    reference: int,
+    fold_key: Sequence[str],
+    scratch: Scratch,
+    *,
+    iterations: int = 25,
+) -> DataFrame:
     """(col, load_no, auc, auc_without, auc_alone) against the reference load, cross-fitted in two folds.
 
     Every row takes part: rows are counted by binned value, which is exact for these features. Models: all
@@ -136,20 +198,39 @@ def profile(
     base = base_profile(counts, valid or {})
     ranks = scratch.write(quantiles_of_counts(counts, ["col", "load_no"], scratch, [*QUARTILES, *DECILES]), "quantiles")
     on = lambda a, b: a["col"].eqNullSafe(b["col"]) & a["load_no"].eqNullSafe(b["load_no"])
-    q = ranks.select("col", "load_no", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"), (F.col("q_2") - F.col("q_0")).alias("iqr"))
+    q = ranks.select(
+        "col",
+        "load_no",
+        F.col("q_0").alias("q1"),
+        F.col("q_1").alias("median"),
+        F.col("q_2").alias("q3"),
+        (F.col("q_2") - F.col("q_0")).alias("iqr"),
+    )
     out = base.join(q, on(base, q), "left").select(base["*"], "q1", "median", "q3", "iqr")
-    ref = q.filter(F.col("load_no") == reference).select(F.col("col").alias("ref_col"), F.col("median").alias("ref_median"), F.col("iqr").alias("ref_iqr"))
+    ref = q.filter(F.col("load_no") == reference).select(
+        F.col("col").alias("ref_col"),
+        F.col("median").alias("ref_median"),
+        F.col("iqr").alias("ref_iqr"),
+    )
     out = out.join(ref, out["col"] == ref["ref_col"], "left").drop("ref_col")
     if not classify:
         return out
     # a summary of one row per column, whatever the table's size
-    cuts = {r["col"]: sorted({r[f"q_{i + len(QUARTILES)}"] for i in range(len(DECILES))}) for r in ranks.filter(F.col("load_no") == reference).collect()}
+    cuts = {
+        r["col"]: sorted(
+            {r[f"q_{i + len(QUARTILES)}"] for i in range(len(DECILES))}
+        ) for r in ranks.filter(F.col("load_no") == reference).collect()
+    }
     loads = sorted(r[0] for r in base.select("load_no").distinct().filter("load_no is not null").collect())
     usable = [c for c in columns if cuts.get(c)]
     if reference not in loads or len(loads) < 2 or not usable:
         return out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("auc", "auc_without", "auc_alone")])
     test = classifier_test(df, load, usable, cuts, loads, reference, fold_key, scratch)
-    return out.join(test, (out["col"] == test["col"]) & (out["load_no"] == test["load_no"]), "left").select(out["*"], "auc", "auc_without", "auc_alone")
+    return out.join(
+        test,
+        (out["col"] == test["col"]) & (out["load_no"] == test["load_no"]),
+        "left",
+    ).select(out["*"], "auc", "auc_without", "auc_alone")
 
 
 def load_issues(
@@ -168,7 +249,12 @@ def load_issues(
     removal costs) by ``min_discrimination`` of AUC, and the exact aggregate then names the kind. The reference
     load itself can be stuck, which no comparison shows.
     """
-    shift = F.lit(float(max_shift)) if not isinstance(max_shift, dict) else reduce(lambda a, kv: a.when(F.col("col") == kv[0], F.lit(float(kv[1]))), max_shift.items(), F.when(F.lit(False), F.lit(0.0)))
+    shift = F.lit(float(max_shift)) if not isinstance(max_shift, dict) else reduce(
+        lambda a,
+        kv: a.when(F.col("col") == kv[0], F.lit(float(kv[1]))),
+        max_shift.items(),
+        F.when(F.lit(False), F.lit(0.0)),
+    )
     told_apart = F.greatest(F.col("auc_alone") - 0.5, F.col("auc") - F.col("auc_without")) >= min_discrimination
     unclassified = F.col("auc").isNull()
     ratio = F.col("iqr") / F.nullif(F.col("ref_iqr"), F.lit(0.0))

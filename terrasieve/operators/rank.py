@@ -22,7 +22,14 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], n:
     return top.withColumnRenamed("__r", name) if name else top.drop("__r")
 
 
-def best_effect(df: DataFrame, group: Sequence[str], effect: str, ties: Sequence[str], direction: str = "positive", compat: bool = False) -> DataFrame:
+def best_effect(
+    df: DataFrame,
+    group: Sequence[str],
+    effect: str,
+    ties: Sequence[str],
+    direction: str = "positive",
+    compat: bool = False,
+) -> DataFrame:
     """The row of the strongest effect in the wanted direction per group; ties by the columns given, ascending.
 
     ``compat`` takes the maximum whatever the direction. Null effects don't compete.
@@ -67,7 +74,14 @@ def weight_mass(df: DataFrame, group: Sequence[str], weight: str, shares: Sequen
     rows = df.select(*group, F.round(w * unit).cast("long").alias("w"))
     scratch = Scratch(df.sparkSession, "mass")
     counts = rows.groupBy(*group, "w").agg(F.count(F.lit(1)).alias("n")).withColumn("mass", F.col("w") * F.col("n"))
-    by_n = global_positions(counts, list(group), [F.col("w").desc()], scratch, "rows", weight="n").withColumnRenamed("position", "rows_before")
+    by_n = global_positions(
+        counts,
+        list(group),
+        [F.col("w").desc()],
+        scratch,
+        "rows",
+        weight="n",
+    ).withColumnRenamed("position", "rows_before")
     both = global_positions(by_n, list(group), [F.col("w").desc()], scratch, "mass", weight="mass")
     totals = counts.groupBy(*group).agg(F.sum("mass").alias("total"))
     placed = join_same(both, totals, group)
@@ -86,7 +100,13 @@ def extremes(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
 def hashed_order(df: DataFrame, key: str, seed: int, group: Sequence[str] = (), name: str = "place") -> DataFrame:
     """Adds a reproducible shuffled place from 0 within each group, by a hash of the key. Groups of any size; writes a table."""
     rank = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    placed = global_positions(df.withColumn("__h", rank), list(group), [F.col("__h"), F.col(key)], Scratch(df.sparkSession, "shuffle"), "placed")
+    placed = global_positions(
+        df.withColumn("__h", rank),
+        list(group),
+        [F.col("__h"), F.col(key)],
+        Scratch(df.sparkSession, "shuffle"),
+        "placed",
+    )
     return placed.drop("__h").withColumnRenamed("position", name)
 
 

@@ -20,12 +20,33 @@ def nearest_valid(cells: DataFrame, row: str, column: str, value: str, reach: in
     # candidates: for each row in which a masked cell lies and each column, the nearest valid cell above and below
     rows = masked.select("r").dropDuplicates()
     bucket = lambda c: F.floor(c / max(reach, 1))
-    near_rows = valid.withColumn("b", F.explode(F.sequence(bucket(F.col("r") - reach), bucket(F.col("r") + reach)))).join(rows.select(F.col("r").alias("at"), bucket(F.col("r")).alias("b")), "b").filter(F.abs(F.col("r") - F.col("at")) <= reach)
+    near_rows = valid.withColumn(
+        "b",
+        F.explode(F.sequence(bucket(F.col("r") - reach), bucket(F.col("r") + reach))),
+    ).join(rows.select(
+        F.col("r").alias("at"),
+        bucket(F.col("r")).alias("b"),
+    ), "b").filter(F.abs(F.col("r") - F.col("at")) <= reach)
     best = near_rows.groupBy("at", "c").agg(F.min(F.struct(F.abs(F.col("r") - F.col("at")).alias("d"), "r", "v")).alias("m"))
-    lines = best.select("at", F.col("c").alias("from_c"), "m.d", F.col("m.r").alias("from_r"), F.col("m.v").alias("v"), F.explode(F.sequence(bucket(F.col("c") - reach), bucket(F.col("c") + reach))).alias("b"))
-    pairs = masked.withColumn("b", bucket(F.col("c"))).join(lines.withColumnRenamed("at", "r"), ["r", "b"]).filter(F.abs(F.col("c") - F.col("from_c")) <= reach)
+    lines = best.select(
+        "at",
+        F.col("c").alias("from_c"),
+        "m.d",
+        F.col("m.r").alias("from_r"),
+        F.col("m.v").alias("v"),
+        F.explode(F.sequence(bucket(F.col("c") - reach), bucket(F.col("c") + reach))).alias("b"),
+    )
+    pairs = masked.withColumn("b", bucket(F.col("c"))).join(
+        lines.withColumnRenamed("at", "r"),
+        ["r", "b"],
+    ).filter(F.abs(F.col("c") - F.col("from_c")) <= reach)
     square = F.col("d") * F.col("d") + (F.col("c") - F.col("from_c")) * (F.col("c") - F.col("from_c"))
     filled = pairs.groupBy("r", "c").agg(F.min(F.struct(square.alias("s"), "from_r", "from_c", "v")).alias("m"))
-    out = masked.join(filled, ["r", "c"], "left").select("r", "c", F.col("m.v").alias("v"), F.sqrt(F.col("m.s").cast("double")).alias("distance"))
+    out = masked.join(filled, ["r", "c"], "left").select(
+        "r",
+        "c",
+        F.col("m.v").alias("v"),
+        F.sqrt(F.col("m.s").cast("double")).alias("distance"),
+    )
     every = valid.select("r", "c", "v", F.lit(0.0).alias("distance")).unionByName(out)
     return every.select(F.col("r").alias(row), F.col("c").alias(column), F.col("v").alias(value), "distance")

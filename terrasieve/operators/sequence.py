@@ -26,7 +26,10 @@ def reverse_complement(seq: Column) -> Column:
 def reverse_complement_segments(seq: Column, separator: str = "[SEP]") -> Column:
     """Segments complemented one by one in reverse order; one empty segment at the end is dropped."""
     parts = F.split(seq, "\\Q" + separator + "\\E")
-    parts = F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    parts = F.when(
+        F.try_element_at(parts, F.lit(-1)) == "",
+        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
+    ).otherwise(parts)
     return F.array_join(F.reverse(F.transform(parts, reverse_complement)), separator)
 
 
@@ -67,7 +70,12 @@ def token_ids(seq: Column, length: int) -> Column:
 
 def variant_tokens(ref: Column, alt: Column, length: int) -> dict[str, Column]:
     """Token ids of both alleles on both strands."""
-    return {"ref": token_ids(ref, length), "alt": token_ids(alt, length), "ref_rc": token_ids(reverse_complement(ref), length), "alt_rc": token_ids(reverse_complement(alt), length)}
+    return {
+        "ref": token_ids(ref, length),
+        "alt": token_ids(alt, length),
+        "ref_rc": token_ids(reverse_complement(ref), length),
+        "alt_rc": token_ids(reverse_complement(alt), length),
+    }
 
 
 def variant_index(ref: Column, alt: Column) -> Column:
@@ -84,7 +92,11 @@ def recode_chromosome(c: Column) -> Column:
 
 def point_mutants(df: DataFrame, keys: Sequence[str], seq: str, positions: str) -> DataFrame:
     """(keys, position, ref, alt, mutant): every single substitution at the positions of the array column."""
-    rows = df.select(*keys, F.col(seq).alias("s"), F.explode(positions).alias("position")).filter((F.col("position") >= 0) & (F.col("position") < F.length("s")))
+    rows = df.select(
+        *keys,
+        F.col(seq).alias("s"),
+        F.explode(positions).alias("position"),
+    ).filter((F.col("position") >= 0) & (F.col("position") < F.length("s")))
     rows = rows.withColumn("ref", F.substring("s", (F.col("position") + 1).cast("int"), F.lit(1)))
     rows = rows.withColumn("alt", F.explode(alternatives(F.col("ref"))))
     return rows.select(*keys, "position", "ref", "alt", substitute(F.col("s"), F.col("position"), F.col("alt")).alias("mutant"))
@@ -99,7 +111,10 @@ def multi_mutants(df: DataFrame, keys: Sequence[str], seq: str, positions: str,
     rows = df.select(*keys, F.col(seq).alias("s"), order.alias("ps"), F.array().cast("array<int>").alias("chosen"))
     for _ in range(size):
         last = F.coalesce(F.try_element_at("chosen", F.lit(-1)), F.lit(-1))
-        rows = rows.withColumn("p", F.explode("ps")).filter(F.col("p") > last).withColumn("chosen", F.concat("chosen", F.array(F.col("p").cast("int")))).drop("p")
+        rows = rows.withColumn("p", F.explode("ps")).filter(F.col("p") > last).withColumn(
+            "chosen",
+            F.concat("chosen", F.array(F.col("p").cast("int"))),
+        ).drop("p")
     rows = rows.withColumn("alts", F.array().cast("array<string>"))
     for i in range(size):
         ref = F.substring("s", F.get("chosen", F.lit(i)) + 1, F.lit(1))
@@ -124,16 +139,31 @@ def base_composition(df: DataFrame, group: Sequence[str], seq: str, gaps: bool =
     rows = letters(df, group, seq).filter(F.col("position").isNotNull())
     is_ = lambda *bs: F.col("base").isin(*bs)
     n = lambda c: F.sum(c.cast("int"))
-    counts = rows.groupBy(*group, "position").agg(*[n(is_(b)).alias(f"__{b}") for b in ("A", "T", "G", "C")], n(is_("-")).alias("__gap"), F.count(F.lit(1)).alias("__seen"))
+    counts = rows.groupBy(*group, "position").agg(
+        *[n(is_(b)).alias(f"__{b}") for b in ("A", "T", "G", "C")],
+        n(is_("-")).alias("__gap"),
+        F.count(F.lit(1)).alias("__seen"),
+    )
     known = F.col("__A") + F.col("__T") + F.col("__G") + F.col("__C")
     if gaps:
         whole = F.nullif(F.col("__seen") - F.col("__gap"), F.lit(0))
         pct = lambda c: F.coalesce(100.0 * c / whole, F.lit(0.0))
-        return counts.select(*group, "position", *[pct(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], pct(F.col("__seen") - F.col("__gap") - known).alias("pct_n"), (100.0 * F.col("__gap") / F.col("__seen")).alias("pct_gap"))
+        return counts.select(
+            *group,
+            "position",
+            *[pct(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")],
+            pct(F.col("__seen") - F.col("__gap") - known).alias("pct_n"),
+            (100.0 * F.col("__gap") / F.col("__seen")).alias("pct_gap"),
+        )
     total = df.groupBy(*group).agg(F.count(seq).alias("__total"))
     joined = join_same(counts, total, group)
     share = lambda c: 100.0 * c / F.col("__total")
-    return joined.select(*group, "position", *[share(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")], share(F.col("__total") - known).alias("pct_n"))
+    return joined.select(
+        *group,
+        "position",
+        *[share(F.col(f"__{b}")).alias(f"pct_{b.lower()}") for b in ("A", "T", "G", "C")],
+        share(F.col("__total") - known).alias("pct_n"),
+    )
 
 
 def position_counts(df: DataFrame, group: Sequence[str], seq: str) -> DataFrame:
@@ -141,7 +171,10 @@ def position_counts(df: DataFrame, group: Sequence[str], seq: str) -> DataFrame:
     rows = letters(df, group, seq).filter(F.col("base") != "-")
     n = lambda b: F.sum((F.col("base") == b).cast("int")).cast("long")
     known = [n(b).alias(f"n_{b.lower()}") for b in BASES]
-    return rows.groupBy(*group, "position").agg(*known, F.sum((~F.col("base").isin(*BASES)).cast("int")).cast("long").alias("n_n"))
+    return rows.groupBy(*group, "position").agg(
+        *known,
+        F.sum((~F.col("base").isin(*BASES)).cast("int")).cast("long").alias("n_n"),
+    )
 
 
 def consensus(pfm: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -149,9 +182,17 @@ def consensus(pfm: DataFrame, group: Sequence[str]) -> DataFrame:
     cs = [F.col(f"n_{b.lower()}") for b in BASES]
     top = F.greatest(*cs)
     ties = F.size(F.filter(F.array(*cs), lambda c: c == top))
-    base = F.when((ties == 1) & (top > 0), F.element_at(F.array(*[F.lit(b) for b in BASES]), F.array_position(F.array(*cs), top).cast("int"))).otherwise("N")
+    base = F.when(
+        (ties == 1) & (top > 0),
+        F.element_at(F.array(*[F.lit(b) for b in BASES]), F.array_position(F.array(*cs), top).cast("int")),
+    ).otherwise("N")
     rows = pfm.select(*group, "position", base.alias("b"))
-    return rows.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "b"))), lambda s: s["b"]), "").alias("consensus"))
+    return rows.groupBy(*group).agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("position", "b"))), lambda s: s["b"]),
+            "",
+        ).alias("consensus")
+    )
 
 
 def pfm_difference(top: DataFrame, bottom: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -159,7 +200,11 @@ def pfm_difference(top: DataFrame, bottom: DataFrame, group: Sequence[str]) -> D
     names = [f"n_{b}" for b in "acgtn"]
     b = bottom.select(*group, "position", *[F.col(n).alias(f"__{n}") for n in names])
     joined = top.join(b, [*group, "position"], "full")
-    return joined.select(*group, "position", *[(F.coalesce(n, F.lit(0)) - F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in names])
+    return joined.select(
+        *group,
+        "position",
+        *[(F.coalesce(n, F.lit(0)) - F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in names],
+    )
 
 
 def majority_base(df: DataFrame, group: Sequence[str], seq: str, ties: Sequence[str] = ("A", "T", "G", "C", "N")) -> DataFrame:
@@ -172,7 +217,11 @@ def majority_base(df: DataFrame, group: Sequence[str], seq: str, ties: Sequence[
 def alignment_quality(df: DataFrame, group: Sequence[str], aligned: str) -> DataFrame:
     """Per group: the share of gaps and the mean share of a column's commonest base; a column of gaps alone counts 0."""
     counts = letters(df, group, aligned).groupBy(*group, "position", "base").agg(F.count(F.lit(1)).alias("n"))
-    columns = counts.groupBy(*group, "position").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("base") == "-", F.col("n")).otherwise(0)).alias("gaps"), F.coalesce(F.max(F.when(F.col("base") != "-", F.col("n"))), F.lit(0)).alias("top"))
+    columns = counts.groupBy(*group, "position").agg(
+        F.sum("n").alias("all"),
+        F.sum(F.when(F.col("base") == "-", F.col("n")).otherwise(0)).alias("gaps"),
+        F.coalesce(F.max(F.when(F.col("base") != "-", F.col("n"))), F.lit(0)).alias("top"),
+    )
     kept = F.coalesce(F.col("top") / F.nullif(F.col("all") - F.col("gaps"), F.lit(0)), F.lit(0.0))
     return columns.groupBy(*group).agg((100.0 * F.sum("gaps") / F.sum("all")).alias("gap_pct"), F.avg(kept).alias("conservation"))
 
@@ -180,7 +229,11 @@ def alignment_quality(df: DataFrame, group: Sequence[str], aligned: str) -> Data
 def normalised_pwm(pfm: DataFrame, group: Sequence[str]) -> DataFrame:
     """Counts as shares of A, C, G, T; 0.25 each where there are none."""
     total = F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t")
-    return pfm.select(*group, "position", *[F.when(total == 0, F.lit(0.25)).otherwise(F.col(f"n_{b}") / F.nullif(total, F.lit(0))).alias(f"p_{b}") for b in "acgt"])
+    return pfm.select(
+        *group,
+        "position",
+        *[F.when(total == 0, F.lit(0.25)).otherwise(F.col(f"n_{b}") / F.nullif(total, F.lit(0))).alias(f"p_{b}") for b in "acgt"],
+    )
 
 
 def motif_statistics(pwm: DataFrame, motif: str) -> DataFrame:
@@ -196,7 +249,11 @@ def pack_segments(df: DataFrame, group: Sequence[str], order: str, seq: str, lon
     The separator follows every segment of a chunk but its last. A group is one accession's selected regions.
     """
     parts = df.filter(F.col(seq).isNotNull()).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, seq))).alias("ps"))
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    start = F.struct(
+        F.array().cast("array<array<string>>").alias("done"),
+        F.array().cast("array<string>").alias("open"),
+        F.lit(0).alias("n"),
+    )
 
     def step(acc: Column, x: Column) -> Column:
         n = F.length(x[seq])
@@ -207,5 +264,14 @@ def pack_segments(df: DataFrame, group: Sequence[str], order: str, seq: str, lon
             F.when(fits, acc["n"] + n).otherwise(n).alias("n"),
         )
 
-    chunks = F.aggregate("ps", start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda c: F.size(c) > 0))
-    return parts.select(*group, F.posexplode(chunks).alias("chunk", "c")).select(*group, "chunk", F.array_join("c", separator).alias("text"))
+    chunks = F.aggregate(
+        "ps",
+        start,
+        step,
+        lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda c: F.size(c) > 0),
+    )
+    return parts.select(*group, F.posexplode(chunks).alias("chunk", "c")).select(
+        *group,
+        "chunk",
+        F.array_join("c", separator).alias("text"),
+    )

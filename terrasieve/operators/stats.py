@@ -45,25 +45,60 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "zscore", *, fit_
         raise ValueError(f"method must be one of {_SCALERS}")
     rows = df.filter(fit_on) if fit_on is not None else df
     if method == "robust":
-        q = quantiles(rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*"), ["i"], "v", (0.25, 0.5, 0.75))
+        q = quantiles(
+            rows.select(
+                F.explode(
+                    F.array(
+                        *[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)]
+                    )
+                ).alias("x")
+            ).select("x.*"),
+            ["i"],
+            "v",
+            (0.25, 0.5, 0.75),
+        )
         pick = lambda i, c: F.max(F.when(F.col("i") == i, c))
-        stats = q.agg(*[x for i in range(len(columns)) for x in (pick(i, F.col("q_1")).alias(f"__c{i}"), pick(i, F.col("q_2") - F.col("q_0")).alias(f"__s{i}"))])
+        stats = q.agg(
+            *[
+                x for i in range(len(columns)) for x in (
+                    pick(i, F.col("q_1")).alias(f"__c{i}"),
+                    pick(i, F.col("q_2") - F.col("q_0")).alias(f"__s{i}"),
+                )
+            ]
+        )
     else:
-        stats = rows.agg(*[s.alias(f"__{k}{i}") for i, c in enumerate(columns) for k, s in zip("cs", _centre_and_spread(c, method), strict=True)])
+        stats = rows.agg(
+            *[
+                s.alias(f"__{k}{i}") for i, c in enumerate(columns) for k, s in zip(
+                    "cs",
+                    _centre_and_spread(c, method),
+                    strict=True,
+                )
+            ]
+        )
     wide = df.join(F.broadcast(stats))
     # a spread of 0 divides by 1: a constant column is centred, which gives 0 for the rows it was fitted to
     spread = lambda i: F.coalesce(F.nullif(F.col(f"__s{i}"), F.lit(0.0)), F.lit(1.0))
-    return wide.withColumns({c: (present(F.col(f"`{c}`").cast("double")) - F.col(f"__c{i}")) / spread(i) for i, c in enumerate(columns)}).select(*df.columns)
+    return wide.withColumns(
+        {c: (present(F.col(f"`{c}`").cast("double")) - F.col(f"__c{i}")) / spread(i) for i, c in enumerate(columns)}
+    ).select(*df.columns)
 
 
-def combine_columns(df: DataFrame, clusters: dict[str, Sequence[str]], method: str = "zscore", rescale: bool = False) -> DataFrame:
+def combine_columns(
+    df: DataFrame,
+    clusters: dict[str, Sequence[str]],
+    method: str = "zscore",
+    rescale: bool = False,
+) -> DataFrame:
     """Each cluster of columns replaced by the mean of its scaled columns, nulls skipped; other columns stay.
 
     The mean isn't scaled again unless ``rescale``, so its deviation is below 1.
     """
     members = [c for cs in clusters.values() for c in cs]
     scaled = scale(df, members, method)
-    out = scaled.withColumns({name: row_mean([F.col(f"`{c}`") for c in cs]) for name, cs in clusters.items()}).drop(*[m for m in members if m not in clusters])
+    out = scaled.withColumns(
+        {name: row_mean([F.col(f"`{c}`") for c in cs]) for name, cs in clusters.items()}
+    ).drop(*[m for m in members if m not in clusters])
     return scale(out, list(clusters), "zscore") if rescale else out
 
 
@@ -75,7 +110,10 @@ def cluster_name(columns: Sequence[str]) -> str:
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """(group, q_0, q_1, ...): exact quantiles by linear interpolation, for groups of any size. Writes a table."""
-    counts = df.select(*group, present(F.col(f"`{value}`").cast("double")).alias("value")).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(
+        *group,
+        present(F.col(f"`{value}`").cast("double")).alias("value"),
+    ).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
     return quantiles_of_counts(counts, group, Scratch(df.sparkSession, "quantiles"), at)
 
 
@@ -85,11 +123,16 @@ def average_rank(df: DataFrame, value: str, group: Sequence[str] = (), name: str
     Equal values are counted first, and global positions rank the counts, so no group is held in a task. Writes a table.
     """
     v = present(F.col(f"`{value}`").cast("double"))
-    counts = df.select(*group, v.alias("__v")).filter("__v is not null").groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.select(*group, v.alias("__v")).filter("__v is not null").groupBy(*group, "__v").agg(
+        F.count(F.lit(1)).alias("__n")
+    )
     order = F.col("__v").desc() if descending else F.col("__v").asc()
     placed = global_positions(counts, list(group), [order], Scratch(df.sparkSession, "rank"), "placed", weight="__n")
     ranks = placed.select(*group, "__v", (F.col("position") + (F.col("__n") + 1) / 2.0).alias("__rank"))
-    return join_same(df.withColumn("__v", v), ranks, [*group, "__v"], "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col("__rank").alias(name))
+    return join_same(df.withColumn("__v", v), ranks, [*group, "__v"], "left").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.col("__rank").alias(name),
+    )
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -99,8 +142,21 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     both = lambda a, b: v[a].isNotNull() & v[b].isNotNull()
-    row = df.agg(*[F.try_divide(F.covar_pop(v[a], v[b]), F.stddev_pop(F.when(both(a, b), v[a])) * F.stddev_pop(F.when(both(a, b), v[b]))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
+    row = df.agg(
+        *[
+            F.try_divide(
+                F.covar_pop(v[a], v[b]),
+                F.stddev_pop(F.when(both(a, b), v[a])) * F.stddev_pop(F.when(both(a, b), v[b])),
+            ).alias(f"r{i}") for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    return row.select(
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+            )
+        ).alias("p")
+    ).select("p.*")
 
 
 def prediction_metrics(df: DataFrame, group: Sequence[str], observed: str, predicted: str) -> DataFrame:
@@ -108,7 +164,11 @@ def prediction_metrics(df: DataFrame, group: Sequence[str], observed: str, predi
 
     A constant truth has no r2 (NULL).
     """
-    rows = df.select(*group, present(F.col(observed).cast("double")).alias("y"), present(F.col(predicted).cast("double")).alias("p")).dropna(subset=["y", "p"])
+    rows = df.select(
+        *group,
+        present(F.col(observed).cast("double")).alias("y"),
+        present(F.col(predicted).cast("double")).alias("p"),
+    ).dropna(subset=["y", "p"])
     ranked = average_rank(average_rank(rows, "y", group, "ry"), "p", group, "rp")
     e = F.col("y") - F.col("p")
     return ranked.groupBy(*group).agg(
@@ -125,8 +185,15 @@ def score_summary(df: DataFrame, group: Sequence[str], value: str, top: int = 5)
     """Per group: n, mean, standard error, median, and the mean of the ``top`` highest values."""
     rows = df.select(*group, present(F.col(value).cast("double")).alias("v")).dropna(subset=["v"])
     best = Window.partitionBy(*group).orderBy(F.col("v").desc())
-    tops = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).groupBy(*group).agg(F.avg("v").alias("mean_top"))
-    all_ = rows.groupBy(*group).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("sem"))
+    tops = rows.withColumn(
+        "r",
+        F.row_number().over(best),
+    ).filter(F.col("r") <= top).groupBy(*group).agg(F.avg("v").alias("mean_top"))
+    all_ = rows.groupBy(*group).agg(
+        F.count("v").alias("n"),
+        F.avg("v").alias("mean"),
+        (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("sem"),
+    )
     middle = quantiles(rows, group, "v", (0.5,)).withColumnRenamed("q_0", "median")
     return join_same(join_same(all_, middle, group), tops, group)
 
@@ -139,13 +206,20 @@ def density_histogram(df: DataFrame, value: str, bins: int, low: float, high: fl
     counts = df.filter(v.between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     so_far = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.join(F.broadcast(total)).select("bin", (F.col("n") / F.col("total") / width).alias("density"), (F.sum("n").over(so_far) / F.col("total")).alias("cdf"))
+    return counts.join(F.broadcast(total)).select(
+        "bin",
+        (F.col("n") / F.col("total") / width).alias("density"),
+        (F.sum("n").over(so_far) / F.col("total")).alias("cdf"),
+    )
 
 
 def relative_change(df: DataFrame, order: str, value: str) -> DataFrame:
     """(order, change): each value's change relative to the one before; the first keeps its value. For short series such as one area per number of clusters."""
     before = F.lag(value).over(Window.orderBy(order))
-    return df.select(order, F.when(before.isNull(), F.col(value)).otherwise((F.col(value) - before) / F.nullif(before, F.lit(0.0))).alias("change"))
+    return df.select(
+        order,
+        F.when(before.isNull(), F.col(value)).otherwise((F.col(value) - before) / F.nullif(before, F.lit(0.0))).alias("change"),
+    )
 
 
 def smallest_reaching(df: DataFrame, order: str, share: str, target: float) -> DataFrame:
@@ -159,10 +233,23 @@ def smallest_reaching(df: DataFrame, order: str, share: str, target: float) -> D
 def closest_to_median(df: DataFrame, key: str, value: str, n: int = 10) -> DataFrame:
     """The n rows whose value is nearest the median, with ``distance``; ties by key."""
     middle = quantiles(df, [], value, (0.5,)).withColumnRenamed("q_0", "__m")
-    return df.join(F.broadcast(middle)).select(key, value, F.abs(F.col(value) - F.col("__m")).alias("distance")).orderBy("distance", key).limit(n)
-
-
-def bootstrap_mean(df: DataFrame, key: str, value: str, *, group: Sequence[str] = (), reps: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    return df.join(F.broadcast(middle)).select(
+        key,
+        value,
+        F.abs(F.col(value) - F.col("__m")).alias("distance"),
+    ).orderBy("distance", key).limit(n)
+
+
+def bootstrap_mean(
+    df: DataFrame,
+    key: str,
+    value: str,
+    *,
+    group: Sequence[str] = (),
+    reps: int = 200,
+    seed: int = 42,
+    alpha: float = 0.05,
+) -> DataFrame:
     """Per group: mean and percentile interval of the mean under resampling.
 
     Each row draws its number of copies in every repetition from a Poisson(1) law by a hash of its key, so no row
@@ -173,9 +260,15 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, *, group: Sequence[str]
     cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
     copies = lambda r: reduce(lambda a, b: a + b, [(u(r) > c).cast("int") for c in cuts])
     rows = df.select(*group, key, present(F.col(value).cast("double")).alias("v")).dropna(subset=["v"])
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", copies(F.col("rep"))).filter("w > 0")
+    drawn = rows.withColumn(
+        "rep",
+        F.explode(F.sequence(F.lit(1), F.lit(reps))),
+    ).withColumn("w", copies(F.col("rep"))).filter("w > 0")
     means = drawn.groupBy(*group, "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    bounds = means.groupBy(*group).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    bounds = means.groupBy(*group).agg(
+        F.percentile("m", F.lit(alpha / 2)).alias("low"),
+        F.percentile("m", F.lit(1 - alpha / 2)).alias("high"),
+    )
     plain = rows.groupBy(*group).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
     return join_same(plain, bounds, group)
 
@@ -183,10 +276,19 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, *, group: Sequence[str]
 def win_tie_loss(df: DataFrame, block: str, model: str, score: str) -> DataFrame:
     """(a, b, wins, ties, losses, mean_diff) for every pair of models over the blocks both have; a small table of models."""
     rows = df.select(block, F.col(model).alias("model"), present(F.col(score).cast("double")).alias("s")).dropna(subset=["s"])
-    a, b = rows.select(block, F.col("model").alias("a"), F.col("s").alias("sa")), rows.select(block, F.col("model").alias("b"), F.col("s").alias("sb"))
+    a, b = rows.select(block, F.col("model").alias("a"), F.col("s").alias("sa")), rows.select(
+        block,
+        F.col("model").alias("b"),
+        F.col("s").alias("sb"),
+    )
     d = F.col("sa") - F.col("sb")
     n = lambda c: F.sum(c.cast("int")).cast("long")
-    return a.join(b, block).filter("a < b").groupBy("a", "b").agg(n(d > 0).alias("wins"), n(d == 0).alias("ties"), n(d < 0).alias("losses"), F.avg(d).alias("mean_diff"))
+    return a.join(b, block).filter("a < b").groupBy("a", "b").agg(
+        n(d > 0).alias("wins"),
+        n(d == 0).alias("ties"),
+        n(d < 0).alias("losses"),
+        F.avg(d).alias("mean_diff"),
+    )
 
 
 def _gamma_tail(a: float, x: float) -> float:
@@ -234,7 +336,10 @@ def t_tail(t: float, df: float) -> float:
         c, d = 1.0, 1 / max(1 - (p + q) * y / (p + 1), 1e-300)
         h = d
         for m in range(1, 1000):
-            for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            for num in (
+                m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)),
+                -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)),
+            ):
                 d = 1 / (1 + num * d or 1e-300)
                 c = 1 + num / c or 1e-300
                 h *= d * c
@@ -255,7 +360,11 @@ def friedman(df: DataFrame, block: str, model: str, score: str, higher_is_better
     k = rows.select(model).distinct().count()
     whole = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
     ranked = average_rank(rows.join(whole.select(block), block, "left_semi"), "s", [block], "rank", descending=higher_is_better)
-    sums = ranked.groupBy(model).agg(F.count(F.lit(1)).alias("n_blocks"), F.avg("rank").alias("mean_rank"), F.sum(F.col("rank") * F.col("rank")).alias("squares"))
+    sums = ranked.groupBy(model).agg(
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.avg("rank").alias("mean_rank"),
+        F.sum(F.col("rank") * F.col("rank")).alias("squares"),
+    )
     got = sums.collect()
     n = got[0]["n_blocks"] if got else 0
     chi2 = p = None
@@ -264,7 +373,13 @@ def friedman(df: DataFrame, block: str, model: str, score: str, higher_is_better
         between = n * sum((r["mean_rank"] - (k + 1) / 2) ** 2 for r in got)
         chi2 = n * (k - 1) * between / spread if spread else 0.0
         p = chi2_tail(chi2, k - 1)
-    return sums.select(model, "n_blocks", "mean_rank", F.lit(chi2).cast("double").alias("chi2"), F.lit(p).cast("double").alias("p"))
+    return sums.select(
+        model,
+        "n_blocks",
+        "mean_rank",
+        F.lit(chi2).cast("double").alias("chi2"),
+        F.lit(p).cast("double").alias("p"),
+    )
 
 
 def conover_pairs(df: DataFrame, block: str, model: str, score: str, higher_is_better: bool = True) -> DataFrame:
@@ -276,7 +391,11 @@ def conover_pairs(df: DataFrame, block: str, model: str, score: str, higher_is_b
     k = rows.select("model").distinct().count()
     whole = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
     ranked = average_rank(rows.join(whole.select(block), block, "left_semi"), "s", [block], "rank", descending=higher_is_better)
-    sums = ranked.groupBy("model").agg(F.sum("rank").alias("r"), F.sum(F.col("rank") * F.col("rank")).alias("q"), F.count(F.lit(1)).alias("n")).orderBy("model").collect()
+    sums = ranked.groupBy("model").agg(
+        F.sum("rank").alias("r"),
+        F.sum(F.col("rank") * F.col("rank")).alias("q"),
+        F.count(F.lit(1)).alias("n"),
+    ).orderBy("model").collect()
     schema = "a string, b string, rank_difference double, t double, p double, p_holm double"
     if len(sums) < 2 or sums[0]["n"] < 2:
         return df.sparkSession.createDataFrame([], schema)
@@ -304,26 +423,59 @@ def smooth_curve(df: DataFrame, x: str, y: str, fraction: float = 0.1, points: i
     bounds = [q for p in at for q in (max(p - fraction / 2, 0.0), p, min(p + fraction / 2, 1.0))]
     q = quantiles(rows, [], "x", bounds)
     reach = lambda i: F.greatest(F.col(f"q_{3 * i + 2}") - F.col(f"q_{3 * i + 1}"), F.col(f"q_{3 * i + 1}") - F.col(f"q_{3 * i}"))
-    targets = q.select(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q_{3 * i + 1}").alias("x0"), reach(i).alias("reach")) for i in range(points)]).alias("ts"))
-    near = rows.join(F.broadcast(targets)).select("x", "y", F.inline(F.filter("ts", lambda t: F.abs(F.col("x") - t["x0"]) <= t["reach"])))
+    targets = q.select(
+        F.array(
+            *[F.struct(F.lit(i).alias("i"), F.col(f"q_{3 * i + 1}").alias("x0"), reach(i).alias("reach")) for i in range(points)]
+        ).alias("ts")
+    )
+    near = rows.join(F.broadcast(targets)).select(
+        "x",
+        "y",
+        F.inline(F.filter("ts", lambda t: F.abs(F.col("x") - t["x0"]) <= t["reach"])),
+    )
     u = F.coalesce(F.abs(F.col("x") - F.col("x0")) / F.nullif(F.col("reach"), F.lit(0.0)), F.lit(0.0))
     w, d = F.greatest(F.pow(1 - F.pow(u, 3), 3), F.lit(1e-9)), F.col("x") - F.col("x0")
-    sums = near.groupBy("i", "x0").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * d).alias("wx"), F.sum(w * d * d).alias("wxx"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * d * F.col("y")).alias("wxy"))
+    sums = near.groupBy("i", "x0").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(w).alias("w"),
+        F.sum(w * d).alias("wx"),
+        F.sum(w * d * d).alias("wxx"),
+        F.sum(w * F.col("y")).alias("wy"),
+        F.sum(w * d * F.col("y")).alias("wxy"),
+    )
     det = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
-    fit = F.when(det > 1e-12 * F.col("w") * F.col("w"), (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / det).otherwise(F.col("wy") / F.col("w"))
+    fit = F.when(
+        det > 1e-12 * F.col("w") * F.col("w"),
+        (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / det,
+    ).otherwise(F.col("wy") / F.col("w"))
     return sums.select(F.col("x0").alias("x"), fit.alias("y"), "n")
 
 
 def wilcoxon(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
     """Per group: n (non-zero differences), w_plus, w_minus and z of the signed-rank test with tie correction."""
-    d = df.select(*group, (present(F.col(a).cast("double")) - present(F.col(b).cast("double"))).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
+    d = df.select(
+        *group,
+        (present(F.col(a).cast("double")) - present(F.col(b).cast("double"))).alias("d"),
+    ).filter("d <> 0").withColumn("m", F.abs("d"))
     ranked = average_rank(d, "m", group, "rank")
-    ties = d.groupBy(*group, "m").agg(F.count(F.lit(1)).alias("t")).groupBy(*group).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
-    sums = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
+    ties = d.groupBy(*group, "m").agg(F.count(F.lit(1)).alias("t")).groupBy(*group).agg(
+        F.sum(F.pow("t", 3) - F.col("t")).alias("ties")
+    )
+    sums = ranked.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"),
+    )
     both = join_same(sums, ties, group)
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return both.select(*group, "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    return both.select(
+        *group,
+        "n",
+        "w_plus",
+        "w_minus",
+        ((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"),
+    )
 
 
 def holm(p_values: Sequence[float]) -> list[float]:

@@ -19,7 +19,9 @@ def pooled(df: DataFrame, group: Sequence[str], vector: str, how: str = "max") -
 
     Vectors are exploded to (index, value), combined before the shuffle, and gathered again by index.
     """
-    flat = df.select(*group, F.posexplode(vector).alias("i", "v")).groupBy(*group, "i").agg((F.max("v") if how == "max" else F.avg(F.col("v").cast("double"))).alias("v"))
+    flat = df.select(*group, F.posexplode(vector).alias("i", "v")).groupBy(*group, "i").agg(
+        (F.max("v") if how == "max" else F.avg(F.col("v").cast("double"))).alias("v")
+    )
     return flat.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(vector))
 
 
@@ -30,7 +32,9 @@ def strand_average(forward: Column, backward: Column) -> Column:
 
 def flattened(df: DataFrame, group: Sequence[str], order: str, vector: str) -> DataFrame:
     """A group's vectors in order, joined into one. A group is one accession's regions."""
-    return df.groupBy(*group).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, vector))), lambda s: s[vector])).alias(vector))
+    return df.groupBy(*group).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, vector))), lambda s: s[vector])).alias(vector)
+    )
 
 
 def replace_row(matrix: Column, row: Column, values: Column) -> Column:
@@ -47,10 +51,21 @@ def explained_coefficients(models: DataFrame, coefs: str, dim: int) -> DataFrame
     """(variable, snp_index, embedding_dim, weight): a model's coefficient vector, one row per feature."""
     rows = models.select("variable", F.posexplode(coefs).alias("i", "weight"))
     region, d = feature_place(F.col("i"), dim)
-    return rows.select("variable", region.alias("snp_index"), d.alias("embedding_dim"), F.col("weight").cast("double").alias("weight"))
-
-
-def linear_prediction(vectors: DataFrame, vector: str, weights: Column, intercept: float = 0.0, name: str = "prediction") -> DataFrame:
+    return rows.select(
+        "variable",
+        region.alias("snp_index"),
+        d.alias("embedding_dim"),
+        F.col("weight").cast("double").alias("weight"),
+    )
+
+
+def linear_prediction(
+    vectors: DataFrame,
+    vector: str,
+    weights: Column,
+    intercept: float = 0.0,
+    name: str = "prediction",
+) -> DataFrame:
     return vectors.withColumn(name, dot(F.col(vector), weights) + F.lit(intercept))
 
 

@@ -77,7 +77,13 @@ def global_positions(
         def rows(batch: pa.RecordBatch, local: np.ndarray, edge: bool, total: np.ndarray) -> pa.RecordBatch:
             n = batch.num_rows
             return pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, edge)), pa.array(local), pa.array(total)],
+                [
+                    *batch.columns,
+                    pa.array(np.full(n, part, np.int32)),
+                    pa.array(np.full(n, edge)),
+                    pa.array(local),
+                    pa.array(total),
+                ],
                 names=[*names, _PART, _EDGE, _LOCAL, _TOTAL],
             )
 
@@ -85,7 +91,9 @@ def global_positions(
             if not batch.num_rows:
                 continue
             columns = [batch.column(batch.schema.get_field_index(c)) for c in group]
-            w = np.ones(batch.num_rows, np.int64) if weight is None else batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False).astype(np.int64)
+            w = np.ones(batch.num_rows, np.int64) if weight is None else batch.column(
+                batch.schema.get_field_index(weight)
+            ).to_numpy(zero_copy_only=False).astype(np.int64)
             head = [pa.concat_arrays([last[i] if last else c.slice(0, 1), c]) for i, c in enumerate(columns)] if group else []
             same = same_as_before(head) if group else np.ones(batch.num_rows, bool)
             if last is None and current is None:

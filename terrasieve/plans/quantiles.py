@@ -12,7 +12,13 @@ from terrasieve.plans.positions import global_positions
 from terrasieve.plans.scratch import Scratch
 
 
-def quantiles_of_counts(counts: DataFrame, group: Sequence[str], scratch: Scratch, quantiles: Sequence[float], name: str = "ranked") -> DataFrame:
+def quantiles_of_counts(
+    counts: DataFrame,
+    group: Sequence[str],
+    scratch: Scratch,
+    quantiles: Sequence[float],
+    name: str = "ranked",
+) -> DataFrame:
     """(group, q_0, q_1, ...) by linear interpolation, from (group, value, n); null values are left out.
 
     Ranks come from global positions, so no group is held in a task; an aggregate then picks the two values around
@@ -36,4 +42,11 @@ def quantiles_of_counts(counts: DataFrame, group: Sequence[str], scratch: Scratc
             F.max(h - F.floor(h)).alias(f"f_{i}"),
         ]
     found = rows.groupBy(*group).agg(*ends)
-    return found.select(*group, *[(F.col(f"lo_{i}") + F.col(f"f_{i}") * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))).alias(f"q_{i}") for i in range(len(quantiles))])
+    return found.select(
+        *group,
+        *[
+            (
+                F.col(f"lo_{i}") + F.col(f"f_{i}") * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))
+            ).alias(f"q_{i}") for i in range(len(quantiles))
+        ],
+    )

@@ -25,7 +25,14 @@ def mutations(spark: SparkSession, d: str) -> DataFrame:
     """(accession, site, position, line, kind, delta); delta in whole ten-thousandths, so that sums are exact."""
     rows = table(spark, d, "lineitem")
     delta = F.round(F.col("l_extendedprice") * (F.col("l_discount") - 0.05) * 100).cast("long") / 100.0
-    return rows.select(F.col("l_suppkey").alias("accession"), F.col("l_partkey").alias("site"), F.col("l_orderkey").alias("position"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", "combo").otherwise("single").alias("kind"), delta.alias("delta"))
+    return rows.select(
+        F.col("l_suppkey").alias("accession"),
+        F.col("l_partkey").alias("site"),
+        F.col("l_orderkey").alias("position"),
+        F.col("l_linenumber").alias("line"),
+        F.when(F.col("l_returnflag") == "R", "combo").otherwise("single").alias("kind"),
+        delta.alias("delta"),
+    )
 
 
 def best_mutation(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +45,14 @@ def best_negative_mutation(spark: SparkSession, d: str) -> DataFrame:
 
 def direction_split(spark: SparkSession, d: str) -> DataFrame:
     """Best mutations of few-line accessions, split by whether they have the wanted sign."""
-    best = rank.best_effect(mutations(spark, d).filter("line >= 7"), ["accession", "site"], "delta", TIES, "negative", compat=True)
+    best = rank.best_effect(
+        mutations(spark, d).filter("line >= 7"),
+        ["accession", "site"],
+        "delta",
+        TIES,
+        "negative",
+        compat=True,
+    )
     wanted, other = rank.split_by_direction(best, "delta", "negative")
     n = lambda df, name: df.groupBy("accession").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name))
     return n(wanted, "wanted").unionByName(n(other, "other"))
@@ -46,38 +60,82 @@ def direction_split(spark: SparkSession, d: str) -> DataFrame:
 
 def cumulative_effects(spark: SparkSession, d: str) -> DataFrame:
     out = effects.cumulative_effects(mutations(spark, d), "accession", "site", "delta", TIES)
-    return out.select("accession", "site", "position", "line", "delta", "step", F.round("cumulative_delta", 2).alias("cumulative_delta"))
+    return out.select(
+        "accession",
+        "site",
+        "position",
+        "line",
+        "delta",
+        "step",
+        F.round("cumulative_delta", 2).alias("cumulative_delta"),
+    )
 
 
 def cumulative_scenarios(spark: SparkSession, d: str) -> DataFrame:
     steps = effects.cumulative_effects(mutations(spark, d), "accession", "site", "delta", TIES)
     every = table(spark, d, "supplier").select(F.col("s_suppkey").alias("accession"), F.col("s_acctbal").alias("baseline"))
     out = effects.scenarios(steps, every, "accession", "delta", [1, 3, 10, 0], "baseline")
-    return out.select("top_n", "accession", *[F.round(c, 2).alias(c) for c in ("baseline_pred", "final_pred", "cumulative_delta")], "n_steps")
+    return out.select(
+        "top_n",
+        "accession",
+        *[F.round(c, 2).alias(c) for c in ("baseline_pred", "final_pred", "cumulative_delta")],
+        "n_steps",
+    )
 
 
 def prediction_trajectories(spark: SparkSession, d: str) -> DataFrame:
     """Scenario predictions in the units of each nation's balance."""
-    steps = cumulative_scenarios(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("accession"), F.col("s_nationkey").alias("variable")), "accession")
-    stats = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("variable")).agg(F.avg("c_acctbal").alias("mean"), F.stddev_samp("c_acctbal").alias("std"))
+    steps = cumulative_scenarios(spark, d).join(
+        table(spark, d, "supplier").select(F.col("s_suppkey").alias("accession"), F.col("s_nationkey").alias("variable")),
+        "accession",
+    )
+    stats = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("variable")).agg(
+        F.avg("c_acctbal").alias("mean"),
+        F.stddev_samp("c_acctbal").alias("std"),
+    )
     out = effects.trajectory(steps, stats, "variable")
-    return out.select("accession", "top_n", F.round("final_pred", 2).alias("final_pred"), F.round("cumulative_delta", 2).alias("cumulative_delta"))
+    return out.select(
+        "accession",
+        "top_n",
+        F.round("final_pred", 2).alias("final_pred"),
+        F.round("cumulative_delta", 2).alias("cumulative_delta"),
+    )
 
 
 def variant_overlap(spark: SparkSession, d: str) -> DataFrame:
     n = 100
     out = effects.variant_overlap(mutations(spark, d), ["site", "kind"], "accession", "delta", n)
-    return out.select("site", "kind", "n_accessions", F.round("accession_fraction", 6).alias("accession_fraction"), "accession_ids", *[F.round(c, 9).alias(c) for c in ("mean_delta", "median_delta", "max_delta", "min_delta")])
+    return out.select(
+        "site",
+        "kind",
+        "n_accessions",
+        F.round("accession_fraction", 6).alias("accession_fraction"),
+        "accession_ids",
+        *[F.round(c, 9).alias(c) for c in ("mean_delta", "median_delta", "max_delta", "min_delta")],
+    )
 
 
 def site_overlap(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "variant_overlap_summary").select("snp_index", "variant_type", F.coalesce("positions", F.lit("")).alias("variant"), "n_accessions", "mean_delta").dropDuplicates()
+    rows = table(spark, d, "variant_overlap_summary").select(
+        "snp_index",
+        "variant_type",
+        F.coalesce("positions", F.lit("")).alias("variant"),
+        "n_accessions",
+        "mean_delta",
+    ).dropDuplicates()
     return effects.site_overlap(rows, "snp_index", "variant_type", "variant")
 
 
 def effect_magnitude(spark: SparkSession, d: str) -> DataFrame:
     out = effects.effect_magnitude(mutations(spark, d), ["accession"], "delta", "site")
-    return out.select("accession", "n", F.round("mean_size", 9).alias("mean_size"), F.round("median_size", 9).alias("median_size"), "largest_key", "largest")
+    return out.select(
+        "accession",
+        "n",
+        F.round("mean_size", 9).alias("mean_size"),
+        F.round("median_size", 9).alias("median_size"),
+        "largest_key",
+        "largest",
+    )
 
 
 def shared_accessions(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +148,16 @@ def shared_accessions(spark: SparkSession, d: str) -> DataFrame:
 
 def common_sites(spark: SparkSession, d: str) -> DataFrame:
     out = effects.common_items(mutations(spark, d), "site", "accession", "delta", ["accession", "position", "line", "delta"])
-    return out.select("site", "n_units", "n", F.round("mean", 9).alias("mean"), F.round("std", 4).alias("std"), "low", "high", "first_unit")
+    return out.select(
+        "site",
+        "n_units",
+        "n",
+        F.round("mean", 9).alias("mean"),
+        F.round("std", 4).alias("std"),
+        "low",
+        "high",
+        "first_unit",
+    )
 
 
 def position_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +168,12 @@ def position_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 def listed_positions(spark: SparkSession, d: str) -> DataFrame:
     """Each site's positions in one field again, cut at fifty."""
-    rows = table(spark, d, "gradient_peaks_summary").filter("max_grad_pos is not null and chromosome is not null").select("snp_index", "max_grad_pos").dropDuplicates()
-    lists = rank.first_rows(rows, ["snp_index"], [F.col("max_grad_pos")], 51).groupBy("snp_index").agg(F.array_sort(F.collect_list("max_grad_pos")).alias("ps"))
+    rows = table(spark, d, "gradient_peaks_summary").filter(
+        "max_grad_pos is not null and chromosome is not null"
+    ).select("snp_index", "max_grad_pos").dropDuplicates()
+    lists = rank.first_rows(rows, ["snp_index"], [F.col("max_grad_pos")], 51).groupBy("snp_index").agg(
+        F.array_sort(F.collect_list("max_grad_pos")).alias("ps")
+    )
     return lists.select("snp_index", effects.joined_list(F.transform("ps", lambda p: p.cast("string"))).alias("positions"))
 
 
@@ -112,19 +183,39 @@ def item_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_matches(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("target"), F.col("l_tax").alias("p"), F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("q")).filter("q > 0 and query % 7 <> 0")
-    return graph.best_matches(rows, "query", "target", "p", "q", 0.015, table(spark, d, "supplier").select(F.col("s_suppkey").alias("query"))).select("query", F.coalesce("target", F.lit(-1)).alias("target"), "status")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("query"),
+        F.col("l_partkey").alias("target"),
+        F.col("l_tax").alias("p"),
+        F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("q"),
+    ).filter("q > 0 and query % 7 <> 0")
+    return graph.best_matches(
+        rows,
+        "query",
+        "target",
+        "p",
+        "q",
+        0.015,
+        table(spark, d, "supplier").select(F.col("s_suppkey").alias("query")),
+    ).select("query", F.coalesce("target", F.lit(-1)).alias("target"), "status")
 
 
 def series_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Two loads of a variable side by side on their common accessions."""
     one = lambda k: table(spark, d, COMBINED).filter(F.col("load_no") == k).select("iid", present("bio1").alias("v")).dropna().dropDuplicates(["iid"])
-    return peaks.series_overlay(one(3), one(5), ["iid"], "v").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("left") - F.col("right"))), 3).alias("mean_gap"))
+    return peaks.series_overlay(one(3), one(5), ["iid"], "v").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg(F.abs(F.col("left") - F.col("right"))), 3).alias("mean_gap"),
+    )
 
 
 def pool_max(spark: SparkSession, d: str) -> DataFrame:
     out = vectors.pooled(table(spark, d, "embeddings"), ["label"], "embedding")
-    return out.select("label", F.posexplode("embedding").alias("dim", "v")).select("label", "dim", F.col("v").cast("double").alias("v"))
+    return out.select("label", F.posexplode("embedding").alias("dim", "v")).select(
+        "label",
+        "dim",
+        F.col("v").cast("double").alias("v"),
+    )
 
 
 def pool_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -136,15 +227,25 @@ def strand_averages(spark: SparkSession, d: str) -> DataFrame:
     """Each vector averaged with the flipped next one, as the two strands of a region are."""
     a = table(spark, d, "embeddings")
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    out = a.join(b, "vec_id").select("vec_id", F.posexplode(vectors.strand_average(F.col("embedding"), F.col("other"))).alias("dim", "v"))
+    out = a.join(b, "vec_id").select(
+        "vec_id",
+        F.posexplode(vectors.strand_average(F.col("embedding"), F.col("other"))).alias("dim", "v"),
+    )
     return out.select("vec_id", "dim", F.round("v", 6).alias("v"))
 
 
 def flattened_regions(spark: SparkSession, d: str) -> DataFrame:
     """Every label's vectors joined in order, and the place of each feature."""
-    out = vectors.flattened(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding").select("label", F.posexplode("embedding").alias("i", "v"))
+    out = vectors.flattened(
+        table(spark, d, "embeddings"),
+        ["label"],
+        "vec_id",
+        "embedding",
+    ).select("label", F.posexplode("embedding").alias("i", "v"))
     region, dim = vectors.feature_place(F.col("i"), 64)
-    return out.groupBy("label", region.alias("region")).agg(F.round(F.sum(F.col("v").cast("double") * (dim + 1)), 4).alias("checksum"))
+    return out.groupBy("label", region.alias("region")).agg(
+        F.round(F.sum(F.col("v").cast("double") * (dim + 1)), 4).alias("checksum")
+    )
 
 
 def _weights() -> Column:
@@ -158,26 +259,48 @@ def linear_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 def mutation_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Change of a linear prediction when a vector is replaced by the one two places on."""
-    base = table(spark, d, "embeddings").select(F.col("vec_id").alias("accession"), F.lit(0).alias("snp_index"), F.col("embedding").alias("old_row"))
-    mutated = table(spark, d, "embeddings").select((F.col("vec_id") - 2).alias("accession"), F.lit(0).alias("snp_index"), F.col("embedding").alias("new_row"))
-    coefs = table(spark, d, "embeddings").limit(1).select(F.lit("v").alias("variable"), F.posexplode(_weights()).alias("feature_index", "coef"), F.lit(2.0).alias("scale"))
+    base = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("accession"),
+        F.lit(0).alias("snp_index"),
+        F.col("embedding").alias("old_row"),
+    )
+    mutated = table(spark, d, "embeddings").select(
+        (F.col("vec_id") - 2).alias("accession"),
+        F.lit(0).alias("snp_index"),
+        F.col("embedding").alias("new_row"),
+    )
+    coefs = table(spark, d, "embeddings").limit(1).select(
+        F.lit("v").alias("variable"),
+        F.posexplode(_weights()).alias("feature_index", "coef"),
+        F.lit(2.0).alias("scale"),
+    )
     weights = effects.coefficient_rows(coefs, 64)
     return effects.mutation_deltas(mutated, base, weights).select("accession", "variable", F.round("delta", 6).alias("delta"))
 
 
 def explained_weights(spark: SparkSession, d: str) -> DataFrame:
     """A coefficient vector per label taken apart into region and dimension."""
-    model = vectors.pooled(table(spark, d, "embeddings"), ["label"], "embedding").select(F.col("label").cast("string").alias("variable"), F.col("embedding").alias("coefs"))
+    model = vectors.pooled(table(spark, d, "embeddings"), ["label"], "embedding").select(
+        F.col("label").cast("string").alias("variable"),
+        F.col("embedding").alias("coefs"),
+    )
     return vectors.explained_coefficients(model, "coefs", 16)
 
 
 def component_shares(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.principal_components(table(spark, d, "embeddings"), "embedding", 8).select("component", F.round("share", 6).alias("share"))
+    return vectors.principal_components(table(spark, d, "embeddings"), "embedding", 8).select(
+        "component",
+        F.round("share", 6).alias("share"),
+    )
 
 
 def reduced_regions(spark: SparkSession, d: str) -> DataFrame:
     out = vectors.truncated_svd(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 4)
-    return out.select("label", F.size("reduced").alias("n"), F.round(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"))
+    return out.select(
+        "label",
+        F.size("reduced").alias("n"),
+        F.round(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"),
+    )
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +309,14 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 
 def elastic_net(spark: SparkSession, d: str) -> DataFrame:
     out = models.elastic_net(_training(spark, d), FEATURES, TARGETS, fold="fold")
-    return out.select("target", "alpha", "cv_mse", F.array_join(F.transform("coefs", lambda c: F.round(c, 6).cast("string")), ";").alias("coefs"), "intercept", "n")
+    return out.select(
+        "target",
+        "alpha",
+        "cv_mse",
+        F.array_join(F.transform("coefs", lambda c: F.round(c, 6).cast("string")), ";").alias("coefs"),
+        "intercept",
+        "n",
+    )
 
 
 def elastic_net_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -196,8 +326,19 @@ def elastic_net_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _training(spark, d)
     fitted = models.elastic_net(rows.filter("load_no <> 8"), FEATURES, TARGETS, fold="fold")
     rows = rows.withColumn("row_no", F.xxhash64(*rows.columns))
-    scored = models.model_predictions(rows, fitted, FEATURES, ["row_no", "load_no"], fit_on=F.col("load_no") != 8).filter("load_no = 8").dropDuplicates()
-    truth = rows.filter("load_no = 8").select("row_no", *TARGETS).dropDuplicates().unpivot(["row_no"], TARGETS, "target", "observed")
+    scored = models.model_predictions(
+        rows,
+        fitted,
+        FEATURES,
+        ["row_no", "load_no"],
+        fit_on=F.col("load_no") != 8,
+    ).filter("load_no = 8").dropDuplicates()
+    truth = rows.filter("load_no = 8").select("row_no", *TARGETS).dropDuplicates().unpivot(
+        ["row_no"],
+        TARGETS,
+        "target",
+        "observed",
+    )
     return prediction_metrics(scored.join(truth, ["row_no", "target"]), ["target"], "observed", "prediction")
 
 
@@ -207,21 +348,34 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     columns = ["fid", "iid", "long", "lat", "bio1", "bio12"]
     tables.write_table(table(spark, d, COORDS).select(*columns), path, "csv", force=True)
     back = tables.read_environment(spark, path)
-    return back.groupBy((F.col("iid") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(present("bio12")), 2).alias("rain"), F.count(present("bio1")).alias("n_bio1"))
+    return back.groupBy((F.col("iid") % 10).alias("digit")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(present("bio12")), 2).alias("rain"),
+        F.count(present("bio1")).alias("n_bio1"),
+    )
 
 
 def phenotype_files(spark: SparkSession, d: str) -> DataFrame:
     """Phenotype files rewritten with each accession's value, read back."""
     path = f"{Scratch(spark, 'fam').root}/fam"
     rows = table(spark, d, COORDS).filter("iid is not null").select("iid").dropDuplicates()
-    fam = rows.select(*[F.col("iid").cast("string").alias(c) for c in ("fid", "iid")], *[F.lit("0").alias(c) for c in ("father", "mother", "sex", "phenotype")])
-    values = clean.complete_rows(table(spark, d, COORDS), ["bio1"]).select("iid", "bio1").groupBy("iid").agg(F.max("bio1").alias("value"))
+    fam = rows.select(
+        *[F.col("iid").cast("string").alias(c) for c in ("fid", "iid")],
+        *[F.lit("0").alias(c) for c in ("father", "mother", "sex", "phenotype")],
+    )
+    values = clean.complete_rows(
+        table(spark, d, COORDS),
+        ["bio1"],
+    ).select("iid", "bio1").groupBy("iid").agg(F.max("bio1").alias("value"))
     tables.phenotype_lines(fam, values).write.mode("overwrite").text(path)
     return text.read_fam(spark, path).select("iid", "phenotype")
 
 
 def site_names(spark: SparkSession, d: str) -> DataFrame:
-    bim = table(spark, d, "gradient_peaks_summary").select(F.col("chromosome").alias("chrom"), F.col("abs_max_pos").alias("pos")).dropna().dropDuplicates()
+    bim = table(spark, d, "gradient_peaks_summary").select(
+        F.col("chromosome").alias("chrom"),
+        F.col("abs_max_pos").alias("pos"),
+    ).dropna().dropDuplicates()
     return tables.rename_sites(bim).select("chrom", "pos", "id")
 
 

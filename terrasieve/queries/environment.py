@@ -61,7 +61,12 @@ def ids_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def places_in_box(spark: SparkSession, d: str) -> DataFrame:
-    return clean.in_box(table(spark, d, COORDS), "long", "lat", (-10.0, 30.0, 35.0, 60.0)).select("iid", "long", "lat").dropDuplicates()
+    return clean.in_box(
+        table(spark, d, COORDS),
+        "long",
+        "lat",
+        (-10.0, 30.0, 35.0, 60.0),
+    ).select("iid", "long", "lat").dropDuplicates()
 
 
 def places_by_source(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +85,11 @@ def split_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def label_lookup(spark: SparkSession, d: str) -> DataFrame:
     """A dimension looked up by key, unmatched rows kept."""
-    return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
+    return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(
+        table(spark, d, "region"),
+        F.col("n_regionkey") == F.col("r_regionkey"),
+        "left",
+    ).select("c_custkey", "n_name", "r_name")
 
 
 def ratio_and_denormalise(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +97,11 @@ def ratio_and_denormalise(spark: SparkSession, d: str) -> DataFrame:
     raw = clean.complete_rows(table(spark, d, COORDS), ["bio2", "bio7"]).select("iid", "bio2", "bio7").dropDuplicates()
     mean_sd = raw.agg(F.avg("bio2").alias("m"), F.stddev_samp("bio2").alias("s"))
     z = table(spark, d, NORMALIZED).select("iid", present("bio2").alias("z")).dropna().dropDuplicates()
-    return raw.join(z, "iid").join(F.broadcast(mean_sd)).select("iid", F.round(F.try_divide("bio2", "bio7"), 6).alias("ratio"), F.round(F.col("z") * F.col("s") + F.col("m"), 6).alias("denormalised"))
+    return raw.join(z, "iid").join(F.broadcast(mean_sd)).select(
+        "iid",
+        F.round(F.try_divide("bio2", "bio7"), 6).alias("ratio"),
+        F.round(F.col("z") * F.col("s") + F.col("m"), 6).alias("denormalised"),
+    )
 
 
 def names_parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -105,14 +118,23 @@ def row_means(spark: SparkSession, d: str) -> DataFrame:
 
 def _scaled(method: str):  # noqa: ANN202
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return stats.scale(table(spark, d, COMBINED), ["bio1", "bio3", "bio_11_6"], method).select("iid", "load_no", *[_r(c) for c in ("bio1", "bio3", "bio_11_6")])
+        return stats.scale(table(spark, d, COMBINED), ["bio1", "bio3", "bio_11_6"], method).select(
+            "iid",
+            "load_no",
+            *[_r(c) for c in ("bio1", "bio3", "bio_11_6")],
+        )
 
     query.__doc__ = f"Columns scaled by {method}, one of them constant."
     return query
 
 
 def scale_train_apply(spark: SparkSession, d: str) -> DataFrame:
-    return stats.scale(table(spark, d, COMBINED), ["bio1", "bio5"], "zscore0", fit_on=F.col("load_no") == 1).select("iid", "load_no", _r("bio1"), _r("bio5"))
+    return stats.scale(
+        table(spark, d, COMBINED),
+        ["bio1", "bio5"],
+        "zscore0",
+        fit_on=F.col("load_no") == 1,
+    ).select("iid", "load_no", _r("bio1"), _r("bio5"))
 
 
 def combine_correlated(spark: SparkSession, d: str) -> DataFrame:
@@ -138,13 +160,19 @@ def corr_components(spark: SparkSession, d: str) -> DataFrame:
 
 def corr_representatives(spark: SparkSession, d: str) -> DataFrame:
     found, edges = _variable_components(spark, d)
-    return graph.representatives(found, edges.select("a", "b", (1 - F.abs("r")).alias("q"))).select("component", "node", _r("distance"), "size")
+    return graph.representatives(
+        found,
+        edges.select("a", "b", (1 - F.abs("r")).alias("q")),
+    ).select("component", "node", _r("distance"), "size")
 
 
 def partitions_compared(spark: SparkSession, d: str) -> DataFrame:
     """Accessions grouped by raw fid in the two environment tables, as sets of sets."""
     pick = lambda t: table(spark, d, t).filter("fid >= 1500000 and iid is not null").select("fid", "iid")
-    return graph.compare_partitions(pick(COORDS), pick(NORMALIZED), "fid", "iid").groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("members").alias("first_set"))
+    return graph.compare_partitions(pick(COORDS), pick(NORMALIZED), "fid", "iid").groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("members").alias("first_set"),
+    )
 
 
 def average_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -185,16 +213,28 @@ def explained_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def median_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return stats.closest_to_median(table(spark, d, "customer"), "c_custkey", "c_acctbal").select("c_custkey", "c_acctbal", _r("distance"))
+    return stats.closest_to_median(
+        table(spark, d, "customer"),
+        "c_custkey",
+        "c_acctbal",
+    ).select("c_custkey", "c_acctbal", _r("distance"))
 
 
 def extreme_climates(spark: SparkSession, d: str) -> DataFrame:
-    return rank.extremes(clean.complete_rows(table(spark, d, NORMALIZED), ["bio1"]).select("iid", "bio1").dropDuplicates(), "iid", "bio1", 10)
+    return rank.extremes(
+        clean.complete_rows(table(spark, d, NORMALIZED), ["bio1"]).select("iid", "bio1").dropDuplicates(),
+        "iid",
+        "bio1",
+        10,
+    )
 
 
 def consensus_extremes(spark: SparkSession, d: str) -> DataFrame:
     """Mean rank over three variables; the ten lowest and highest accessions."""
-    rows = clean.complete_rows(table(spark, d, NORMALIZED), ["bio1", "bio5", "bio_11_6"]).select("iid", "bio1", "bio5", "bio_11_6").dropDuplicates()
+    rows = clean.complete_rows(
+        table(spark, d, NORMALIZED),
+        ["bio1", "bio5", "bio_11_6"],
+    ).select("iid", "bio1", "bio5", "bio_11_6").dropDuplicates()
     for c in ("bio1", "bio5", "bio_11_6"):
         rows = stats.average_rank(rows, c, name=f"r_{c}")
     mean = rows.select("iid", clean.row_mean([F.col(f"r_{c}") for c in ("bio1", "bio5", "bio_11_6")]).alias("mean_rank"))
@@ -204,19 +244,37 @@ def consensus_extremes(spark: SparkSession, d: str) -> DataFrame:
 def _model_scores(spark: SparkSession, d: str) -> DataFrame:
     """A score per variable (as model) and block of sites, from the peaks."""
     rows = table(spark, d, "gradient_peaks_summary").withColumn("block", F.pmod("snp_index", F.lit(40)))
-    return rows.groupBy("block", "variable").agg((F.sum(F.round(present("zscore") * 1000).cast("long")) / F.count(present("zscore"))).alias("score"))
+    return rows.groupBy("block", "variable").agg(
+        (F.sum(F.round(present("zscore") * 1000).cast("long")) / F.count(present("zscore"))).alias("score")
+    )
 
 
 def win_tie_loss(spark: SparkSession, d: str) -> DataFrame:
-    return stats.win_tie_loss(_model_scores(spark, d), "block", "variable", "score").select("a", "b", "wins", "ties", "losses", _r("mean_diff", 9))
+    return stats.win_tie_loss(_model_scores(spark, d), "block", "variable", "score").select(
+        "a",
+        "b",
+        "wins",
+        "ties",
+        "losses",
+        _r("mean_diff", 9),
+    )
 
 
 def friedman_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return stats.friedman(_model_scores(spark, d), "block", "variable", "score").select("variable", "n_blocks", _r("mean_rank"), _r("chi2"))
+    return stats.friedman(
+        _model_scores(spark, d),
+        "block",
+        "variable",
+        "score",
+    ).select("variable", "n_blocks", _r("mean_rank"), _r("chi2"))
 
 
 def wilcoxon_by_source(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, COORDS).filter("source is not null").select("source", F.round(present("bio10"), 2).alias("x"), F.round(present("bio5") - 7.5, 2).alias("y"))
+    rows = table(spark, d, COORDS).filter("source is not null").select(
+        "source",
+        F.round(present("bio10"), 2).alias("x"),
+        F.round(present("bio5") - 7.5, 2).alias("y"),
+    )
     rows = rows.withColumns({"x": F.round(F.col("x") - F.col("y"), 2), "y": F.lit(0.0)})
     return stats.wilcoxon(rows, ["source"], "x", "y").select("source", "n", "w_plus", "w_minus", _r("z"))
 
@@ -229,7 +287,12 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
 def id_sets(spark: SparkSession, d: str) -> DataFrame:
     """Union, intersection and differences of the accessions of two tables, counted."""
     a, b = (table(spark, d, t).select("iid").dropna().dropDuplicates() for t in (COORDS, NORMALIZED))
-    parts = {"union": a.union(b).dropDuplicates(), "both": a.intersect(b), "only_raw": a.exceptAll(b), "only_normalized": b.exceptAll(a)}
+    parts = {
+        "union": a.union(b).dropDuplicates(),
+        "both": a.intersect(b),
+        "only_raw": a.exceptAll(b),
+        "only_normalized": b.exceptAll(a),
+    }
     out = None
     for name, rows in parts.items():
         n = rows.agg(F.count(F.lit(1)).alias("n"), F.min("iid").alias("first_iid")).withColumn("part", F.lit(name))
@@ -241,7 +304,11 @@ def loads_appended(spark: SparkSession, d: str) -> DataFrame:
     """Two tables of different columns appended with a tag."""
     a, b = (table(spark, d, t).withColumn("src", F.lit(t)) for t in (FIXED, COMBINED))
     both = a.unionByName(b, allowMissingColumns=True)
-    return both.groupBy("src", "load_no").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bio_11_6").isNotNull(), 1)).alias("n_combined"), F.count(F.when(F.col("bio6").isNotNull(), 1)).alias("n_raw"))
+    return both.groupBy("src", "load_no").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("bio_11_6").isNotNull(), 1)).alias("n_combined"),
+        F.count(F.when(F.col("bio6").isNotNull(), 1)).alias("n_raw"),
+    )
 
 
 def pivoted_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -256,12 +323,21 @@ def source_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def global_range(spark: SparkSession, d: str) -> DataFrame:
     v = present("bio12")
-    return table(spark, d, FIXED).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count_distinct(v).alias("n_distinct"), F.count(v).alias("n"))
+    return table(spark, d, FIXED).agg(
+        F.min(v).alias("low"),
+        F.max(v).alias("high"),
+        F.count_distinct(v).alias("n_distinct"),
+        F.count(v).alias("n"),
+    )
 
 
 def repeated_rows(spark: SparkSession, d: str) -> DataFrame:
     """A variant's row once for each of its positions."""
-    rows = table(spark, d, "variant_overlap_summary").filter("size is not null").select("variant_id", "snp_index", F.explode(F.array_repeat(F.lit(1), F.col("size"))).alias("one"))
+    rows = table(spark, d, "variant_overlap_summary").filter("size is not null").select(
+        "variant_id",
+        "snp_index",
+        F.explode(F.array_repeat(F.lit(1), F.col("size"))).alias("one"),
+    )
     return rows.groupBy("snp_index").agg(F.sum("one").alias("n"))
 
 
@@ -309,7 +385,10 @@ def consensus_areas(spark: SparkSession, d: str) -> DataFrame:
 def nearest_cells(spark: SparkSession, d: str) -> DataFrame:
     """A half-degree grid of mean bio1; cells whose records all lack it take the nearest valid cell's."""
     rows = clean.with_place(table(spark, d, COORDS)).filter("abs(long) <= 180 and abs(lat) <= 90")
-    cells = rows.groupBy(F.floor(F.col("lat") * 2).alias("r"), F.floor(F.col("long") * 2).alias("c")).agg(F.min(F.when(F.pmod("iid", F.lit(7)) != 0, present("bio1"))).alias("v"))
+    cells = rows.groupBy(
+        F.floor(F.col("lat") * 2).alias("r"),
+        F.floor(F.col("long") * 2).alias("c"),
+    ).agg(F.min(F.when(F.pmod("iid", F.lit(7)) != 0, present("bio1"))).alias("v"))
     out = raster.nearest_valid(cells, "r", "c", "v", 6)
     return out.select("r", "c", "v", F.round("distance", 6).alias("distance"))
 
@@ -350,10 +429,19 @@ def aligned_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def family_shares(spark: SparkSession, d: str) -> DataFrame:
     """Documents by family of sources (the name before the first dash or dot) and by source within it."""
-    docs = table(spark, d, "documents").filter("source is not null").withColumn("family", F.regexp_extract("source", r"^([^.-]+)", 1))
+    docs = table(spark, d, "documents").filter("source is not null").withColumn(
+        "family",
+        F.regexp_extract("source", r"^([^.-]+)", 1),
+    )
     by_source = docs.groupBy("family", "source").agg(F.count(F.lit(1)).alias("n"))
     total = by_source.groupBy("family").agg(F.sum("n").alias("n_family"))
-    return by_source.join(total, "family").select("family", "source", "n", "n_family", F.round(F.col("n") / F.col("n_family"), 6).alias("share"))
+    return by_source.join(total, "family").select(
+        "family",
+        "source",
+        "n",
+        "n_family",
+        F.round(F.col("n") / F.col("n_family"), 6).alias("share"),
+    )
 
 
 QUERIES = {
@@ -409,7 +497,9 @@ select a.variable a, b.variable b, round((a.r - b.r) / a.n, 6) rank_difference,
     "aligned_ids": f"""select iid, row_number() over (order by iid) - 1 "position" from (select iid from {COORDS} where iid is not null intersect select iid from {NORMALIZED} intersect select iid from {COMBINED})""",
     "family_shares": """with f as (select regexp_extract(source, '^([^.-]+)', 1) family, source, count(*) n from documents where source is not null group by 1, 2) select *, cast(sum(n) over (partition by family) as bigint) n_family, round(n / (sum(n) over (partition by family)), 6) share from f""",
     "clean_complete": f"select iid, load_no, bio1, bio12, bio19 from {FIXED} where {' and '.join(ok(c) for c in BIO)}",
-    "missing_by_column": " union all ".join(f"select '{c}' \"name\", count(*) - count({val(c)}) n_missing from {FIXED}" for c in ["long", "lat", *BIO]),
+    "missing_by_column": " union all ".join(
+        f"select '{c}' \"name\", count(*) - count({val(c)}) n_missing from {FIXED}" for c in ["long", "lat", *BIO]
+    ),
     "merge_inner": f"select a.iid, a.bio1, b.bio1 bio1_right, a.bio2, b.bio2 bio2_right from {COORDS} a join {NORMALIZED} b on a.fid = b.fid and a.iid = b.iid and a.long = b.long and a.lat = b.lat",
     "merge_fallback": f"""with l as (select * from {FIXED} where load_no = 1), i as (select r.source from l join {COORDS} r on l.fid = r.fid and l.iid = r.iid and l.long = r.long and l.lat = r.lat),
 o as (select r.source from l left join {COORDS} r on l.fid = r.fid and l.iid = r.iid and l.long = r.long and l.lat = r.lat)
@@ -423,7 +513,9 @@ select source, count(*) n from (select source from i where (select count(*) from
     "label_lookup": "select c_custkey, n_name, r_name from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey",
     "ratio_and_denormalise": f"""with r as (select distinct iid, bio2, bio7 from {COORDS} where {ok('bio2')} and {ok('bio7')}), m as (select avg(bio2) m, stddev_samp(bio2) s from r),
 z as (select distinct iid, bio2 z from {NORMALIZED} where {ok('bio2')}) select r.iid, round(bio2 / nullif(bio7, 0), 6) ratio, round(z * s + m, 6) denormalised from r join z using (iid), m""",
-    "names_parsed": " union all ".join(f"select load_no, '{i}' \"number\", round(avg({val(f'bio{i}')}), 6) mean, count({val(f'bio{i}')}) n from {FIXED} group by load_no" for i in range(1, 20)),
+    "names_parsed": " union all ".join(
+        f"select load_no, '{i}' \"number\", round(avg({val(f'bio{i}')}), 6) mean, count({val(f'bio{i}')}) n from {FIXED} group by load_no" for i in range(1, 20)
+    ),
     "row_means": f"select iid, load_no, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a is not null)::int + (b is not null)::int + (c is not null)::int, 0), 6) mean from (select iid, load_no, {val('bio8')} a, {val('bio9')} b, {val('bio10')} c from {FIXED})",
     **{f"scale_{m}": _scale_sql(m) for m in _SCALE},
     "scale_train_apply": f"with v as (select iid, load_no, {val('bio1')} bio1, {val('bio5')} bio5 from {COMBINED}), a as (select avg(bio1) m1, stddev_pop(bio1) s1, avg(bio5) m5, stddev_pop(bio5) s5 from v where load_no = 1) select iid, load_no, round((bio1 - m1) / s1, 6) + 0.0 bio1, round((bio5 - m5) / s5, 6) + 0.0 bio5 from v, a",
@@ -465,7 +557,9 @@ select source, n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n *
 select 'union' part, count(*) n, min(iid) first_iid from (select * from a union select * from b) union all select 'both', count(*), min(iid) from (select * from a intersect select * from b)
 union all select 'only_raw', count(*), min(iid) from (select * from a except select * from b) union all select 'only_normalized', count(*), min(iid) from (select * from b except select * from a)""",
     "loads_appended": f"select '{FIXED}' src, load_no, count(*) n, cast(0 as bigint) n_combined, count(bio6) n_raw from {FIXED} group by 2 union all select '{COMBINED}', load_no, count(*), count(bio_11_6), cast(0 as bigint) from {COMBINED} group by 2",
-    "pivoted_languages": "select variable, " + ", ".join(f"count(case when lower(lang) = '{c}' then 1 end) n_{c}" for c in ("en", "de", "es", "fr")) + " from documents group by 1",
+    "pivoted_languages": "select variable, " + ", ".join(
+        f"count(case when lower(lang) = '{c}' then 1 end) n_{c}" for c in ("en", "de", "es", "fr")
+    ) + " from documents group by 1",
     "source_counts": f"select source, count(*) n from {COORDS} group by 1",
     "global_range": f"select min(x) low, max(x) high, count(distinct x) n_distinct, count(x) n from (select {val('bio12')} x from {FIXED})",
     "repeated_rows": "select snp_index, cast(sum(size) as bigint) n from variant_overlap_summary where size > 0 group by 1",

@@ -22,12 +22,29 @@ RECORD = r">([^|\n]+)\|chr(\d+)\|(\d+)\n([ACGTN]+)"
 def sequences(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, record_no, accession, chromosome, start, seq): every sequence record of every document."""
     part = lambda i: F.regexp_extract_all("text", F.lit(RECORD), F.lit(i))
-    rows = table(spark, d, "documents").filter(F.col("text").contains(">")).select("doc_id", F.posexplode(F.arrays_zip(*[part(i + 1).alias(n) for i, n in enumerate(("a", "c", "s", "q"))])).alias("record_no", "r"))
-    return rows.select("doc_id", "record_no", F.col("r.a").alias("accession"), F.col("r.c").cast("int").alias("chromosome"), F.col("r.s").cast("long").alias("start"), F.col("r.q").alias("seq"))
+    rows = table(spark, d, "documents").filter(F.col("text").contains(">")).select(
+        "doc_id",
+        F.posexplode(F.arrays_zip(*[part(i + 1).alias(n) for i, n in enumerate(("a", "c", "s", "q"))])).alias("record_no", "r"),
+    )
+    return rows.select(
+        "doc_id",
+        "record_no",
+        F.col("r.a").alias("accession"),
+        F.col("r.c").cast("int").alias("chromosome"),
+        F.col("r.s").cast("long").alias("start"),
+        F.col("r.q").alias("seq"),
+    )
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "lineitem").select(F.col("l_partkey").alias("site"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", F.pmod(F.col("l_quantity").cast("int"), F.lit(4)).alias("call"))
+    calls = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("site"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
+        "l_extendedprice",
+        F.pmod(F.col("l_quantity").cast("int"), F.lit(4)).alias("call"),
+    )
     order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("sample")
     return clean.genotype_arrays(calls.select("site", order, "call"), ["site"], "sample", "call")
 
@@ -41,7 +58,11 @@ def genotype_mode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genotype_quality(spark: SparkSession, d: str) -> DataFrame:
-    return clean.genotype_qc(_sites(spark, d), max_missing=0.25, min_freq=0.45).select("site", F.round("missing", 6).alias("missing"), F.round("freq", 6).alias("freq"))
+    return clean.genotype_qc(_sites(spark, d), max_missing=0.25, min_freq=0.45).select(
+        "site",
+        F.round("missing", 6).alias("missing"),
+        F.round("freq", 6).alias("freq"),
+    )
 
 
 def allele_folded(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +76,18 @@ def fasta_records(spark: SparkSession, d: str) -> DataFrame:
 
 def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Records written wrapped at 80 columns and read back."""
-    rows = sequences(spark, d).select(F.format_string("%s|%d|%d|x|Chr%d:%d..%d|v", "accession", "doc_id", "record_no", "chromosome", "start", F.col("start") + F.length("seq")).alias("header"), "seq")
+    rows = sequences(spark, d).select(
+        F.format_string(
+            "%s|%d|%d|x|Chr%d:%d..%d|v",
+            "accession",
+            "doc_id",
+            "record_no",
+            "chromosome",
+            "start",
+            F.col("start") + F.length("seq"),
+        ).alias("header"),
+        "seq",
+    )
     path = f"{Scratch(spark, 'fasta').root}/records"
     text.write_fasta(rows, path)
     back = text.region_headers(text.read_fasta(spark, path))
@@ -69,13 +101,27 @@ def id_list_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
-    return sequences(spark, d).select("doc_id", "record_no", sequence.reverse_complement(F.col("seq")).alias("rc"), sequence.ungap(F.replace("seq", F.lit("N"), F.lit("-"))).alias("ungapped"))
+    return sequences(spark, d).select(
+        "doc_id",
+        "record_no",
+        sequence.reverse_complement(F.col("seq")).alias("rc"),
+        sequence.ungap(F.replace("seq", F.lit("N"), F.lit("-"))).alias("ungapped"),
+    )
 
 
 def substitutions(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("seq")
-    two = F.array(F.struct(F.lit(0).alias("position"), F.lit("G").alias("base")), F.struct(F.lit(5).alias("position"), F.lit("T").alias("base")))
-    return sequences(spark, d).select("doc_id", "record_no", sequence.substitute(s, F.lit(3), F.lit("A")).alias("one"), sequence.substitute_all(s, two).alias("two"), sequence.context(s, F.lit(10), 4).alias("around"))
+    two = F.array(
+        F.struct(F.lit(0).alias("position"), F.lit("G").alias("base")),
+        F.struct(F.lit(5).alias("position"), F.lit("T").alias("base")),
+    )
+    return sequences(spark, d).select(
+        "doc_id",
+        "record_no",
+        sequence.substitute(s, F.lit(3), F.lit("A")).alias("one"),
+        sequence.substitute_all(s, two).alias("two"),
+        sequence.context(s, F.lit(10), 4).alias("around"),
+    )
 
 
 def alternative_bases(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +137,13 @@ def point_mutants(spark: SparkSession, d: str) -> DataFrame:
 def double_mutants(spark: SparkSession, d: str) -> DataFrame:
     rows = sequences(spark, d).filter("chromosome = 1").withColumn("ps", F.array(F.lit(1), F.lit(4), F.lit(9)))
     out = sequence.multi_mutants(rows, ["doc_id", "record_no"], "seq", "ps", 2)
-    return out.select("doc_id", "record_no", F.array_join(F.transform("positions", lambda p: p.cast("string")), ";").alias("positions"), F.array_join("alts", "").alias("alts"), "mutant")
+    return out.select(
+        "doc_id",
+        "record_no",
+        F.array_join(F.transform("positions", lambda p: p.cast("string")), ";").alias("positions"),
+        F.array_join("alts", "").alias("alts"),
+        "mutant",
+    )
 
 
 def token_checksum(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +155,10 @@ def token_checksum(spark: SparkSession, d: str) -> DataFrame:
 def variant_places(spark: SparkSession, d: str) -> DataFrame:
     """Where a sequence and itself with two bases replaced differ."""
     s = sequences(spark, d).filter(F.length("seq") >= 60)
-    a, b = sequence.token_ids(F.col("seq"), 60), sequence.token_ids(sequence.substitute(sequence.substitute(F.col("seq"), F.lit(12), F.lit("A")), F.lit(40), F.lit("C")), 60)
+    a, b = sequence.token_ids(F.col("seq"), 60), sequence.token_ids(
+        sequence.substitute(sequence.substitute(F.col("seq"), F.lit(12), F.lit("A")), F.lit(40), F.lit("C")),
+        60,
+    )
     return s.select("doc_id", "record_no", sequence.variant_index(a, b).alias("at"))
 
 
@@ -143,11 +198,17 @@ def motif_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def motif_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Matrices written to a motif file and read back, to its four decimals."""
-    pwm = sequence.normalised_pwm(sequence.position_counts(sequences(spark, d), ["chromosome"], "seq"), ["chromosome"]).withColumn("motif", F.concat(F.lit("chr"), F.col("chromosome").cast("string")))
+    pwm = sequence.normalised_pwm(
+        sequence.position_counts(sequences(spark, d), ["chromosome"], "seq"),
+        ["chromosome"],
+    ).withColumn("motif", F.concat(F.lit("chr"), F.col("chromosome").cast("string")))
     path = f"{Scratch(spark, 'motifs').root}/motifs"
     text.write_motifs(pwm, path)
     back = text.read_motifs(spark, path)
-    return back.groupBy("motif").agg(F.count(F.lit(1)).alias("length"), F.round(F.avg(F.col("p_a") + F.col("p_c") + F.col("p_g") + F.col("p_t")), 3).alias("mean_sum"))
+    return back.groupBy("motif").agg(
+        F.count(F.lit(1)).alias("length"),
+        F.round(F.avg(F.col("p_a") + F.col("p_c") + F.col("p_g") + F.col("p_t")), 3).alias("mean_sum"),
+    )
 
 
 def alignment_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -174,9 +235,16 @@ def regions_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sites_parsed(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.pmod("peak_index", F.lit(3)) == 0, F.lit("bad")).otherwise(F.concat_ws("_", F.col("chromosome").cast("string"), F.col("abs_max_pos").cast("string")))
-    rows = table(spark, d, PEAKS).filter("abs_max_pos is not null and chromosome is not null and peak_index is not null").select(name.alias("name")).dropDuplicates()
-    return rows.select("name", *[F.coalesce(c, F.lit(-1)).alias(f"site_{n}") for n, c in intervals.parse_site(F.col("name"), 1000).items()])
+    name = F.when(F.pmod("peak_index", F.lit(3)) == 0, F.lit("bad")).otherwise(
+        F.concat_ws("_", F.col("chromosome").cast("string"), F.col("abs_max_pos").cast("string"))
+    )
+    rows = table(spark, d, PEAKS).filter(
+        "abs_max_pos is not null and chromosome is not null and peak_index is not null"
+    ).select(name.alias("name")).dropDuplicates()
+    return rows.select(
+        "name",
+        *[F.coalesce(c, F.lit(-1)).alias(f"site_{n}") for n, c in intervals.parse_site(F.col("name"), 1000).items()],
+    )
 
 
 def spaced_sites(spark: SparkSession, d: str) -> DataFrame:
@@ -199,12 +267,21 @@ def exact_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def shifted_windows(spark: SparkSession, d: str) -> DataFrame:
     first, last = peaks.shifted_window(F.col("max_grad_pos"), F.col("sequence_length"), 11)
-    return table(spark, d, PEAKS).select("max_grad_pos", "sequence_length").dropna().dropDuplicates().select("*", first.alias("first"), last.alias("last"))
+    return table(spark, d, PEAKS).select("max_grad_pos", "sequence_length").dropna().dropDuplicates().select(
+        "*",
+        first.alias("first"),
+        last.alias("last"),
+    )
 
 
 def window_slices(spark: SparkSession, d: str) -> DataFrame:
     s = sequences(spark, d)
-    return s.select("doc_id", "record_no", peaks.clipped_slice(F.col("seq"), F.lit(2), 5).alias("head"), peaks.clipped_slice(F.col("seq"), F.length("seq") - 2, 5).alias("tail"))
+    return s.select(
+        "doc_id",
+        "record_no",
+        peaks.clipped_slice(F.col("seq"), F.lit(2), 5).alias("head"),
+        peaks.clipped_slice(F.col("seq"), F.length("seq") - 2, 5).alias("tail"),
+    )
 
 
 def map_tiles(spark: SparkSession, d: str) -> DataFrame:
@@ -217,18 +294,40 @@ def series_zscores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_peaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 60).alias("minute"), "value").groupBy("user_id", "minute").agg(F.max("value").alias("value"))
-    return peaks.greedy_peaks(rows, ["user_id"], "minute", "value", window=2000).select("user_id", "peak_index", "minute", F.round("zscore", 6).alias("zscore"))
+    rows = table(spark, d, "events").select(
+        "user_id",
+        F.floor(F.unix_timestamp("ts") / 60).alias("minute"),
+        "value",
+    ).groupBy("user_id", "minute").agg(F.max("value").alias("value"))
+    return peaks.greedy_peaks(rows, ["user_id"], "minute", "value", window=2000).select(
+        "user_id",
+        "peak_index",
+        "minute",
+        F.round("zscore", 6).alias("zscore"),
+    )
 
 
 def top_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "weights_explanation").dropDuplicates()
-    return rank.top_weights(rows, ["variable"], "weight", ["snp_index", "embedding_dim"], 20).select("variable", "snp_index", "embedding_dim", "weight", "rank")
+    return rank.top_weights(
+        rows,
+        ["variable"],
+        "weight",
+        ["snp_index", "embedding_dim"],
+        20,
+    ).select("variable", "snp_index", "embedding_dim", "weight", "rank")
 
 
 def negative_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "weights_explanation").dropDuplicates()
-    return rank.top_weights(rows, ["variable"], "weight", ["snp_index", "embedding_dim"], 5, "neg").select("variable", "snp_index", "embedding_dim", "weight", "rank")
+    return rank.top_weights(
+        rows,
+        ["variable"],
+        "weight",
+        ["snp_index", "embedding_dim"],
+        5,
+        "neg",
+    ).select("variable", "snp_index", "embedding_dim", "weight", "rank")
 
 
 def weight_mass(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +339,12 @@ def peaks_of_weights(spark: SparkSession, d: str) -> DataFrame:
     """The best peak of each variable's heaviest weights."""
     keys = ["variable", "snp_index", "embedding_dim"]
     best = top_weights(spark, d)
-    found = table(spark, d, PEAKS).withColumn("zscore", present("zscore")).select(*keys, "peak_index", "zscore", "abs_max_pos").dropDuplicates()
+    found = table(spark, d, PEAKS).withColumn("zscore", present("zscore")).select(
+        *keys,
+        "peak_index",
+        "zscore",
+        "abs_max_pos",
+    ).dropDuplicates()
     return rank.pick_peaks(best, found, keys).select(*keys, "rank", "peak_index", "zscore", "abs_max_pos")
 
 
@@ -261,7 +365,9 @@ x as (select doc_id, cast(record_no as integer) record_no, accession, chromosome
 _L = """l as (select chromosome, doc_id, record_no, cast(generate_subscripts(string_split(seq, ''), 1) - 1 as integer) "position", unnest(string_split(seq, '')) base from x)"""
 _CALLS = """g as (select l_partkey site, cast(l_quantity as integer) % 4 c from lineitem), n as (select site, count(*) n, count(case when c = 3 then 1 end) m, count(case when c = 0 then 1 end) a, count(case when c = 1 then 1 end) b, count(case when c = 2 then 1 end) d from g group by 1),
 k as (select *, case when a >= b and a >= d and a > 0 then 0 when b >= d and b > 0 then 1 when d > 0 then 2 end mode from n), f as (select *, (b + 2 * d + m * mode) / (2.0 * n) p from k)"""
-_COUNTS = ", ".join(f"count(case when base = '{b.upper()}' then 1 end) n_{b}" for b in "acgt") + ", count(case when base not in ('A', 'C', 'G', 'T') then 1 end) n_n"
+_COUNTS = ", ".join(
+    f"count(case when base = '{b.upper()}' then 1 end) n_{b}" for b in "acgt"
+) + ", count(case when base not in ('A', 'C', 'G', 'T') then 1 end) n_n"
 _PFM = f"""p as (select chromosome, "position", {_COUNTS} from l where base <> '-' group by 1, 2)"""
 _SHARES = "w as (select *, nullif(n_a + n_c + n_g + n_t, 0) t from p), m as (select chromosome, \"position\", coalesce(n_a / t, 0.25) a, coalesce(n_c / t, 0.25) c, coalesce(n_g / t, 0.25) g, coalesce(n_t / t, 0.25) tt from w)"
 _W = "w as (select distinct * from weights_explanation), v as (select * from w where weight is not null and not isnan(weight))"

@@ -27,13 +27,24 @@ def p3_value_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, d: str, classify: bool) -> list[tuple[str, DataFrame, float]]:
     return [
-        (name, prof.profile(table(spark, d, name), "load_no", columns, valid={c: valid for c in columns}, classify=classify), shift)
+        (
+            name,
+            prof.profile(table(spark, d, name), "load_no", columns, valid={c: valid for c in columns}, classify=classify),
+            shift,
+        )
         for name, (columns, valid, shift) in PROFILED.items()
     ]
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [prof.load_issues(p, max_shift=shift).select(F.lit(name).alias("tbl"), "col", F.col("load_no").cast("int").alias("load_no"), "issue") for name, p, shift in _profiles(spark, d, True)]
+    found = [
+        prof.load_issues(p, max_shift=shift).select(
+            F.lit(name).alias("tbl"),
+            "col",
+            F.col("load_no").cast("int").alias("load_no"),
+            "issue",
+        ) for name, p, shift in _profiles(spark, d, True)
+    ]
     return found[0].unionByName(found[1])
 
 
@@ -50,10 +61,29 @@ def p6_base(spark: SparkSession, d: str) -> DataFrame:
     """The exact aggregates alone, which SQL can check."""
     parts = [_described(name, p) for name, p, _ in _profiles(spark, d, False)]
     out = parts[0].unionByName(parts[1])
-    return out.select("tbl", "col", "load_no", "n_rows", "n_missing", "n_distinct", "min_value", "max_value", "n_violations", F.round("median", 6).alias("median"), F.round("iqr", 6).alias("iqr"), F.round("top_share", 9).alias("top_share"))
-
-
-QUERIES = {"p3_found": p3_found, "p3_value_frequency": p3_value_frequency, "p6_found": p6_found, "p6_profile": p6_profile, "p6_base": p6_base}
+    return out.select(
+        "tbl",
+        "col",
+        "load_no",
+        "n_rows",
+        "n_missing",
+        "n_distinct",
+        "min_value",
+        "max_value",
+        "n_violations",
+        F.round("median", 6).alias("median"),
+        F.round("iqr", 6).alias("iqr"),
+        F.round("top_share", 9).alias("top_share"),
+    )
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_value_frequency": p3_value_frequency,
+    "p6_found": p6_found,
+    "p6_profile": p6_profile,
+    "p6_base": p6_base,
+}
 
 _VALUES = " union all ".join(
     f"select '{t}' tbl, '{c}' col, load_no, case when {c} is null or isnan({c}) or {c} <= -1e30 then null else {c} end x, {lo} lo, {hi} hi, {shift} shift from {t}"

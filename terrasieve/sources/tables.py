@@ -9,7 +9,13 @@ from pyspark.sql import types as T
 from terrasieve.sources.text import FAM_COLUMNS
 
 
-def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, sep: str = ",", comment: str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType | None = None,
+    sep: str = ",",
+    comment: str | None = None,
+) -> DataFrame:
     """A delimited table with header. Give the schema where it is fixed: without one the file is read twice."""
     options = {"header": True, "sep": sep, "nanValue": "NaN"} | ({"comment": comment} if comment else {})
     reader = spark.read.options(**options)
@@ -35,17 +41,32 @@ def read_genotypes(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return wide.select(*fixed, F.array(*calls).alias("gt"))
 
 
-def write_table(df: DataFrame, path: str, form: str = "parquet", force: bool = False, partition_by: tuple[str, ...] = (), **options: object) -> None:
+def write_table(
+    df: DataFrame,
+    path: str,
+    form: str = "parquet",
+    force: bool = False,
+    partition_by: tuple[str, ...] = (),
+    **options: object,
+) -> None:
     """Writes unless the output exists; ``force`` replaces it."""
     writer = df.write.mode("overwrite" if force else "ignore").options(**({"header": True} if form == "csv" else {}) | options)
     (writer.partitionBy(*partition_by) if partition_by else writer).format(form).save(path)
 
 
-def phenotype_lines(fam: DataFrame, values: DataFrame, key: str = "iid", value: str = "value", missing: float = -9.0) -> DataFrame:
+def phenotype_lines(
+    fam: DataFrame,
+    values: DataFrame,
+    key: str = "iid",
+    value: str = "value",
+    missing: float = -9.0,
+) -> DataFrame:
     """``value`` lines of a phenotype file whose last column is replaced by each individual's value, ``missing`` where there is none."""
     v = values.select(F.col(key).cast("string").alias("__k"), F.col(value).alias("__v")).dropDuplicates(["__k"])
     joined = fam.join(v, F.col("iid") == F.col("__k"), "left")
-    return joined.select(F.concat_ws(" ", *[F.col(c) for c in FAM_COLUMNS[:-1]], F.coalesce("__v", F.lit(missing)).cast("string")).alias("value"))
+    return joined.select(
+        F.concat_ws(" ", *[F.col(c) for c in FAM_COLUMNS[:-1]], F.coalesce("__v", F.lit(missing)).cast("string")).alias("value")
+    )
 
 
 def write_phenotypes(fam: DataFrame, long: DataFrame, path: str) -> None:

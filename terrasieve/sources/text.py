@@ -42,7 +42,9 @@ def write_id_list(ids: DataFrame, path: str, key: str = "iid", two_column: bool
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """(id, n) of lines ``id: n``; a colon at the end of the id is dropped."""
-    parts = spark.read.text(path).select(*[F.regexp_extract("value", r"^\s*(.+?):?\s*:\s*(\d{1,18})\s*$", i).alias(c) for i, c in ((1, "id"), (2, "n"))])
+    parts = spark.read.text(path).select(
+        *[F.regexp_extract("value", r"^\s*(.+?):?\s*:\s*(\d{1,18})\s*$", i).alias(c) for i, c in ((1, "id"), (2, "n"))]
+    )
     return parts.filter("n <> ''").select("id", F.col("n").cast("long").alias("n"))
 
 
@@ -74,8 +76,12 @@ def write_fasta(df: DataFrame, path: str, header: str = "header", seq: str = "se
 def region_headers(df: DataFrame, header: str = "header") -> DataFrame:
     """Adds accession (first field), chromosome, start, end of headers ``a|b|c|d|Chr1:s..e|v``; records of other headers go."""
     p = r"^([^|]*)\|.*?Chr(\d+):(\d{1,18})\.\.(\d{1,18})"
-    got = df.withColumns({c: F.regexp_extract(header, p, i + 1) for i, c in enumerate(("accession", "chromosome", "start", "end"))}).filter("end <> ''")
-    return got.withColumns({"chromosome": F.col("chromosome").cast("int"), "start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+    got = df.withColumns(
+        {c: F.regexp_extract(header, p, i + 1) for i, c in enumerate(("accession", "chromosome", "start", "end"))}
+    ).filter("end <> ''")
+    return got.withColumns(
+        {"chromosome": F.col("chromosome").cast("int"), "start": F.col("start").cast("long"), "end": F.col("end").cast("long")}
+    )
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
@@ -85,14 +91,29 @@ def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     number = r"(\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
     lines = F.regexp_extract_all("value", F.lit(rf"(?m)^\s*({number}\s+{number}\s+{number}\s+{number})\s*$"), F.lit(1))
     rows = blocks.select(name.alias("motif"), F.posexplode(lines).alias("position", "line")).filter("motif <> ''")
-    return rows.select("motif", "position", *[F.get(_fields(F.col("line")), F.lit(i)).cast("double").alias(f"p_{b}") for i, b in enumerate("acgt")])
+    return rows.select(
+        "motif",
+        "position",
+        *[F.get(_fields(F.col("line")), F.lit(i)).cast("double").alias(f"p_{b}") for i, b in enumerate("acgt")],
+    )
 
 
 def write_motifs(pwm: DataFrame, path: str) -> None:
     """A motif file of (motif, position, p_a, p_c, p_g, p_t), four decimals; blocks in a directory of parts, the header in each block's part."""
     line = F.format_string("%.4f %.4f %.4f %.4f", "p_a", "p_c", "p_g", "p_t")
-    rows = pwm.select("motif", F.struct("position", line.alias("line")).alias("r")).groupBy("motif").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    text = F.concat(F.lit("MOTIF "), "motif", F.lit("\nletter-probability matrix: alength= 4 w= "), F.size("rs").cast("string"), F.lit("\n"), F.array_join(F.transform("rs", lambda r: r["line"]), "\n"), F.lit("\n"))
+    rows = pwm.select(
+        "motif",
+        F.struct("position", line.alias("line")).alias("r"),
+    ).groupBy("motif").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    text = F.concat(
+        F.lit("MOTIF "),
+        "motif",
+        F.lit("\nletter-probability matrix: alength= 4 w= "),
+        F.size("rs").cast("string"),
+        F.lit("\n"),
+        F.array_join(F.transform("rs", lambda r: r["line"]), "\n"),
+        F.lit("\n"),
+    )
     rows.select(text).write.mode("overwrite").text(path)
 
 

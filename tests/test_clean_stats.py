@@ -53,7 +53,15 @@ def test_identifiers_written_in_several_ways(spark):
 
 def test_genotypes(spark):
     df = spark.createDataFrame([(1, [0, 0, 2, 3]), (2, [3, 3]), (3, [1, 1, 2, 2]), (4, [])], "site int, gt array<int>")
-    rows = {r["site"]: r for r in df.select("site", clean.missing_share(F.col("gt")).alias("m"), clean.mode_call(F.col("gt")).alias("mode"), clean.impute_mode(F.col("gt")).alias("i"), clean.allele_frequency(F.col("gt")).alias("p")).collect()}
+    rows = {
+        r["site"]: r for r in df.select(
+            "site",
+            clean.missing_share(F.col("gt")).alias("m"),
+            clean.mode_call(F.col("gt")).alias("mode"),
+            clean.impute_mode(F.col("gt")).alias("i"),
+            clean.allele_frequency(F.col("gt")).alias("p"),
+        ).collect()
+    }
     assert rows[1]["m"] == 0.25 and rows[1]["i"] == [0, 0, 2, 0]
     assert rows[2]["mode"] is None and rows[2]["i"] == [None, None]
     assert rows[3]["mode"] == 1 and rows[3]["p"] == 0.75
@@ -84,7 +92,10 @@ def test_average_rank_ties_and_nulls(spark):
 
 
 def test_metrics_of_constant_truth(spark):
-    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0), ("b", None, 9.0)], "g string, y double, p double")
+    df = spark.createDataFrame(
+        [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0), ("b", None, 9.0)],
+        "g string, y double, p double",
+    )
     got = {r["g"]: r for r in stats.prediction_metrics(df, ["g"], "y", "p").collect()}
     assert got["a"]["r2"] is None and got["a"]["spearman"] is None and got["a"]["mse"] == 2.5
     assert got["b"]["r2"] == 1.0 and got["b"]["n"] == 2
@@ -113,7 +124,14 @@ def test_friedman_textbook(spark):
     # three judges of four wines; ranks 1..4 with one tie
     scores = {"a": (9, 8, 9), "b": (7, 7, 8), "c": (5, 6, 6), "d": (5, 4, 3)}
     rows = [(i, m, float(v)) for m, vs in scores.items() for i, v in enumerate(vs)] + [(9, "a", 1.0)]
-    got = {r["model"]: r for r in stats.friedman(spark.createDataFrame(rows, "block int, model string, score double"), "block", "model", "score").collect()}
+    got = {
+        r["model"]: r for r in stats.friedman(
+            spark.createDataFrame(rows, "block int, model string, score double"),
+            "block",
+            "model",
+            "score",
+        ).collect()
+    }
     assert got["a"]["mean_rank"] == 1.0 and got["a"]["n_blocks"] == 3
     assert got["a"]["chi2"] == pytest.approx(8.7931, abs=1e-3)
     assert 0.02 < got["a"]["p"] < 0.05

@@ -21,4 +21,11 @@ def test_groups_of_null_are_kept(spark):
     assert {r["g"]: r["n"] for r in stats.score_summary(df, ["g"], "d").collect()} == {None: 5, "k": 2}
     assert {r["g"] for r in rank.weight_mass(df, ["g"], "d").collect()} == {None, "k"}
     assert {r["g"] for r in peaks.series_zscore(df, ["g"], "d").collect()} == {None, "k"}
-    assert {r["g"]: round(r["spearman"], 9) for r in stats.prediction_metrics(df.withColumn("p", df["d"] * 2), ["g"], "d", "p").collect()} == {None: 1.0, "k": 1.0}
+    assert {
+        r["g"]: round(r["spearman"], 9) for r in stats.prediction_metrics(
+            df.withColumn("p", df["d"] * 2),
+            ["g"],
+            "d",
+            "p",
+        ).collect()
+    } == {None: 1.0, "k": 1.0}

@@ -43,7 +43,12 @@ def test_elastic_net_matches_a_direct_solver(spark):
         s = np.where(x[tr].std(0) > 0, x[tr].std(0), 1)
         errors.append(np.mean((y[te] - b - (x[te] - x[tr].mean(0)) / s @ w) ** 2))
     assert got["cv_mse"] == pytest.approx(np.mean(errors), rel=1e-6)
-    scored = models.model_predictions(df.withColumn("k", F.monotonically_increasing_id()), models.elastic_net(df, ["a", "b"], ["y"], fold="fold"), ["a", "b"], ["k"])
+    scored = models.model_predictions(
+        df.withColumn("k", F.monotonically_increasing_id()),
+        models.elastic_net(df, ["a", "b"], ["y"], fold="fold"),
+        ["a", "b"],
+        ["k"],
+    )
     assert scored.count() == 300
 
 
@@ -86,7 +91,9 @@ def test_line_formats(spark, tmp_path):
 def test_fasta_and_motifs(spark, tmp_path):
     path = write(tmp_path, "r.fa", ">acc1|a|b|c|Chr2:5..9|v\nacg\nTT\n\n>broken\nAC\n>acc2|Chr3:1..2|\n")
     got = text.region_headers(text.read_fasta(spark, path)).orderBy("accession").collect()
-    assert [(r["accession"], r["chromosome"], r["start"], r["end"], r["seq"]) for r in got] == [("acc1", 2, 5, 9, "ACGTT"), ("acc2", 3, 1, 2, "")]
+    assert [
+        (r["accession"], r["chromosome"], r["start"], r["end"], r["seq"]) for r in got
+    ] == [("acc1", 2, 5, 9, "ACGTT"), ("acc2", 3, 1, 2, "")]
     long = spark.createDataFrame([("h", "A" * 160), ("g", "C" * 81)], "header string, seq string")
     text.write_fasta(long, str(tmp_path / "out"))
     assert sorted(map(tuple, text.read_fasta(spark, str(tmp_path / "out")).collect())) == [("g", "C" * 81), ("h", "A" * 160)]
@@ -108,10 +115,17 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
     tables.write_table(spark.range(5), out, force=True)
     assert spark.read.parquet(out).count() == 5
-    fam = spark.createDataFrame([("f", "1", "0", "0", "1", 0.0), ("f", "2", "0", "0", "1", 0.0)], "fid string, iid string, father string, mother string, sex string, phenotype double")
+    fam = spark.createDataFrame(
+        [("f", "1", "0", "0", "1", 0.0), ("f", "2", "0", "0", "1", 0.0)],
+        "fid string, iid string, father string, mother string, sex string, phenotype double",
+    )
     lines = tables.phenotype_lines(fam, spark.createDataFrame([(1, 2.5)], "iid long, value double"))
     assert sorted(r["value"] for r in lines.collect()) == ["f 1 0 0 1 2.5", "f 2 0 0 1 -9.0"]
-    tables.write_phenotypes(fam, spark.createDataFrame([(1, "train", "v", 2.0)], "iid long, split string, variable string, value double"), str(tmp_path / "ph"))
+    tables.write_phenotypes(
+        fam,
+        spark.createDataFrame([(1, "train", "v", 2.0)], "iid long, split string, variable string, value double"),
+        str(tmp_path / "ph"),
+    )
     assert (tmp_path / "ph" / "split=train" / "variable=v").is_dir()
 
 
@@ -131,6 +145,13 @@ def test_paths_and_streams(spark, tmp_path):
     ingest_new_files(*args)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     stream = spark.readStream.schema(schema).option("header", True).csv(str(tmp_path / "in" / "*"))
-    q = windowed_means(stream, "ts", "v", "g", "10 minutes", "1 hour").writeStream.format("memory").queryName("means").outputMode("complete").trigger(availableNow=True).start()
+    q = windowed_means(
+        stream,
+        "ts",
+        "v",
+        "g",
+        "10 minutes",
+        "1 hour",
+    ).writeStream.format("memory").queryName("means").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["g"], r["n"], r["mean"]) for r in spark.table("means").collect()) == [("a", 2, 1.5), ("b", 1, 9.0)]

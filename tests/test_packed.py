@@ -31,7 +31,15 @@ def test_notations(spark, field, n, want):
 
 
 def test_letters_without_delimiters_and_whole_words(spark):
-    df = spark.createDataFrame([(1, None, 3, "GCG", None, None), (2, None, 1, "GCG", None, None), (3, None, 3, '"ACG"', None, None), (4, None, 3, "CGA;C;A", None, None)], SCHEMA)
+    df = spark.createDataFrame(
+        [
+            (1, None, 3, "GCG", None, None),
+            (2, None, 1, "GCG", None, None),
+            (3, None, 3, '"ACG"', None, None),
+            (4, None, 3, "CGA;C;A", None, None),
+        ],
+        SCHEMA,
+    )
     got = {}
     for r in unpack_variants(df).collect():
         got.setdefault(r["variant_id"], {})[r["item_no"]] = r["item"]
@@ -40,10 +48,23 @@ def test_letters_without_delimiters_and_whole_words(spark):
 
 def test_nothing_held_repeats_and_clashing_columns(spark):
     rows = [(1, "", 1, "  ", 1, "[]"), (2, ";", 1, None, None, None), (3, "7;8", 2, "A", 1, "x"), (3, "7;8", 2, "A", 1, "x")]
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as key", "'f' as field", "2 as item_no", "'z' as item", "3 as skeleton", "4 as rules")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr(
+        "*",
+        "1 as key",
+        "'f' as field",
+        "2 as item_no",
+        "'z' as item",
+        "3 as skeleton",
+        "4 as rules",
+    )
     out = unpack_variants(df)
     assert out.columns == ["variant_id", "field", "item_no", "item"]
-    assert sorted(map(tuple, out.collect())) == [(3, "accession_ids", 1, "x"), (3, "alt_bases", 1, "A"), (3, "positions", 1, "7"), (3, "positions", 2, "8")]
+    assert sorted(map(tuple, out.collect())) == [
+        (3, "accession_ids", 1, "x"),
+        (3, "alt_bases", 1, "A"),
+        (3, "positions", 1, "7"),
+        (3, "positions", 2, "8"),
+    ]
     assert unpack_variants(df.limit(0)).collect() == []
     assert item_counts(out, "variant_id", ["positions"]).collect()[0]["n_positions"] == 2
 
@@ -57,7 +78,10 @@ def test_null_count_and_long_field(spark):
 
 def test_very_long_quoted_value_and_unpaired_quote(spark):
     word = "ab, " * 50_000
-    df = spark.createDataFrame([(1, None, None, None, 1, f'"{word}"'), (2, None, None, None, 3, '"' + "c" * 100_000 + ";d;e")], SCHEMA)
+    df = spark.createDataFrame(
+        [(1, None, None, None, 1, f'"{word}"'), (2, None, None, None, 3, '"' + "c" * 100_000 + ";d;e")],
+        SCHEMA,
+    )
     got = {(r["variant_id"], r["item_no"]): len(r["item"]) for r in unpack_variants(df).collect()}
     assert got == {(1, 1): 200_000, (2, 1): 100_000, (2, 2): 1, (2, 3): 1}
 

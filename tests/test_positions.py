@@ -16,7 +16,14 @@ SCHEMA = "g string, h int, v double, w long"
 def rows_of(seed: int, n: int):
     r = random.Random(seed)
     # one group holds a third of all rows; nulls are groups of their own
-    return [(r.choice(["hot"] * 4 + ["a", "b", "c", None, "d", "e", "f", "g"]), r.choice([1, 1, 1, 2, None]), r.random(), r.randint(1, 9)) for _ in range(n)]
+    return [
+        (
+            r.choice(["hot"] * 4 + ["a", "b", "c", None, "d", "e", "f", "g"]),
+            r.choice([1, 1, 1, 2, None]),
+            r.random(),
+            r.randint(1, 9),
+        ) for _ in range(n)
+    ]
 
 
 @pytest.mark.parametrize(("seed", "n", "parts", "batch"), [(1, 500, 7, 10), (2, 3, 5, 10), (3, 400, 1, 7), (4, 200, 40, 1000)])
@@ -59,7 +66,14 @@ def test_quantiles_match_linear_interpolation(spark):
     import numpy as np
 
     data = [("a", float(i % 17)) for i in range(100)] + [("b", 4.0), ("c", None), ("c", float("nan"))]
-    got = {r["g"]: (r["q_0"], r["q_1"]) for r in quantiles(spark.createDataFrame(data, "g string, x double"), ["g"], "x", (0.25, 0.9)).collect()}
+    got = {
+        r["g"]: (r["q_0"], r["q_1"]) for r in quantiles(
+            spark.createDataFrame(data, "g string, x double"),
+            ["g"],
+            "x",
+            (0.25, 0.9),
+        ).collect()
+    }
     a = [v for g, v in data if g == "a"]
     assert got["a"] == pytest.approx((np.quantile(a, 0.25), np.quantile(a, 0.9)))
     assert got["b"] == (4.0, 4.0)

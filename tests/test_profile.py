@@ -61,7 +61,14 @@ def test_exact_aggregates(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'c' as col", "9 as value", "8 as n")
     got = {(r["col"], r["load_no"]): r for r in profile(df, "load_no", ["x", "y"], valid={"x": (0, 1.5)}).collect()}
     r = got["x", 1]
-    assert (r["n_rows"], r["n_missing"], r["n_distinct"], r["min_value"], r["max_value"], r["n_violations"]) == (4, 1, 2, 1.0, 2.0, 2)
+    assert (
+        r["n_rows"],
+        r["n_missing"],
+        r["n_distinct"],
+        r["min_value"],
+        r["max_value"],
+        r["n_violations"],
+    ) == (4, 1, 2, 1.0, 2.0, 2)
     assert r["top_share"] == pytest.approx(2 / 3)
     assert r["median"] == 2.0
     assert r["auc"] is None

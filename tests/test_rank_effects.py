@@ -10,7 +10,10 @@ from terrasieve.operators import effects, graph, intervals, peaks, rank
 
 
 def test_best_effect_ties_direction_and_missing(spark):
-    df = spark.createDataFrame([("a", 2, 1.0), ("a", 1, 1.0), ("a", 3, math.nan), ("a", 4, None), ("b", 1, -2.0)], "g string, i int, d double")
+    df = spark.createDataFrame(
+        [("a", 2, 1.0), ("a", 1, 1.0), ("a", 3, math.nan), ("a", 4, None), ("b", 1, -2.0)],
+        "g string, i int, d double",
+    )
     assert {(r["g"], r["i"]) for r in rank.best_effect(df, ["g"], "d", ["i"]).collect()} == {("a", 1), ("b", 1)}
     wanted, other = rank.split_by_direction(rank.best_effect(df, ["g"], "d", ["i"]), "d")
     assert [r["g"] for r in wanted.collect()] == ["a"] and [r["g"] for r in other.collect()] == ["b"]
@@ -18,7 +21,21 @@ def test_best_effect_ties_direction_and_missing(spark):
 
 
 def test_weight_mass(spark):
-    df = spark.createDataFrame([("a", 4.0), ("a", -3.0), ("a", 2.0), ("a", 1.0), ("z", 0.0), ("z", None), ("t", 1.0), ("t", 1.0), ("t", -1.0), ("t", 1.0)], "v string, w double")
+    df = spark.createDataFrame(
+        [
+            ("a", 4.0),
+            ("a", -3.0),
+            ("a", 2.0),
+            ("a", 1.0),
+            ("z", 0.0),
+            ("z", None),
+            ("t", 1.0),
+            ("t", 1.0),
+            ("t", -1.0),
+            ("t", 1.0),
+        ],
+        "v string, w double",
+    )
     got = {r["v"]: (r["n_50"], r["n_80"]) for r in rank.weight_mass(df, ["v"], "w").collect()}
     assert got == {"a": (2, 3), "z": (0, 0), "t": (2, 4)}
 
@@ -27,9 +44,20 @@ def test_cumulative_is_first_per_site_and_sums(spark):
     rows = [("a", 1, 10, 0.5), ("a", 1, 11, 0.7), ("a", 2, 12, 0.6), ("a", 3, 13, -1.0), ("b", 1, 10, -0.1)]
     df = spark.createDataFrame(rows, "acc string, site int, pos int, d double")
     steps = effects.cumulative_effects(df, "acc", "site", "d", ["pos"])
-    assert [(r["site"], r["pos"], r["step"], round(r["cumulative_delta"], 6)) for r in steps.orderBy("step").collect()] == [(1, 11, 1, 0.7), (2, 12, 2, 1.3)]
+    assert [
+        (r["site"], r["pos"], r["step"], round(r["cumulative_delta"], 6)) for r in steps.orderBy("step").collect()
+    ] == [(1, 11, 1, 0.7), (2, 12, 2, 1.3)]
     every = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "acc string, base double")
-    got = {(r["top_n"], r["acc"]): (r["n_steps"], round(r["final_pred"], 6)) for r in effects.scenarios(steps, every, "acc", "d", [1, 0], "base").collect()}
+    got = {
+        (r["top_n"], r["acc"]): (r["n_steps"], round(r["final_pred"], 6)) for r in effects.scenarios(
+            steps,
+            every,
+            "acc",
+            "d",
+            [1, 0],
+            "base",
+        ).collect()
+    }
     assert got == {(1, "a"): (1, 1.7), (0, "a"): (2, 2.3), (1, "b"): (0, 2.0), (0, "b"): (0, 2.0)}
 
 
@@ -41,10 +69,16 @@ def test_overlap_lists_fifty(spark):
 
 
 def test_deltas_equal_predicting_twice(spark):
-    coefs = spark.createDataFrame([("v", i, c, s) for i, (c, s) in enumerate([(1.0, 2.0), (3.0, 0.0), (-1.0, 1.0), (0.5, 0.5)])], "variable string, feature_index int, coef double, scale double")
+    coefs = spark.createDataFrame(
+        [("v", i, c, s) for i, (c, s) in enumerate([(1.0, 2.0), (3.0, 0.0), (-1.0, 1.0), (0.5, 0.5)])],
+        "variable string, feature_index int, coef double, scale double",
+    )
     w = effects.coefficient_rows(coefs, 2)
     base = spark.createDataFrame([("a", 1, [1.0, 1.0])], "accession string, snp_index int, old_row array<double>")
-    new = spark.createDataFrame([("a", 1, "x", [2.0, 3.0]), ("a", 1, "nan", [math.nan, 0.0])], "accession string, snp_index int, tag string, new_row array<double>")
+    new = spark.createDataFrame(
+        [("a", 1, "x", [2.0, 3.0]), ("a", 1, "nan", [math.nan, 0.0])],
+        "accession string, snp_index int, tag string, new_row array<double>",
+    )
     got = effects.mutation_deltas(new, base, w).collect()
     assert [(r["tag"], r["delta"]) for r in got] == [("x", -1.0 * 1 + 1.0 * 2)]
 
@@ -55,7 +89,9 @@ def test_extremes_of_a_small_table_overlap(spark):
 
 
 def test_greedy_peaks_separation_and_constant_series(spark):
-    rows = [("s", i, 10.0 if i == 20 else 9.5 if i == 22 else 9.0 if i == 40 else 0.1 * (i % 3)) for i in range(60)] + [("c", i, 1.0) for i in range(5)]
+    rows = [
+        ("s", i, 10.0 if i == 20 else 9.5 if i == 22 else 9.0 if i == 40 else 0.1 * (i % 3)) for i in range(60)
+    ] + [("c", i, 1.0) for i in range(5)]
     got = peaks.greedy_peaks(spark.createDataFrame(rows, "g string, p int, v double"), ["g"], "p", "v", window=10).collect()
     assert sorted((r["g"], r["peak_index"], r["p"]) for r in got) == [("s", 0, 20), ("s", 1, 40)]
 
@@ -96,7 +132,9 @@ def test_merging_matches_a_loop(spark, positions, width, longest):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
         df = spark.createDataFrame([("c", p) for p in positions], "g string, p long")
-        got = sorted((r["start"], r["end"], r["n"]) for r in intervals.merged_windows(df, ["g"], "p", width, longest=longest).collect())
+        got = sorted(
+            (r["start"], r["end"], r["n"]) for r in intervals.merged_windows(df, ["g"], "p", width, longest=longest).collect()
+        )
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
     assert got == sorted(want)
@@ -109,7 +147,10 @@ def test_tiles_cover_every_point_once(spark):
 
 
 def test_components_and_representatives(spark):
-    edges = spark.createDataFrame([("a", "b", 0.1), ("b", "c", 0.2), ("x", "y", 0.5), ("q", "q", 0.1)], "a string, b string, q double")
+    edges = spark.createDataFrame(
+        [("a", "b", 0.1), ("b", "c", 0.2), ("x", "y", 0.5), ("q", "q", 0.1)],
+        "a string, b string, q double",
+    )
     links = graph.similar_edges(edges, "a", "b", "q", 0.6)
     nodes = spark.createDataFrame([(n,) for n in "abcxyqz"], "node string")
     comp = graph.connected_components(nodes, links)

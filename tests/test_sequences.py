@@ -8,7 +8,10 @@ from terrasieve.operators import sequence, vectors
 
 
 def one(spark, column, **values):
-    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) or v is None else 'int'}" for k, v in values.items()))
+    df = spark.createDataFrame(
+        [tuple(values.values())],
+        ", ".join(f"{k} {'string' if isinstance(v, str) or v is None else 'int'}" for k, v in values.items()),
+    )
     return df.select(column.alias("x")).collect()[0]["x"]
 
 
@@ -62,7 +65,13 @@ def test_consensus_and_empty(spark):
 
 def test_segments_pack_without_splitting(spark):
     rows = [("a", i, "A" * n) for i, n in enumerate([3, 4, 9, 2, 2, 2])] + [("b", 0, None)]
-    got = sequence.pack_segments(spark.createDataFrame(rows, "g string, i int, s string"), ["g"], "i", "s", 7).orderBy("chunk").collect()
+    got = sequence.pack_segments(
+        spark.createDataFrame(rows, "g string, i int, s string"),
+        ["g"],
+        "i",
+        "s",
+        7,
+    ).orderBy("chunk").collect()
     assert [[len(x) for x in r["text"].split("[SEP]")] for r in got] == [[3, 4], [9], [2, 2, 2]]
 
 
