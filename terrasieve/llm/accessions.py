@@ -33,7 +33,10 @@ def accessions(coords: DataFrame, extra: list[Column] | None = None) -> DataFram
         F.when(ok, y).alias("y"),
         F.when(~F.col("fid").isin(*NO_FID) & (F.col("fid") > -1e30), F.col("fid").cast("long")).alias("fid"),
     )
-    return rows.groupBy("iid").agg(F.max(F.when(F.col("x").isNotNull(), F.struct("x", "y"))).alias("p"), F.max("fid").alias("fid")).select("iid", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "fid")
+    return rows.groupBy("iid").agg(
+        F.max(F.when(F.col("x").isNotNull(), F.struct("x", "y"))).alias("p"),
+        F.max("fid").alias("fid"),
+    ).select("iid", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "fid")
 
 
 def listed_splits(splits: DataFrame) -> DataFrame:
@@ -52,4 +55,7 @@ def in_both(coords: DataFrame, normalized: DataFrame) -> DataFrame:
 def measured(normalized: DataFrame, columns: list[str]) -> DataFrame:
     """(iid, columns), distinct, of rows in which none of the columns is missing."""
     rows = normalized.filter(reduce(lambda a, b: a & b, [is_present(c) for c in columns], F.col("iid").isNotNull()))
-    return rows.select(F.col("iid").cast("long").alias("iid"), *[F.col(c).cast("double").alias(c) for c in columns]).dropDuplicates()
+    return rows.select(
+        F.col("iid").cast("long").alias("iid"),
+        *[F.col(c).cast("double").alias(c) for c in columns],
+    ).dropDuplicates()

@@ -20,10 +20,21 @@ def propagate_minimum(cells: DataFrame, links: DataFrame, scratch: Scratch, *, m
     both = scratch.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = scratch.write(cells.select("cell", F.col("cell").alias("label")), "labels_0")
     for r in range(1, max_rounds + 1):
-        offered = both.join(labels.select(F.col("cell").alias("b"), "label"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("label").alias("offer"))
-        lower = labels.join(offered, "cell", "left").select("cell", "label", F.least("label", F.coalesce("offer", "label")).alias("new"))
+        offered = both.join(
+            labels.select(F.col("cell").alias("b"), "label"),
+            "b",
+        ).groupBy(F.col("a").alias("cell")).agg(F.min("label").alias("offer"))
+        lower = labels.join(offered, "cell", "left").select(
+            "cell",
+            "label",
+            F.least("label", F.coalesce("offer", "label")).alias("new"),
+        )
         jump = labels.select(F.col("cell").alias("new"), F.col("label").alias("beyond"))
-        after = lower.join(jump, "new", "left").select("cell", F.least("new", F.coalesce("beyond", "new")).alias("label"), (F.least("new", F.coalesce("beyond", "new")) < F.col("label")).alias("changed"))
+        after = lower.join(jump, "new", "left").select(
+            "cell",
+            F.least("new", F.coalesce("beyond", "new")).alias("label"),
+            (F.least("new", F.coalesce("beyond", "new")) < F.col("label")).alias("changed"),
+        )
         step = scratch.write(after, f"labels_{r}")
         scratch.drop(f"labels_{r - 1}")
         labels = step.select("cell", "label")
@@ -43,7 +54,11 @@ def grid_clusters(records: DataFrame, key: str, x: str, y: str, tolerance: float
     several cells; these count as one where it is the smallest key of each, and otherwise stay apart.
     """
     scratch = Scratch(records.sparkSession, "clusters")
-    points = records.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().filter(~F.isnan("x") & ~F.isnan("y")).dropDuplicates()
+    points = records.select(
+        F.col(key).alias("key"),
+        F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"),
+    ).dropna().filter(~F.isnan("x") & ~F.isnan("y")).dropDuplicates()
     celled = with_cells(points, "x", "y", tolerance)
     counted = celled.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("cell_rows"), F.min("key").alias("cell"))
     dense = scratch.write(counted.filter(F.col("cell_rows") >= min_cell_rows), "dense")
@@ -66,4 +81,7 @@ def describe_clusters(members: DataFrame, key: str, *, typical: int = 3, min_siz
     """
     order = Window.partitionBy("cluster").orderBy(F.col("cell_rows").desc(), F.col(key).asc())
     top = members.filter(F.col("size") >= min_size).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= typical)
-    return top.groupBy("cluster", "size").agg(F.max("cell_rows").alias("densest_cell"), F.transform(F.array_sort(F.collect_list(F.struct("r", key))), lambda s: s[key]).alias("typical"))
+    return top.groupBy("cluster", "size").agg(
+        F.max("cell_rows").alias("densest_cell"),
+        F.transform(F.array_sort(F.collect_list(F.struct("r", key))), lambda s: s[key]).alias("typical"),
+    )

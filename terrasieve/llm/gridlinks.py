@@ -26,9 +26,14 @@ def _near_corner(points: DataFrame, right: int, up: int) -> DataFrame:
     """Points of a cell that no point of the same part of it beats in both directions (``right``, ``up`` = 1 or -1)."""
     px, py = F.col("x") * right, F.col("y") * up
     part = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS))
-    before = Window.partitionBy("cx", "cy", "part").orderBy(F.col("px").desc(), F.col("py").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("cx", "cy", "part").orderBy(
+        F.col("px").desc(),
+        F.col("py").desc(),
+    ).rowsBetween(Window.unboundedPreceding, -1)
     best = F.max("py").over(before)
-    return points.withColumns({"px": px, "py": py, "part": part}).withColumn("best", best).filter(F.col("best").isNull() | (F.col("py") > F.col("best"))).select("cx", "cy", "x", "y")
+    return points.withColumns({"px": px, "py": py, "part": part}).withColumn("best", best).filter(
+        F.col("best").isNull() | (F.col("py") > F.col("best"))
+    ).select("cx", "cy", "x", "y")
 
 
 def cell_links(points: DataFrame, tolerance: float) -> DataFrame:
@@ -39,26 +44,62 @@ def cell_links(points: DataFrame, tolerance: float) -> DataFrame:
     """
     points = points.select("cx", "cy", "x", "y").dropDuplicates()
     w = tolerance + FLOAT_SLACK
-    cells = points.groupBy("cx", "cy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    a = cells.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("x1").alias("a_x1"), F.col("y0").alias("a_y0"), F.col("y1").alias("a_y1"))
-    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1))]))
+    cells = points.groupBy("cx", "cy").agg(
+        F.min("x").alias("x0"),
+        F.max("x").alias("x1"),
+        F.min("y").alias("y0"),
+        F.max("y").alias("y1"),
+    )
+    a = cells.select(
+        F.col("cx").alias("ax"),
+        F.col("cy").alias("ay"),
+        F.col("x1").alias("a_x1"),
+        F.col("y0").alias("a_y0"),
+        F.col("y1").alias("a_y1"),
+    )
+    steps = F.explode(
+        F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1))])
+    )
     near = (
         a.withColumn("step", steps)
         .select("*", (F.col("ax") + F.col("step.dx")).alias("cx"), (F.col("ay") + F.col("step.dy")).alias("cy"))
         .join(cells, ["cx", "cy"])
-        .select("ax", "ay", F.col("cx").alias("bx"), F.col("cy").alias("by"), "step.dx", "step.dy", "a_x1", "a_y0", "a_y1", "x0", "y0", "y1")
+        .select(
+            "ax",
+            "ay",
+            F.col("cx").alias("bx"),
+            F.col("cy").alias("by"),
+            "step.dx",
+            "step.dy",
+            "a_x1",
+            "a_y0",
+            "a_y1",
+            "x0",
+            "y0",
+            "y1",
+        )
     )
     x_close, up_close, down_close = F.col("x0") - F.col("a_x1") <= w, F.col("y0") - F.col("a_y1") <= w, F.col("a_y0") - F.col("y1") <= w
     straight = near.filter(F.when(F.col("dy") == 0, x_close).when(F.col("dx") == 0, up_close).otherwise(False))
     # for corners the extremes are necessary, not sufficient: they may belong to different points
-    corner = near.filter((F.col("dx") == 1) & (F.col("dy") != 0) & x_close & F.when(F.col("dy") == 1, up_close).otherwise(down_close))
+    corner = near.filter(
+        (F.col("dx") == 1) & (F.col("dy") != 0) & x_close & F.when(F.col("dy") == 1, up_close).otherwise(down_close)
+    )
     links = straight.select("ax", "ay", "bx", "by")
     for up in (1, -1):
         pairs = corner.filter(F.col("dy") == up).select("ax", "ay", "bx", "by")
         from_a = pairs.join(_near_corner(points, 1, up), (F.col("ax") == F.col("cx")) & (F.col("ay") == F.col("cy")))
         from_b = pairs.join(_near_corner(points, -1, -up), (F.col("bx") == F.col("cx")) & (F.col("by") == F.col("cy")))
         # sweep along x: a point of A reaches x + w; the lowest point of B so far decides
-        events = from_a.select("ax", "ay", "bx", "by", (F.col("x") + w).alias("at"), F.lit(1).alias("of_a"), (F.col("y") * up).alias("h")).unionByName(
+        events = from_a.select(
+            "ax",
+            "ay",
+            "bx",
+            "by",
+            (F.col("x") + w).alias("at"),
+            F.lit(1).alias("of_a"),
+            (F.col("y") * up).alias("h"),
+        ).unionByName(
             from_b.select("ax", "ay", "bx", "by", F.col("x").alias("at"), F.lit(0).alias("of_a"), (F.col("y") * up).alias("h"))
         )
         so_far = Window.partitionBy("ax", "ay", "bx", "by").orderBy("at", "of_a").rowsBetween(Window.unboundedPreceding, -1)

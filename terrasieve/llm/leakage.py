@@ -48,7 +48,9 @@ _classes: list[np.ndarray] = []
 
 def _classify(codes: np.ndarray) -> np.ndarray:
     if not _classes:
-        _classes.append(np.array([_class_of(chr(i)) if not 0xD800 <= i < 0xE000 else _SEPARATOR for i in range(0x10000)], np.uint8))
+        _classes.append(
+            np.array([_class_of(chr(i)) if not 0xD800 <= i < 0xE000 else _SEPARATOR for i in range(0x10000)], np.uint8)
+        )
     table = _classes[0]
     if len(codes) and int(codes.max()) >= len(table):
         kinds = table[np.minimum(codes, len(table) - 1)]
@@ -136,7 +138,9 @@ class ItemIndex:
                 continue
             e = np.cumsum([len(x) for x in w])
             spans = e[words - 1 :] - np.concatenate([[0], e[:-1]])[: len(e) - words + 1]
-            keys.append(key), streams.append(np.frombuffer("".join(w).encode("utf-32-le"), np.uint32)), ends.append(e), shortest.append(int(spans.min()))
+            keys.append(key), streams.append(
+                np.frombuffer("".join(w).encode("utf-32-le"), np.uint32)
+            ), ends.append(e), shortest.append(int(spans.min()))
         # the largest q for which even the shortest passage keeps a bound of at least 1
         q = max(1, min([MAX_Q, *((n + 1) // (edits + 1) - 1 for n in shortest)]))
         grams = [gram_hashes(s, q) for s in streams]
@@ -177,7 +181,11 @@ def _counted(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[starts], np.add.reduceat(counts, starts)
 
 
-def _bands(hits: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bound: np.ndarray, edits: int) -> Iterator[tuple[int, int, int]]:
+def _bands(
+    hits: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]],
+    bound: np.ndarray,
+    edits: int,
+) -> Iterator[tuple[int, int, int]]:
     """(doc, item, first diagonal) of bands 2(k + 1) wide, each half over the next, in which (doc, item, diagonal) hits reach the item's bound."""
     half = edits + 1
     parts = []
@@ -188,7 +196,10 @@ def _bands(hits: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bound: np.
         parts.append(_counted(rows, np.ones(len(rows), np.int64)))
     if not parts:
         return
-    rows, counts = parts[0] if len(parts) == 1 else _counted(np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts]))
+    rows, counts = parts[0] if len(parts) == 1 else _counted(
+        np.concatenate([r for r, _ in parts]),
+        np.concatenate([c for _, c in parts]),
+    )
     for i in np.flatnonzero(counts >= bound[rows[:, 1]]):
         d, t, s = rows[i]
         yield int(d), int(t), int(s) * half
@@ -214,7 +225,16 @@ def longest_run(item: np.ndarray, ends: np.ndarray, codes: np.ndarray, gaps: np.
     return best
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", words: int = 13, edits: int = 1) -> DataFrame:
+def leaked_passages(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    doc_key: str = "doc_id",
+    item_key: str = "item_id",
+    text: str = "text",
+    words: int = 13,
+    edits: int = 1,
+) -> DataFrame:
     """(doc_key, item_key, run), once each: documents that show at least ``words`` consecutive words of an item.
 
     ``edits`` is the budget of the retained regions; the run itself must be unchanged. Items must be a held-out
@@ -223,7 +243,13 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id
     documents are read, of any length; equal texts give a row each; equal items give a row each.
     """
     source = docs.select(doc_key, text)
-    schema = T.StructType([T.StructField(doc_key, source.schema[0].dataType), T.StructField(item_key, items.schema[item_key].dataType), T.StructField("run", T.IntegerType())])
+    schema = T.StructType(
+        [
+            T.StructField(doc_key, source.schema[0].dataType),
+            T.StructField(item_key, items.schema[item_key].dataType),
+            T.StructField("run", T.IntegerType()),
+        ]
+    )
     batch_type = to_arrow_type(items.schema[item_key].dataType)
     out: DataFrame | None = None
     for block in _blocks(items.select(item_key, text).dropna().toLocalIterator()):
@@ -248,7 +274,11 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id
                 found += _search(index, held, words, edits)
                 rows = [i for i, _, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([index.keys[k] for _, k, _ in found], batch_type), pa.array([r for _, _, r in found], pa.int32())],
+                    [
+                        batch.column(0).take(pa.array(rows, pa.int64())),
+                        pa.array([index.keys[k] for _, k, _ in found], batch_type),
+                        pa.array([r for _, _, r in found], pa.int32()),
+                    ],
                     names=[doc_key, item_key, "run"],
                 )
 
@@ -271,14 +301,25 @@ def _blocks(rows: Iterator) -> Iterator[list[tuple]]:
         yield block
 
 
-def _search(index: ItemIndex, held: list[tuple[int, np.ndarray, np.ndarray]], words: int, edits: int) -> list[tuple[int, int, int]]:
+def _search(
+    index: ItemIndex,
+    held: list[tuple[int, np.ndarray, np.ndarray]],
+    words: int,
+    edits: int,
+) -> list[tuple[int, int, int]]:
     """(row, item, run) of the texts held; texts are joined by symbols that occur in no text."""
     if not held:
         return []
     wall = np.full(1, 0xFFFFFFFF, np.uint32)
     joined = np.concatenate([x for _, codes, _ in held for x in (codes, wall)])
     begin = np.cumsum([0, *(len(codes) + 1 for _, codes, _ in held)])
-    hits = ((d := np.searchsorted(begin, at, side="right") - 1, item, at - begin[d] - place) for at, item, place in _shared(index, joined))
+    hits = (
+        (
+            d := np.searchsorted(begin, at, side="right") - 1,
+            item,
+            at - begin[d] - place,
+        ) for at, item, place in _shared(index, joined)
+    )
     best: dict[tuple[int, int], int] = {}
     for d, t, diagonal in _bands(hits, index.bound, edits):
         row, codes, gaps = held[d]

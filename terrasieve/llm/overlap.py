@@ -37,7 +37,12 @@ def _strings(records: DataFrame, key: str, x: str, y: str, tolerance: float) ->
     w = tolerance + FLOAT_SLACK
     sx, sy = _shift(w)
     ids = records.select(F.lit(_ID).alias("kind"), F.col(key).alias("id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    places = records.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.lit(_PLACE).alias("kind"), F.lit(0).cast("long").alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    places = records.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.lit(_PLACE).alias("kind"),
+        F.lit(0).cast("long").alias("id"),
+        F.col(x).alias("x"),
+        F.col(y).alias("y"),
+    )
     cell = lambda c, s: F.when(F.col("kind") == _PLACE, F.floor(F.col(c) / F.lit(w)) + s).otherwise(0)
     return ids.unionByName(places).dropDuplicates().withColumns({"cx": cell("x", sx), "cy": cell("y", sy)})
 
@@ -82,11 +87,27 @@ def matched_strings(train: DataFrame, evaluation: DataFrame, key: str, x: str, y
         ids, places = rows[rows.kind == _ID], rows[rows.kind == _PLACE]
         built = FMIndex.build([id_symbols(ids.id.to_numpy(np.int64)), place_symbols(places.cx.to_numpy(), places.cy.to_numpy())])
         rows = pd.concat([ids, places])
-        return pd.DataFrame({"shard": [rows.shard.iloc[0]], "part": [rows.part.iloc[0]], "chunks": [rows.chunks.iloc[0]], "index": [built.dump()], "ids": [rows.id.tolist()], "xs": [rows.x.tolist()], "ys": [rows.y.tolist()]})
-
-    indexes = right.groupBy("shard", "part").applyInPandas(index, "shard int, part int, chunks int, index binary, ids array<long>, xs array<double>, ys array<double>")
+        return pd.DataFrame(
+            {
+                "shard": [rows.shard.iloc[0]],
+                "part": [rows.part.iloc[0]],
+                "chunks": [rows.chunks.iloc[0]],
+                "index": [built.dump()],
+                "ids": [rows.id.tolist()],
+                "xs": [rows.x.tolist()],
+                "ys": [rows.y.tolist()],
+            }
+        )
+
+    indexes = right.groupBy("shard", "part").applyInPandas(
+        index,
+        "shard int, part int, chunks int, index binary, ids array<long>, xs array<double>, ys array<double>",
+    )
     indexes = scratch.write(indexes, "indexes").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    queries = left.join(plan, "shard").withColumn("chunk", F.pmod(spread, F.col("chunks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    queries = left.join(plan, "shard").withColumn("chunk", F.pmod(spread, F.col("chunks")).cast("int")).withColumn(
+        "part",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
+    )
     w = tolerance + FLOAT_SLACK
 
     def search(rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
@@ -105,12 +126,24 @@ def matched_strings(train: DataFrame, evaluation: DataFrame, key: str, x: str, y
             found.append((at[full][pattern], record))
         where, record = (np.concatenate(c) for c in zip(*found, strict=True))
         hit = rows.loc[where]
-        out = pd.DataFrame({"kind": hit.kind.to_numpy(), "train_id": hit.id.to_numpy(), "train_x": hit.x.to_numpy(), "train_y": hit.y.to_numpy(), "eval_id": eid[record], "eval_x": ex[record], "eval_y": ey[record]})
+        out = pd.DataFrame(
+            {
+                "kind": hit.kind.to_numpy(),
+                "train_id": hit.id.to_numpy(),
+                "train_x": hit.x.to_numpy(),
+                "train_y": hit.y.to_numpy(),
+                "eval_id": eid[record],
+                "eval_x": ex[record],
+                "eval_y": ey[record],
+            }
+        )
         close = (np.abs(out.train_x - out.eval_x) <= w) & (np.abs(out.train_y - out.eval_y) <= w)
         return out[close]
 
     schema = "kind int, train_id long, train_x double, train_y double, eval_id long, eval_x double, eval_y double"
-    return queries.groupBy("shard", "part", "chunk").cogroup(indexes.groupBy("shard", "part", "chunk")).applyInPandas(search, schema)
+    return queries.groupBy("shard", "part", "chunk").cogroup(
+        indexes.groupBy("shard", "part", "chunk")
+    ).applyInPandas(search, schema)
 
 
 def _around(places: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,7 +154,16 @@ def _around(places: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, place_symbols(cx + i, cy + j)
 
 
-def cross_split_overlaps(records: DataFrame, splits: DataFrame, key: str, x: str, y: str, tolerance: float, *, train: str = "train") -> DataFrame:
+def cross_split_overlaps(
+    records: DataFrame,
+    splits: DataFrame,
+    key: str,
+    x: str,
+    y: str,
+    tolerance: float,
+    *,
+    train: str = "train",
+) -> DataFrame:
     """(key_1, key_2, split), distinct: a record listed as train and one listed in another split that are the same or at the same place.
 
     ``records`` has one row per key with its place (null where unknown); ``splits`` lists (key, split). key_1 <=
@@ -130,10 +172,29 @@ def cross_split_overlaps(records: DataFrame, splits: DataFrame, key: str, x: str
     matched once and expanded by joins, which AQE splits where one place holds a large share.
     """
     scratch = Scratch(records.sparkSession, "overlap-members")
-    listed = scratch.write(splits.select(key, "split").dropna().dropDuplicates().join(records.select(key, F.col(x).alias("x"), F.col(y).alias("y")).filter(F.col(key).isNotNull()), key), "members")
+    listed = scratch.write(
+        splits.select(key, "split").dropna().dropDuplicates().join(
+            records.select(key, F.col(x).alias("x"), F.col(y).alias("y")).filter(F.col(key).isNotNull()),
+            key,
+        ),
+        "members",
+    )
     left, right = listed.filter(F.col("split") == train), listed.filter(F.col("split") != train)
-    matched = scratch.write(matched_strings(left.select(key, "x", "y").dropDuplicates(), right.select(key, "x", "y").dropDuplicates(), key, "x", "y", tolerance), "matched")
-    same = matched.filter(F.col("kind") == _ID).select(F.col("train_id").alias("t"), F.col("eval_id").alias(key)).join(right.select(key, "split"), key).select("t", F.col(key).alias("e"), "split")
+    matched = scratch.write(
+        matched_strings(
+            left.select(key, "x", "y").dropDuplicates(),
+            right.select(key, "x", "y").dropDuplicates(),
+            key,
+            "x",
+            "y",
+            tolerance,
+        ),
+        "matched",
+    )
+    same = matched.filter(F.col("kind") == _ID).select(
+        F.col("train_id").alias("t"),
+        F.col("eval_id").alias(key),
+    ).join(right.select(key, "split"), key).select("t", F.col(key).alias("e"), "split")
     places = matched.filter(F.col("kind") == _PLACE)
     t = left.select(F.col(key).alias("t"), F.col("x").alias("train_x"), F.col("y").alias("train_y"))
     e = right.select(F.col(key).alias("e"), "split", F.col("x").alias("eval_x"), F.col("y").alias("eval_y"))

@@ -75,14 +75,26 @@ class TokenCounter:
 def analysed(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, tokens, terms, counts) of every text with at least one token; whole texts are read."""
     source = docs.select(key, text).filter(F.length(text) > 0)
-    schema = T.StructType([source.schema[0], T.StructField("tokens", T.LongType()), T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType(
+        [
+            source.schema[0],
+            T.StructField("tokens", T.LongType()),
+            T.StructField("terms", T.BinaryType()),
+            T.StructField("counts", T.BinaryType()),
+        ]
+    )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(vocabulary)
         for batch in batches:
             found = [counter.analyse(v.as_py()) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([t.tobytes() for _, t, _ in found], pa.binary()), pa.array([c.tobytes() for _, _, c in found], pa.binary())],
+                [
+                    batch.column(0),
+                    pa.array([n for n, _, _ in found], pa.int64()),
+                    pa.array([t.tobytes() for _, t, _ in found], pa.binary()),
+                    pa.array([c.tobytes() for _, _, c in found], pa.binary()),
+                ],
                 names=[key, "tokens", "terms", "counts"],
             )
 
@@ -120,7 +132,15 @@ def _telling_terms(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, share
 class Shard:
     """An inverted index over a bounded number of texts, from which texts are taken until none is left."""
 
-    def __init__(self, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, average: float):
+    def __init__(
+        self,
+        sizes: np.ndarray,
+        terms: list[np.ndarray],
+        counts: list[np.ndarray],
+        lengths: np.ndarray,
+        idf: np.ndarray,
+        average: float,
+    ):
         self.sizes, n = sizes, len(sizes)
         of = np.repeat(np.arange(n), [len(t) for t in terms])
         term = np.concatenate([*terms, np.zeros(0, np.int32)]).astype(np.int64)
@@ -194,7 +214,14 @@ def fill_containers(shard: Shard, capacity: int) -> list[list[int]]:
     return out
 
 
-def pack_containers(docs: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_containers(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    *,
+    capacity: int = 2048,
+    vocabulary: str = VOCABULARY,
+) -> DataFrame:
     """(key, part, token_start, n_tokens, seed, seed_part): every token of every text in one container, named by its seed.
 
     A text longer than ``capacity`` is divided into parts that fill containers of their own, and a last part that
@@ -211,19 +238,47 @@ def pack_containers(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     known = spark.sparkContext.broadcast((idf, df > 1))  # 1.3 MB, whatever the size of the data
     whole = F.floor((F.col("tokens") - 1) / capacity)
-    full = texts.filter(F.col("tokens") > capacity).select(F.col(key), F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part")).select(
+    full = texts.filter(F.col("tokens") > capacity).select(
+        F.col(key),
+        F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part"),
+    ).select(
         key, F.col("part").cast("int").alias("part"), (F.col("part") * capacity).alias("token_start"), F.lit(capacity).cast("long").alias("n_tokens"), F.col(key).alias("seed"), F.col("part").cast("int").alias("seed_part")
     )
-    rest = texts.select(key, whole.cast("int").alias("part"), (whole * capacity).alias("token_start"), (F.col("tokens") - whole * capacity).alias("n_tokens"), "tokens", "terms", "counts")
+    rest = texts.select(
+        key,
+        whole.cast("int").alias("part"),
+        (whole * capacity).alias("token_start"),
+        (F.col("tokens") - whole * capacity).alias("n_tokens"),
+        "tokens",
+        "terms",
+        "counts",
+    )
     item = T.StructType([*rest.schema.fields, T.StructField("term_1", T.IntegerType()), T.StructField("term_2", T.IntegerType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, shared = known.value
         for batch in batches:
-            pairs = [_telling_terms(np.frombuffer(t.as_py(), np.int32), np.frombuffer(c.as_py(), np.uint8), weights, shared) for t, c in zip(batch.column("terms"), batch.column("counts"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32())], names=[*batch.schema.names, "term_1", "term_2"])
+            pairs = [
+                _telling_terms(
+                    np.frombuffer(t.as_py(), np.int32),
+                    np.frombuffer(c.as_py(), np.uint8),
+                    weights,
+                    shared,
+                ) for t, c in zip(batch.column("terms"), batch.column("counts"), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32())],
+                names=[*batch.schema.names, "term_1", "term_2"],
+            )
 
-    out_schema = T.StructType([*rest.schema.fields, T.StructField("seed", rest.schema[0].dataType), T.StructField("seed_part", T.IntegerType()), T.StructField("filled", T.DoubleType())])
+    out_schema = T.StructType(
+        [
+            *rest.schema.fields,
+            T.StructField("seed", rest.schema[0].dataType),
+            T.StructField("seed_part", T.IntegerType()),
+            T.StructField("filled", T.DoubleType()),
+        ]
+    )
 
     def packed(last: bool):  # noqa: ANN202
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +299,20 @@ def pack_containers(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
     shards = max(1, math.ceil(n / SHARD_TEXTS))
     spread = F.xxhash64(key, "part")  # divides the texts of a term that very many share
-    signed = rest.mapInArrow(sign, item).repartitionByRange(shards, "term_1", "term_2", spread).sortWithinPartitions("term_1", "term_2", spread).drop("term_1", "term_2")
+    signed = rest.mapInArrow(sign, item).repartitionByRange(
+        shards,
+        "term_1",
+        "term_2",
+        spread,
+    ).sortWithinPartitions("term_1", "term_2", spread).drop("term_1", "term_2")
     first = scratch.write(signed.mapInArrow(packed(False), out_schema), "first")
     done = first.filter(F.col("filled") >= WELL_FILLED)
     open_ = first.filter(F.col("filled") < WELL_FILLED).select(*rest.columns)
     left = open_.count()
-    again = open_.repartition(max(1, math.ceil(left / SHARD_TEXTS)), F.xxhash64(key, "part")).sortWithinPartitions(key, "part").mapInArrow(packed(True), out_schema)
+    again = open_.repartition(
+        max(1, math.ceil(left / SHARD_TEXTS)),
+        F.xxhash64(key, "part"),
+    ).sortWithinPartitions(key, "part").mapInArrow(packed(True), out_schema)
     columns = [key, "part", "token_start", "n_tokens", "seed", "seed_part"]
     return full.unionByName(done.select(*columns)).unionByName(again.select(*columns))
 
@@ -262,14 +325,22 @@ def _pack(batches: list[pa.RecordBatch], idf: np.ndarray, average: float, capaci
     terms = [np.frombuffer(v.as_py(), np.int32) for v in get("terms")]
     counts = [np.frombuffer(v.as_py(), np.uint8) for v in get("counts")]
     sizes = get("n_tokens").to_numpy(zero_copy_only=False).astype(np.int64)
-    containers = fill_containers(Shard(sizes, terms, counts, get("tokens").to_numpy(zero_copy_only=False).astype(np.float64), idf, average), capacity)
+    containers = fill_containers(
+        Shard(sizes, terms, counts, get("tokens").to_numpy(zero_copy_only=False).astype(np.float64), idf, average),
+        capacity,
+    )
     seed, filled = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.float64)
     for held in containers:
         seed[held] = held[0]
         filled[held] = sizes[held].sum() / capacity
     keep = ~((filled >= WELL_FILLED) | last)
     void = lambda name: pa.array([v.as_py() if k else None for v, k in zip(get(name), keep, strict=True)], pa.binary())
-    columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | {"terms": void("terms"), "counts": void("counts")}
+    columns = {
+        name: batch.column(i) for i, name in enumerate(batch.schema.names)
+    } | {"terms": void("terms"), "counts": void("counts")}
     names = list(columns)
     at = pa.array(seed)
-    return pa.RecordBatch.from_arrays([*columns.values(), batch.column(0).take(at), get("part").take(at), pa.array(filled)], names=[*names, "seed", "seed_part", "filled"])
+    return pa.RecordBatch.from_arrays(
+        [*columns.values(), batch.column(0).take(at), get("part").take(at), pa.array(filled)],
+        names=[*names, "seed", "seed_part", "filled"],
+    )

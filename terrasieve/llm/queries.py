@@ -28,9 +28,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Pairs per split and collection of the pair's accessions; a pair counts once for each collection it touches."""
     coords = table(spark, d, "coords_with_bioclim")
-    sources = coords.select(F.col("iid").cast("long").alias("iid"), F.coalesce("source", F.lit("unknown")).alias("source")).dropna().dropDuplicates()
+    sources = coords.select(
+        F.col("iid").cast("long").alias("iid"),
+        F.coalesce("source", F.lit("unknown")).alias("source"),
+    ).dropna().dropDuplicates()
     pairs = p1_found(spark, d).withColumn("iid", F.explode(F.array_distinct(F.array("iid_1", "iid_2"))))
-    return pairs.join(sources, "iid").select("iid_1", "iid_2", "split", "source").dropDuplicates().groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return pairs.join(sources, "iid").select(
+        "iid_1",
+        "iid_2",
+        "split",
+        "source",
+    ).dropDuplicates().groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,11 +52,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_ranks(spark: SparkSession, d: str) -> DataFrame:
     """The best peaks with their score and rank."""
     peaks = table(spark, d, "gradient_peaks_summary")
-    return top_n_per_group(peaks, ["variable", "snp_index"], F.col("zscore"), ["embedding_dim", "peak_index"], 5).withColumnRenamed("score", "zscore")
+    return top_n_per_group(
+        peaks,
+        ["variable", "snp_index"],
+        F.col("zscore"),
+        ["embedding_dim", "peak_index"],
+        5,
+    ).withColumnRenamed("score", "zscore")
 
 
 def _related(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
-    both = scratch.write(acc.in_both(table(spark, d, "coords_with_bioclim"), table(spark, d, "combined_variables_dataset_normalized")), "records")
+    both = scratch.write(
+        acc.in_both(table(spark, d, "coords_with_bioclim"), table(spark, d, "combined_variables_dataset_normalized")),
+        "records",
+    )
     edges = place_edges(both, "iid", "x", "y", SAME_PLACE).unionByName(shared_value_edges(both, "iid", "fid"))
     return scratch.write(related_groups(both, "iid", edges, scratch).withColumnRenamed("group", "group_iid"), "groups")
 
@@ -63,7 +80,11 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     """Every accession of both tables with its group and split, 80/10/10 by normalized rows."""
     scratch = Scratch(spark, "related")
     groups = _related(spark, d, scratch)
-    rows = table(spark, d, "combined_variables_dataset_normalized").groupBy(F.col("iid").cast("long").alias("iid")).agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = table(
+        spark,
+        d,
+        "combined_variables_dataset_normalized",
+    ).groupBy(F.col("iid").cast("long").alias("iid")).agg(F.count(F.lit(1)).alias("n_rows"))
     weights = groups.join(rows, "iid").groupBy("group_iid").agg(F.sum("n_rows").alias("n_rows"))
     return groups.join(assign_splits(weights, "group_iid", "n_rows", scratch), "group_iid").select("iid", "group_iid", "split")
 
@@ -79,7 +100,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Each climate group's size and most typical accessions, those of its densest cell."""
-    return describe_clusters(_climates(spark, d), "iid").select(F.col("cluster").alias("cluster_iid"), "size", "densest_cell", F.array_join(F.transform("typical", lambda x: x.cast("string")), ";").alias("typical"))
+    return describe_clusters(_climates(spark, d), "iid").select(
+        F.col("cluster").alias("cluster_iid"),
+        "size",
+        "densest_cell",
+        F.array_join(F.transform("typical", lambda x: x.cast("string")), ";").alias("typical"),
+    )
 
 
 #: Tokens a container holds.
@@ -93,8 +119,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are."""
-    held = p7_containers(spark, d).groupBy("seed", "seed_part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("texts"))
-    return held.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"), F.round(F.sum("n") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"), F.round(F.avg("texts"), 6).alias("mean_texts"))
+    held = p7_containers(spark, d).groupBy("seed", "seed_part").agg(
+        F.sum("n_tokens").alias("n"),
+        F.count(F.lit(1)).alias("texts"),
+    )
+    return held.agg(
+        F.count(F.lit(1)).alias("n_containers"),
+        F.sum("n").alias("n_tokens"),
+        F.round(F.sum("n") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"),
+        F.round(F.avg("texts"), 6).alias("mean_texts"),
+    )
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +150,13 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Spam pages per source, with how much of them repeats."""
     docs = table(spark, d, "documents")
     found = spam_pages(docs)
-    return docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source")).join(found, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_spam"), F.round(F.avg("covered"), 6).alias("mean_covered"))
+    return docs.select(
+        "doc_id",
+        F.coalesce("source", F.lit("unknown")).alias("source"),
+    ).join(found, "doc_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_spam"),
+        F.round(F.avg("covered"), 6).alias("mean_covered"),
+    )
 
 
 QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters,

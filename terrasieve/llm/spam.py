@@ -140,7 +140,9 @@ def page_measures(text: str, threshold: float, min_repeats: int) -> tuple[float,
         return (outside / total if total else 0.0), 0.0
     ids: dict[str, int] = {}
     symbols = [ids.setdefault(w, len(ids)) for words, _, _ in segments for w in words]
-    cover = [c for i in range(0, len(symbols), SECTION_WORDS) for c in repeated_cover(symbols[i : i + SECTION_WORDS], min_repeats)]
+    cover = [
+        c for i in range(0, len(symbols), SECTION_WORDS) for c in repeated_cover(symbols[i : i + SECTION_WORDS], min_repeats)
+    ]
     found = i = 0
     for words, loose, tagged in segments:
         if loose:
@@ -149,7 +151,16 @@ def page_measures(text: str, threshold: float, min_repeats: int) -> tuple[float,
     return outside / total, found / letters
 
 
-def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", *, threshold: float = 0.55, min_cover: float = 0.08, min_score: float = 0.8, min_repeats: int = 2) -> DataFrame:
+def spam_pages(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    *,
+    threshold: float = 0.55,
+    min_cover: float = 0.08,
+    min_score: float = 0.8,
+    min_repeats: int = 2,
+) -> DataFrame:
     """(key, outside, covered) of the pages that are mostly repeated matter outside clauses.
 
     At least ``threshold`` of the words must stand outside clauses, ``min_cover`` of the letters there be repeated, and
@@ -169,6 +180,13 @@ def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", *, thre
                 outside, covered = page_measures(t, threshold, min_repeats) if t else (0.0, 0.0)
                 if outside >= threshold and covered >= min_cover and outside + covered / 2 >= min_score:
                     keep.append(i), outsides.append(outside), covers.append(covered)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(outsides, pa.float64()), pa.array(covers, pa.float64())], names=[key, "outside", "covered"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(keep, pa.int64())),
+                    pa.array(outsides, pa.float64()),
+                    pa.array(covers, pa.float64()),
+                ],
+                names=[key, "outside", "covered"],
+            )
 
     return source.mapInArrow(judge, schema)

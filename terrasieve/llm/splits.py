@@ -25,20 +25,32 @@ def random_mate_components(edges: DataFrame, scratch: Scratch, *, seed: int = 0,
     ignored; no edges give no rows. Each round is a written table, and only counts come to the driver.
     """
     u, v = F.col("u"), F.col("v")
-    current = scratch.write(edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u < v").dropDuplicates(), "edges_0")
+    current = scratch.write(
+        edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u < v").dropDuplicates(),
+        "edges_0",
+    )
     mates: list[DataFrame] = []
     for r in range(1, max_rounds + 1):
         if current.isEmpty():
             break
         head = lambda c, r=r: F.xxhash64(F.col(c), F.lit(seed), F.lit(r)).bitwiseAND(F.lit(1)) == 1
         directed = current.unionByName(current.select(v.alias("u"), u.alias("v")))
-        chosen = scratch.write(directed.filter(~head("u") & head("v")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")), f"mates_{r}")
+        chosen = scratch.write(
+            directed.filter(~head("u") & head("v")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")),
+            f"mates_{r}",
+        )
         mates.append(chosen)
         a = chosen.select(F.col("node").alias("u"), F.col("parent").alias("to_u"))
         b = chosen.select(F.col("node").alias("v"), F.col("parent").alias("to_v"))
         # an edge between two heads stays, one between two tails may move at both ends
-        renamed = current.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("to_u", "u").alias("p"), F.coalesce("to_v", "v").alias("q"))
-        current = scratch.write(renamed.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).dropDuplicates(), f"edges_{r}")
+        renamed = current.join(a, "u", "left").join(b, "v", "left").select(
+            F.coalesce("to_u", "u").alias("p"),
+            F.coalesce("to_v", "v").alias("q"),
+        )
+        current = scratch.write(
+            renamed.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).dropDuplicates(),
+            f"edges_{r}",
+        )
         scratch.drop(f"edges_{r - 1}")
     else:
         raise RuntimeError(f"edges are left after {max_rounds} rounds")
@@ -50,7 +62,14 @@ def random_mate_components(edges: DataFrame, scratch: Scratch, *, seed: int = 0,
     forest = scratch.write(forest, "forest_0")
     for i in range(1, 64):
         up = forest.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        forest = scratch.write(forest.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), f"forest_{i}")
+        forest = scratch.write(
+            forest.join(up, "parent", "left").select(
+                "node",
+                F.coalesce("above", "parent").alias("parent"),
+                F.col("above").isNotNull().alias("moved"),
+            ),
+            f"forest_{i}",
+        )
         moved = forest.filter("moved").isEmpty()
         scratch.drop(f"forest_{i - 1}")
         forest = forest.select("node", "parent")
@@ -65,7 +84,16 @@ def place_edges(records: DataFrame, key: str, x: str, y: str, tolerance: float)
 
     Records of one cell form a star around its smallest key; linked cells are tied by theirs.
     """
-    placed = with_cells(records.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("node"), F.col(x).alias("x"), F.col(y).alias("y")), "x", "y", tolerance)
+    placed = with_cells(
+        records.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+            F.col(key).alias("node"),
+            F.col(x).alias("x"),
+            F.col(y).alias("y"),
+        ),
+        "x",
+        "y",
+        tolerance,
+    )
     centre = placed.groupBy("cx", "cy").agg(F.min("node").alias("centre"))
     stars = placed.join(centre, ["cx", "cy"]).select(F.col("centre").alias("u"), F.col("node").alias("v")).filter("u <> v")
     a = centre.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("centre").alias("u"))
@@ -89,7 +117,15 @@ def related_groups(records: DataFrame, key: str, edges: DataFrame, scratch: Scra
     return records.select(key).dropDuplicates().join(named, key, "left").select(key, F.coalesce("group", key).alias("group"))
 
 
-def assign_splits(groups: DataFrame, group: str, weight: str, scratch: Scratch, *, shares: Sequence[tuple[str, float]] = (("train", 0.8), ("val", 0.1), ("test", 0.1)), seed: int = 0) -> DataFrame:
+def assign_splits(
+    groups: DataFrame,
+    group: str,
+    weight: str,
+    scratch: Scratch,
+    *,
+    shares: Sequence[tuple[str, float]] = (("train", 0.8), ("val", 0.1), ("test", 0.1)),
+    seed: int = 0,
+) -> DataFrame:
     """``groups`` (one row per group, with a weight) with ``split``: groups in hashed order, cut where the cumulative weight reaches each share.
 
     Groups above ``LARGE_SHARE`` of all weight come first and so fall into the first split. Shares are met to

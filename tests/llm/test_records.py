@@ -81,7 +81,9 @@ def test_overlaps_match_brute_force(spark, monkeypatch, bounds):
     pts = cloud(3, 90) + [(0.004, 0.004)] * 30 + [(-0.0019, -0.0001), (0.0, 0.0), (179.9999, 89.9999), (-180.0, -90.0)]
     r = random.Random(4)
     people = [(i, *p) for i, p in enumerate(pts)] + [(500, None, None), (501, None, None), (-3, 0.001, 0.001)]
-    listed = [(i, r.choice(["train", "train", "val", "test"])) for i, *_ in people for _ in range(r.choice([1, 1, 2]))] + [(999, "train"), (None, "val"), (501, None)]
+    listed = [
+        (i, r.choice(["train", "train", "val", "test"])) for i, *_ in people for _ in range(r.choice([1, 1, 2]))
+    ] + [(999, "train"), (None, "val"), (501, None)]
     df = spark.createDataFrame(people, "iid long, x double, y double")
     ls = spark.createDataFrame(listed, "iid long, split string")
     got = {tuple(x) for x in overlap.cross_split_overlaps(df, ls, "iid", "x", "y", TOL).collect()}
@@ -105,11 +107,25 @@ def test_overlaps_of_nothing(spark):
 
 
 def test_accessions_are_cleaned(spark):
-    rows = [(1, 5, 1.0, 2.0), (1, 5, None, None), (2, 0, -9.0, 3.0), (3, -9, math.nan, 1.0), (4, None, 200.0, 1.0), (5, 7, 180.0, 90.0), (None, 1, 1.0, 1.0)]
-    df = spark.createDataFrame(rows, "iid long, fid long, long double, lat double").withColumn("x", F.lit("clash")).withColumn("y", F.lit(1))
+    rows = [
+        (1, 5, 1.0, 2.0),
+        (1, 5, None, None),
+        (2, 0, -9.0, 3.0),
+        (3, -9, math.nan, 1.0),
+        (4, None, 200.0, 1.0),
+        (5, 7, 180.0, 90.0),
+        (None, 1, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "iid long, fid long, long double, lat double",
+    ).withColumn("x", F.lit("clash")).withColumn("y", F.lit(1))
     got = {r["iid"]: (r["x"], r["y"], r["fid"]) for r in accessions.accessions(df).collect()}
     assert got == {1: (1.0, 2.0, 5), 2: (None, None, None), 3: (None, None, None), 4: (None, None, None), 5: (180.0, 90.0, 7)}
-    s = spark.createDataFrame([(" 07", "TRAIN "), ("7.0", "training"), ("8", "Validation"), ("9", "?"), (None, "test")], "iid string, split string")
+    s = spark.createDataFrame(
+        [(" 07", "TRAIN "), ("7.0", "training"), ("8", "Validation"), ("9", "?"), (None, "test")],
+        "iid string, split string",
+    )
     assert sorted(map(tuple, accessions.listed_splits(s).collect())) == [(7, "train"), (8, "val")]
 
 
@@ -118,15 +134,37 @@ def test_accessions_are_cleaned(spark):
 
 def test_top_n_matches_sorting_with_a_hot_group(spark):
     r = random.Random(8)
-    rows = [(r.choice(["hot", "hot", "a", "b", None]), r.choice([1, 1, 2]), round(r.random(), 2) if r.random() > 0.1 else r.choice([None, math.nan]), r.randint(1, 400), r.choice([1, 2, None])) for _ in range(900)]
+    rows = [
+        (
+            r.choice(["hot", "hot", "a", "b", None]),
+            r.choice([1, 1, 2]),
+            round(r.random(), 2) if r.random() > 0.1 else r.choice([None, math.nan]),
+            r.randint(1, 400),
+            r.choice([1, 2, None]),
+        ) for _ in range(900)
+    ]
     rows += rows[:200]  # copies
-    df = spark.createDataFrame(rows, "g string, h int, s double, t int, u int").selectExpr("*", "'z' as score", "'z' as rank", "1 as position")
+    df = spark.createDataFrame(rows, "g string, h int, s double, t int, u int").selectExpr(
+        "*",
+        "'z' as score",
+        "'z' as rank",
+        "1 as position",
+    )
     got = {tuple(x) for x in top_n_per_group(df, ["g", "h"], F.col("s"), ["t", "u"], 4).collect()}
     groups = defaultdict(set)
     for g, h, s, t, u in rows:
         if s is not None and not math.isnan(s):
             groups[g, h].add((-s, t, u is not None, u or 0))
-    want = {(g, h, t, (u if known else None), -s, i + 1) for (g, h), items in groups.items() for i, (s, t, known, u) in enumerate(sorted(items)[:4])}
+    want = {
+        (
+            g,
+            h,
+            t,
+            (u if known else None),
+            -s,
+            i + 1,
+        ) for (g, h), items in groups.items() for i, (s, t, known, u) in enumerate(sorted(items)[:4])
+    }
     assert got == want
     assert top_n_per_group(df.limit(0), ["g"], F.col("s"), ["t"], 4).collect() == []
 
@@ -148,7 +186,12 @@ def test_cell_links_match_brute_force(spark, seed):
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "none"])
 def test_random_mates_find_components(spark, shape):
     r = random.Random(2)
-    edges = {"random": [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)], "chain": [(i, i + 1) for i in range(120)], "star": [(7, i) for i in range(150)], "none": [(3, 3), (None, 4)]}[shape]
+    edges = {
+        "random": [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)],
+        "chain": [(i, i + 1) for i in range(120)],
+        "star": [(7, i) for i in range(150)],
+        "none": [(3, 3), (None, 4)],
+    }[shape]
     got = splits.random_mate_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()
     real = [(a, b) for a, b in edges if a is not None and a != b]
     by = defaultdict(set)
@@ -163,12 +206,18 @@ def test_random_mates_find_components(spark, shape):
 
 def test_related_groups_by_place_and_value(spark):
     pts = cloud(5, 60, 0.04)
-    people = [(i, x, y, i % 11 if i % 3 == 0 else None) for i, (x, y) in enumerate(pts)] + [(900, None, None, None), (901, None, None, 3)]
+    people = [
+        (i, x, y, i % 11 if i % 3 == 0 else None) for i, (x, y) in enumerate(pts)
+    ] + [(900, None, None, None), (901, None, None, 3)]
     df = spark.createDataFrame(people, "iid long, x double, y double, fid long")
     scratch = Scratch(spark, "t")
     edges = splits.place_edges(df, "iid", "x", "y", TOL).unionByName(splits.shared_value_edges(df, "iid", "fid"))
     got = {r["iid"]: r["group"] for r in splits.related_groups(df, "iid", edges, scratch).collect()}
-    pairs = [(a[0], b[0]) for a in people for b in people if (a[1] is not None and b[1] is not None and near(a[1:3], b[1:3])) or (a[3] is not None and a[3] == b[3])]
+    pairs = [
+        (a[0], b[0]) for a in people for b in people if (
+            a[1] is not None and b[1] is not None and near(a[1:3], b[1:3])
+        ) or (a[3] is not None and a[3] == b[3])
+    ]
     assert got == roots({p[0] for p in people}, pairs)
 
 
@@ -190,7 +239,14 @@ def test_split_shares_and_large_groups(spark):
 def test_clusters_match_brute_force(spark):
     pts = cloud(11, 150, 0.06) + [(1.0, 1.0)] * 40
     rows = [(i, *p) for i, p in enumerate(pts)] + [(3, *pts[3]), (700, None, 1.0), (701, math.nan, 1.0), (None, 0.0, 0.0)]
-    df = spark.createDataFrame(rows, "iid long, x double, y double").selectExpr("*", "1 as key", "2 as cell", "3 as cx", "4 as label", "5 as size")
+    df = spark.createDataFrame(rows, "iid long, x double, y double").selectExpr(
+        "*",
+        "1 as key",
+        "2 as cell",
+        "3 as cx",
+        "4 as label",
+        "5 as size",
+    )
     got = {r["iid"]: (r["cluster"], r["size"]) for r in grid_clusters(df, "iid", "x", "y", TOL).collect()}
     want = roots(range(len(pts)), [(i, j) for i in range(len(pts)) for j in range(i) if near(pts[i], pts[j])])
     sizes = defaultdict(int)

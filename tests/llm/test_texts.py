@@ -65,7 +65,16 @@ def test_odd_texts(spark):
     r = random.Random(2)
     item = words(r, 20)
     long = words(r, 60_000) + " zq " + item + " zq " + words(r, 60_000)
-    docs = [(1, None), (2, ""), (3, "   "), (4, long), (5, long), (6, "\U0001f600" * 50), (7, "<" * 1000 + "&" * 1000), (None, item)]
+    docs = [
+        (1, None),
+        (2, ""),
+        (3, "   "),
+        (4, long),
+        (5, long),
+        (6, "\U0001f600" * 50),
+        (7, "<" * 1000 + "&" * 1000),
+        (None, item),
+    ]
     assert set(leaks(spark, docs, [(1, item)])) == {(4, 1), (5, 1), (None, 1)}
     assert leaks(spark, [(1, item)], []) == {}
     assert leaks(spark, [], [(1, item)]) == {}
@@ -162,13 +171,21 @@ SOUND = [
     "\n".join(f"2001-02-{i:02d} 10:0{i % 10}:00 INFO fold={i % 5} var=BIO{i} r2=0.{i}" for i in range(1, 25)),
     "accession\tsite\taltitude\tyear\n" + "\n".join(f"Kar-{i}\tPlace{i}\t{i * 31}\t{1950 + i}" for i in range(30)),
     "\n".join(f">s{i}|chr1|{i}\n" + "".join(random.Random(i).choices("ACGT", k=120)) for i in range(10)),
-    "\n".join(f"- https://x{i}.example/{i} : This page tells how the seeds of line {i} were stored and which of them died." for i in range(10)),
+    "\n".join(
+        f"- https://x{i}.example/{i} : This page tells how the seeds of line {i} were stored and which of them died." for i in range(10)
+    ),
     "The price of the grow light rose by 41 percent, so we ordered a used one from the shop. Our old seed trays still work after 19 months in the cold frame.",
 ]
 
 
 def test_spam_and_sound_pages(spark):
-    docs = [(i, t) for i, t in enumerate(SPAM)] + [(100 + i, t) for i, t in enumerate(SOUND)] + [(200, None), (201, ""), (202, " \n "), (203, "12 34"), (None, SPAM[0])]
+    docs = [(i, t) for i, t in enumerate(SPAM)] + [(100 + i, t) for i, t in enumerate(SOUND)] + [
+        (200, None),
+        (201, ""),
+        (202, " \n "),
+        (203, "12 34"),
+        (None, SPAM[0]),
+    ]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as outside", "2 as covered")
     got = {r["doc_id"] for r in spam.spam_pages(df).collect()}
     assert got == {*range(len(SPAM)), None}
@@ -186,7 +203,17 @@ def test_very_long_page(spark):
 def test_tokens_by_pieces_equal_the_tokenizer():
     counter = packing.TokenCounter(packing.VOCABULARY)
     r = random.Random(6)
-    texts = ["", " ", "a", "Don't  stop\n\n  now  ", "é" * 300, "ACGT" * 700, "x­y 12,3.4 !!??", "\t\t a \r\n", "日本語 text"] + [words(r, 40) for _ in range(20)]
+    texts = [
+        "",
+        " ",
+        "a",
+        "Don't  stop\n\n  now  ",
+        "é" * 300,
+        "ACGT" * 700,
+        "x­y 12,3.4 !!??",
+        "\t\t a \r\n",
+        "日本語 text",
+    ] + [words(r, 40) for _ in range(20)]
     for t in texts:
         assert counter.analyse(t)[0] == len(counter.encoding.encode_ordinary(t))
 
@@ -200,7 +227,12 @@ def pack(spark, docs, capacity):
 def test_every_token_in_one_container(spark, monkeypatch, shard):
     monkeypatch.setattr(packing, "SHARD_TEXTS", shard)
     r = random.Random(7)
-    docs = [(i, words(r, r.choice([1, 3, 10, 40, 90, 400]))) for i in range(120)] + [(900, None), (901, ""), (902, docs_text := words(r, 50)), (903, docs_text)]
+    docs = [(i, words(r, r.choice([1, 3, 10, 40, 90, 400]))) for i in range(120)] + [
+        (900, None),
+        (901, ""),
+        (902, docs_text := words(r, 50)),
+        (903, docs_text),
+    ]
     cap = 150
     rows = pack(spark, docs, cap)
     counter = packing.TokenCounter(packing.VOCABULARY)
@@ -211,7 +243,9 @@ def test_every_token_in_one_container(spark, monkeypatch, shard):
     assert max(held.values()) <= cap
     for i, n in sizes.items():
         parts = sorted((x["token_start"], x["n_tokens"]) for x in rows if x["doc_id"] == i)
-        assert sum(p[1] for p in parts) == n and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0
+        assert sum(p[1] for p in parts) == n and all(
+            a + b == c for (a, b), (c, _) in zip(parts, parts[1:], strict=False)
+        ) and parts[0][0] == 0
         assert len(parts) == -(-n // cap)  # nothing is divided but what is larger than a container
     assert {x["doc_id"] for x in rows} == set(sizes)
     if shard > 100:
