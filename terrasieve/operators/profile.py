@@ -244,10 +244,10 @@ def load_issues(
 ) -> DataFrame:
     """(col, load_no, issue): what is wrong with a load.
 
-    missing and impossible are read off the exact aggregates. shifted, rescaled and stuck are changes of
-    distribution: the classifier must tell the load from the reference by that column (alone, or by what its
-    removal costs) by ``min_discrimination`` of AUC, and the exact aggregate then names the kind. The reference
-    load itself can be stuck, which no comparison shows.
+    missing, impossible and stuck are read off the exact aggregates of each load by itself, so that a value stuck in
+    every load is found in every load. shifted and rescaled are changes of distribution: the classifier must tell the
+    load from the reference by that column (alone, or by what its removal costs) by ``min_discrimination`` of AUC,
+    and the exact aggregate then names the kind.
     """
     shift = F.lit(float(max_shift)) if not isinstance(max_shift, dict) else reduce(
         lambda a,
@@ -256,14 +256,13 @@ def load_issues(
         F.when(F.lit(False), F.lit(0.0)),
     )
     told_apart = F.greatest(F.col("auc_alone") - 0.5, F.col("auc") - F.col("auc_without")) >= min_discrimination
-    unclassified = F.col("auc").isNull()
     ratio = F.col("iqr") / F.nullif(F.col("ref_iqr"), F.lit(0.0))
     tests = {
         "missing": F.col("missing_share") > max_missing,
         "impossible": F.col("n_violations") > 0,
         "shifted": told_apart & (F.abs(F.col("median") - F.col("ref_median")) > shift),
         "rescaled": told_apart & ((ratio > spread[1]) | (ratio < spread[0])),
-        "stuck": (told_apart | unclassified) & (F.col("top_share") > max_top_share),
+        "stuck": F.col("top_share") > max_top_share,
     }
     issues = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
     return profiled.select("col", "load_no", F.explode(issues).alias("issue"))

@@ -81,3 +81,8 @@ def test_empty_table_and_lone_load(spark):
     assert profile(df, "load_no", ["x"]).collect() == []
     one = spark.createDataFrame([(1, i, 3.0, 1.0) for i in range(10)], SCHEMA)
     assert {tuple(r) for r in load_issues(profile(one, "load_no", ["x"])).collect()} == {("x", 1, "stuck")}
+
+
+def test_value_stuck_in_every_load_is_found_in_every_load(spark):
+    found = issues(spark, lambda load, i, x, y: (1.5 if i % 3 == 0 else x, y))
+    assert found == {("x", load, "stuck") for load in (1, 2, 3)}
