@@ -13,6 +13,7 @@ from terrasieve.functions.values import present
 from terrasieve.operators import clean, effects, graph, models, packed, peaks, rank, vectors
 from terrasieve.plans.scratch import Scratch
 from terrasieve.queries import table
+from terrasieve.queries.quality import sound_loads
 from terrasieve.sources import tables, text
 
 COORDS, COMBINED = "coords_with_bioclim", "combined_variables_dataset"
@@ -43,10 +44,9 @@ def best_negative_mutation(spark: SparkSession, d: str) -> DataFrame:
     return rank.best_effect(mutations(spark, d), ["accession"], "delta", TIES, "negative")
 
 
-def direction_split(spark: SparkSession, d: str) -> DataFrame:
-    """Best mutations of few-line accessions, split by whether they have the wanted sign."""
+def _direction_split(rows: DataFrame) -> DataFrame:
     best = rank.best_effect(
-        mutations(spark, d).filter("line >= 7"),
+        rows,
         ["accession", "site"],
         "delta",
         TIES,
@@ -58,6 +58,16 @@ def direction_split(spark: SparkSession, d: str) -> DataFrame:
     return n(wanted, "wanted").unionByName(n(other, "other"))
 
 
+def direction_split(spark: SparkSession, d: str) -> DataFrame:
+    """Best mutations of few-line accessions, split by whether they have the wanted sign."""
+    return _direction_split(mutations(spark, d).filter("line >= 7"))
+
+
+def direction_split_all(spark: SparkSession, d: str) -> DataFrame:
+    """Best mutations of all lines, split by whether they have the wanted sign."""
+    return _direction_split(mutations(spark, d))
+
+
 def cumulative_effects(spark: SparkSession, d: str) -> DataFrame:
     out = effects.cumulative_effects(mutations(spark, d), "accession", "site", "delta", TIES)
     return out.select(
@@ -182,13 +192,13 @@ def item_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrence(rows, ["l_orderkey"], "item")
 
 
-def best_matches(spark: SparkSession, d: str) -> DataFrame:
+def _best_matches(spark: SparkSession, d: str, matches: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("query"),
         F.col("l_partkey").alias("target"),
         F.col("l_tax").alias("p"),
         F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("q"),
-    ).filter("q > 0 and query % 7 <> 0")
+    ).filter(matches)
     return graph.best_matches(
         rows,
         "query",
@@ -200,6 +210,15 @@ def best_matches(spark: SparkSession, d: str) -> DataFrame:
     ).select("query", F.coalesce("target", F.lit(-1)).alias("target"), "status")
 
 
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _best_matches(spark, d, "q > 0 and query % 7 <> 0")
+
+
+def best_matches_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over the lines of all suppliers: novel are those that have no match."""
+    return _best_matches(spark, d, "q > 0")
+
+
 def series_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Two loads of a variable side by side on their common accessions."""
     one = lambda k: table(spark, d, COMBINED).filter(F.col("load_no") == k).select("iid", present("bio1").alias("v")).dropna().dropDuplicates(["iid"])
@@ -304,7 +323,7 @@ def reduced_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, COMBINED).filter("load_no in (1, 3, 5, 8)").withColumn("fold", F.pmod(F.xxhash64("iid"), F.lit(5)))
+    return sound_loads(spark, d, COMBINED).withColumn("fold", F.pmod(F.xxhash64("iid"), F.lit(5)))
 
 
 def elastic_net(spark: SparkSession, d: str) -> DataFrame:
@@ -320,20 +339,21 @@ def elastic_net(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elastic_net_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out agreement of models fitted on all loads but the last."""
+    """Held-out agreement of models fitted on all sound loads but the last."""
     from terrasieve.operators.stats import prediction_metrics
 
     rows = _training(spark, d)
-    fitted = models.elastic_net(rows.filter("load_no <> 8"), FEATURES, TARGETS, fold="fold")
+    held = F.col("load_no").eqNullSafe(F.lit(rows.agg(F.max("load_no")).first()[0]))
+    fitted = models.elastic_net(rows.filter(~held), FEATURES, TARGETS, fold="fold")
     rows = rows.withColumn("row_no", F.xxhash64(*rows.columns))
     scored = models.model_predictions(
         rows,
         fitted,
         FEATURES,
         ["row_no", "load_no"],
-        fit_on=F.col("load_no") != 8,
-    ).filter("load_no = 8").dropDuplicates()
-    truth = rows.filter("load_no = 8").select("row_no", *TARGETS).dropDuplicates().unpivot(
+        fit_on=~held,
+    ).filter(held).dropDuplicates()
+    truth = rows.filter(held).select("row_no", *TARGETS).dropDuplicates().unpivot(
         ["row_no"],
         TARGETS,
         "target",
@@ -382,8 +402,8 @@ def site_names(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        best_mutation, best_negative_mutation, direction_split, cumulative_effects, cumulative_scenarios, prediction_trajectories, variant_overlap, site_overlap, effect_magnitude, shared_accessions,
-        common_sites, position_frequency, listed_positions, item_cooccurrence, best_matches, series_overlay, pool_max, pool_mean, strand_averages, flattened_regions, linear_predictions,
+        best_mutation, best_negative_mutation, direction_split, direction_split_all, cumulative_effects, cumulative_scenarios, prediction_trajectories, variant_overlap, site_overlap, effect_magnitude, shared_accessions,
+        common_sites, position_frequency, listed_positions, item_cooccurrence, best_matches, best_matches_all, series_overlay, pool_max, pool_mean, strand_averages, flattened_regions, linear_predictions,
         mutation_deltas, explained_weights, component_shares, reduced_regions, elastic_net, elastic_net_scores, csv_round_trip, phenotype_files, site_names,
     )
 }
@@ -402,6 +422,8 @@ ORACLES = {
     "best_mutation": f"with {_M} {_BEST.format(o='desc')}",
     "best_negative_mutation": f"with {_M} {_BEST.format(o='asc')}",
     "direction_split": f"""with {_M}, b as (select * from (select *, row_number() over (partition by accession, site order by delta desc, site, "position", line) r from m where line >= 7) where r = 1)
+select accession, count(*) n, case when delta < 0 then 'wanted' else 'other' end part from b group by 1, 3""",
+    "direction_split_all": f"""with {_M}, b as (select * from (select *, row_number() over (partition by accession, site order by delta desc, site, "position", line) r from m) where r = 1)
 select accession, count(*) n, case when delta < 0 then 'wanted' else 'other' end part from b group by 1, 3""",
     "cumulative_effects": f"with {_STEPS} select accession, site, \"position\", line, delta, cast(step as integer) step, round(cumulative_delta, 2) cumulative_delta from st",
     "cumulative_scenarios": f"with {_SCEN} select cast(top_n as integer) top_n, accession, round(baseline, 2) baseline_pred, round(baseline + cumulative_delta, 2) final_pred, round(cumulative_delta, 2) cumulative_delta, n_steps from sc",
@@ -423,6 +445,8 @@ select m.site, count(distinct m.accession) n_units, count(*) n, round(avg(delta)
 select snp_index, string_agg(cast(p as varchar), ';' order by p) || case when max(n) > 50 then ';...' else '' end positions from r where r <= 50 group by 1""",
     "item_cooccurrence": """with i as (select distinct l_orderkey o, l_returnflag || l_linestatus i from lineitem) select x.i a, y.i b, count(*) n from i x join i y on x.o = y.o and x.i < y.i group by 1, 2""",
     "best_matches": """with l as (select l_suppkey query, l_partkey target, l_tax p, round(l_discount * l_quantity, 4) q from lineitem where l_suppkey % 7 <> 0), b as (select *, row_number() over (partition by query order by q, p, target) r from l where q > 0)
+select s_suppkey query, coalesce(target, -1) target, case when target is null then 'novel' when q < 0.015 then 'significant' else 'non' end status from supplier left join b on b.query = s_suppkey and r = 1""",
+    "best_matches_all": """with l as (select l_suppkey query, l_partkey target, l_tax p, round(l_discount * l_quantity, 4) q from lineitem), b as (select *, row_number() over (partition by query order by q, p, target) r from l where q > 0)
 select s_suppkey query, coalesce(target, -1) target, case when target is null then 'novel' when q < 0.015 then 'significant' else 'non' end status from supplier left join b on b.query = s_suppkey and r = 1""",
     "pool_max": f"with {_E} select label, dim, max(v) v from e group by 1, 2",
     "pool_mean": f"with {_E} select label, dim, round(avg(v), 6) + 0.0 v from e group by 1, 2",

@@ -10,6 +10,7 @@ from terrasieve.operators import clean, cluster, graph, models, rank, raster, st
 from terrasieve.plans.positions import global_positions
 from terrasieve.plans.scratch import Scratch
 from terrasieve.queries import table
+from terrasieve.queries.quality import sound_loads
 
 COORDS, FIXED, COMBINED, NORMALIZED = "coords_with_bioclim", "coords_with_bioclim_30s_fixed", "combined_variables_dataset", "combined_variables_dataset_normalized"
 BIO = [f"bio{i}" for i in range(1, 20)]
@@ -166,15 +167,24 @@ def corr_representatives(spark: SparkSession, d: str) -> DataFrame:
     ).select("component", "node", _r("distance"), "size")
 
 
-def partitions_compared(spark: SparkSession, d: str) -> DataFrame:
-    """Accessions grouped by raw fid in the two environment tables, as sets of sets."""
-    pick = lambda t: table(spark, d, t).filter("fid >= 1500000 and iid is not null").select("fid", "iid")
+def _partitions_compared(spark: SparkSession, d: str, rows: str) -> DataFrame:
+    pick = lambda t: table(spark, d, t).filter(rows).select("fid", "iid")
     return graph.compare_partitions(pick(COORDS), pick(NORMALIZED), "fid", "iid").groupBy("side").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("members").alias("first_set"),
     )
 
 
+def partitions_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Accessions grouped by raw fid in the two environment tables, as sets of sets."""
+    return _partitions_compared(spark, d, "fid >= 1500000 and iid is not null")
+
+
+def partitions_compared_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every accession grouped by raw fid, marks of missing ones included, in the two environment tables."""
+    return _partitions_compared(spark, d, "iid is not null")
+
+
 def average_ranks(spark: SparkSession, d: str) -> DataFrame:
     return stats.average_rank(table(spark, d, COMBINED).select("load_no", "iid", "bio1"), "bio1", ["load_no"])
 
@@ -405,7 +415,7 @@ def smoothed_uncertainty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def support_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = stats.scale(table(spark, d, COMBINED).filter("load_no in (1, 3, 8)"), ["bio1", "bio2", "bio5", "bio9"], "zscore0")
+    rows = stats.scale(sound_loads(spark, d, COMBINED), ["bio1", "bio2", "bio5", "bio9"], "zscore0")
     return models.linear_svr(rows, ["bio1", "bio2", "bio5", "bio9"], ["bio_11_6", "bio_10_5"])
 
 
@@ -448,7 +458,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nearest_cells, conover_pairs, smoothed_uncertainty, support_vectors, column_groups, aligned_ids, family_shares, clean_complete, missing_by_column, merge_inner, merge_fallback, ids_semi, ids_anti, places_in_box, places_by_source, frequent_sources, split_labels, label_lookup,
-        ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_components, corr_representatives, partitions_compared, average_ranks,
+        ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_components, corr_representatives, partitions_compared, partitions_compared_all, average_ranks,
         prediction_metrics, score_summary, quantiles_by_load, histogram, area_changes, explained_count, median_neighbours, extreme_climates, consensus_extremes, win_tie_loss,
         friedman_ranks, wilcoxon_by_source, bootstrap_interval, id_sets, loads_appended, pivoted_languages, source_counts, global_range, repeated_rows, loads_majority, loads_all,
         loads_any, shuffled_order, listed_order, stratified_split, kmeans_silhouette, consensus_areas,
@@ -528,6 +538,9 @@ select iid, round((coalesce((a - ma) / sa, 0) + coalesce((b - mb) / sb, 0)) / nu
 select component, node, distance, size from (select *, row_number() over (partition by component order by distance, node) r from d) where r = 1""",
     "partitions_compared": f"""with a as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {COORDS} where fid >= 1500000 and iid is not null group by fid)),
 b as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {NORMALIZED} where fid >= 1500000 and iid is not null group by fid))
+select case when a.members is null then 'right' when b.members is null then 'left' else 'both' end side, count(*) n, min(coalesce(a.members, b.members)) first_set from a full join b on a.members = b.members group by 1""",
+    "partitions_compared_all": f"""with a as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {COORDS} where iid is not null group by fid)),
+b as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {NORMALIZED} where iid is not null group by fid))
 select case when a.members is null then 'right' when b.members is null then 'left' else 'both' end side, count(*) n, min(coalesce(a.members, b.members)) first_set from a full join b on a.members = b.members group by 1""",
     "average_ranks": f"""with v as (select load_no, iid, bio1, {val('bio1')} x from {COMBINED}), k as (select *, {_RANK.format(p='load_no', o='x', v='x')} r from v where x is not null)
 select load_no, iid, bio1, r "rank" from k union all select load_no, iid, bio1, null from v where x is null""",

@@ -134,8 +134,8 @@ def point_mutants(spark: SparkSession, d: str) -> DataFrame:
     return sequence.point_mutants(rows, ["doc_id", "record_no"], "seq", "ps")
 
 
-def double_mutants(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequences(spark, d).filter("chromosome = 1").withColumn("ps", F.array(F.lit(1), F.lit(4), F.lit(9)))
+def _double_mutants(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("ps", F.array(F.lit(1), F.lit(4), F.lit(9)))
     out = sequence.multi_mutants(rows, ["doc_id", "record_no"], "seq", "ps", 2)
     return out.select(
         "doc_id",
@@ -146,6 +146,15 @@ def double_mutants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def double_mutants(spark: SparkSession, d: str) -> DataFrame:
+    return _double_mutants(sequences(spark, d).filter("chromosome = 1"))
+
+
+def double_mutants_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of the sequences of every chromosome."""
+    return _double_mutants(sequences(spark, d))
+
+
 def token_checksum(spark: SparkSession, d: str) -> DataFrame:
     ids = sequence.token_ids(F.col("seq"), 120)
     joined = F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
@@ -352,7 +361,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         genotype_missing, genotype_mode, genotype_quality, allele_folded, fasta_records, fasta_round_trip, id_list_round_trip, reverse_complements, substitutions, alternative_bases, point_mutants,
-        double_mutants, token_checksum, variant_places, base_composition, gapped_composition, position_frequencies, consensus_sequences, frequency_difference, majority_bases, motif_statistics,
+        double_mutants, double_mutants_all, token_checksum, variant_places, base_composition, gapped_composition, position_frequencies, consensus_sequences, frequency_difference, majority_bases, motif_statistics,
         motif_file_round_trip, alignment_columns, alignment_quality, packed_segments, regions_parsed, sites_parsed, spaced_sites, merged_regions, capped_regions, exact_windows, shifted_windows,
         window_slices, map_tiles, series_zscores, greedy_peaks, top_weights, negative_weights, weight_mass, peaks_of_weights,
     )
@@ -390,6 +399,9 @@ select doc_id, record_no, case when length(seq) > 3 then substr(seq, 1, 3) || 'A
 select doc_id, record_no, "position", ref, alt, substr(seq, 1, "position") || alt || substr(seq, "position" + 2) mutant from r, (values ('A'), ('C'), ('G'), ('T')) t(alt) where alt <> ref""",
     "double_mutants": f"""with {_SEQ}, p as (select x.*, i, j from x, (values (1, 4), (1, 9), (4, 9)) t(i, j) where chromosome = 1 and length(seq) > j)
 select doc_id, record_no, i || ';' || j positions, a.b || c.b alts, substr(seq, 1, i) || a.b || substr(seq, i + 2, j - i - 1) || c.b || substr(seq, j + 2) mutant
+from p, (values ('A'), ('C'), ('G'), ('T')) a(b), (values ('A'), ('C'), ('G'), ('T')) c(b) where a.b <> substr(seq, i + 1, 1) and c.b <> substr(seq, j + 1, 1)""",
+    "double_mutants_all": f"""with {_SEQ}, p as (select x.*, i, j from x, (values (1, 4), (1, 9), (4, 9)) t(i, j) where length(seq) > j)
+select doc_id, record_no, i || ';' || j positions, a.b || c.b alts, substr(seq, 1, i) || a.b || substr(seq, i + 2, j - i - 1) || c.b || substr(seq, j + 2) mutant
 from p, (values ('A'), ('C'), ('G'), ('T')) a(b), (values ('A'), ('C'), ('G'), ('T')) c(b) where a.b <> substr(seq, i + 1, 1) and c.b <> substr(seq, j + 1, 1)""",
     "token_checksum": f"""with {_SEQ}, t as (select doc_id, record_no, string_split(rpad(seq, 120, 'P'), '') cs from x)
 select doc_id, record_no, md5(array_to_string(list_transform(cs, lambda c: case c when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'P' then '-1' else '4' end), ',')) tokens from t""",

@@ -48,6 +48,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def sound_loads(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Rows of a profiled table whose load has no issue of problem 6 in any profiled column; rows of no load count as one load."""
+    columns, valid, shift = PROFILED[name]
+    df = table(spark, d, name)
+    issues = prof.load_issues(prof.profile(df, "load_no", columns, valid={c: valid for c in columns}), max_shift=shift)
+    bad = [r[0] for r in issues.select("load_no").distinct().collect()]  # at most one row a load
+    for load in bad:
+        df = df.filter(~F.col("load_no").eqNullSafe(F.lit(load)))
+    return df
+
+
 def _described(name: str, p: DataFrame) -> DataFrame:
     return p.select(F.lit(name).alias("tbl"), *[c for c in p.columns if not c.startswith("ref_")])
 

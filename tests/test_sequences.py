@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terrasieve.operators import sequence, vectors
+from terrasieve.queries import genetics
+from tests.comparing import connection, same_rows
 
 
 def one(spark, column, **values):
@@ -82,3 +87,22 @@ def test_pooling_and_places(spark):
     assert vectors.flattened(df, ["g"], "i", "v").collect()[0]["v"] == [1.0, 5.0, 3.0, 1.0]
     out = df.select(vectors.replace_row(F.array(F.col("v"), F.col("v")), F.lit(1), F.array(F.lit(0.0))).alias("m"))
     assert out.collect()[0]["m"] == [[1.0, 5.0], [0.0]]
+
+
+@pytest.fixture(scope="module")
+def sequence_folder(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("sequences")
+    seqs = ["ACGT" * 40 + "A", "ACGT" * 40 + "G", "ACGGT" * 59 + "NT", "C", "GA", "TTA" * 33]
+    docs = [f">acc{i}|chr{i % 3 + 1}|{100 + i}\n{s}\n" for i, s in enumerate(seqs)]
+    pq.write_table(pa.table({"doc_id": list(range(len(docs))), "text": docs}), folder / "documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["double_mutants_all"])
+def test_whole_sequences_agree_with_sql(spark, sequence_folder, name):
+    same_rows(genetics.QUERIES[name](spark, sequence_folder), connection(sequence_folder), genetics.ORACLES[name])
+
+
+def test_double_mutants_of_every_chromosome(spark, sequence_folder):
+    found = {r["doc_id"] for r in genetics.double_mutants_all(spark, sequence_folder).select("doc_id").distinct().collect()}
+    assert found == {0, 1, 2, 5}
