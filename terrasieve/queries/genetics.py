@@ -171,6 +171,27 @@ def variant_places(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "record_no", sequence.variant_index(a, b).alias("at"))
 
 
+def _longest(rows: DataFrame) -> int:
+    """Letters of the longest sequence, so that an encoding of this length cuts none."""
+    return rows.agg(F.max(F.length("seq"))).first()[0] or 1
+
+
+def token_checksum_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every sequence to its last letter, padded to the longest."""
+    rows = sequences(spark, d)
+    joined = F.array_join(F.transform(sequence.token_ids(F.col("seq"), _longest(rows)), lambda i: i.cast("string")), ",")
+    return rows.select("doc_id", "record_no", F.md5(joined).alias("tokens"))
+
+
+def variant_places_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Where a sequence and itself with its middle and its last base replaced differ, whatever its length."""
+    rows = sequences(spark, d)
+    n, longest = F.length("seq"), _longest(rows)
+    changed = sequence.substitute(sequence.substitute(F.col("seq"), F.floor(n / 2), F.lit("A")), n - 1, F.lit("C"))
+    a, b = sequence.token_ids(F.col("seq"), longest), sequence.token_ids(changed, longest)
+    return rows.select("doc_id", "record_no", sequence.variant_index(a, b).alias("at"))
+
+
 def base_composition(spark: SparkSession, d: str) -> DataFrame:
     out = sequence.base_composition(sequences(spark, d), ["chromosome"], "seq")
     return out.select("chromosome", "position", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("pct")])
@@ -361,7 +382,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         genotype_missing, genotype_mode, genotype_quality, allele_folded, fasta_records, fasta_round_trip, id_list_round_trip, reverse_complements, substitutions, alternative_bases, point_mutants,
-        double_mutants, double_mutants_all, token_checksum, variant_places, base_composition, gapped_composition, position_frequencies, consensus_sequences, frequency_difference, majority_bases, motif_statistics,
+        double_mutants, double_mutants_all, token_checksum, token_checksum_whole, variant_places, variant_places_whole, base_composition, gapped_composition, position_frequencies, consensus_sequences, frequency_difference, majority_bases, motif_statistics,
         motif_file_round_trip, alignment_columns, alignment_quality, packed_segments, regions_parsed, sites_parsed, spaced_sites, merged_regions, capped_regions, exact_windows, shifted_windows,
         window_slices, map_tiles, series_zscores, greedy_peaks, top_weights, negative_weights, weight_mass, peaks_of_weights,
     )
@@ -406,6 +427,10 @@ from p, (values ('A'), ('C'), ('G'), ('T')) a(b), (values ('A'), ('C'), ('G'), (
     "token_checksum": f"""with {_SEQ}, t as (select doc_id, record_no, string_split(rpad(seq, 120, 'P'), '') cs from x)
 select doc_id, record_no, md5(array_to_string(list_transform(cs, lambda c: case c when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'P' then '-1' else '4' end), ',')) tokens from t""",
     "variant_places": f"with {_SEQ} select doc_id, record_no, case when substr(seq, 41, 1) <> 'C' then 40 when substr(seq, 13, 1) <> 'A' then 12 else -1 end \"at\" from x where length(seq) >= 60",
+    "token_checksum_whole": f"""with {_SEQ}, n as (select max(length(seq)) n from x), t as (select doc_id, record_no, string_split(rpad(seq, cast(n as integer), 'P'), '') cs from x, n)
+select doc_id, record_no, md5(array_to_string(list_transform(cs, lambda c: case c when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'P' then '-1' else '4' end), ',')) tokens from t""",
+    "variant_places_whole": f"""with {_SEQ}, n as (select max(length(seq)) // 2 m from x), t as (select doc_id, record_no, m, length(seq) // 2 i, length(seq) - 1 j, length(seq) > 1 and substr(seq, length(seq) // 2 + 1, 1) <> 'A' and length(seq) // 2 < length(seq) - 1 a, substr(seq, length(seq), 1) <> 'C' b from x, n)
+select doc_id, record_no, cast(case when (a and i = m) or (b and j = m) then m when b then j when a then i else -1 end as integer) "at" from t""",
     "base_composition": f"""with {_SEQ}, {_L}, k as (select chromosome, count(*) k from x group by 1), c as (select chromosome, "position", {', '.join(f"count(case when base = '{b}' then 1 end) b_{b.lower()}" for b in 'ATGC')} from l group by 1, 2)
 select chromosome, "position", {', '.join(f'round(100.0 * b_{b} / k, 6) pct_{b}' for b in 'atgc')}, round(100.0 * (k - b_a - b_t - b_g - b_c) / k, 6) pct_n from c join k using (chromosome)""",
     "gapped_composition": f"""with {_SEQ}, {_L}, c as (select chromosome, "position", count(*) n, count(case when base = 'N' then 1 end) gap, {', '.join(f"count(case when base = '{b}' then 1 end) b_{b.lower()}" for b in 'ATGC')} from l group by 1, 2)
