@@ -36,44 +36,45 @@ def consensus_agreement(
     ks: Sequence[int],
     runs: int = 5,
     share: float = 0.5,
-    reference: int = 200,
     seed: int = 0,
     bins: int = 20,
     labels: Callable[..., DataFrame] = kmeans_labels,
 ) -> DataFrame:
-    """(k, bin, pairs): for each k, how often two reference records fall into one cluster of those runs that sample both.
+    """(k, bin, pairs): for each k, how often two records fall into one cluster of those runs that sample both, over all pairs.
 
-    Agreement is measured between all records in the sample of the run and ``reference`` fixed records (the smallest
-    hashes): the full matrix would be quadratic in the records. Each (k, run) is one clustering job; ``labels`` may be
-    any function with the arguments of ``kmeans_labels``. A density over the agreement in ``bins`` bins.
+    Agreement depends only on a record's labels over the runs, so records are counted by these, at most (k + 1) ** runs
+    combinations, and the counts multiplied pairwise; with many runs the combinations near the number of records. As
+    in a consensus matrix, pairs that no run samples together agree 0; a pair counts once, and no record with itself.
+    Each (k, run) is one clustering job; ``labels`` may be any function with the arguments of ``kmeans_labels``. A
+    density over the agreement in ``bins`` bins.
     """
     scratch = Scratch(df.sparkSession, "consensus")
-    ref = scratch.write(
-        df.select(key).dropDuplicates().orderBy(F.xxhash64(key, F.lit(seed))).limit(reference).select(F.col(key).alias("ref")),
-        "reference",
-    )
     out = None
     for k in ks:
-        together = None
+        seen = df.select(F.col(key).alias("id"), F.lit(-1).alias("run"), F.lit(-1).alias("cluster"))
         for r in range(runs):
             got = labels(
                 df.filter(in_sample(key, r, share, seed)),
                 columns,
                 k,
                 seed + r,
-            ).select(F.col(key).alias("id"), "cluster")
-            got = scratch.write(got, f"labels_{k}_{r}")
-            anchors = got.join(F.broadcast(ref), F.col("id") == F.col("ref")).select("ref", F.col("cluster").alias("c"))
-            pair = got.join(F.broadcast(anchors)).filter("id <> ref").select(
-                "id",
-                "ref",
-                (F.col("cluster") == F.col("c")).cast("int").alias("same"),
-            )
-            together = pair if together is None else together.unionByName(pair)
-        agreed = together.groupBy("id", "ref").agg((F.sum("same") / F.count(F.lit(1))).alias("m"))
-        hist = agreed.groupBy(
+            ).select(F.col(key).alias("id"), F.lit(r).alias("run"), "cluster")
+            seen = seen.unionByName(scratch.write(got, f"labels_{k}_{r}"))
+        label = lambda r: F.coalesce(F.max(F.when(F.col("run") == r, F.col("cluster"))), F.lit(-1))
+        signed = seen.groupBy("id").agg(F.array(*[label(r) for r in range(runs)]).alias("s"))
+        counts = scratch.write(signed.groupBy("s").agg(F.count(F.lit(1)).alias("n")), f"signatures_{k}")
+        other = counts.select(F.col("s").alias("t"), F.col("n").alias("m"))
+        pairs = F.when(F.col("s") == F.col("t"), F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("m"))
+        tally = lambda hit: F.aggregate(F.zip_with("s", "t", hit), F.lit(0), lambda acc, v: acc + v.cast("int"))
+        both = tally(lambda x, y: (x >= 0) & (y >= 0))
+        same = tally(lambda x, y: (x >= 0) & (x == y))
+        agreed = counts.join(other, F.col("s") <= F.col("t")).select(
+            pairs.alias("pairs"),
+            F.coalesce(same / F.nullif(both, F.lit(0)), F.lit(0.0)).alias("m"),
+        )
+        hist = agreed.filter("pairs > 0").groupBy(
             F.least(F.floor(F.col("m") * bins), F.lit(bins - 1)).cast("int").alias("bin")
-        ).agg(F.count(F.lit(1)).alias("pairs")).withColumn("k", F.lit(k))
+        ).agg(F.sum("pairs").alias("pairs")).withColumn("k", F.lit(k))
         out = hist if out is None else out.unionByName(hist)
     return out.select("k", "bin", "pairs")
 

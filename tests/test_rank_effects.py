@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terrasieve.operators import effects, graph, intervals, peaks, rank
+from terrasieve.operators import cluster, effects, graph, intervals, peaks, rank
 
 
 def test_best_effect_ties_direction_and_missing(spark):
@@ -146,6 +148,20 @@ def test_tiles_cover_every_point_once(spark):
     assert sum(r["n"] for r in got) == len(pts)
 
 
+def test_agreement_counts_every_pair_of_records(spark):
+    df = spark.createDataFrame([(i,) for i in range(300)], "id int")
+    label = lambda k, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int")
+    got = cluster.consensus_agreement(df, "id", [], (2, 3), runs=3, labels=lambda d, c, k, seed: d.withColumn("cluster", label(k, seed)))
+    want = Counter()
+    for k in (2, 3):
+        runs = [F.when(cluster.in_sample("id", r, 0.5), label(k, r)) for r in range(3)]
+        rows = [tuple(row) for row in df.select(*runs).collect()]
+        for a, b in itertools.combinations(rows, 2):
+            both = [x == y for x, y in zip(a, b, strict=True) if x is not None and y is not None]
+            want[k, min(19, int(sum(both) / max(len(both), 1) * 20))] += 1
+    assert {(r["k"], r["bin"]): r["pairs"] for r in got.collect()} == want
+
+
 def test_components_and_representatives(spark):
     edges = spark.createDataFrame(
         [("a", "b", 0.1), ("b", "c", 0.2), ("x", "y", 0.5), ("q", "q", 0.1)],
