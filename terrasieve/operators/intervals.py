@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrasieve.plans.positions import same_as_before
+from terrasieve.plans.scratch import Scratch
 
 #: Longest region that merging may make, in bases.
 LONGEST_REGION = 131_072
@@ -182,42 +183,43 @@ def exact_windows(df: DataFrame, position: str, size: Column, width: int) -> Dat
     return df.withColumn("start", start.cast("long")).withColumn("end", F.least(start + width, size).cast("long"))
 
 
-def greedy_tiles(df: DataFrame, x: str, y: str, step: float, margin: float = 0.1) -> DataFrame:
-    """(tile_x, tile_y, n, x0, x1, y0, y1): tiles of ``step`` that start at the first value not covered yet, first along x, then along y in each column.
+def tile_members(df: DataFrame, keys: Sequence[str], x: str, y: str, step: float) -> DataFrame:
+    """(tile_x, tile_y, keys, x, y): each row in its tile; tiles span ``step`` from the first value beyond the last tile's end, first along x, then along y in each column.
 
-    The fold runs over distinct values rounded to ``step`` / 4, of which a bounded map has a bounded number.
+    The starts are found exactly, each by a smallest value over all rows; along y all columns take a step at once.
+    The driver holds the starts, of which a map has a bounded number. A lone last value opens a tile like any other.
     """
-    quarter = step / 4
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "tiles")
     rows = df.select(
+        *keys,
         F.col(x).cast("double").alias("x"),
         F.col(y).cast("double").alias("y"),
-    ).dropna().filter(~F.isnan("x") & ~F.isnan("y"))
-    cells = rows.groupBy(F.floor(F.col("x") / quarter).alias("cx"), F.floor(F.col("y") / quarter).alias("cy")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("x0"),
-        F.max("x").alias("x1"),
-        F.min("y").alias("y0"),
-        F.max("y").alias("y1"),
-    )
+    ).dropna(subset=["x", "y"]).filter(~F.isnan("x") & ~F.isnan("y"))
+    values = scratch.write(rows.select("x").dropDuplicates(), "x")
+    columns, at = [], values.agg(F.min("x")).first()[0]
+    while at is not None:
+        columns.append((at, at + step))
+        at = values.filter(F.col("x") > at + step).agg(F.min("x")).first()[0]
+    starts = spark.createDataFrame(columns, "tile_x double, end_x double")
+    in_x = rows.join(F.broadcast(starts), (F.col("x") >= F.col("tile_x")) & (F.col("x") <= F.col("end_x"))).drop("end_x")
+    in_x = scratch.write(in_x, "columns")
+    values = scratch.write(in_x.select("tile_x", "y").dropDuplicates(), "y")
+    tiles, ends = [], [(t, float("-inf")) for t, _ in columns]
+    while ends:
+        beyond = values.join(F.broadcast(spark.createDataFrame(ends, "tile_x double, end_y double")), "tile_x").filter("y > end_y")
+        found = [(r[0], r[1], r[1] + step) for r in beyond.groupBy("tile_x").agg(F.min("y")).collect()]  # one row a column
+        tiles += found
+        ends = [(t, end) for t, _, end in found]
+    boxes = F.broadcast(spark.createDataFrame(tiles, "tile_x double, tile_y double, end_y double"))
+    return in_x.join(boxes, "tile_x").filter("y >= tile_y and y <= end_y").select("tile_x", "tile_y", *keys, "x", "y")
 
-    def starts(values: str) -> Column:
-        return F.aggregate(
-            values,
-            F.array().cast("array<long>"),
-            lambda acc,
-            v: F.when((F.size(acc) == 0) | (v >= F.try_element_at(acc, F.lit(-1)) + 4), F.concat(acc, F.array(v))).otherwise(acc),
-        )
-
-    columns = cells.agg(F.array_sort(F.collect_set("cx")).alias("vs")).select(F.explode(starts("vs")).alias("tx"))
-    in_x = cells.join(F.broadcast(columns), (F.col("cx") >= F.col("tx")) & (F.col("cx") < F.col("tx") + 4))
-    rows_ = in_x.groupBy("tx").agg(
-        F.array_sort(F.collect_set("cy")).alias("vs")
-    ).select("tx", F.explode(starts("vs")).alias("ty"))
-    both = in_x.join(rows_, ["tx"]).filter((F.col("cy") >= F.col("ty")) & (F.col("cy") < F.col("ty") + 4))
-    return both.groupBy(F.col("tx").alias("tile_x"), F.col("ty").alias("tile_y")).agg(
-        F.sum("n").alias("n"),
-        (F.min("x0") - margin).alias("x0"),
-        (F.max("x1") + margin).alias("x1"),
-        (F.min("y0") - margin).alias("y0"),
-        (F.max("y1") + margin).alias("y1"),
+
+def greedy_tiles(df: DataFrame, x: str, y: str, step: float, margin: float = 0.1) -> DataFrame:
+    """(tile_x, tile_y, n, x0, x1, y0, y1): the tiles of ``tile_members``, each with its rows counted and the box around them."""
+    return tile_members(df, [], x, y, step).groupBy("tile_x", "tile_y").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.min("x") - margin).alias("x0"),
+        (F.max("x") + margin).alias("x1"),
+        (F.min("y") - margin).alias("y0"),
+        (F.max("y") + margin).alias("y1"),
     )

@@ -318,6 +318,12 @@ def map_tiles(spark: SparkSession, d: str) -> DataFrame:
     return intervals.greedy_tiles(clean.with_place(table(spark, d, "coords_with_bioclim")), "long", "lat", 3.8)
 
 
+def map_tile_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The identifiers of every tile, a row for each."""
+    rows = clean.with_place(table(spark, d, "coords_with_bioclim")).select("fid", "iid", "long", "lat")
+    return intervals.tile_members(rows, ["fid", "iid"], "long", "lat", 3.8).select("tile_x", "tile_y", "fid", "iid")
+
+
 def series_zscores(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_id", "value")
     return peaks.series_zscore(rows, ["user_id"], "value").select("user_id", "event_id", F.round("z", 6).alias("z"))
@@ -384,7 +390,7 @@ QUERIES = {
         genotype_missing, genotype_mode, genotype_quality, allele_folded, fasta_records, fasta_round_trip, id_list_round_trip, reverse_complements, substitutions, alternative_bases, point_mutants,
         double_mutants, double_mutants_all, token_checksum, token_checksum_whole, variant_places, variant_places_whole, base_composition, gapped_composition, position_frequencies, consensus_sequences, frequency_difference, majority_bases, motif_statistics,
         motif_file_round_trip, alignment_columns, alignment_quality, packed_segments, regions_parsed, sites_parsed, spaced_sites, merged_regions, capped_regions, exact_windows, shifted_windows,
-        window_slices, map_tiles, series_zscores, greedy_peaks, top_weights, negative_weights, weight_mass, peaks_of_weights,
+        window_slices, map_tiles, map_tile_ids, series_zscores, greedy_peaks, top_weights, negative_weights, weight_mass, peaks_of_weights,
     )
 }
 

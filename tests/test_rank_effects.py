@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 from collections import Counter
 
 from hypothesis import given, settings
@@ -148,6 +149,30 @@ def test_tiles_cover_every_point_once(spark):
     assert sum(r["n"] for r in got) == len(pts)
 
 
+def test_tiles_start_at_the_first_value_not_covered(spark):
+    r = random.Random(3)
+    pts = [(i, round(r.uniform(-20, 20), 2), round(r.uniform(-9, 9), 2)) for i in range(150)]
+
+    def starts(values):
+        out = []
+        for v in sorted(values):
+            if not out or v > out[-1] + 3.8:
+                out.append(v)
+        return out
+
+    want = set()
+    for tx in starts({x for _, x, _ in pts}):
+        column = [p for p in pts if tx <= p[1] <= tx + 3.8]
+        for ty in starts({y for _, _, y in column}):
+            want |= {(tx, ty, i) for i, _, y in column if ty <= y <= ty + 3.8}
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+    got = intervals.tile_members(df, ["id"], "x", "y", 3.8).select("tile_x", "tile_y", "id").collect()
+    assert len(got) == len(want)
+    assert {tuple(g) for g in got} == want
+    tiles = {(t["tile_x"], t["tile_y"]): t["n"] for t in intervals.greedy_tiles(df, "x", "y", 3.8).collect()}
+    assert tiles == {t: sum(w[:2] == t for w in want) for t in {w[:2] for w in want}}
+
+
 def test_agreement_counts_every_pair_of_records(spark):
     df = spark.createDataFrame([(i,) for i in range(300)], "id int")
     label = lambda k, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int")
