@@ -7,7 +7,7 @@ over. Missing values (null, NaN, no-data) take no part.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -240,6 +240,13 @@ def closest_to_median(df: DataFrame, key: str, value: str, n: int = 10) -> DataF
     ).orderBy("distance", key).limit(n)
 
 
+def _poisson_copies(key: str, seed: int) -> Callable[[Column], Column]:
+    """How often a row is drawn in a repetition: Poisson(1) by a hash of its key."""
+    u = lambda r: (F.pmod(F.xxhash64(F.col(key), r, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+    return lambda r: reduce(lambda a, b: a + b, [(u(r) > c).cast("int") for c in cuts])
+
+
 def bootstrap_mean(
     df: DataFrame,
     key: str,
@@ -256,9 +263,7 @@ def bootstrap_mean(
     is moved: the table is aggregated once, with ``reps`` partial sums a task. Agrees with drawing with
     replacement in law, not draw for draw.
     """
-    u = lambda r: (F.pmod(F.xxhash64(F.col(key), r, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-    copies = lambda r: reduce(lambda a, b: a + b, [(u(r) > c).cast("int") for c in cuts])
+    copies = _poisson_copies(key, seed)
     rows = df.select(*group, key, present(F.col(value).cast("double")).alias("v")).dropna(subset=["v"])
     drawn = rows.withColumn(
         "rep",
@@ -273,6 +278,44 @@ def bootstrap_mean(
     return join_same(plain, bounds, group)
 
 
+def bootstrap_r2(
+    df: DataFrame,
+    key: str,
+    truth: str,
+    prediction: str,
+    *,
+    group: Sequence[str] = (),
+    reps: int = 1000,
+    seed: int = 42,
+    alpha: float = 0.05,
+) -> DataFrame:
+    """Per group: R2 of a prediction and its percentile interval under resampling of pairs, drawn as in ``bootstrap_mean``."""
+    copies = _poisson_copies(key, seed)
+    rows = df.select(
+        *group,
+        key,
+        present(F.col(truth).cast("double")).alias("y"),
+        present(F.col(prediction).cast("double")).alias("p"),
+    ).dropna(subset=["y", "p"])
+    # deviations from one centre keep the sums of squares exact enough
+    rows = rows.join(F.broadcast(rows.agg(F.avg("y").alias("c")))).withColumns({"e": F.col("y") - F.col("p"), "y": F.col("y") - F.col("c")})
+
+    def r2(w: Column) -> Column:
+        spread = F.sum(w * F.col("y") * F.col("y")) - F.sum(w * F.col("y")) * F.sum(w * F.col("y")) / F.sum(w)
+        return 1 - F.sum(w * F.col("e") * F.col("e")) / F.nullif(spread, F.lit(0.0))
+
+    drawn = rows.withColumn(
+        "rep",
+        F.explode(F.sequence(F.lit(1), F.lit(reps))),
+    ).withColumn("w", copies(F.col("rep"))).filter("w > 0")
+    bounds = drawn.groupBy(*group, "rep").agg(r2(F.col("w")).alias("m")).groupBy(*group).agg(
+        F.percentile("m", F.lit(alpha / 2)).alias("low"),
+        F.percentile("m", F.lit(1 - alpha / 2)).alias("high"),
+    )
+    plain = rows.groupBy(*group).agg(F.count("y").alias("n"), r2(F.lit(1.0)).alias("r2"))
+    return join_same(plain, bounds, group)
+
+
 def win_tie_loss(df: DataFrame, block: str, model: str, score: str) -> DataFrame:
     """(a, b, wins, ties, losses, mean_diff) for every pair of models over the blocks both have; a small table of models."""
     rows = df.select(block, F.col(model).alias("model"), present(F.col(score).cast("double")).alias("s")).dropna(subset=["s"])

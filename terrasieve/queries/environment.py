@@ -294,6 +294,12 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap_mean(rows, "o_orderkey", "o_totalprice", group=["o_orderpriority"], reps=100)
 
 
+def bootstrap_r2(spark: SparkSession, d: str) -> DataFrame:
+    """How well bio6 stands in for bio11, per collection, with an interval from 1,000 resamples; deliveries of one accession are drawn together."""
+    rows = table(spark, d, COORDS).filter("source is not null")
+    return stats.bootstrap_r2(rows, "iid", "bio11", "bio6", group=["source"])
+
+
 def id_sets(spark: SparkSession, d: str) -> DataFrame:
     """Union, intersection and differences of the accessions of two tables, counted."""
     a, b = (table(spark, d, t).select("iid").dropna().dropDuplicates() for t in (COORDS, NORMALIZED))
@@ -460,7 +466,7 @@ QUERIES = {
         nearest_cells, conover_pairs, smoothed_uncertainty, support_vectors, column_groups, aligned_ids, family_shares, clean_complete, missing_by_column, merge_inner, merge_fallback, ids_semi, ids_anti, places_in_box, places_by_source, frequent_sources, split_labels, label_lookup,
         ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_components, corr_representatives, partitions_compared, partitions_compared_all, average_ranks,
         prediction_metrics, score_summary, quantiles_by_load, histogram, area_changes, explained_count, median_neighbours, extreme_climates, consensus_extremes, win_tie_loss,
-        friedman_ranks, wilcoxon_by_source, bootstrap_interval, id_sets, loads_appended, pivoted_languages, source_counts, global_range, repeated_rows, loads_majority, loads_all,
+        friedman_ranks, wilcoxon_by_source, bootstrap_interval, bootstrap_r2, id_sets, loads_appended, pivoted_languages, source_counts, global_range, repeated_rows, loads_majority, loads_all,
         loads_any, shuffled_order, listed_order, stratified_split, kmeans_silhouette, consensus_areas,
     )
 } | {f"scale_{m}": _scaled(m) for m in ("zscore", "zscore0", "minmax", "robust")}

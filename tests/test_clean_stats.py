@@ -143,3 +143,13 @@ def test_small_series(spark):
     assert stats.smallest_reaching(df, "k", "a", 0.5).collect()[0]["k"] == 2
     assert stats.smallest_reaching(df.limit(0), "k", "a", 0.5).collect()[0]["k"] is None
     assert stats.correlation_pairs(df, ["a"]).count() == 0
+
+
+def test_bootstrap_of_r2_holds_the_plain_value(spark):
+    rows = [(i, float(i % 17), i % 17 + ((i * 7) % 11 - 5) / 2.0) for i in range(400)] + [(400, None, 1.0)]
+    r = stats.bootstrap_r2(spark.createDataFrame(rows, "id int, y double, p double"), "id", "y", "p").collect()[0]
+    y, e = [a for _, a, _ in rows[:400]], [a - b for _, a, b in rows[:400]]
+    mean = sum(y) / 400
+    assert r["n"] == 400
+    assert abs(r["r2"] - (1 - sum(x * x for x in e) / sum((a - mean) ** 2 for a in y))) < 1e-9
+    assert r["r2"] - 0.05 < r["low"] < r["r2"] < r["high"] < r["r2"] + 0.05
