@@ -1,16 +1,16 @@
 """Keyword-stuffed and link-list pages.
 
-A page is spam when most of its text stands outside clauses and that text repeats itself. Repetition is measured
-with the page's suffix automaton over words: for every place the longest phrase ending there that occurs at least
-``min_repeats`` times on the page is read off a suffix link, and what these maximal repeated phrases cover is
-counted in characters. Logs and tables, whose tokens are mostly figures, sequences, which never repeat, and
-templates filled in as sentences are thereby told from spam.
+A page is spam when its words stand outside sentences and are the same words over and over. Repetition is measured
+with the suffix automaton of every page, whose symbols are the page's words and figures: for every place the longest
+phrase ending there that returns often enough is read off the suffix links, and what these repeated maximal phrases
+cover is counted in characters. Sentences are told by their form alone, so no language is known or unknown to it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,71 +18,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Fixed lists of common function words, by language; they show that words are joined into clauses.
-FUNCTION_WORDS = frozenset(
-    (
-        "the a an of in on at by to from with for and or but nor yet so as is are was were be been has have had "
-        "that this these those which who while when where after before because since although if than then it its "
-        "we our they their he she his her not no only how around into within between above below over under only did does do "
-        "der die das den dem des ein eine einen einem einer und oder aber in im an am auf aus bei mit nach von vom zu "
-        "zum zur um als ist war wurde wurden waren sind haben hat wir sie es nicht noch für obwohl weil dass daher über "
-        "el la los las un una unos unas de del al en y o que se su sus fue fueron es son era por para con sin sobre más "
-        "menos pero porque no lo entre desde hasta durante "
-        "le les des du au aux et ou est sont était une dans par pour sur avec sans nous ils elles ont a été ne pas plus "
-        "que qui ce cette ces car après avant entre depuis"
-    ).split()
-)
-#: Function words that also stand inside names of wares; they don't count towards the kinds a clause needs.
-_LINKING = frozenset("de du des del en pas".split())
-_WORD = re.compile(r"[^\W\d_]+")
-_SEGMENT = re.compile(r"[.!?…]+(?=[\s\"'”»)]|$)|[\r\n]+")
-_TOKEN = re.compile(r"\S*\w\S*")
-#: A longer page is measured in sections of so many words, which bounds an automaton's memory; stuffing repeats within a section.
-SECTION_WORDS = 200_000
-_ANY_WORD = re.compile(r"\w+")
+#: A word, also inside a compound written in mixed case, or a figure.
+_SYMBOL = re.compile(r"\d+|[A-ZÀ-Þ]+(?![a-zß-ÿ])|[^\W\d_A-ZÀ-Þ]+|[^\W\d_][^\W\d_A-ZÀ-Þ]*")
+#: Lines, sentences and addresses are taken apart; an address is a part of its own.
+_PART = re.compile(r"(?<=[.!?])\s+|[\r\n]+|(\S*//\S*)")
+_CLOSED = re.compile(r"(?<![.!?])[.!?][\"'”»)]*\s*$")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_FIGURE = re.compile(r"\d")
-_TAG = re.compile(r"#\s?\w")
+#: Words and figures the shortest sentence has.
+SENTENCE_WORDS = 7
 
 
 def repeated_cover(symbols: list[int], min_repeats: int) -> list[bool]:
-    """For each place, whether some phrase that occurs ``min_repeats`` times covers it, from a suffix automaton."""
-    go: list[dict[int, int]] = [{}]
-    link, length, count = [-1], [0], [0]
-    at = []  # the state of each prefix
+    """For each place, whether some phrase that occurs ``min_repeats`` times covers it, from a suffix automaton.
+
+    Most states have a single transition, which is kept in two arrays; only states that branch have a table. A page
+    of millions of words therefore fits a task, and is measured as one.
+    """
+    first, to = array("i", [-1]), array("i", [0])  # a state's first transition
+    more: dict[int, dict[int, int]] = {}  # the others
+    link, length, count = array("i", [-1]), array("i", [0]), array("i", [0])
+    at = array("i")  # the state of each prefix
     last = 0
     for s in symbols:
-        new = len(go)
-        go.append({})
-        length.append(length[last] + 1)
-        count.append(1)
-        link.append(0)
-        p = last
-        while p != -1 and s not in go[p]:
-            go[p][s] = new
+        new = len(link)
+        first.append(-1), to.append(0), link.append(0), count.append(1), length.append(length[last] + 1)
+        p, q = last, -1
+        while p != -1:
+            if first[p] == s:
+                q = to[p]
+                break
+            if first[p] == -1:
+                first[p], to[p] = s, new
+            elif p not in more:
+                more[p] = {s: new}
+            elif (q := more[p].setdefault(s, new)) != new:
+                break
+            else:
+                q = -1
             p = link[p]
         if p != -1:
-            q = go[p][s]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                copy = len(go)
-                go.append(go[q].copy())
-                length.append(length[p] + 1)
-                count.append(0)
-                link.append(link[q])
-                while p != -1 and go[p].get(s) == q:
-                    go[p][s] = copy
+                copy = len(link)
+                first.append(first[q]), to.append(to[q]), link.append(link[q]), count.append(0), length.append(length[p] + 1)
+                if q in more:
+                    more[copy] = more[q].copy()
+                while p != -1:
+                    if first[p] == s:
+                        if to[p] != q:
+                            break
+                        to[p] = copy
+                    elif p in more and more[p].get(s) == q:
+                        more[p][s] = copy
+                    else:
+                        break
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
         at.append(new)
-    by_length = sorted(range(1, len(go)), key=length.__getitem__, reverse=True)
-    for state in by_length:
+    for state in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
         if link[state] > 0:
             count[link[state]] += count[state]
     n = len(symbols)
-    edge = [0] * (n + 1)
+    edge = array("i", bytes(4 * (n + 1)))
     for i, state in enumerate(at):
         while state > 0 and count[state] < min_repeats:
             state = link[state]
@@ -96,59 +95,46 @@ def repeated_cover(symbols: list[int], min_repeats: int) -> list[bool]:
     return covered
 
 
-def _is_clause(words: list[str]) -> bool:
-    """Whether a segment's words are joined by function words, and no content word is stuffed into it."""
-    joined = [w for w in words if w in FUNCTION_WORDS]
-    kinds = set(joined)
-    if len(words) < 4 or len(joined) < 0.14 * len(words) or len(kinds - _LINKING) < (2 if len(words) <= 20 else 4):
+def _is_sentence(words: list[str], closed: bool) -> bool:
+    """Whether a part has a sentence's form: closed by one mark, long enough, and no word stuffed into it."""
+    if not closed or len(words) < SENTENCE_WORDS:
         return False
-    content = Counter(w for w in words if w not in FUNCTION_WORDS and len(w) > 2)
-    most = max(content.values(), default=0)
+    most = max(Counter(w for w in words if len(w) > 3).values(), default=0)
     return most < 3 or most < 0.1 * len(words)
 
 
-def page_measures(text: str, threshold: float, min_repeats: int) -> tuple[float, float]:
-    """(outside, covered): the share of the page's words outside clauses, and of their letters the share in repeated phrases or tags.
+def page_measures(text: str, spacing: int) -> tuple[float, float]:
+    """(loose, covered): the share of the page's letters outside sentences and records, and of those letters the share in repeated phrases.
 
-    A page whose text outside clauses stays below ``threshold`` can't be spam whatever repeats, so the automaton
-    is built for the others alone and covered is 0 here.
+    A phrase counts as repeated if it returns once in ``spacing`` words of the page or more often, twice at least. A
+    line that is figures by half or more, without address or tag, is a record.
     """
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    total = outside = letters = 0
-    segments: list[tuple[list[str], bool, bool]] = []  # words, outside a clause, tagged
-    for segment in _SEGMENT.split(text):
-        size = len(_ANY_WORD.findall(segment))
-        total += size
-        words = _WORD.findall(segment.lower())
-        if not words:
-            continue
-        loose, tagged = not _is_clause(words), False
-        if loose:
-            tokens = _TOKEN.findall(segment)
-            tagged = len(_TAG.findall(segment)) > 2
-            # a line of figures is a record, whatever it repeats; a link or tag may hold figures
-            figures = sum(1 for t in tokens if _FIGURE.search(t) and "//" not in t and not t.startswith("#"))
-            loose = tagged or 2 * figures <= len(tokens)
-            if loose:
-                outside += size
-                letters += sum(map(len, words))
-        segments.append((words, loose, tagged))
-    if not outside or outside < threshold * total:
-        return (outside / total if total else 0.0), 0.0
+    words: list[str] = []
+    parts: list[tuple[int, bool, bool]] = []  # words up to here, closed as a sentence is, an address or tags
+    for part in _PART.split(text):
+        if part and (found := _SYMBOL.findall(part)):
+            words += found
+            linked = "//" in part
+            parts.append((len(words), not linked and bool(_CLOSED.search(part)), linked or "#" in part))
+    if not words:
+        return 0.0, 0.0
+    words = [w.lower() for w in words]
+    letters = [0 if w[0].isdigit() else len(w) for w in words]
     ids: dict[str, int] = {}
-    symbols = [ids.setdefault(w, len(ids)) for words, _, _ in segments for w in words]
-    cover = [
-        c for i in range(0, len(symbols), SECTION_WORDS) for c in repeated_cover(symbols[i : i + SECTION_WORDS], min_repeats)
-    ]
-    found = i = 0
-    for words, loose, tagged in segments:
-        if loose:
-            found += sum(len(w) for w, c in zip(words, cover[i : i + len(words)], strict=True) if c or tagged)
-        i += len(words)
-    return outside / total, found / letters
+    cover = repeated_cover([ids.setdefault(w, len(ids)) for w in words], max(2, -(-len(words) // spacing)))
+    loose = covered = a = 0
+    for b, closed, linked in parts:
+        told = _is_sentence(words[a:b], closed) or (not linked and 2 * letters[a:b].count(0) >= b - a)
+        if not told:
+            loose += sum(letters[a:b])
+            covered += sum(n for n, c in zip(letters[a:b], cover[a:b], strict=True) if c)
+        a = b
+    total = sum(letters)
+    return (loose / total if total else 0.0), (covered / loose if loose else 0.0)
 
 
 def spam_pages(
@@ -156,37 +142,37 @@ def spam_pages(
     key: str = "doc_id",
     text: str = "text",
     *,
-    threshold: float = 0.55,
-    min_cover: float = 0.08,
-    min_score: float = 0.8,
-    min_repeats: int = 2,
+    spacing: int = 80,
+    min_score: float = 1.02,
+    min_loose: float = 0.4,
 ) -> DataFrame:
-    """(key, outside, covered) of the pages that are mostly repeated matter outside clauses.
+    """(key, loose, covered) of the pages that are mostly repeated matter outside sentences.
 
-    At least ``threshold`` of the words must stand outside clauses, ``min_cover`` of the letters there be repeated, and
-    both together, as outside + covered / 2, reach ``min_score``: a page with sentences needs more repetition.
+    ``loose`` is the share of a page's letters outside sentences and records, ``covered`` the share of those that
+    repeated phrases cover; their sum must reach ``min_score``, so a page without sentences needs few repeats and a
+    page with some needs many, and no page is found by either alone while ``min_score`` is above 1.
 
-    Whole texts are read, one page at a time; the table is not shuffled. Null, empty and blank texts are no
-    spam; other columns are ignored; a null key is kept as it is. An empty table gives no rows.
+    Every page's automaton is built from its whole text, one page at a time; the table is not shuffled. Null, empty
+    and blank texts are no spam; other columns are ignored; a null key is kept as it is. An empty table gives no rows.
     """
     source = docs.select(key, text)
-    schema = T.StructType([source.schema[0], T.StructField("outside", T.DoubleType()), T.StructField("covered", T.DoubleType())])
+    schema = T.StructType([source.schema[0], T.StructField("loose", T.DoubleType()), T.StructField("covered", T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, outsides, covers = [], [], []
+            keep, looses, covers = [], [], []
             for i, value in enumerate(batch.column(1)):
                 t = value.as_py()
-                outside, covered = page_measures(t, threshold, min_repeats) if t else (0.0, 0.0)
-                if outside >= threshold and covered >= min_cover and outside + covered / 2 >= min_score:
-                    keep.append(i), outsides.append(outside), covers.append(covered)
+                loose, covered = page_measures(t, spacing) if t else (0.0, 0.0)
+                if loose >= min_loose and loose + covered >= min_score:
+                    keep.append(i), looses.append(loose), covers.append(covered)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(keep, pa.int64())),
-                    pa.array(outsides, pa.float64()),
+                    pa.array(looses, pa.float64()),
                     pa.array(covers, pa.float64()),
                 ],
-                names=[key, "outside", "covered"],
+                names=[key, "loose", "covered"],
             )
 
     return source.mapInArrow(judge, schema)

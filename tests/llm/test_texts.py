@@ -174,6 +174,10 @@ SOUND = [
     "\n".join(
         f"- https://x{i}.example/{i} : This page tells how the seeds of line {i} were stored and which of them died." for i in range(10)
     ),
+    "Kasvit mitattiin uudelleen toukokuussa, koska ensimmäinen lukema oli epäonnistunut. Virhe pieneni selvästi, ja lehdet pysyivät vihreinä kesäkuuhun asti. "
+    "Kasvihuoneen lämpötila nousi hitaasti, eikä kukaan huomannut muutosta ennen syksyn ensimmäisiä pakkasia.",
+    "Le piante sono state misurate di nuovo a maggio perché la prima lettura era fallita. L'errore è diminuito e le foglie sono rimaste verdi fino a giugno. "
+    "Nessuno si aspettava che la serra rimanesse così calda durante le prime notti di gelo dell'autunno.",
     "The price of the grow light rose by 41 percent, so we ordered a used one from the shop. Our old seed trays still work after 19 months in the cold frame.",
 ]
 
@@ -186,12 +190,28 @@ def test_spam_and_sound_pages(spark):
         (203, "12 34"),
         (None, SPAM[0]),
     ]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as outside", "2 as covered")
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as loose", "2 as covered")
     got = {r["doc_id"] for r in spam.spam_pages(df).collect()}
     assert got == {*range(len(SPAM)), None}
     assert spam.spam_pages(df.limit(0)).collect() == []
 
 
+def test_repetition_decides_between_pages_without_sentences():
+    r = random.Random(11)
+    names = ["".join(r.choices("abdeiklmnorstu", k=9)).title() for _ in range(40)]
+    roll = "\n".join(f"{a} {b}" for a, b in zip(names[::2], names[1::2], strict=True))
+    wares = "\n".join(f"{a} grow light {b}" for a, b in zip(["cheap", "best"] * 10, names, strict=False))
+    loose = [spam.page_measures(t, 80)[0] for t in (roll, wares)]
+    covered = [spam.page_measures(t, 80)[1] for t in (roll, wares)]
+    assert loose == [1.0, 1.0] and covered[0] == 0 and covered[1] > 0.4
+
+
+def test_phrases_repeat_across_any_distance():
+    r = random.Random(12)
+    half = [r.randrange(40_000) for _ in range(150_000)]
+    assert sum(spam.repeated_cover(half + [40_001] + half, 2)) == 300_000
+
+
 def test_very_long_page(spark):
     df = spark.createDataFrame([(1, "cheap grow light online " * 60_000)], "doc_id long, text string")
     assert spam.spam_pages(df).count() == 1
