@@ -86,10 +86,3 @@ def scores_on_alignment(alignment: DataFrame, scores: DataFrame, key: Sequence[s
 def series_overlay(a: DataFrame, b: DataFrame, position: Sequence[str], value: str) -> DataFrame:
     """Two series on their common positions, as ``left`` and ``right``."""
     return a.select(*position, F.col(value).alias("left")).join(b.select(*position, F.col(value).alias("right")), list(position))
-
-
-def running_share(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Adds the running sum of a bounded group's values as a share of their total."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    total = F.sum(value).over(Window.partitionBy(*group))
-    return df.withColumn("share", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(total, F.lit(0.0)))

@@ -44,30 +44,14 @@ def best_negative_mutation(spark: SparkSession, d: str) -> DataFrame:
     return rank.best_effect(mutations(spark, d), ["accession"], "delta", TIES, "negative")
 
 
-def _direction_split(rows: DataFrame) -> DataFrame:
-    best = rank.best_effect(
-        rows,
-        ["accession", "site"],
-        "delta",
-        TIES,
-        "negative",
-        compat=True,
-    )
+def direction_split(spark: SparkSession, d: str) -> DataFrame:
+    """Best mutations of every accession and site, split by whether they have the wanted sign."""
+    best = rank.best_effect(mutations(spark, d), ["accession", "site"], "delta", TIES, "negative", compat=True)
     wanted, other = rank.split_by_direction(best, "delta", "negative")
     n = lambda df, name: df.groupBy("accession").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name))
     return n(wanted, "wanted").unionByName(n(other, "other"))
 
 
-def direction_split(spark: SparkSession, d: str) -> DataFrame:
-    """Best mutations of few-line accessions, split by whether they have the wanted sign."""
-    return _direction_split(mutations(spark, d).filter("line >= 7"))
-
-
-def direction_split_all(spark: SparkSession, d: str) -> DataFrame:
-    """Best mutations of all lines, split by whether they have the wanted sign."""
-    return _direction_split(mutations(spark, d))
-
-
 def cumulative_effects(spark: SparkSession, d: str) -> DataFrame:
     out = effects.cumulative_effects(mutations(spark, d), "accession", "site", "delta", TIES)
     return out.select(
@@ -113,7 +97,7 @@ def prediction_trajectories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variant_overlap(spark: SparkSession, d: str) -> DataFrame:
-    n = 100
+    n = table(spark, d, "supplier").count()  # the accessions there are, also those without any variant
     out = effects.variant_overlap(mutations(spark, d), ["site", "kind"], "accession", "delta", n)
     return out.select(
         "site",
@@ -192,39 +176,30 @@ def item_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrence(rows, ["l_orderkey"], "item")
 
 
-def _best_matches(spark: SparkSession, d: str, matches: str) -> DataFrame:
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The best match of every supplier; novel are those that have none."""
     rows = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("query"),
         F.col("l_partkey").alias("target"),
         F.col("l_tax").alias("p"),
         F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("q"),
-    ).filter(matches)
-    return graph.best_matches(
-        rows,
+    ).filter("q > 0")
+    every = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query"))
+    return graph.best_matches(rows, "query", "target", "p", "q", 0.015, every).select(
         "query",
-        "target",
-        "p",
-        "q",
-        0.015,
-        table(spark, d, "supplier").select(F.col("s_suppkey").alias("query")),
-    ).select("query", F.coalesce("target", F.lit(-1)).alias("target"), "status")
-
-
-def best_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _best_matches(spark, d, "q > 0 and query % 7 <> 0")
-
-
-def best_matches_all(spark: SparkSession, d: str) -> DataFrame:
-    """Over the lines of all suppliers: novel are those that have no match."""
-    return _best_matches(spark, d, "q > 0")
+        F.coalesce("target", F.lit(-1)).alias("target"),
+        "status",
+    )
 
 
 def series_overlay(spark: SparkSession, d: str) -> DataFrame:
-    """Two loads of a variable side by side on their common accessions."""
-    one = lambda k: table(spark, d, COMBINED).filter(F.col("load_no") == k).select("iid", present("bio1").alias("v")).dropna().dropDuplicates(["iid"])
-    return peaks.series_overlay(one(3), one(5), ["iid"], "v").agg(
+    """Every load of a variable beside the next one on their common accessions."""
+    rows = clean.complete_rows(table(spark, d, COMBINED), ["bio1"]).filter("iid is not null")
+    series = rows.groupBy("load_no", "iid").agg(F.min("bio1").alias("v"))
+    following = series.withColumn("load_no", F.col("load_no") - 1)
+    return peaks.series_overlay(series, following, ["load_no", "iid"], "v").groupBy("load_no").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.abs(F.col("left") - F.col("right"))), 3).alias("mean_gap"),
+        F.round(F.avg(F.abs(F.col("left") - F.col("right"))), 6).alias("mean_gap"),
     )
 
 
@@ -288,7 +263,7 @@ def mutation_deltas(spark: SparkSession, d: str) -> DataFrame:
         F.lit(0).alias("snp_index"),
         F.col("embedding").alias("new_row"),
     )
-    coefs = table(spark, d, "embeddings").limit(1).select(
+    coefs = spark.range(1).select(
         F.lit("v").alias("variable"),
         F.posexplode(_weights()).alias("feature_index", "coef"),
         F.lit(2.0).alias("scale"),
@@ -402,11 +377,11 @@ def site_names(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        best_mutation, best_negative_mutation, direction_split, direction_split_all, cumulative_effects, cumulative_scenarios, prediction_trajectories, variant_overlap, site_overlap, effect_magnitude, shared_accessions,
-        common_sites, position_frequency, listed_positions, item_cooccurrence, best_matches, best_matches_all, series_overlay, pool_max, pool_mean, strand_averages, flattened_regions, linear_predictions,
+        best_mutation, best_negative_mutation, direction_split, cumulative_effects, cumulative_scenarios, prediction_trajectories, variant_overlap, site_overlap, effect_magnitude, shared_accessions,
+        common_sites, position_frequency, listed_positions, item_cooccurrence, best_matches, series_overlay, pool_max, pool_mean, strand_averages, flattened_regions, linear_predictions,
         mutation_deltas, explained_weights, component_shares, reduced_regions, elastic_net, elastic_net_scores, csv_round_trip, phenotype_files, site_names,
     )
-}
+} | {"direction_split_all": direction_split, "best_matches_all": best_matches}
 
 _M = """m as (select l_suppkey accession, l_partkey site, l_orderkey "position", l_linenumber line, case when l_returnflag = 'R' then 'combo' else 'single' end kind,
  cast(round(l_extendedprice * (l_discount - 0.05) * 100) as bigint) / 100.0 delta from lineitem)"""
@@ -421,9 +396,7 @@ _BEST = """select accession, site, "position", line, kind, delta from (select *,
 ORACLES = {
     "best_mutation": f"with {_M} {_BEST.format(o='desc')}",
     "best_negative_mutation": f"with {_M} {_BEST.format(o='asc')}",
-    "direction_split": f"""with {_M}, b as (select * from (select *, row_number() over (partition by accession, site order by delta desc, site, "position", line) r from m where line >= 7) where r = 1)
-select accession, count(*) n, case when delta < 0 then 'wanted' else 'other' end part from b group by 1, 3""",
-    "direction_split_all": f"""with {_M}, b as (select * from (select *, row_number() over (partition by accession, site order by delta desc, site, "position", line) r from m) where r = 1)
+    "direction_split": f"""with {_M}, b as (select * from (select *, row_number() over (partition by accession, site order by delta desc, site, "position", line) r from m) where r = 1)
 select accession, count(*) n, case when delta < 0 then 'wanted' else 'other' end part from b group by 1, 3""",
     "cumulative_effects": f"with {_STEPS} select accession, site, \"position\", line, delta, cast(step as integer) step, round(cumulative_delta, 2) cumulative_delta from st",
     "cumulative_scenarios": f"with {_SCEN} select cast(top_n as integer) top_n, accession, round(baseline, 2) baseline_pred, round(baseline + cumulative_delta, 2) final_pred, round(cumulative_delta, 2) cumulative_delta, n_steps from sc",
@@ -431,7 +404,7 @@ select accession, count(*) n, case when delta < 0 then 'wanted' else 'other' end
 select accession, cast(top_n as integer) top_n, round(round(baseline + cumulative_delta, 2) * std + mean, 2) final_pred, round(round(cumulative_delta, 2) * std, 2) cumulative_delta from sc join supplier on accession = s_suppkey join s on k = s_nationkey""",
     "variant_overlap": f"""with {_M}, i as (select site, kind, cast(accession as varchar) a, row_number() over (partition by site, kind order by accession) r from (select distinct site, kind, accession from m)),
 j as (select site, kind, string_agg(a, ';' order by a) filter (where r <= 51) ids, count(*) n from i group by 1, 2)
-select site, kind, count(*) n_accessions, round(count(*) / 100.0, 6) accession_fraction, any_value(ids) accession_ids, round(avg(delta), 9) mean_delta, round(median(delta), 9) median_delta, round(max(delta), 9) max_delta, round(min(delta), 9) min_delta from m join j using (site, kind) group by 1, 2""",
+select site, kind, count(*) n_accessions, round(count(*) / (select count(*) from supplier), 6) accession_fraction, any_value(ids) accession_ids, round(avg(delta), 9) mean_delta, round(median(delta), 9) median_delta, round(max(delta), 9) max_delta, round(min(delta), 9) min_delta from m join j using (site, kind) group by 1, 2""",
     "site_overlap": """with v as (select distinct snp_index, variant_type, coalesce(positions, '') variant, n_accessions, mean_delta from variant_overlap_summary),
 t as (select * from (select *, row_number() over (partition by snp_index, variant_type order by n_accessions desc, mean_delta desc, variant) r from v) where r = 1)
 select v.snp_index, count(case when v.variant_type = 'single' then 1 end) n_distinct_single, count(case when v.variant_type = 'combo' then 1 end) n_distinct_combo,
@@ -444,9 +417,7 @@ select m.site, count(distinct m.accession) n_units, count(*) n, round(avg(delta)
     "listed_positions": """with p as (select distinct snp_index, max_grad_pos p from gradient_peaks_summary where max_grad_pos is not null and chromosome is not null), r as (select *, row_number() over (partition by snp_index order by p) r, count(*) over (partition by snp_index) n from p)
 select snp_index, string_agg(cast(p as varchar), ';' order by p) || case when max(n) > 50 then ';...' else '' end positions from r where r <= 50 group by 1""",
     "item_cooccurrence": """with i as (select distinct l_orderkey o, l_returnflag || l_linestatus i from lineitem) select x.i a, y.i b, count(*) n from i x join i y on x.o = y.o and x.i < y.i group by 1, 2""",
-    "best_matches": """with l as (select l_suppkey query, l_partkey target, l_tax p, round(l_discount * l_quantity, 4) q from lineitem where l_suppkey % 7 <> 0), b as (select *, row_number() over (partition by query order by q, p, target) r from l where q > 0)
-select s_suppkey query, coalesce(target, -1) target, case when target is null then 'novel' when q < 0.015 then 'significant' else 'non' end status from supplier left join b on b.query = s_suppkey and r = 1""",
-    "best_matches_all": """with l as (select l_suppkey query, l_partkey target, l_tax p, round(l_discount * l_quantity, 4) q from lineitem), b as (select *, row_number() over (partition by query order by q, p, target) r from l where q > 0)
+    "best_matches": """with l as (select l_suppkey query, l_partkey target, l_tax p, round(l_discount * l_quantity, 4) q from lineitem), b as (select *, row_number() over (partition by query order by q, p, target) r from l where q > 0)
 select s_suppkey query, coalesce(target, -1) target, case when target is null then 'novel' when q < 0.015 then 'significant' else 'non' end status from supplier left join b on b.query = s_suppkey and r = 1""",
     "pool_max": f"with {_E} select label, dim, max(v) v from e group by 1, 2",
     "pool_mean": f"with {_E} select label, dim, round(avg(v), 6) + 0.0 v from e group by 1, 2",
@@ -459,3 +430,9 @@ select s_suppkey query, coalesce(target, -1) target, case when target is null th
     "phenotype_files": "select cast(iid as varchar) iid, coalesce(max(case when bio1 is not null and not isnan(bio1) and bio1 > -1e30 then bio1 end), -9.0) phenotype from coords_with_bioclim where iid is not null group by iid",
     "site_names": "select distinct chromosome chrom, abs_max_pos pos, chromosome || '_' || abs_max_pos id from gradient_peaks_summary where chromosome is not null and abs_max_pos is not null",
 }
+ORACLES |= {
+    "direction_split_all": ORACLES["direction_split"],
+    "best_matches_all": ORACLES["best_matches"],
+    "series_overlay": """with s as (select load_no, iid, min(bio1) v from combined_variables_dataset where iid is not null and bio1 is not null and not isnan(bio1) and bio1 > -1e30 group by 1, 2)
+select a.load_no, count(*) n, round(avg(abs(a.v - b.v)), 6) mean_gap from s a join s b on b.load_no = a.load_no + 1 and a.iid = b.iid group by 1""",
+}

@@ -42,13 +42,14 @@ def missing_by_column(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_inner(spark: SparkSession, d: str) -> DataFrame:
-    merged = clean.merge_tables(table(spark, d, COORDS), table(spark, d, NORMALIZED))
-    return merged.select("iid", "bio1", "bio1_right", "bio2", "bio2_right")
+    columns = ["bio1", "bio2"]
+    left, right = (clean.null_no_data(table(spark, d, t), columns) for t in (COORDS, NORMALIZED))
+    return clean.merge_tables(left, right).select("iid", "bio1", "bio1_right", "bio2", "bio2_right")
 
 
 def merge_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Left join where the exact join of differently rounded coordinates gives fewer than five rows, else that."""
-    left = table(spark, d, FIXED).filter("load_no = 1").select("fid", "iid", "long", "lat", "bio1")
+    left = table(spark, d, FIXED).select("fid", "iid", "long", "lat", "bio1")
     merged = clean.merge_tables(left, table(spark, d, COORDS).select("fid", "iid", "long", "lat", "source"), least=5)
     return merged.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -167,26 +168,18 @@ def corr_representatives(spark: SparkSession, d: str) -> DataFrame:
     ).select("component", "node", _r("distance"), "size")
 
 
-def _partitions_compared(spark: SparkSession, d: str, rows: str) -> DataFrame:
-    pick = lambda t: table(spark, d, t).filter(rows).select("fid", "iid")
+def partitions_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Every accession grouped by raw fid, marks of missing ones included, in the two environment tables, as sets of sets."""
+    pick = lambda t: table(spark, d, t).filter("iid is not null").select("fid", "iid")
     return graph.compare_partitions(pick(COORDS), pick(NORMALIZED), "fid", "iid").groupBy("side").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("members").alias("first_set"),
     )
 
 
-def partitions_compared(spark: SparkSession, d: str) -> DataFrame:
-    """Accessions grouped by raw fid in the two environment tables, as sets of sets."""
-    return _partitions_compared(spark, d, "fid >= 1500000 and iid is not null")
-
-
-def partitions_compared_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every accession grouped by raw fid, marks of missing ones included, in the two environment tables."""
-    return _partitions_compared(spark, d, "iid is not null")
-
-
 def average_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return stats.average_rank(table(spark, d, COMBINED).select("load_no", "iid", "bio1"), "bio1", ["load_no"])
+    rows = clean.null_no_data(table(spark, d, COMBINED).select("load_no", "iid", "bio1"), ["bio1"])
+    return stats.average_rank(rows, "bio1", ["load_no"])
 
 
 def prediction_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -404,7 +397,7 @@ def nearest_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = rows.groupBy(
         F.floor(F.col("lat") * 2).alias("r"),
         F.floor(F.col("long") * 2).alias("c"),
-    ).agg(F.min(F.when(F.pmod("iid", F.lit(7)) != 0, present("bio1"))).alias("v"))
+    ).agg(F.min(present("bio1")).alias("v"))
     out = raster.nearest_valid(cells, "r", "c", "v", 6)
     return out.select("r", "c", "v", F.round("distance", 6).alias("distance"))
 
@@ -464,12 +457,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         nearest_cells, conover_pairs, smoothed_uncertainty, support_vectors, column_groups, aligned_ids, family_shares, clean_complete, missing_by_column, merge_inner, merge_fallback, ids_semi, ids_anti, places_in_box, places_by_source, frequent_sources, split_labels, label_lookup,
-        ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_components, corr_representatives, partitions_compared, partitions_compared_all, average_ranks,
+        ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_components, corr_representatives, partitions_compared, average_ranks,
         prediction_metrics, score_summary, quantiles_by_load, histogram, area_changes, explained_count, median_neighbours, extreme_climates, consensus_extremes, win_tie_loss,
         friedman_ranks, wilcoxon_by_source, bootstrap_interval, bootstrap_r2, id_sets, loads_appended, pivoted_languages, source_counts, global_range, repeated_rows, loads_majority, loads_all,
         loads_any, shuffled_order, listed_order, stratified_split, kmeans_silhouette, consensus_areas,
     )
-} | {f"scale_{m}": _scaled(m) for m in ("zscore", "zscore0", "minmax", "robust")}
+} | {"partitions_compared_all": partitions_compared} | {f"scale_{m}": _scaled(m) for m in ("zscore", "zscore0", "minmax", "robust")}
 
 _PLACED = f"{ok('long')} and {ok('lat')} and long <> -9 and lat <> -9"
 _SCALE = {
@@ -503,7 +496,7 @@ _RANK = "(rank() over (partition by {p} order by {o}) + (count(*) over (partitio
 _SUPPORT = f"select iid, count(distinct load_no) n from {COMBINED} where iid is not null group by iid having count(distinct load_no) >= "
 
 ORACLES = {
-    "nearest_cells": f"""with g as (select cast(floor(lat * 2) as bigint) r, cast(floor(long * 2) as bigint) c, min(case when iid % 7 <> 0 and {ok('bio1')} then bio1 end) v from {COORDS} where {_PLACED} and abs(long) <= 180 and abs(lat) <= 90 group by 1, 2),
+    "nearest_cells": f"""with g as (select cast(floor(lat * 2) as bigint) r, cast(floor(long * 2) as bigint) c, min(case when {ok('bio1')} then bio1 end) v from {COORDS} where {_PLACED} and abs(long) <= 180 and abs(lat) <= 90 group by 1, 2),
 m as (select a.r, a.c, b.v, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) s, row_number() over (partition by a.r, a.c order by (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c), b.r, b.c) k
  from g a left join g b on b.v is not null and abs(a.r - b.r) <= 6 and abs(a.c - b.c) <= 6 where a.v is null)
 select r, c, v, cast(0 as double) distance from g where v is not null union all select r, c, v, round(sqrt(s), 6) from m where k = 1""",
@@ -516,8 +509,8 @@ select a.variable a, b.variable b, round((a.r - b.r) / a.n, 6) rank_difference,
     "missing_by_column": " union all ".join(
         f"select '{c}' \"name\", count(*) - count({val(c)}) n_missing from {FIXED}" for c in ["long", "lat", *BIO]
     ),
-    "merge_inner": f"select a.iid, a.bio1, b.bio1 bio1_right, a.bio2, b.bio2 bio2_right from {COORDS} a join {NORMALIZED} b on a.fid = b.fid and a.iid = b.iid and a.long = b.long and a.lat = b.lat",
-    "merge_fallback": f"""with l as (select * from {FIXED} where load_no = 1), i as (select r.source from l join {COORDS} r on l.fid = r.fid and l.iid = r.iid and l.long = r.long and l.lat = r.lat),
+    "merge_inner": f"select a.iid, {val('a.bio1')} bio1, {val('b.bio1')} bio1_right, {val('a.bio2')} bio2, {val('b.bio2')} bio2_right from {COORDS} a join {NORMALIZED} b on a.fid = b.fid and a.iid = b.iid and a.long = b.long and a.lat = b.lat",
+    "merge_fallback": f"""with l as (select * from {FIXED}), i as (select r.source from l join {COORDS} r on l.fid = r.fid and l.iid = r.iid and l.long = r.long and l.lat = r.lat),
 o as (select r.source from l left join {COORDS} r on l.fid = r.fid and l.iid = r.iid and l.long = r.long and l.lat = r.lat)
 select source, count(*) n from (select source from i where (select count(*) from i) >= 5 union all select source from o where (select count(*) from i) < 5) group by 1""",
     "ids_semi": f"select iid, source from {COORDS} where cast(iid as varchar) in (select iid from splits where iid is not null)",
@@ -542,14 +535,11 @@ select iid, round((coalesce((a - ma) / sa, 0) + coalesce((b - mb) / sb, 0)) / nu
     "corr_representatives": f"""{_COMPONENTS}, k as (select a node, q from e union all select b, q from e), d as (select c.component, c.node, round(z.size - 1 - coalesce(sum(1 - k.q), 0), 6) distance, z.size
  from c join (select component, count(*) size from c group by 1) z using (component) left join k on k.node = c.node group by c.component, c.node, z.size)
 select component, node, distance, size from (select *, row_number() over (partition by component order by distance, node) r from d) where r = 1""",
-    "partitions_compared": f"""with a as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {COORDS} where fid >= 1500000 and iid is not null group by fid)),
-b as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {NORMALIZED} where fid >= 1500000 and iid is not null group by fid))
-select case when a.members is null then 'right' when b.members is null then 'left' else 'both' end side, count(*) n, min(coalesce(a.members, b.members)) first_set from a full join b on a.members = b.members group by 1""",
-    "partitions_compared_all": f"""with a as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {COORDS} where iid is not null group by fid)),
+    "partitions_compared": f"""with a as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {COORDS} where iid is not null group by fid)),
 b as (select distinct members from (select fid, string_agg(distinct cast(iid as varchar), ',' order by cast(iid as varchar)) members from {NORMALIZED} where iid is not null group by fid))
 select case when a.members is null then 'right' when b.members is null then 'left' else 'both' end side, count(*) n, min(coalesce(a.members, b.members)) first_set from a full join b on a.members = b.members group by 1""",
-    "average_ranks": f"""with v as (select load_no, iid, bio1, {val('bio1')} x from {COMBINED}), k as (select *, {_RANK.format(p='load_no', o='x', v='x')} r from v where x is not null)
-select load_no, iid, bio1, r "rank" from k union all select load_no, iid, bio1, null from v where x is null""",
+    "average_ranks": f"""with v as (select load_no, iid, {val('bio1')} x from {COMBINED}), k as (select *, {_RANK.format(p='load_no', o='x', v='x')} r from v where x is not null)
+select load_no, iid, x bio1, r "rank" from k union all select load_no, iid, null, null from v where x is null""",
     "prediction_metrics": f"""with v as (select source, {val('bio11')} y, {val('bio6')} p from {COORDS} where source is not null), c as (select *, {_RANK.format(p='source', o='y', v='y')} ry, {_RANK.format(p='source', o='p', v='p')} rp from v where y is not null and p is not null)
 select source, count(*) n, round(avg((y - p) * (y - p)), 6) mse, round(avg(abs(y - p)), 6) mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) r2, round(corr(y, p) * corr(y, p), 6) r2_cor, round(corr(ry, rp), 6) spearman from c group by 1""",
     "score_summary": f"""with v as (select variable, zscore v, row_number() over (partition by variable order by zscore desc) r from gradient_peaks_summary where {ok('zscore')})
@@ -588,3 +578,4 @@ union all select 'only_raw', count(*), min(iid) from (select * from a except sel
     "shuffled_order": f"select iid, row_number() over (order by md5(cast(iid as varchar) || ':7'), iid) - 1 place from (select distinct iid from {NORMALIZED} where iid is not null)",
     "listed_order": f"select s.source, p.south from (select distinct source from {COORDS} where source is not null) s left join (select source, min(lat) south from {COORDS} where {_PLACED} group by 1) p on s.source = p.source",
 }
+ORACLES["partitions_compared_all"] = ORACLES["partitions_compared"]

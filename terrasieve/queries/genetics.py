@@ -6,7 +6,7 @@ genotype calls are made from the order lines, as no table holds any.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasieve.functions.values import present
@@ -134,8 +134,9 @@ def point_mutants(spark: SparkSession, d: str) -> DataFrame:
     return sequence.point_mutants(rows, ["doc_id", "record_no"], "seq", "ps")
 
 
-def _double_mutants(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("ps", F.array(F.lit(1), F.lit(4), F.lit(9)))
+def double_mutants(spark: SparkSession, d: str) -> DataFrame:
+    """Of the sequences of every chromosome."""
+    rows = sequences(spark, d).withColumn("ps", F.array(F.lit(1), F.lit(4), F.lit(9)))
     out = sequence.multi_mutants(rows, ["doc_id", "record_no"], "seq", "ps", 2)
     return out.select(
         "doc_id",
@@ -146,50 +147,39 @@ def _double_mutants(rows: DataFrame) -> DataFrame:
     )
 
 
-def double_mutants(spark: SparkSession, d: str) -> DataFrame:
-    return _double_mutants(sequences(spark, d).filter("chromosome = 1"))
+def _longest(rows: DataFrame) -> int:
+    """Letters of the longest sequence, so that an encoding of this length cuts none."""
+    return rows.agg(F.max(F.length("seq"))).first()[0] or 1
 
 
-def double_mutants_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of the sequences of every chromosome."""
-    return _double_mutants(sequences(spark, d))
+def _checksum(ids: Column) -> Column:
+    return F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","))
 
 
 def token_checksum(spark: SparkSession, d: str) -> DataFrame:
-    ids = sequence.token_ids(F.col("seq"), 120)
-    joined = F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
-    return sequences(spark, d).select("doc_id", "record_no", F.md5(joined).alias("tokens"))
+    """Every sequence to its last letter, padded to the longest."""
+    rows = sequences(spark, d)
+    return rows.select("doc_id", "record_no", _checksum(sequence.token_ids(F.col("seq"), _longest(rows))).alias("tokens"))
 
 
-def variant_places(spark: SparkSession, d: str) -> DataFrame:
-    """Where a sequence and itself with two bases replaced differ."""
-    s = sequences(spark, d).filter(F.length("seq") >= 60)
-    a, b = sequence.token_ids(F.col("seq"), 60), sequence.token_ids(
-        sequence.substitute(sequence.substitute(F.col("seq"), F.lit(12), F.lit("A")), F.lit(40), F.lit("C")),
-        60,
-    )
-    return s.select("doc_id", "record_no", sequence.variant_index(a, b).alias("at"))
+def _changed(n: Column) -> Column:
+    """A sequence with its middle and its last base replaced."""
+    return sequence.substitute(sequence.substitute(F.col("seq"), F.floor(n / 2), F.lit("A")), n - 1, F.lit("C"))
 
 
-def _longest(rows: DataFrame) -> int:
-    """Letters of the longest sequence, so that an encoding of this length cuts none."""
-    return rows.agg(F.max(F.length("seq"))).first()[0] or 1
-
-
-def token_checksum_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every sequence to its last letter, padded to the longest."""
+def variant_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where a sequence and itself with its middle and its last base replaced differ, whatever its length."""
     rows = sequences(spark, d)
-    joined = F.array_join(F.transform(sequence.token_ids(F.col("seq"), _longest(rows)), lambda i: i.cast("string")), ",")
-    return rows.select("doc_id", "record_no", F.md5(joined).alias("tokens"))
+    longest = _longest(rows)
+    a, b = (sequence.token_ids(s, longest) for s in (F.col("seq"), _changed(F.length("seq"))))
+    return rows.select("doc_id", "record_no", sequence.variant_index(a, b).alias("at"))
 
 
-def variant_places_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Where a sequence and itself with its middle and its last base replaced differ, whatever its length."""
+def variant_token_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Checksums of the four arrays that encode a sequence and its changed copy on both strands."""
     rows = sequences(spark, d)
-    n, longest = F.length("seq"), _longest(rows)
-    changed = sequence.substitute(sequence.substitute(F.col("seq"), F.floor(n / 2), F.lit("A")), n - 1, F.lit("C"))
-    a, b = sequence.token_ids(F.col("seq"), longest), sequence.token_ids(changed, longest)
-    return rows.select("doc_id", "record_no", sequence.variant_index(a, b).alias("at"))
+    arrays = sequence.variant_tokens(F.col("seq"), _changed(F.length("seq")), _longest(rows))
+    return rows.select("doc_id", "record_no", *[_checksum(ids).alias(name) for name, ids in arrays.items()])
 
 
 def base_composition(spark: SparkSession, d: str) -> DataFrame:
@@ -212,8 +202,10 @@ def consensus_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frequency_difference(spark: SparkSession, d: str) -> DataFrame:
-    pfm = lambda c: sequence.position_counts(sequences(spark, d).filter(F.col("chromosome") == c), [], "seq")
-    return sequence.pfm_difference(pfm(1), pfm(2), [])
+    """Every chromosome's counts less those of the next one."""
+    pfm = sequence.position_counts(sequences(spark, d), ["chromosome"], "seq")
+    following = pfm.withColumn("chromosome", F.col("chromosome") - 1)
+    return sequence.pfm_difference(pfm, following, ["chromosome"])
 
 
 def majority_bases(spark: SparkSession, d: str) -> DataFrame:
@@ -388,11 +380,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         genotype_missing, genotype_mode, genotype_quality, allele_folded, fasta_records, fasta_round_trip, id_list_round_trip, reverse_complements, substitutions, alternative_bases, point_mutants,
-        double_mutants, double_mutants_all, token_checksum, token_checksum_whole, variant_places, variant_places_whole, base_composition, gapped_composition, position_frequencies, consensus_sequences, frequency_difference, majority_bases, motif_statistics,
+        double_mutants, token_checksum, variant_places, variant_token_arrays, base_composition, gapped_composition, position_frequencies, consensus_sequences, frequency_difference, majority_bases, motif_statistics,
         motif_file_round_trip, alignment_columns, alignment_quality, packed_segments, regions_parsed, sites_parsed, spaced_sites, merged_regions, capped_regions, exact_windows, shifted_windows,
         window_slices, map_tiles, map_tile_ids, series_zscores, greedy_peaks, top_weights, negative_weights, weight_mass, peaks_of_weights,
     )
-}
+} | {"double_mutants_all": double_mutants, "token_checksum_whole": token_checksum, "variant_places_whole": variant_places}
 
 _SEQ = """q as (select doc_id, generate_subscripts(a, 1) - 1 record_no, unnest(a) accession, cast(unnest(c) as integer) chromosome, cast(unnest(s) as bigint) "start", unnest(q) seq from (
  select doc_id, regexp_extract_all("text", '>([^|\\n]+)\\|chr(\\d+)\\|(\\d+)\\n([ACGTN]+)', 1) a, regexp_extract_all("text", '>([^|\\n]+)\\|chr(\\d+)\\|(\\d+)\\n([ACGTN]+)', 2) c,
@@ -424,18 +416,12 @@ select doc_id, record_no, case when length(seq) > 3 then substr(seq, 1, 3) || 'A
     "alternative_bases": f"with {_SEQ} select doc_id, record_no, replace('ACGT', substr(seq, 1, 1), '') alts from x",
     "point_mutants": f"""with {_SEQ}, p as (select *, unnest([0, 7, cast(floor(length(seq) / 2) as integer)]) "position" from x), r as (select *, substr(seq, "position" + 1, 1) ref from p where "position" < length(seq))
 select doc_id, record_no, "position", ref, alt, substr(seq, 1, "position") || alt || substr(seq, "position" + 2) mutant from r, (values ('A'), ('C'), ('G'), ('T')) t(alt) where alt <> ref""",
-    "double_mutants": f"""with {_SEQ}, p as (select x.*, i, j from x, (values (1, 4), (1, 9), (4, 9)) t(i, j) where chromosome = 1 and length(seq) > j)
-select doc_id, record_no, i || ';' || j positions, a.b || c.b alts, substr(seq, 1, i) || a.b || substr(seq, i + 2, j - i - 1) || c.b || substr(seq, j + 2) mutant
-from p, (values ('A'), ('C'), ('G'), ('T')) a(b), (values ('A'), ('C'), ('G'), ('T')) c(b) where a.b <> substr(seq, i + 1, 1) and c.b <> substr(seq, j + 1, 1)""",
-    "double_mutants_all": f"""with {_SEQ}, p as (select x.*, i, j from x, (values (1, 4), (1, 9), (4, 9)) t(i, j) where length(seq) > j)
+    "double_mutants": f"""with {_SEQ}, p as (select x.*, i, j from x, (values (1, 4), (1, 9), (4, 9)) t(i, j) where length(seq) > j)
 select doc_id, record_no, i || ';' || j positions, a.b || c.b alts, substr(seq, 1, i) || a.b || substr(seq, i + 2, j - i - 1) || c.b || substr(seq, j + 2) mutant
 from p, (values ('A'), ('C'), ('G'), ('T')) a(b), (values ('A'), ('C'), ('G'), ('T')) c(b) where a.b <> substr(seq, i + 1, 1) and c.b <> substr(seq, j + 1, 1)""",
-    "token_checksum": f"""with {_SEQ}, t as (select doc_id, record_no, string_split(rpad(seq, 120, 'P'), '') cs from x)
-select doc_id, record_no, md5(array_to_string(list_transform(cs, lambda c: case c when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'P' then '-1' else '4' end), ',')) tokens from t""",
-    "variant_places": f"with {_SEQ} select doc_id, record_no, case when substr(seq, 41, 1) <> 'C' then 40 when substr(seq, 13, 1) <> 'A' then 12 else -1 end \"at\" from x where length(seq) >= 60",
-    "token_checksum_whole": f"""with {_SEQ}, n as (select max(length(seq)) n from x), t as (select doc_id, record_no, string_split(rpad(seq, cast(n as integer), 'P'), '') cs from x, n)
+    "token_checksum": f"""with {_SEQ}, n as (select max(length(seq)) n from x), t as (select doc_id, record_no, string_split(rpad(seq, cast(n as integer), 'P'), '') cs from x, n)
 select doc_id, record_no, md5(array_to_string(list_transform(cs, lambda c: case c when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'P' then '-1' else '4' end), ',')) tokens from t""",
-    "variant_places_whole": f"""with {_SEQ}, n as (select max(length(seq)) // 2 m from x), t as (select doc_id, record_no, m, length(seq) // 2 i, length(seq) - 1 j, length(seq) > 1 and substr(seq, length(seq) // 2 + 1, 1) <> 'A' and length(seq) // 2 < length(seq) - 1 a, substr(seq, length(seq), 1) <> 'C' b from x, n)
+    "variant_places": f"""with {_SEQ}, n as (select max(length(seq)) // 2 m from x), t as (select doc_id, record_no, m, length(seq) // 2 i, length(seq) - 1 j, length(seq) > 1 and substr(seq, length(seq) // 2 + 1, 1) <> 'A' and length(seq) // 2 < length(seq) - 1 a, substr(seq, length(seq), 1) <> 'C' b from x, n)
 select doc_id, record_no, cast(case when (a and i = m) or (b and j = m) then m when b then j when a then i else -1 end as integer) "at" from t""",
     "base_composition": f"""with {_SEQ}, {_L}, k as (select chromosome, count(*) k from x group by 1), c as (select chromosome, "position", {', '.join(f"count(case when base = '{b}' then 1 end) b_{b.lower()}" for b in 'ATGC')} from l group by 1, 2)
 select chromosome, "position", {', '.join(f'round(100.0 * b_{b} / k, 6) pct_{b}' for b in 'atgc')}, round(100.0 * (k - b_a - b_t - b_g - b_c) / k, 6) pct_n from c join k using (chromosome)""",
@@ -445,8 +431,8 @@ select chromosome, "position", {', '.join(f'round(coalesce(100.0 * b_{b} / nulli
     "consensus_sequences": f"""with {_SEQ}, {_L}, {_PFM}, g as (select *, greatest(n_a, n_c, n_g, n_t) top from p),
 b as (select chromosome, "position", case when (n_a = top)::int + (n_c = top)::int + (n_g = top)::int + (n_t = top)::int <> 1 then 'N' when n_a = top then 'A' when n_c = top then 'C' when n_g = top then 'G' else 'T' end b from g)
 select chromosome, string_agg(b, '' order by "position") consensus from b group by 1""",
-    "frequency_difference": f"""with {_SEQ}, {_L}, {_PFM} select coalesce(a."position", b."position") "position", {', '.join(f'coalesce(a.n_{c}, 0) - coalesce(b.n_{c}, 0) n_{c}' for c in 'acgtn')}
-from (select * from p where chromosome = 1) a full join (select * from p where chromosome = 2) b on a."position" = b."position" """,
+    "frequency_difference": f"""with {_SEQ}, {_L}, {_PFM}, b as (select * replace (chromosome - 1 as chromosome) from p) select coalesce(p.chromosome, b.chromosome) chromosome, coalesce(p."position", b."position") "position", {', '.join(f'coalesce(p.n_{c}, 0) - coalesce(b.n_{c}, 0) n_{c}' for c in 'acgtn')}
+from p full join b on p."position" = b."position" and p.chromosome = b.chromosome""",
     "majority_bases": f"""with {_SEQ}, {_L}, c as (select chromosome, "position", base, count(*) n from l group by 1, 2, 3)
 select chromosome, "position", base, n from (select *, row_number() over (partition by chromosome, "position" order by n desc, instr('ATGCN', base)) r from c) where r = 1""",
     "motif_statistics": f"with {_SEQ}, {_L}, {_PFM}, {_SHARES} select chromosome, count(*) length, round(sum(c + g) / sum(a + c + g + tt), 6) gc, round(avg(a), 6) mean_a, round(avg(c), 6) mean_c, round(avg(g), 6) mean_g, round(avg(tt), 6) mean_t from m group by 1",
@@ -485,3 +471,10 @@ select variable, coalesce(min(case when t > 0 and s >= 0.5 * t then r end), 0) n
     "peaks_of_weights": f"""with {_W}, {_TOP}, {_Z}, j as (select t.variable, t.snp_index, t.embedding_dim, t.r, z.peak_index, z.zscore, z.abs_max_pos from t join (select distinct * from z) z on t.variable = z.variable and t.snp_index = z.snp_index and t.embedding_dim = z.embedding_dim where t.r <= 20)
 select variable, snp_index, embedding_dim, cast(r as integer) "rank", peak_index, zscore, abs_max_pos from (select *, row_number() over (partition by variable, snp_index, embedding_dim order by zscore desc nulls last, peak_index) k from j) where k = 1""",
 }
+
+_CODES = "md5(array_to_string(list_transform(string_split(rpad({s}, cast(n as integer), 'P'), ''), lambda c: case c when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'P' then '-1' else '4' end), ','))"
+ORACLES |= {f"{a}_{b}": ORACLES[a] for a, b in (("double_mutants", "all"), ("token_checksum", "whole"), ("variant_places", "whole"))} | {
+    "variant_token_arrays": f"""with {_SEQ}, n as (select max(length(seq)) n from x), h as (select *, substr(seq, 1, length(seq) // 2) || 'A' || substr(seq, length(seq) // 2 + 2) m from x),
+c as (select *, substr(m, 1, length(seq) - 1) || 'C' alt from h) select doc_id, record_no, {_CODES.format(s='seq')} ref, {_CODES.format(s='alt')} alt,
+ {_CODES.format(s="translate(reverse(seq), 'ACGT', 'TGCA')")} ref_rc, {_CODES.format(s="translate(reverse(alt), 'ACGT', 'TGCA')")} alt_rc from c, n""",
+}

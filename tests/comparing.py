@@ -20,8 +20,10 @@ def connection(folder: str = DATA):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None:
         return "null"
+    if isinstance(v, float) and math.isnan(v):
+        return "not a number"  # not the same as null
     return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
