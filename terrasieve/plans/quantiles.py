@@ -32,21 +32,11 @@ def quantiles_of_counts(
         rows = placed.join(totals, on).select(*[placed[g] for g in group], "value", "n", "position", "total")
     else:
         rows = placed.join(F.broadcast(totals))
-    covers = lambda rank: (F.col("position") <= rank) & (rank < F.col("position") + F.col("n"))
-    ends = []
-    for i, q in enumerate(quantiles):
-        h = (F.col("total") - 1) * F.lit(float(q))
-        ends += [
-            F.max(F.when(covers(F.floor(h)), F.col("value"))).alias(f"lo_{i}"),
-            F.max(F.when(covers(F.ceil(h)), F.col("value"))).alias(f"hi_{i}"),
-            F.max(h - F.floor(h)).alias(f"f_{i}"),
-        ]
-    found = rows.groupBy(*group).agg(*ends)
-    return found.select(
-        *group,
-        *[
-            (
-                F.col(f"lo_{i}") + F.col(f"f_{i}") * (F.col(f"hi_{i}") - F.col(f"lo_{i}"))
-            ).alias(f"q_{i}") for i in range(len(quantiles))
-        ],
-    )
+    ranks = [f"(total - 1) * {float(q)!r}d" for q in quantiles]
+    needed = ", ".join(f"floor({h}), ceil({h})" for h in ranks)
+    # at most two rows a quantile and group are left, so that what is collected of a group is bounded
+    near = rows.filter(F.expr(f"exists(array({needed}), r -> position <= r and r < position + n)"))
+    found = near.groupBy(*group).agg(F.max("total").alias("total"), F.collect_list(F.struct("position", "n", "value")).alias("at"))
+    value = lambda rank: f"filter(at, r -> r.position <= {rank} and {rank} < r.position + r.n)[0].value"
+    between = lambda h: f"{value(f'floor({h})')} + ({h} - floor({h})) * ({value(f'ceil({h})')} - {value(f'floor({h})')})"
+    return found.select(*group, *[F.expr(between(h)).alias(f"q_{i}") for i, h in enumerate(ranks)])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasieve.operators import packed
 from terrasieve.operators import profile as prof
+from terrasieve.operators.clean import value_columns
 from terrasieve.queries import table
 
 #: table -> (columns, valid range, largest shift of the median), as the data's description fixes them
@@ -25,53 +28,43 @@ def p3_value_frequency(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"), F.min("item_no").alias("first_place"))
 
 
-def _profiles(spark: SparkSession, d: str, classify: bool) -> list[tuple[str, DataFrame, float]]:
-    return [
-        (
-            name,
-            prof.profile(table(spark, d, name), "load_no", columns, valid={c: valid for c in columns}, classify=classify),
-            shift,
-        )
-        for name, (columns, valid, shift) in PROFILED.items()
-    ]
+def _stated(spark: SparkSession, d: str, names: Sequence[str] = tuple(PROFILED)) -> dict:
+    """The columns that the data's description states issues for, with their valid ranges."""
+    return {t: (table(spark, d, t), PROFILED[t][0], {c: PROFILED[t][1] for c in PROFILED[t][0]}) for t in names}
+
+
+def _shifts() -> dict[str, float]:
+    return {c: shift for columns, _, shift in PROFILED.values() for c in columns}
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [
-        prof.load_issues(p, max_shift=shift).select(
-            F.lit(name).alias("tbl"),
-            "col",
-            F.col("load_no").cast("int").alias("load_no"),
-            "issue",
-        ) for name, p, shift in _profiles(spark, d, True)
-    ]
-    return found[0].unionByName(found[1])
+    issues = prof.load_issues(prof.profile_tables(_stated(spark, d), "load_no"), max_shift=_shifts())
+    return issues.select("tbl", "col", F.col("load_no").cast("int").alias("load_no"), "issue")
 
 
 def sound_loads(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Rows of a profiled table whose load has no issue of problem 6 in any profiled column; rows of no load count as one load."""
-    columns, valid, shift = PROFILED[name]
+    """Rows of a profiled table whose load has no issue of problem 6 in any stated column; rows of no load count as one load."""
     df = table(spark, d, name)
-    issues = prof.load_issues(prof.profile(df, "load_no", columns, valid={c: valid for c in columns}), max_shift=shift)
+    issues = prof.load_issues(prof.profile_tables(_stated(spark, d, [name]), "load_no"), max_shift=_shifts())
     bad = [r[0] for r in issues.select("load_no").distinct().collect()]  # at most one row a load
     for load in bad:
         df = df.filter(~F.col("load_no").eqNullSafe(F.lit(load)))
     return df
 
 
-def _described(name: str, p: DataFrame) -> DataFrame:
-    return p.select(F.lit(name).alias("tbl"), *[c for c in p.columns if not c.startswith("ref_")])
-
-
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_described(name, p) for name, p, _ in _profiles(spark, d, True)]
-    return parts[0].unionByName(parts[1])
+    """Every numeric column of both tables, with the valid ranges that are stated, and whether its distribution changed."""
+    parts = _stated(spark, d)
+    every = {
+        t: (df, value_columns(df, exclude=("fid", "iid", "load_no")), valid) for t, (df, _, valid) in parts.items()
+    }
+    out = prof.profile_tables(every, "load_no").withColumn("changed", prof.told_apart())
+    return out.select(*[c for c in out.columns if not c.startswith("ref_")])
 
 
 def p6_base(spark: SparkSession, d: str) -> DataFrame:
     """The exact aggregates alone, which SQL can check."""
-    parts = [_described(name, p) for name, p, _ in _profiles(spark, d, False)]
-    out = parts[0].unionByName(parts[1])
+    out = prof.profile_tables(_stated(spark, d), "load_no", classify=False)
     return out.select(
         "tbl",
         "col",

@@ -86,3 +86,37 @@ def test_empty_table_and_lone_load(spark):
 def test_value_stuck_in_every_load_is_found_in_every_load(spark):
     found = issues(spark, lambda load, i, x, y: (1.5 if i % 3 == 0 else x, y))
     assert found == {("x", load, "stuck") for load in (1, 2, 3)}
+
+
+def shapes(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    p = profile(df, "load_no", ["x", "y"])
+    named = {tuple(r) for r in load_issues(p, max_shift=1.5).collect()}
+    every = {tuple(r) for r in load_issues(p, max_shift=1.5, other=True).collect()}
+    return named, every, {(r["col"], r["load_no"]): r for r in p.collect()}
+
+
+def test_changed_shape_with_the_same_quartiles_is_raised(spark):
+    r = random.Random(8)
+    even = [i / 1000 for i in range(1000)]
+    quarters = [0.25 * (i % 4) + 0.25 * (0.5 + 0.5 * (2 * r.random() - 1) ** 7) for i in range(1000)]  # heaped inside each quarter
+    rows = [(1, i, x, r.gauss(0, 1)) for i, x in enumerate(even)] + [(2, i, x, r.gauss(0, 1)) for i, x in enumerate(quarters)]
+    named, every, got = shapes(spark, rows)
+    assert named == set() and every == {("x", 2, "changed")}
+    assert abs(got["x", 2]["median"] - got["x", 1]["median"]) < 0.05 and abs(got["x", 2]["iqr"] - got["x", 1]["iqr"]) < 0.05
+
+
+def test_threshold_crossed_by_chance_in_a_tiny_load_is_not_raised(spark):
+    r = random.Random(9)
+    rows = [(1, i, r.gauss(0, 3), r.gauss(0, 1)) for i in range(800)] + [(2, i, x, 0.1 * i - 0.2) for i, x in enumerate([1.9, 2.4, 3.0, -2.0, 1.7])]
+    named, _, got = shapes(spark, rows)
+    assert abs(got["x", 2]["median"] - got["x", 1]["median"]) > 1.5
+    assert ("x", 2, "shifted") not in named and ("y", 2, "shifted") not in named
+
+
+def test_one_step_ablation_agrees_with_a_refit(spark):
+    df = spark.createDataFrame(loads(lambda load, i, x, y: (x + (1 if load == 3 else 0), y + 0.4 * x + (1 if load == 3 else 0))), SCHEMA)
+    got = {(r["col"], r["load_no"]): r for r in profile(df, "load_no", ["x", "y"]).collect()}
+    for c, other in (("x", "y"), ("y", "x")):
+        assert abs(got[c, 3]["auc_without"] - got[other, 3]["auc_alone"]) < 0.03
+    assert all(got[c, k]["converged"] for c in "xy" for k in (2, 3))
