@@ -175,7 +175,7 @@ def _steps(cells: DataFrame, known: Sequence[Loads], coefs: dict[int, np.ndarray
 
     out = {}
     # a model's row is its width squared, whatever the number of rows
-    for row in _summed(cells.mapInArrow(measure, "key long, part long, v binary")).toLocalIterator():
+    for row in _summed(cells.mapInArrow(measure, "key long, part long, v binary")).collect():
         v, width = np.frombuffer(row["v"]), known[row["key"] >> 40].width
         upper = v[width:].reshape(width, width)
         out[row["key"]] = v[:width], upper + upper.T - np.diag(np.diag(upper))
@@ -191,6 +191,28 @@ def _alone(slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
     return np.log(share(own) / share(n - own))
 
 
+def _solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric positive definite system, by conjugate gradients scaled with the diagonal.
+
+    Sums are written out, as the threads of a linear algebra library may hang in a process that has started a JVM.
+    """
+    scale = 1 / np.diag(matrix)
+    x, rest = np.zeros(len(right)), right.copy()
+    towards = scale * rest
+    size = float((rest * towards).sum())
+    enough = 1e-16 * size
+    for _ in range(4 * len(right)):
+        if size <= enough:
+            break
+        image = np.einsum("ij,j->i", matrix, towards)
+        length = size / float((towards * image).sum())
+        x, rest = x + length * towards, rest - length * image
+        fresh = scale * rest
+        size, before = float((rest * fresh).sum()), size
+        towards = fresh + size / before * towards
+    return x
+
+
 def _fit(cells: DataFrame, known: Sequence[Loads], rounds: int) -> tuple[dict[int, np.ndarray], dict[int, bool]]:
     """(scores, converged): for every model one row of coefficients with all columns, then one without each column, then one of each alone.
 
@@ -201,7 +223,7 @@ def _fit(cells: DataFrame, known: Sequence[Loads], rounds: int) -> tuple[dict[in
     alone: dict[int, np.ndarray] = {}
     weight: dict[int, float] = {}
     settled: dict[int, bool] = {}
-    inverse: dict[int, np.ndarray] = {}
+    curvature: dict[int, np.ndarray] = {}
     for _ in range(rounds):
         for key, (slope, bend) in _steps(cells, known, coefs).items():
             if key not in alone:
@@ -209,9 +231,10 @@ def _fit(cells: DataFrame, known: Sequence[Loads], rounds: int) -> tuple[dict[in
                 weight[key] = 4 * np.trace(bend) / len(known[key >> 40].columns)
             penalty = RIDGE * weight[key]
             at = coefs.get(key, np.zeros(len(slope)))
-            inverse[key] = np.linalg.inv(bend + penalty * np.eye(len(slope)))
-            step = inverse[key] @ (slope - penalty * at)
-            coefs[key], settled[key] = at + step, bool(step @ (slope - penalty * at) < SETTLED * weight[key])
+            curvature[key] = bend + penalty * np.eye(len(slope))
+            downhill = slope - penalty * at
+            step = _solve(curvature[key], downhill)
+            coefs[key], settled[key] = at + step, bool((step * downhill).sum() < SETTLED * weight[key])
         if all(settled.values()):
             break
     scores = {}
@@ -219,8 +242,11 @@ def _fit(cells: DataFrame, known: Sequence[Loads], rounds: int) -> tuple[dict[in
         rows = [full]
         names = np.arange(len(full)) // BINS
         for c in range(names[-1] + 1):
-            own = names == c
-            rows.append(np.where(own, 0.0, full - inverse[key][:, own] @ np.linalg.solve(inverse[key][np.ix_(own, own)], full[own])))
+            own, others = np.flatnonzero(names == c), np.flatnonzero(names != c)
+            without = np.zeros(len(full))
+            pull = np.einsum("ij,j->i", curvature[key][np.ix_(others, own)], full[own])
+            without[others] = full[others] + (_solve(curvature[key][np.ix_(others, others)], pull) if len(others) else 0)
+            rows.append(without)
         rows += [np.where(names == c, alone[key], 0.0) for c in range(names[-1] + 1)]
         scores[key] = np.array(rows)
     return scores, settled
@@ -244,7 +270,7 @@ def _discrimination(cells: DataFrame, known: Sequence[Loads], scores: dict[int,
         yield _vectors(total)
 
     out = {}
-    for row in _summed(cells.mapInArrow(count, "key long, part long, v binary")).toLocalIterator():
+    for row in _summed(cells.mapInArrow(count, "key long, part long, v binary")).collect():
         v = np.frombuffer(row["v"]).reshape(-1, 2, slots)
         reference, own = v[:, 0], v[:, 1]
         n, m = own[0].sum(), reference[0].sum()
