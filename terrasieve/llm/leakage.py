@@ -3,13 +3,14 @@
 Texts are reduced to streams of letters and digits, so that case, punctuation, spacing, markup, entities,
 invisible characters and Unicode form don't matter. By the q-gram lemma a passage of length n found with at most
 k edits shares at least n - q + 1 - k q of its q-grams, all on at most k + 1 neighbouring diagonals: shared
-q-grams are counted in overlapping diagonal bands, bands that reach the bound are retained, and alignment
-within the band decides. Only the evaluation side is indexed; each document is read once, by one task.
+q-grams are counted in overlapping diagonal bands, bands that reach the bound are retained, and an edit alignment
+within the band decides. Only the evaluation side is indexed, by tasks; each document is read once, by one task.
 """
 
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -17,18 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Evaluation items, and letters of theirs, indexed at once; a larger set goes through the documents in such blocks.
-BLOCK_ITEMS, BLOCK_LETTERS = 20_000, 10_000_000
+#: Letters of evaluation items indexed together; a larger set goes through the documents in such blocks.
+BLOCK_LETTERS = 10_000_000
+#: Lengths of q-grams; an item is indexed with the longest that its shortest passage allows.
+GRAMS = (16, 12, 8, 6, 4, 3, 2, 1)
 #: Letters of documents hashed at once in a task.
 BATCH_LETTERS = 2_000_000
 #: Shared q-grams counted at once; repetitive texts have many.
 SLICE_HITS = 2_000_000
-MAX_Q = 16
 
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _SEPARATOR, _LETTER, _DROPPED = 0, 1, 2
@@ -116,7 +119,7 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """q-grams of a block of items: hashes with the items and places they stand at, and each item's words."""
+    """q-grams of items of one class: hashes with the items and places they stand at, and each item's words."""
 
     q: int
     bound: np.ndarray  # least number of shared q-grams of each item
@@ -130,19 +133,9 @@ class ItemIndex:
     keys: list
 
     @classmethod
-    def build(cls, items: list[tuple], words: int, edits: int) -> ItemIndex:
-        keys, streams, ends, shortest = [], [], [], []
-        for key, text in items:
-            w = item_words(text or "")
-            if len(w) < words:
-                continue
-            e = np.cumsum([len(x) for x in w])
-            spans = e[words - 1 :] - np.concatenate([[0], e[:-1]])[: len(e) - words + 1]
-            keys.append(key), streams.append(
-                np.frombuffer("".join(w).encode("utf-32-le"), np.uint32)
-            ), ends.append(e), shortest.append(int(spans.min()))
-        # the largest q for which even the shortest passage keeps a bound of at least 1
-        q = max(1, min([MAX_Q, *((n + 1) // (edits + 1) - 1 for n in shortest)]))
+    def build(cls, q: int, items: list[tuple], edits: int) -> ItemIndex:
+        """``items`` are (key, letters, ends of words, letters of the shortest passage)."""
+        keys, streams, ends, shortest = (list(x) for x in zip(*items, strict=True))
         grams = [gram_hashes(s, q) for s in streams]
         every = np.concatenate([*grams, np.zeros(0, np.uint64)])
         item_of = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
@@ -155,6 +148,21 @@ class ItemIndex:
         return cls(q, bound, hashes, np.append(first, len(order)), item_of[order], place[order], maybe, streams, ends, keys)
 
 
+def build_indexes(items: list[tuple], words: int, edits: int) -> list[ItemIndex]:
+    """Indexes of (key, text) items, one for each length of q-gram that some of them need."""
+    classes: dict[int, list[tuple]] = {}
+    for key, text in items:
+        w = item_words(text or "")
+        if len(w) < words:
+            continue
+        e = np.cumsum([len(x) for x in w])
+        shortest = int((e[words - 1 :] - np.concatenate([[0], e[:-1]])[: len(e) - words + 1]).min())
+        # the longest q-gram for which even the shortest passage keeps a bound of at least 1
+        q = next((g for g in GRAMS if g <= (shortest + 1) // (edits + 1) - 1), 1)
+        classes.setdefault(q, []).append((key, np.frombuffer("".join(w).encode("utf-32-le"), np.uint32), e, shortest))
+    return [ItemIndex.build(q, rows, edits) for q, rows in sorted(classes.items())]
+
+
 def _shared(index: ItemIndex, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place, item, item place) of every q-gram that a text shares with an item, in slices of bounded size."""
     h = gram_hashes(codes, index.q)
@@ -205,23 +213,41 @@ def _bands(
         yield int(d), int(t), int(s) * half
 
 
-def longest_run(item: np.ndarray, ends: np.ndarray, codes: np.ndarray, gaps: np.ndarray, diagonal: int, width: int) -> int:
-    """The most consecutive whole words of an item that stand unchanged in a text along one of the band's diagonals."""
+def longest_run(
+    item: np.ndarray, ends: np.ndarray, codes: np.ndarray, gaps: np.ndarray, diagonal: int, width: int, edits: int
+) -> int:
+    """The most consecutive whole words of an item that a text shows within a band of diagonals with at most ``edits`` edits.
+
+    An alignment starts at every word of the item on every diagonal, and is carried as far as its edits allow: with
+    each edit it goes on along its diagonal past a changed letter, or to a neighbouring one past a dropped or an
+    inserted letter, and from there as far as letters agree. A word at either end that is only part of a longer one
+    of the text doesn't count.
+    """
     n = len(item)
-    shift = diagonal + np.arange(width)[:, None]
-    at = shift + np.arange(n)[None, :]
+    at = diagonal + np.arange(width)[:, None] + np.arange(n)[None, :]
     inside = (at >= 0) & (at < len(codes))
     equal = inside & (codes[np.clip(at, 0, len(codes) - 1)] == item[None, :])
-    sums = np.concatenate([np.zeros((width, 1), np.int64), np.cumsum(equal, axis=1)], axis=1)
+    # to which place of the item letters agree from each place on
+    stop = np.full((width, n + 1), n)
+    stop[:, :n] = np.where(equal, n, np.arange(n))
+    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
+    row = np.arange(width)[:, None]
     begins = np.concatenate([[0], ends[:-1]])
-    whole = sums[:, ends] - sums[:, begins] == (ends - begins)[None, :]
     best = 0
-    for row in range(width):
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], whole[row], [False]]).astype(np.int8)))
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            # a word at either end of the run that is only part of a longer one doesn't count
-            p, r = int(shift[row, 0] + begins[a]), int(shift[row, 0] + ends[b - 1])
-            best = max(best, int(b - a) - int(not gaps[p]) - int(not gaps[r]))
+    for origin in range(width):
+        reach = np.full((width, len(begins)), -1)
+        reach[origin] = stop[origin, begins]
+        for _ in range(edits):
+            none = np.full((1, len(begins)), -1)
+            dropped = np.concatenate([reach[1:] + (reach[1:] >= 0), none])
+            inserted = np.concatenate([none, reach[:-1]])
+            further = np.minimum(np.maximum(np.maximum(reach + (reach >= 0), dropped), inserted), n)
+            reach = np.maximum(reach, np.where(further >= 0, stop[row, np.maximum(further, 0)], -1))
+        whole = np.searchsorted(ends, reach, side="right")  # words that end by then
+        opens = gaps[np.clip(diagonal + origin + begins, 0, len(codes))]
+        last = np.clip(diagonal + row + ends[np.maximum(whole - 1, 0)], 0, len(codes))
+        run = whole - np.arange(len(begins)) - ~opens - ~gaps[last]
+        best = max(best, int(np.where(reach > begins, run, 0).max()))
     return best
 
 
@@ -233,15 +259,16 @@ def leaked_passages(
     item_key: str = "item_id",
     text: str = "text",
     words: int = 13,
-    edits: int = 1,
+    edits: int = 0,
 ) -> DataFrame:
     """(doc_key, item_key, run), once each: documents that show at least ``words`` consecutive words of an item.
 
-    ``edits`` is the budget of the retained regions; the run itself must be unchanged. Items must be a held-out
-    set; they are indexed and broadcast in blocks of bounded size, each of which passes over the documents, without
-    any shuffle of these. Items of fewer words, null texts and empty documents match nothing; whole
+    The run may hold up to ``edits`` changed, dropped or inserted letters. Items must be a held-out set; tasks index
+    them in blocks of bounded length, which are broadcast one by one, and each block passes over the documents
+    without any shuffle of these. Items of fewer words, null texts and empty documents match nothing; whole
     documents are read, of any length; equal texts give a row each; equal items give a row each.
     """
+    spark = docs.sparkSession
     source = docs.select(doc_key, text)
     schema = T.StructType(
         [
@@ -251,54 +278,60 @@ def leaked_passages(
         ]
     )
     batch_type = to_arrow_type(items.schema[item_key].dataType)
+    given = items.select(item_key, text).dropna()
+    size = given.agg(F.sum(F.length(text))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_LETTERS))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for key, t, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(block, []).append((key, t))
+        made = [pickle.dumps(build_indexes(rows, words, edits)) for rows in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["index"])
+
+    block = F.pmod(F.xxhash64(item_key), F.lit(blocks)).cast("int")
+    built = given.withColumn("block", block).repartition(blocks, "block").mapInArrow(index, "index binary")
     out: DataFrame | None = None
-    for block in _blocks(items.select(item_key, text).dropna().toLocalIterator()):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex.build(block, words, edits))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                found: list[tuple[int, int, int]] = []
-                held: list[tuple[int, np.ndarray, np.ndarray]] = []
-                size = 0
-                for i, value in enumerate(batch.column(1)):
-                    t = value.as_py()
-                    if not t or not index.keys:
-                        continue
-                    codes, gaps = stream(t)
-                    held.append((i, codes, gaps))
-                    size += len(codes)
-                    if size >= BATCH_LETTERS:
-                        found += _search(index, held, words, edits)
-                        held, size = [], 0
-                found += _search(index, held, words, edits)
-                rows = [i for i, _, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows, pa.int64())),
-                        pa.array([index.keys[k] for _, k, _ in found], batch_type),
-                        pa.array([r for _, _, r in found], pa.int32()),
-                    ],
-                    names=[doc_key, item_key, "run"],
-                )
-
-        part = source.mapInArrow(search, schema)
+    for row in built.toLocalIterator():
+        shared = spark.sparkContext.broadcast(bytes(row["index"]))
+        part = source.mapInArrow(_searcher(shared, doc_key, item_key, batch_type, words, edits), schema)
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], schema)
     return out.groupBy(doc_key, item_key).agg(F.max("run").alias("run"))
 
 
-def _blocks(rows: Iterator) -> Iterator[list[tuple]]:
-    """Items in blocks of bounded number and length, read one after another; one empty block if there are none."""
-    block: list[tuple] = []
-    letters, given = 0, False
-    for key, text in rows:
-        if block and (len(block) >= BLOCK_ITEMS or letters + len(text) > BLOCK_LETTERS):
-            yield block
-            block, letters, given = [], 0, True
-        block.append((key, text))
-        letters += len(text)
-    if block or not given:
-        yield block
+def _searcher(shared: Broadcast, doc_key: str, item_key: str, item_type: pa.DataType, words: int, edits: int):  # noqa: ANN202
+    """The search of documents for the items of one block."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = pickle.loads(shared.value)
+        for batch in batches:
+            found: list[tuple[int, object, int]] = []
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            size = 0
+            for i, value in enumerate(batch.column(1)):
+                t = value.as_py()
+                if not t or not indexes:
+                    continue
+                codes, gaps = stream(t)
+                held.append((i, codes, gaps))
+                size += len(codes)
+                if size >= BATCH_LETTERS:
+                    found += [f for x in indexes for f in _search(x, held, words, edits)]
+                    held, size = [], 0
+            found += [f for x in indexes for f in _search(x, held, words, edits)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array([i for i, _, _ in found], pa.int64())),
+                    pa.array([k for _, k, _ in found], item_type),
+                    pa.array([r for _, _, r in found], pa.int32()),
+                ],
+                names=[doc_key, item_key, "run"],
+            )
+
+    return search
 
 
 def _search(
@@ -306,8 +339,8 @@ def _search(
     held: list[tuple[int, np.ndarray, np.ndarray]],
     words: int,
     edits: int,
-) -> list[tuple[int, int, int]]:
-    """(row, item, run) of the texts held; texts are joined by symbols that occur in no text."""
+) -> list[tuple[int, object, int]]:
+    """(row, item's key, run) of the texts held; texts are joined by symbols that occur in no text."""
     if not held:
         return []
     wall = np.full(1, 0xFFFFFFFF, np.uint32)
@@ -323,7 +356,7 @@ def _search(
     best: dict[tuple[int, int], int] = {}
     for d, t, diagonal in _bands(hits, index.bound, edits):
         row, codes, gaps = held[d]
-        run = longest_run(index.streams[t], index.ends[t], codes, gaps, diagonal, 2 * (edits + 1))
+        run = longest_run(index.streams[t], index.ends[t], codes, gaps, diagonal, 2 * (edits + 1), edits)
         if run >= words:
             best[row, t] = max(best.get((row, t), 0), run)
-    return [(row, t, run) for (row, t), run in best.items()]
+    return [(row, index.keys[t], run) for (row, t), run in best.items()]

@@ -142,6 +142,11 @@ def p8_by_item(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "suite").join(n, "item_id")
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks in which one letter of the passage may be changed, dropped or inserted."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=1)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents")).select("doc_id")
 
@@ -160,7 +165,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters,
-    "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p8_near": p8_near, "p9_found": p9_found, "p9_by_source": p9_by_source}
 
 _ACC = """c as (select iid, max(case when ok then long end) x, max(case when ok then lat end) y, max(case when fid not in (0, -9) then fid end) fid
  from (select *, long is not null and lat is not null and not isnan(long) and not isnan(lat) and long <> -9 and lat <> -9 and abs(long) <= 180 and abs(lat) <= 90 ok from coords_with_bioclim)

@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrasieve.llm.gridlinks import cell_links, with_cells
+from terrasieve.plans.joins import join_same
 from terrasieve.plans.positions import global_positions
 from terrasieve.plans.scratch import Scratch
 
-#: A component above this share of all weight is placed first, where it can't upset a small split.
+#: Groups above this share of all weight are placed one by one; there are fewer than its inverse of them.
 LARGE_SHARE = 0.005
 
 
@@ -128,18 +130,33 @@ def assign_splits(
 ) -> DataFrame:
     """``groups`` (one row per group, with a weight) with ``split``: groups in hashed order, cut where the cumulative weight reaches each share.
 
-    Groups above ``LARGE_SHARE`` of all weight come first and so fall into the first split. Shares are met to
-    within one group. Null weights count as 0. An empty table gives no rows.
+    Groups above ``LARGE_SHARE`` of all weight, fewer than 200 whatever the table's size, are placed before, heaviest
+    first: into the split that lacks the largest part of its share among those with room for the group, or where none
+    has room into the one with most room. The others fill what is then left of each share, to within one group. Null
+    weights count as 0. An empty table gives no rows.
     """
     weighted = groups.withColumn("w", F.coalesce(F.col(weight), F.lit(0)).cast("long"))
     total = weighted.agg(F.sum("w")).first()[0] or 0
     rank = F.xxhash64(F.col(group), F.lit(seed))
-    ordered = weighted.withColumn("small", (F.col("w") <= F.lit(LARGE_SHARE * total)).cast("int")).withColumn("rank", rank)
-    placed = global_positions(ordered, [], [F.col("small"), F.col("rank"), F.col(group)], scratch, "cumulative", weight="w")
-    middle = (F.col("position") + F.col("w") / 2) / F.lit(max(total, 1))
+    large = F.col("w") > F.lit(LARGE_SHARE * total)
+    target = {name: share * total for name, share in shares}
+    left = dict(target)
+    placed_in = {}
+    for row in weighted.filter(large).select(group, "w").orderBy(F.col("w").desc(), rank, F.col(group)).collect():
+        roomy = [name for name in left if left[name] >= row["w"]]
+        chosen = max(roomy, key=lambda s: left[s] / max(target[s], 1e-9)) if roomy else max(left, key=left.__getitem__)
+        left[chosen] -= row["w"]
+        placed_in[row[group]] = chosen
+    small = weighted.filter(~large).withColumn("rank", rank)
+    placed = global_positions(small, [], [F.col("rank"), F.col(group)], scratch, "cumulative", weight="w")
+    middle = F.col("position") + F.col("w") / 2
     reached, split = 0.0, None
-    for name, share in shares[:-1]:
-        reached += share
+    for name, _ in shares[:-1]:
+        reached += max(left[name], 0.0)
         split = F.when(middle < reached, name) if split is None else split.when(middle < reached, name)
     split = split.otherwise(shares[-1][0]) if split is not None else F.lit(shares[-1][0])
-    return placed.withColumn("split", split).select(*groups.columns, "split")
+    out = placed.withColumn("split", split).select(*groups.columns, "split")
+    if not placed_in:
+        return out
+    known = groups.sparkSession.createDataFrame(list(placed_in.items()), T.StructType([groups.schema[group], T.StructField("split", T.StringType())]))
+    return out.unionByName(join_same(groups, known, [group]).select(*groups.columns, "split"))

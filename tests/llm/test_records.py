@@ -233,6 +233,18 @@ def test_split_shares_and_large_groups(spark):
     assert splits.assign_splits(spark.createDataFrame([], "g long, n long"), "g", "n", Scratch(spark, "t")).collect() == []
 
 
+def test_large_groups_go_to_every_split_and_shares_hold(spark):
+    rows = [(10_000 + i, 40) for i in range(60)] + [(i, 1) for i in range(3_000)] + [(None, 1_700)]
+    got = splits.assign_splits(spark.createDataFrame(rows, "g long, n long"), "g", "n", Scratch(spark, "t")).collect()
+    large, total = defaultdict(int), defaultdict(int)
+    for r in got:
+        total[r["split"]] += r["n"]
+        large[r["split"]] += (r["g"] or 0) >= 10_000
+    assert len(got) == len(rows) and min(large[s] for s in ("train", "val", "test")) >= 4
+    assert next(r["split"] for r in got if r["g"] is None) == "train"  # a quarter of all rows fits nowhere else
+    assert {s: round(n / sum(total.values()), 2) for s, n in total.items()} == {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
 # Clusters
 
 

@@ -94,7 +94,7 @@ def test_blocks_of_items_agree(spark, monkeypatch):
     items = [(i, words(r, 16)) for i in range(9)]
     docs = [(i, words(r, 30) + " " + t) for i, t in items]
     whole = leaks(spark, docs, items)
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leakage, "BLOCK_LETTERS", 300)
     monkeypatch.setattr(leakage, "BATCH_LETTERS", 100)
     assert leaks(spark, docs, items) == whole and len(whole) == 9
 
@@ -121,6 +121,69 @@ def test_random_texts_match_brute_force(spark):
     assert set(leaks(spark, docs, items)) == want and len(want) > 20
 
 
+def test_edits_are_found_when_asked_for(spark):
+    r = random.Random(5)
+    item = words(r, 13)
+    at = len(item) // 2
+    while item[at] == " ":
+        at += 1
+    forms = {
+        1: item,
+        2: item[:at] + "q" + item[at + 1 :],
+        3: item[:at] + item[at + 1 :],
+        4: item[:at] + "q" + item[at:],
+        5: item[: at - 9] + "q" + item[at - 9 : at + 9] + item[at + 10 :],
+        6: item.replace("a", "q"),
+    }
+    docs = [(k, f"{words(r, 30)} zq {t} zq {words(r, 30)}") for k, t in forms.items()]
+    assert {d for d, _ in leaks(spark, docs, [(1, item)])} == {1}
+    assert {d for d, _ in leaks(spark, docs, [(1, item)], edits=1)} == {1, 2, 3, 4}
+    assert {d for d, _ in leaks(spark, docs, [(1, item)], edits=2)} == {1, 2, 3, 4, 5}
+
+
+def test_short_items_do_not_weaken_the_others():
+    items = [(1, " ".join("abcdefghijklm")), (2, " ".join(WORDS[:20]))]
+    assert {x.q: x.keys for x in leakage.build_indexes(items, 13, 0)} == {12: [1], 16: [2]}
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i, *(0 for _ in b)] if not b else [i] + [min(row[j] + 1, row[j - 1] + (x != y)) for j, y in enumerate(b, 1)]
+        for j in range(1, len(row)):
+            row[j] = min(row[j], row[j - 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_band_alignment_agrees_with_the_edit_distance(seed):
+    import numpy as np
+
+    r = random.Random(seed)
+    item = ["".join(r.choices("ab", k=r.randint(1, 4))) for _ in range(6)]
+    text = list("".join(item))
+    for _ in range(r.randint(0, 3)):
+        i = r.randrange(len(text))
+        text[i : i + 1] = r.choice([[], [text[i], "a"], ["b"]])
+    code = lambda t: np.array([ord(c) for c in t], np.uint32)
+    ends = np.cumsum([len(w) for w in item])
+    for k in (0, 1, 2):
+        got = leakage.longest_run(code("".join(item)), ends, code(text), np.ones(len(text) + 1, bool), -k - 1, 2 * (k + 1) + 1, k)
+        want = 0
+        for a in range(6):
+            for b in range(a + 1, 7):
+                w = "".join(item[a:b])
+                s = len("".join(item[:a]))
+                if any(
+                    edit_distance(w, text[p : p + m]) <= k
+                    for p in range(max(0, s - k - 1), min(len(text), s + k + 1) + 1)
+                    for m in range(max(1, len(w) - k), len(w) + k + 1)
+                    if p + m <= len(text)
+                ):
+                    want = max(want, b - a)
+        assert got >= want - 1 and got <= max(want, 0) + (k > 0)
+
+
 def test_gram_hashes_depend_on_every_symbol():
     import numpy as np
 
