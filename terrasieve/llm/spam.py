@@ -13,6 +13,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,42 +27,55 @@ _CLOSED = re.compile(r"(?<![.!?])[.!?][\"'”»)]*\s*$")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 #: Words and figures the shortest sentence has.
 SENTENCE_WORDS = 7
+#: Words of a page above which its automaton is packed.
+PACKED_WORDS = 200_000
 
 
 def repeated_cover(symbols: list[int], min_repeats: int) -> list[bool]:
     """For each place, whether some phrase that occurs ``min_repeats`` times covers it, from a suffix automaton.
 
-    Most states have a single transition, which is kept in two arrays; only states that branch have a table. A page
-    of millions of words therefore fits a task, and is measured as one.
+    Most states have a single transition, which is kept in two lists; only states that branch have a table. The lists
+    of a page above ``PACKED_WORDS`` are packed, which is slower and takes a fifth of the memory, so that a page of
+    millions of words fits a task and is measured as one.
     """
-    first, to = array("i", [-1]), array("i", [0])  # a state's first transition
+    n = len(symbols)
+    states = 2 * n + 2
+    blank = (lambda x: array("i", [x]) * states) if n > PACKED_WORDS else (lambda x: [x] * states)
+    first, to = blank(-1), blank(0)  # a state's first transition
     more: dict[int, dict[int, int]] = {}  # the others
-    link, length, count = array("i", [-1]), array("i", [0]), array("i", [0])
-    at = array("i")  # the state of each prefix
-    last = 0
-    for s in symbols:
-        new = len(link)
-        first.append(-1), to.append(0), link.append(0), count.append(1), length.append(length[last] + 1)
+    link, length, count = blank(0), blank(0), blank(0)
+    link[0] = -1
+    at = blank(0)  # the state of each prefix
+    last, size = 0, 1
+    for i, s in enumerate(symbols):
+        new = size
+        size += 1
+        at[i] = new
+        count[new] = 1
+        length[new] = length[last] + 1
         p, q = last, -1
         while p != -1:
-            if first[p] == s:
+            held = first[p]
+            if held == s:
                 q = to[p]
                 break
-            if first[p] == -1:
-                first[p], to[p] = s, new
+            if held == -1:
+                first[p] = s
+                to[p] = new
             elif p not in more:
                 more[p] = {s: new}
-            elif (q := more[p].setdefault(s, new)) != new:
-                break
             else:
-                q = -1
+                q = more[p].setdefault(s, new)
+                if q != new:
+                    break
             p = link[p]
         if p != -1:
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                copy = len(link)
-                first.append(first[q]), to.append(to[q]), link.append(link[q]), count.append(0), length.append(length[p] + 1)
+                copy = size
+                size += 1
+                first[copy], to[copy], link[copy], length[copy] = first[q], to[q], link[q], length[p] + 1
                 if q in more:
                     more[copy] = more[q].copy()
                 while p != -1:
@@ -76,38 +90,26 @@ def repeated_cover(symbols: list[int], min_repeats: int) -> list[bool]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-        at.append(new)
-    for state in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
+    for state in sorted(range(1, size), key=length.__getitem__, reverse=True):
         if link[state] > 0:
             count[link[state]] += count[state]
-    n = len(symbols)
-    edge = array("i", bytes(4 * (n + 1)))
-    for i, state in enumerate(at):
+    edge = [0] * (n + 1)
+    for i in range(n):
+        state = at[i]
         while state > 0 and count[state] < min_repeats:
             state = link[state]
         if state > 0:
             edge[i + 1 - length[state]] += 1
             edge[i + 1] -= 1
-    covered, depth = [], 0
-    for i in range(n):
-        depth += edge[i]
-        covered.append(depth > 0)
-    return covered
-
-
-def _is_sentence(words: list[str], closed: bool) -> bool:
-    """Whether a part has a sentence's form: closed by one mark, long enough, and no word stuffed into it."""
-    if not closed or len(words) < SENTENCE_WORDS:
-        return False
-    most = max(Counter(w for w in words if len(w) > 3).values(), default=0)
-    return most < 3 or most < 0.1 * len(words)
+    return [depth > 0 for depth in accumulate(edge[:n])]
 
 
 def page_measures(text: str, spacing: int) -> tuple[float, float]:
     """(loose, covered): the share of the page's letters outside sentences and records, and of those letters the share in repeated phrases.
 
     A phrase counts as repeated if it returns once in ``spacing`` words of the page or more often, twice at least. A
-    line that is figures by half or more, without address or tag, is a record.
+    part has a sentence's form if one mark closes it, it is long enough, and no word of four letters or more makes up
+    a tenth of it three times over. A line that is figures by half or more, without address or tag, is a record.
     """
     if "&" in text:
         text = html.unescape(text)
@@ -122,16 +124,20 @@ def page_measures(text: str, spacing: int) -> tuple[float, float]:
             parts.append((len(words), not linked and bool(_CLOSED.search(part)), linked or "#" in part))
     if not words:
         return 0.0, 0.0
-    words = [w.lower() for w in words]
-    letters = [0 if w[0].isdigit() else len(w) for w in words]
     ids: dict[str, int] = {}
-    cover = repeated_cover([ids.setdefault(w, len(ids)) for w in words], max(2, -(-len(words) // spacing)))
+    known = {w: (ids.setdefault(w.lower(), len(ids)), 0 if w[0].isdigit() else len(w)) for w in set(words)}
+    symbols, letters = map(list, zip(*[known[w] for w in words], strict=True))
+    cover = repeated_cover(symbols, max(2, -(-len(words) // spacing)))
     loose = covered = a = 0
     for b, closed, linked in parts:
-        told = _is_sentence(words[a:b], closed) or (not linked and 2 * letters[a:b].count(0) >= b - a)
+        sizes = letters[a:b]
+        told = not linked and 2 * sizes.count(0) >= b - a
+        if not told and closed and b - a >= SENTENCE_WORDS:
+            most = max(Counter([w for w, n in zip(symbols[a:b], sizes, strict=True) if n > 3]).values(), default=0)
+            told = most < 3 or most < 0.1 * (b - a)
         if not told:
-            loose += sum(letters[a:b])
-            covered += sum(n for n, c in zip(letters[a:b], cover[a:b], strict=True) if c)
+            loose += sum(sizes)
+            covered += sum(compress(sizes, cover[a:b]))
         a = b
     total = sum(letters)
     return (loose / total if total else 0.0), (covered / loose if loose else 0.0)
