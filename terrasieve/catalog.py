@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasieve.queries import effects, environment, genetics, quality
+from terrasieve.queries import effects, environment, files, genetics, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (quality, environment, genetics, effects)
+MODULES = (quality, environment, genetics, effects, files)
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasieve.plans.joins import join_same
 from terrasieve.plans.positions import global_positions
 from terrasieve.plans.scratch import Scratch
 
@@ -179,6 +180,37 @@ def stratified_split(
     return rows.join(cut, rows[stratum].eqNullSafe(cut["s"]) & (rows["place"] == cut["p"])).select(key, "split")
 
 
+def group_split(
+    df: DataFrame,
+    key: str,
+    stratum: str,
+    place: Sequence[str],
+    *,
+    test: float = 0.2,
+    val: float = 0.08,
+    seed: int = 0,
+) -> DataFrame:
+    """(key, split): keys of each stratum shuffled by hash, each standing for as many rows as its place has keys, and cut by rows.
+
+    The keys of the first ``test`` share of rows are test, those of the next ``val`` share of the rest val, the others
+    train; a share is rounded down, to one row at least. A stratum of one key gives test only, one of two keys no
+    train. Rows are one per key; strata of any size: cumulative counts come from global positions.
+    """
+    at = df.groupBy(*place).agg(F.count(F.lit(1)).alias("repeats"))
+    rows = join_same(df.select(key, stratum, *place), at, list(place)).select(key, stratum, "repeats")
+    shuffled = rows.withColumn("h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
+    scratch = Scratch(df.sparkSession, "groups")
+    placed = global_positions(shuffled, [stratum], [F.col("h"), F.col(key)], scratch, "keys", weight="repeats")
+    totals = rows.groupBy(stratum).agg(F.sum("repeats").alias("total"), F.count(F.lit(1)).alias("keys"))
+    wide = join_same(placed, totals, [stratum])
+    in_test = F.col("position") < F.greatest(F.floor(F.lit(test) * F.col("total")), F.lit(1))
+    taken = wide.filter(in_test).groupBy(stratum).agg(F.sum("repeats").alias("taken"))
+    wide = join_same(wide, taken, [stratum])
+    in_val = F.col("position") - F.col("taken") < F.greatest(F.floor(F.lit(val) * F.col("total")), F.lit(1))
+    split = F.when(in_test, "test").when(in_val & (F.col("keys") >= 2), "val").when(F.col("keys") >= 3, "train")
+    return wide.select(key, split.alias("split")).filter("split is not null")
+
+
 def split_report(splits: DataFrame, total: str = "n") -> DataFrame:
     """(split, n, share) of a table of keys and splits."""
     counts = splits.groupBy("split").agg(F.count(F.lit(1)).alias("n"))

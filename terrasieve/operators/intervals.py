@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrasieve.plans.joins import join_same
 from terrasieve.plans.positions import same_as_before
 from terrasieve.plans.scratch import Scratch
 
@@ -183,6 +184,36 @@ def exact_windows(df: DataFrame, position: str, size: Column, width: int) -> Dat
     return df.withColumn("start", start.cast("long")).withColumn("end", F.least(start + width, size).cast("long"))
 
 
+def exact_regions(df: DataFrame, group: Sequence[str], position: str, size: Column, width: int) -> DataFrame:
+    """(group, start, end): the ``exact_windows`` of all positions, merged where the merged region would still be of that width.
+
+    A region always has the full width, so a later window can only join it if it adds nothing: it must be the same
+    window, or, as an odd width leaves the centre half a place aside, begin one place later. What would be trimmed is
+    then cut back to the region as it was. Regions of odd width are thus those at least two places apart.
+    """
+    windows = exact_windows(df.select(*group, position).dropna(subset=[position]), position, size, width)
+    if width % 2 == 0:
+        return windows.select(*group, "start", "end").dropDuplicates()
+    kept = spaced_positions(windows.select(*group, "start"), group, "start", 2)
+    ends = windows.select(*group, "start", "end").dropDuplicates()
+    return join_same(kept, ends, [*group, "start"]).select(*group, "start", "end")
+
+
+def genomic_position(start: Column, offset: Column) -> Column:
+    """A place within a region as a place of the chromosome."""
+    return start + offset
+
+
+def site_label(site: Column, position: Column, ref: Column, alt: Column) -> Column:
+    """``SNP<site>_<position>_<ref>><alt>``; NULL where a part is."""
+    return F.concat(F.lit("SNP"), site.cast("string"), F.lit("_"), position.cast("string"), F.lit("_"), ref, F.lit(">"), alt)
+
+
+def combination_label(site: Column, positions: Column) -> Column:
+    """``COMBO<site>_<positions>``; NULL where a part is."""
+    return F.concat(F.lit("COMBO"), site.cast("string"), F.lit("_"), positions.cast("string"))
+
+
 def tile_members(df: DataFrame, keys: Sequence[str], x: str, y: str, step: float) -> DataFrame:
     """(tile_x, tile_y, keys, x, y): each row in its tile; tiles span ``step`` from the first value beyond the last tile's end, first along x, then along y in each column.
 

@@ -113,3 +113,15 @@ def hashed_order(df: DataFrame, key: str, seed: int, group: Sequence[str] = (),
 def listed_order(df: DataFrame, order: DataFrame, key: str, rank: str) -> DataFrame:
     """Rows with ``rank`` from an order table; keys that it doesn't list come after all that it does, by key."""
     return df.join(order.select(key, rank), key, "left").orderBy(F.col(rank).asc_nulls_last(), F.col(key))
+
+
+def first_pairs(df: DataFrame, a: str, b: str, n: int) -> DataFrame:
+    """Rows for a list without weights: those whose ``a`` and whose ``b`` each occur among the first ``n`` distinct pairs, in order of (a, b).
+
+    The two are looked up one by one, so a pair that isn't among the first can come out too. Nulls sort first.
+    """
+    pairs = df.select(a, b).dropDuplicates().orderBy(F.col(a).asc_nulls_first(), F.col(b).asc_nulls_first()).limit(n)
+    out = df
+    for c in (a, b):
+        out = join_same(out, pairs.select(c).dropDuplicates(), [c], "left_semi")
+    return out.select(*df.columns)

@@ -84,6 +84,53 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "zscore", *, fit_
     ).select(*df.columns)
 
 
+#: Short names of soil properties by what their column's name holds, and those of other columns are cut to 8 letters.
+SOIL_NAMES = {"clay": "Clay", "bdod": "BulkDens", "phh2o": "pH", "soc": "SOC", "nitrogen": "Nitrogen", "wv0033": "WaterCont"}
+
+
+def cluster_names(members: DataFrame, cluster: str, column: str, prefix: str = "bio") -> DataFrame:
+    """(cluster, name, size): a name for each cluster of columns, made from its sorted members; there are as many rows as columns at most.
+
+    Up to three climate columns give their numbers, more the first and last number; up to two soil columns their short
+    names, more a mixture; climate and soil together their counts. Names compare without case, and sort as text.
+    """
+    sets = members.groupBy(cluster).agg(F.array_sort(F.collect_list(column)).alias("all"))
+    is_climate = lambda c: F.lower(c).startswith(prefix)
+    climate, soil = F.filter("all", is_climate), F.filter("all", lambda c: ~is_climate(c))
+    number = lambda c: F.regexp_replace(c, rf"(?i)^{prefix}_?", "")
+    numbers = F.transform(climate, lambda c: number(c).try_cast("int"))
+
+    def short(c: Column) -> Column:
+        out = F.substring(c, 1, 8)
+        for part, name in reversed(SOIL_NAMES.items()):
+            out = F.when(F.contains(F.lower(c), F.lit(part)), name).otherwise(out)
+        return out
+
+    text = lambda c: c.cast("string")
+    head = F.lit(prefix + "_")
+    name = (
+        F.when((F.size(climate) > 0) & (F.size(soil) > 0), F.concat(F.lit(f"Mixed_{prefix}"), text(F.size(climate)), F.lit("_Soil"), text(F.size(soil))))
+        .when(F.size(climate) > 3, F.concat(head, text(F.array_min(numbers)), F.lit("to"), text(F.array_max(numbers)), F.lit("_group")))
+        .when(F.size(climate) > 0, F.concat(head, F.array_join(F.transform(climate, number), "_")))
+        .when(F.size(soil) > 2, F.lit("Soil_Mixed"))
+        .otherwise(F.concat(F.lit("Soil_"), F.array_join(F.transform(soil, short), "_")))
+    )
+    return sets.select(cluster, name.alias("name"), F.size("all").alias("size"))
+
+
+def variable_mapping(members: DataFrame, cluster: str, column: str, prefix: str = "bio") -> DataFrame:
+    """(column, final, kind, cluster, size): which combined column each column went into; a column alone keeps its name."""
+    named = members.join(cluster_names(members, cluster, column, prefix), cluster)
+    several = F.col("size") > 1
+    return named.select(
+        column,
+        F.when(several, F.col("name")).otherwise(F.col(column)).alias("final"),
+        F.when(several, "combined").otherwise("individual").alias("kind"),
+        F.when(several, F.col(cluster)).alias(cluster),
+        "size",
+    )
+
+
 def combine_columns(
     df: DataFrame,
     clusters: dict[str, Sequence[str]],

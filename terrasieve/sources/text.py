@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasieve.plans.positions import global_positions
+from terrasieve.plans.scratch import Scratch
+
 FAM_COLUMNS = ("fid", "iid", "father", "mother", "sex", "phenotype")
 
 
@@ -56,12 +59,35 @@ def read_json_splits(spark: SparkSession, path: str, names: Sequence[str] = ("tr
     return wide.select(F.explode(F.array(*rows)).alias("r")).select(F.explode("r.ids").alias("iid"), "r.split")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(header, seq): one row per record, upper case, line breaks removed; file order isn't kept."""
-    body = spark.read.text(path, lineSep=">").filter(F.length(F.trim("value")) > 0)
-    header = F.trim(F.substring_index("value", "\n", 1))
+def _fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """(value): a record each, without its mark. Records part where a line starts with the mark, so a header may hold one."""
+    body = spark.read.text(path, lineSep="\n>").select("*", "_metadata.file_path", "_metadata.file_block_start")
+    return body.withColumn("value", F.regexp_replace("value", r"^\s*>", "")).filter(F.length(F.trim("value")) > 0)
+
+
+def _header_and_seq() -> list[Column]:
     rest = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)")
-    return body.select(header.alias("header"), F.upper(F.regexp_replace(rest, r"\s+", "")).alias("seq"))
+    return [
+        F.trim(F.substring_index("value", "\n", 1)).alias("header"),
+        F.upper(F.regexp_replace(rest, r"\s+", "")).alias("seq"),
+    ]
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(header, seq): one row per record, upper case, line breaks removed, in no order."""
+    return _fasta_records(spark, path).select(*_header_and_seq())
+
+
+def read_numbered_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(record_no, header, seq): records numbered from 0 in the order of the files' names and of the records in them.
+
+    A task reads a block of a file from its start to its end, so the file, the block's start and the order of reading
+    give each record's place. Writes a table.
+    """
+    rows = _fasta_records(spark, path).withColumn("nth", F.monotonically_increasing_id())
+    order = [F.col(c) for c in ("file_path", "file_block_start", "nth")]
+    placed = global_positions(rows, [], order, Scratch(spark, "fasta"), "records")
+    return placed.select(F.col("position").alias("record_no"), *_header_and_seq())
 
 
 def wrapped_record(header: Column, seq: Column, width: int = 80) -> Column:
