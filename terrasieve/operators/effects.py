@@ -181,3 +181,31 @@ def trajectory(steps: DataFrame, stats: DataFrame, variable: str) -> DataFrame:
         *[(F.col(c) * F.col("std") + F.col("mean")).alias(c) for c in ("baseline_pred", "final_pred")],
         (F.col("cumulative_delta") * F.col("std")).alias("cumulative_delta"),
     )
+
+
+def write_intermediates(scenario: DataFrame, path: str) -> None:
+    """The predictions of every scenario (top_n, accession, baseline_pred, cumulative_delta, final_pred, n_steps), a folder for each N."""
+    scenario.write.mode("overwrite").partitionBy("top_n").parquet(path)
+
+
+def intermediates_index(rows: DataFrame, accession: str) -> DataFrame:
+    """(top_n, n_accessions, n_changed, n_steps, first, last): what the intermediates hold, one row a scenario."""
+    return rows.groupBy("top_n").agg(
+        F.count_distinct(accession).alias("n_accessions"),
+        F.count_if(F.col("n_steps") > 0).alias("n_changed"),
+        F.sum("n_steps").alias("n_steps"),
+        F.min(accession).alias("first"),
+        F.max(accession).alias("last"),
+    )
+
+
+def shared_sites(df: DataFrame, accession: str, site: str, delta: str, ties: Sequence[str], tops: Sequence[int]) -> DataFrame:
+    """(direction, top_n, site, n_accessions, mean_delta): how many accessions have a site among the ``top_n`` they would apply, in either direction."""
+    out = None
+    for direction in ("positive", "negative"):
+        steps = cumulative_effects(df, accession, site, delta, ties, direction)
+        runs = steps.withColumn("top_n", F.explode(F.array(*[F.lit(n) for n in tops]))).filter("step <= top_n")
+        n = runs.groupBy("top_n", site).agg(F.count_distinct(accession).alias("n_accessions"), F.avg(delta).alias("mean_delta"))
+        part = n.select(F.lit(direction).alias("direction"), "top_n", site, "n_accessions", "mean_delta")
+        out = part if out is None else out.unionByName(part)
+    return out

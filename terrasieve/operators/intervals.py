@@ -11,12 +11,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrasieve.plans.joins import join_same
-from terrasieve.plans.positions import same_as_before
+from terrasieve.plans.positions import global_positions, same_as_before
 from terrasieve.plans.scratch import Scratch
 
 #: Longest region that merging may make, in bases.
@@ -49,16 +49,20 @@ def parse_site(name: Column, window: int) -> dict[str, Column]:
 def _islands(df: DataFrame, group: Sequence[str], position: str, gap: int) -> DataFrame:
     """(group, island, p): distinct positions, numbered by stretches between which at least ``gap`` is free.
 
-    A greedy rule starts afresh after such a gap, so islands are independent. The window sorts one chromosome's
-    distinct positions, of which a genome has a fixed number.
+    A greedy rule starts afresh after such a gap, so islands are independent. Positions are put into buckets as wide
+    as the gap, so that an island can only begin at the lowest position of a bucket, which the highest one of the
+    bucket before decides; buckets are numbered by global positions, and no task holds a whole chromosome.
     """
-    rows = df.filter(F.col(position).isNotNull()).select(*group, F.col(position).cast("long").alias("__p")).dropDuplicates()
-    w = Window.partitionBy(*group).orderBy("__p")
-    new = F.coalesce((F.col("__p") - F.lag("__p").over(w) >= gap).cast("int"), F.lit(1))
-    return rows.withColumn("__new", new).withColumn(
-        "__island",
-        F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-    ).drop("__new")
+    keys = [*group, "__bucket"]
+    p = F.col(position).cast("long")
+    rows = df.filter(F.col(position).isNotNull()).select(*group, p.alias("__p"), F.floor(p / gap).alias("__bucket")).dropDuplicates()
+    buckets = rows.groupBy(*keys).agg(F.min("__p").alias("__low"), F.max("__p").alias("__high"))
+    before = buckets.select(*group, (F.col("__bucket") + 1).alias("__bucket"), F.col("__high").alias("__before"))
+    new = F.coalesce((F.col("__low") - F.col("__before") >= gap).cast("long"), F.lit(1).cast("long"))
+    begun = join_same(buckets, before, keys, "left").select(*keys, new.alias("__new"))
+    placed = global_positions(begun, group, [F.col("__bucket")], Scratch(df.sparkSession, "islands"), "buckets", weight="__new", as_="__before")
+    numbered = placed.select(*keys, (F.col("__before") + F.col("__new")).alias("__island"))
+    return join_same(rows, numbered, keys).drop("__bucket")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[

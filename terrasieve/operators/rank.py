@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,10 +67,12 @@ def pick_peaks(weights: DataFrame, peaks: DataFrame, keys: Sequence[str], mode:
 def weight_mass(df: DataFrame, group: Sequence[str], weight: str, shares: Sequence[float] = (0.5, 0.8)) -> DataFrame:
     """Per group: how many of the largest |weight| together reach each share of the sum; 0 where the sum is 0.
 
-    The running sum is in exact steps of 1e-12 of a unit weight, so it is the same for any partitioning. Groups of
-    any size: positions are global. Writes a table.
+    The running sum is in whole steps of a power of ten, 1e-12 or the smallest with which the sum of all weights stays
+    exact, so it is the same for any partitioning. Groups of any size: positions are global. Writes a table.
     """
-    unit = 1e12
+    every = F.when(~F.isnan(weight), F.abs(F.col(weight)))
+    sum_of_all = df.agg(F.sum(every)).first()[0] or 0.0
+    unit = 10.0 ** min(12, math.floor(math.log10(4e18 / sum_of_all)) if sum_of_all else 12)
     w = F.coalesce(F.when(~F.isnan(weight), F.abs(F.col(weight))), F.lit(0.0))
     rows = df.select(*group, F.round(w * unit).cast("long").alias("w"))
     scratch = Scratch(df.sparkSession, "mass")

@@ -84,6 +84,16 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "zscore", *, fit_
     ).select(*df.columns)
 
 
+def correlation_distance(r: Column) -> Column:
+    """How far apart two columns are by their correlation, of either sign: sqrt(2 (1 - |r|))."""
+    return F.sqrt(2 * (1 - F.least(F.abs(r), F.lit(1.0))))
+
+
+def log_grid(low: float, high: float, n: int) -> list[float]:
+    """``n`` powers of ten whose exponents go from ``low`` to ``high`` in equal steps."""
+    return [10.0 ** (low + (high - low) * i / max(n - 1, 1)) for i in range(n)]
+
+
 #: Short names of soil properties by what their column's name holds, and those of other columns are cut to 8 letters.
 SOIL_NAMES = {"clay": "Clay", "bdod": "BulkDens", "phh2o": "pH", "soc": "SOC", "nitrogen": "Nitrogen", "wv0033": "WaterCont"}
 

@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasieve.operators.clean import require_columns
 from terrasieve.operators.effects import dot
+from terrasieve.plans.positions import global_positions
+from terrasieve.plans.scratch import Scratch
 
 
 def pooled(df: DataFrame, group: Sequence[str], vector: str, how: str = "max") -> DataFrame:
@@ -95,3 +98,27 @@ def truncated_svd(df: DataFrame, group: Sequence[str], order: str, vector: str,
 
     fields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
     return df.select(*group, order, vector).groupBy(*group).applyInPandas(reduce_, f"{fields}, reduced array<double>")
+
+
+#: What a stored model must hold.
+MODEL_COLUMNS = ("target", "alpha", "coefs", "intercept")
+
+
+def write_model(model: DataFrame, path: str) -> None:
+    require_columns(model, MODEL_COLUMNS).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """A stored model, or a ValueError that names what it lacks."""
+    return require_columns(spark.read.parquet(path), MODEL_COLUMNS)
+
+
+def zipped(a: DataFrame, b: DataFrame, order_a: Sequence[Column], order_b: Sequence[Column]) -> DataFrame:
+    """Rows of two tables side by side in their orders; a ValueError if they differ in number. Columns of ``b`` must not clash. Writes tables."""
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} rows can't be zipped with {m}")
+    scratch = Scratch(a.sparkSession, "zip")
+    left = global_positions(a, [], order_a, scratch, "left", as_="__nth")
+    right = global_positions(b, [], order_b, scratch, "right", as_="__nth")
+    return left.join(right, "__nth").drop("__nth")

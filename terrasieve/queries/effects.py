@@ -96,6 +96,35 @@ def prediction_trajectories(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def accession_intermediates(spark: SparkSession, d: str) -> DataFrame:
+    """The scenarios stored by N, and what the index says of them."""
+    path = f"{Scratch(spark, 'intermediates').root}/rows"
+    effects.write_intermediates(cumulative_scenarios(spark, d), path)
+    return effects.intermediates_index(spark.read.parquet(path), "accession")
+
+
+def sites_over_runs(spark: SparkSession, d: str) -> DataFrame:
+    out = effects.shared_sites(mutations(spark, d), "accession", "site", "delta", TIES, [1, 3, 10])
+    return out.withColumn("mean_delta", F.round("mean_delta", 6))
+
+
+def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A model of the pooled vectors stored and read again with its columns checked."""
+    path = f"{Scratch(spark, 'model').root}/model"
+    pooled = vectors.pooled(table(spark, d, "embeddings"), ["label"], "embedding", "mean")
+    model = pooled.select(F.col("label").cast("string").alias("target"), F.lit(0.1).alias("alpha"), F.col("embedding").alias("coefs"), F.lit(0.0).alias("intercept"))
+    vectors.write_model(model, path)
+    rows = vectors.read_model(spark, path).select("target", F.posexplode("coefs").alias("dim", "v"))
+    return rows.select("target", "dim", F.round("v", 6).alias("v"))
+
+
+def zipped_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers beside their balances, by position."""
+    rows = table(spark, d, "supplier")
+    ids, values = rows.select("s_suppkey"), rows.select("s_acctbal", F.col("s_suppkey").alias("__order"))
+    return vectors.zipped(ids, values, [F.col("s_suppkey")], [F.col("__order")]).drop("__order")
+
+
 def variant_overlap(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "supplier").count()  # the accessions there are, also those without any variant
     out = effects.variant_overlap(mutations(spark, d), ["site", "kind"], "accession", "delta", n)
@@ -379,7 +408,7 @@ QUERIES = {
     for f in (
         best_mutation, best_negative_mutation, direction_split, cumulative_effects, cumulative_scenarios, prediction_trajectories, variant_overlap, site_overlap, effect_magnitude, shared_accessions,
         common_sites, position_frequency, listed_positions, item_cooccurrence, best_matches, series_overlay, pool_max, pool_mean, strand_averages, flattened_regions, linear_predictions,
-        mutation_deltas, explained_weights, component_shares, reduced_regions, elastic_net, elastic_net_scores, csv_round_trip, phenotype_files, site_names,
+        mutation_deltas, explained_weights, component_shares, reduced_regions, elastic_net, elastic_net_scores, csv_round_trip, phenotype_files, site_names, accession_intermediates, sites_over_runs, model_round_trip, zipped_predictions,
     )
 } | {"direction_split_all": direction_split, "best_matches_all": best_matches}
 
@@ -436,3 +465,13 @@ ORACLES |= {
     "series_overlay": """with s as (select load_no, iid, min(bio1) v from combined_variables_dataset where iid is not null and bio1 is not null and not isnan(bio1) and bio1 > -1e30 group by 1, 2)
 select a.load_no, count(*) n, round(avg(abs(a.v - b.v)), 6) mean_gap from s a join s b on b.load_no = a.load_no + 1 and a.iid = b.iid group by 1""",
 }
+
+ORACLES |= {
+    "accession_intermediates": f"with {_SCEN} select cast(top_n as integer) top_n, count(distinct accession) n_accessions, count(case when n_steps > 0 then 1 end) n_changed, cast(sum(n_steps) as bigint) n_steps, min(accession) first, max(accession) last from sc group by 1",
+    "sites_over_runs": f"""with {_M}, u as (select 'positive' direction, *, delta s from m where delta > 0 union all select 'negative', *, -delta from m where delta < 0),
+b as (select * from (select *, row_number() over (partition by direction, accession, site order by s desc, site, "position", line) r from u) where r = 1),
+st as (select *, row_number() over (partition by direction, accession order by s desc, site, "position", line) step from b)
+select direction, cast(n as integer) top_n, site, count(distinct accession) n_accessions, round(avg(delta), 6) mean_delta from st, (values (1), (3), (10)) t(n) where step <= n group by 1, 2, 3""",
+    "model_round_trip": f"with {_E} select cast(label as varchar) target, dim, round(avg(v), 6) + 0.0 v from e group by 1, 2",
+    "zipped_predictions": "select s_suppkey, s_acctbal from supplier",
+}

@@ -149,6 +149,12 @@ def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
     return stats.correlation_pairs(table(spark, d, COORDS), CORRELATED).select("a", "b", _r("r"))
 
 
+def corr_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of every pair of columns by their correlation."""
+    pairs = stats.correlation_pairs(table(spark, d, COORDS), CORRELATED)
+    return pairs.select("a", "b", F.round(stats.correlation_distance(F.col("r")), 6).alias("distance"))
+
+
 def _variable_components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edges = graph.correlated_edges(stats.correlation_pairs(table(spark, d, COORDS), CORRELATED), 0.8)
     nodes = spark.createDataFrame([(c,) for c in CORRELATED], "node string")
@@ -457,7 +463,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nearest_cells, conover_pairs, smoothed_uncertainty, support_vectors, column_groups, aligned_ids, family_shares, clean_complete, missing_by_column, merge_inner, merge_fallback, ids_semi, ids_anti, places_in_box, places_by_source, frequent_sources, split_labels, label_lookup,
-        ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_components, corr_representatives, partitions_compared, average_ranks,
+        ratio_and_denormalise, names_parsed, row_means, scale_train_apply, combine_correlated, corr_pairs, corr_distances, corr_components, corr_representatives, partitions_compared, average_ranks,
         prediction_metrics, score_summary, quantiles_by_load, histogram, area_changes, explained_count, median_neighbours, extreme_climates, consensus_extremes, win_tie_loss,
         friedman_ranks, wilcoxon_by_source, bootstrap_interval, bootstrap_r2, id_sets, loads_appended, pivoted_languages, source_counts, global_range, repeated_rows, loads_majority, loads_all,
         loads_any, shuffled_order, listed_order, stratified_split, kmeans_silhouette, consensus_areas,
@@ -579,3 +585,4 @@ union all select 'only_raw', count(*), min(iid) from (select * from a except sel
     "listed_order": f"select s.source, p.south from (select distinct source from {COORDS} where source is not null) s left join (select source, min(lat) south from {COORDS} where {_PLACED} group by 1) p on s.source = p.source",
 }
 ORACLES["partitions_compared_all"] = ORACLES["partitions_compared"]
+ORACLES["corr_distances"] = f"with {_corr_sql()} select a, b, round(sqrt(2 * (1 - least(abs(r), 1))), 6) distance from r"

@@ -478,3 +478,13 @@ ORACLES |= {f"{a}_{b}": ORACLES[a] for a, b in (("double_mutants", "all"), ("tok
 c as (select *, substr(m, 1, length(seq) - 1) || 'C' alt from h) select doc_id, record_no, {_CODES.format(s='seq')} ref, {_CODES.format(s='alt')} alt,
  {_CODES.format(s="translate(reverse(seq), 'ACGT', 'TGCA')")} ref_rc, {_CODES.format(s="translate(reverse(alt), 'ACGT', 'TGCA')")} alt_rc from c, n""",
 }
+_PLACED = "long is not null and lat is not null and not isnan(long) and not isnan(lat) and long > -1e30 and lat > -1e30 and long <> -9 and lat <> -9"
+_TILES = f"""recursive p as (select fid, iid, long x, lat y from coords_with_bioclim where {_PLACED}), px as (select distinct x from p),
+tx as (select min(x) x0 from px union all select (select min(px.x) from px where px.x > tx.x0 + 3.8) from tx where tx.x0 is not null),
+ix as (select p.*, x0 from p join tx on x >= x0 and x <= x0 + 3.8), iy as (select distinct x0, y from ix),
+ty as (select x0, min(y) y0 from iy group by x0 union all select ty.x0, (select min(iy.y) from iy where iy.x0 = ty.x0 and iy.y > ty.y0 + 3.8) from ty where ty.y0 is not null),
+tiles as (select ix.x0 tile_x, y0 tile_y, fid, iid, x, y from ix join ty on ix.x0 = ty.x0 and y >= y0 and y <= y0 + 3.8)"""
+ORACLES |= {
+    "map_tiles": f"with {_TILES} select tile_x, tile_y, count(*) n, min(x) - 0.1 x0, max(x) + 0.1 x1, min(y) - 0.1 y0, max(y) + 0.1 y1 from tiles group by 1, 2",
+    "map_tile_ids": f"with {_TILES} select tile_x, tile_y, fid, iid from tiles",
+}
