@@ -2,8 +2,11 @@
 
 Texts are measured in tokens of a public tokenizer and packed by lexical retrieval: in every shard of an inverted
 index a seed text asks BM25 for its unused neighbours, and these fill its container greedily, best first; room
-that no neighbour fits goes to the largest unused texts of the shard that do. Shards hold texts that share
-their most telling term, and their size is bounded, so shards, not tasks, grow in number with the data.
+room that no neighbour fits goes to the largest unused texts of the shard that do. Shards hold like texts: a tree of
+cuts, fitted on the sketches of a bounded sample, sends every text to a leaf, and texts are divided into shards in the
+order of the leaves. What a first pass leaves in containers with room is sharded anew, by the texts' most telling terms,
+and packed by retrieval once more. A shard's size is bounded and tasks hold several, so shards, not tasks, grow in
+number with the data.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Terms are hashed into so many buckets, which bounds the table of document frequencies at 2 MB.
 BUCKETS = 1 << 18
 #: Texts in a shard, and the query terms of a seed.
-SHARD_TEXTS, QUERY_TERMS = 4_000, 12
+SHARD_TEXTS, QUERY_TERMS = 20_000, 12
+#: Numbers in a text's sketch, levels of the tree that orders texts, and texts that it is fitted on.
+SKETCH, TREE_DEPTH, SAMPLE_TEXTS = 64, 8, 20_000
 #: Containers emptier than this after the first pass are opened again and their texts packed once more.
 WELL_FILLED = 0.98
 K1, B = 1.2, 0.75
@@ -62,14 +67,14 @@ class TokenCounter:
         return found
 
     def analyse(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """(tokens, terms, counts): the size of a text and its hashed terms, ascending, with their frequencies up to 255."""
+        """(tokens, terms, counts): the size of a text and its hashed terms, ascending, with their frequencies."""
         known, new = self.known, self._piece
         pairs = [known.get(p) or new(p) for p in self.pattern.findall(text)]
         if not pairs:
-            return 0, np.zeros(0, np.int32), np.zeros(0, np.uint8)
+            return 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
         both = np.array(pairs, np.int64)
         terms, counts = np.unique(both[both[:, 1] >= 0, 1], return_counts=True)
-        return int(both[:, 0].sum()), terms.astype(np.int32), np.minimum(counts, 255).astype(np.uint8)
+        return int(both[:, 0].sum()), terms.astype(np.int32), counts.astype(np.int32)
 
 
 def analysed(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -118,15 +123,62 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _telling_terms(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, shared: np.ndarray) -> tuple[int, int]:
-    """A text's two terms of highest weight that other texts have too; -1 for none."""
-    ok = shared[terms]
-    if not ok.any():
-        return -1, -1
-    t = terms[ok]
-    w = counts[ok] * idf[t]
-    best = np.lexsort((t, -w))[:2]
-    return int(t[best[0]]), int(t[best[1]]) if len(best) > 1 else -1
+def _telling_term(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, shared: np.ndarray) -> int:
+    """A text's term of highest weight that other texts have too, or -1."""
+    t = terms[shared[terms]]
+    return int(t[np.argmax(counts[shared[terms]] * idf[t])]) if len(t) else -1
+
+
+def sketches(terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """A unit vector of ``SKETCH`` numbers a text: its weighted terms, each along a direction of random signs, summed."""
+    out = np.zeros((len(terms), SKETCH), np.float32)
+    for a in range(0, len(terms), 500):
+        sizes = [len(t) for t in terms[a : a + 500]]
+        if not sum(sizes):
+            continue
+        t = np.concatenate(terms[a : a + 500]).astype(np.uint64)
+        tf = np.concatenate(counts[a : a + 500]).astype(np.float32)
+        with np.errstate(over="ignore"):
+            mixed = (t + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(29)
+        signs = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
+        signs *= (idf[t.astype(np.int64)] * tf / (tf + K1))[:, None]
+        filled = [i for i, n in enumerate(sizes) if n]
+        begins = (np.cumsum(sizes) - sizes)[filled]
+        out[a + np.array(filled)] = np.add.reduceat(signs, begins, axis=0)
+    norm = np.sqrt(np.einsum("ij,ij->i", out, out))
+    return out / np.maximum(norm, 1e-9)[:, None]
+
+
+def fit_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, cuts) of a binary tree of ``TREE_DEPTH`` levels: a node cuts its sketches across their widest direction, where the middle half has its widest gap."""
+    nodes = 2**TREE_DEPTH - 1
+    directions, cuts = np.zeros((nodes, SKETCH), np.float32), np.zeros(nodes, np.float32)
+    members = {0: np.arange(len(x))}
+    for node in range(nodes):
+        own = members.pop(node, np.zeros(0, np.int64))
+        if len(own) > 1:
+            spread = x[own] - x[own].mean(axis=0)
+            d = spread[np.argmax(np.einsum("ij,ij->i", spread, spread))]
+            for _ in range(10):
+                d = np.einsum("i,ij->j", np.einsum("ij,j->i", spread, d), spread)
+                d = d / max(float(np.sqrt((d * d).sum())), 1e-9)
+            at = np.sort(np.einsum("ij,j->i", x[own], d))
+            middle = at[len(at) // 4 : max(3 * len(at) // 4, len(at) // 4 + 2)]
+            g = int(np.argmax(np.diff(middle)))
+            directions[node], cuts[node] = d, (middle[g] + middle[g + 1]) / 2
+        right = np.einsum("ij,j->i", x[own], directions[node]) > cuts[node]
+        members[2 * node + 1], members[2 * node + 2] = own[~right], own[right]
+    return directions, cuts
+
+
+def leaves(x: np.ndarray, directions: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The leaf of each sketch, numbered from left to right."""
+    node = np.zeros(len(x), np.int64)
+    for _ in range(TREE_DEPTH):
+        node = 2 * node + 1 + (np.einsum("ij,ij->i", x, directions[node]) > cuts[node])
+    return node - len(cuts)
 
 
 class Shard:
@@ -144,7 +196,7 @@ class Shard:
         self.sizes, n = sizes, len(sizes)
         of = np.repeat(np.arange(n), [len(t) for t in terms])
         term = np.concatenate([*terms, np.zeros(0, np.int32)]).astype(np.int64)
-        tf = np.concatenate([*counts, np.zeros(0, np.uint8)]).astype(np.float64)
+        tf = np.concatenate([*counts, np.zeros(0, np.int32)]).astype(np.float64)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[of] / average))
         self.of_text = np.split(np.arange(len(term)), np.cumsum([len(t) for t in terms])[:-1]) if n else []
         self.term, self.weight = term, weight
@@ -253,27 +305,31 @@ def pack_containers(
         "terms",
         "counts",
     )
-    item = T.StructType([*rest.schema.fields, T.StructField("term_1", T.IntegerType()), T.StructField("term_2", T.IntegerType())])
+    item = T.StructType([*rest.schema.fields, T.StructField("leaf", T.LongType()), T.StructField("term", T.IntegerType())])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, counts = ([np.frombuffer(v.as_py(), np.int32) for v in batch.column(c)] for c in ("terms", "counts"))
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in sketches(terms, counts, known.value[0])])], names=["v"])
+
+    some = texts.orderBy(F.xxhash64(key), key).limit(SAMPLE_TEXTS).select("terms", "counts")
+    vectors = [np.frombuffer(r["v"], np.float32) for r in some.mapInArrow(sketched, "v binary").collect()]
+    tree = fit_tree(np.array(vectors).reshape(-1, SKETCH))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, shared = known.value
         for batch in batches:
-            pairs = [
-                _telling_terms(
-                    np.frombuffer(t.as_py(), np.int32),
-                    np.frombuffer(c.as_py(), np.uint8),
-                    weights,
-                    shared,
-                ) for t, c in zip(batch.column("terms"), batch.column("counts"), strict=True)
-            ]
+            terms, counts = ([np.frombuffer(v.as_py(), np.int32) for v in batch.column(c)] for c in ("terms", "counts"))
+            leaf = leaves(sketches(terms, counts, weights), *tree)
+            telling = [_telling_term(t, c, weights, shared) for t, c in zip(terms, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32())],
-                names=[*batch.schema.names, "term_1", "term_2"],
+                [*batch.columns, pa.array(leaf), pa.array(telling, pa.int32())],
+                names=[*batch.schema.names, "leaf", "term"],
             )
 
     out_schema = T.StructType(
         [
-            *rest.schema.fields,
+            *item.fields,
             T.StructField("seed", rest.schema[0].dataType),
             T.StructField("seed_part", T.IntegerType()),
             T.StructField("filled", T.DoubleType()),
@@ -297,33 +353,28 @@ def pack_containers(
 
         return pack
 
-    shards = max(1, math.ceil(n / SHARD_TEXTS))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))  # tasks; what is sampled for their ranges is bounded so
     spread = F.xxhash64(key, "part")  # divides the texts of a term that very many share
-    signed = rest.mapInArrow(sign, item).repartitionByRange(
-        shards,
-        "term_1",
-        "term_2",
-        spread,
-    ).sortWithinPartitions("term_1", "term_2", spread).drop("term_1", "term_2")
+
+    def sharded(rows: DataFrame, texts: int, first: str, second: str) -> DataFrame:
+        order = [F.col(first), F.col(second), spread]
+        return rows.repartitionByRange(min(max(1, math.ceil(texts / SHARD_TEXTS)), most), *order).sortWithinPartitions(*order)
+
+    signed = sharded(rest.mapInArrow(sign, item), n, "leaf", "term")
     first = scratch.write(signed.mapInArrow(packed(False), out_schema), "first")
     done = first.filter(F.col("filled") >= WELL_FILLED)
-    open_ = first.filter(F.col("filled") < WELL_FILLED).select(*rest.columns)
-    left = open_.count()
-    again = open_.repartition(
-        max(1, math.ceil(left / SHARD_TEXTS)),
-        F.xxhash64(key, "part"),
-    ).sortWithinPartitions(key, "part").mapInArrow(packed(True), out_schema)
+    open_ = first.filter(F.col("filled") < WELL_FILLED).select(*item.names)
+    again = sharded(open_, open_.count(), "term", "leaf").mapInArrow(packed(True), out_schema)
     columns = [key, "part", "token_start", "n_tokens", "seed", "seed_part"]
     return full.unionByName(done.select(*columns)).unionByName(again.select(*columns))
 
 
 def _pack(batches: list[pa.RecordBatch], idf: np.ndarray, average: float, capacity: int, last: bool) -> pa.RecordBatch:
     """Packs one shard; rows of well-filled containers no longer carry their terms."""
-    table = pa.Table.from_batches(batches).combine_chunks()
-    batch = table.to_batches()[0]
+    batch = pa.concat_batches(batches)
     get = lambda name: batch.column(batch.schema.get_field_index(name))
     terms = [np.frombuffer(v.as_py(), np.int32) for v in get("terms")]
-    counts = [np.frombuffer(v.as_py(), np.uint8) for v in get("counts")]
+    counts = [np.frombuffer(v.as_py(), np.int32) for v in get("counts")]
     sizes = get("n_tokens").to_numpy(zero_copy_only=False).astype(np.int64)
     containers = fill_containers(
         Shard(sizes, terms, counts, get("tokens").to_numpy(zero_copy_only=False).astype(np.float64), idf, average),

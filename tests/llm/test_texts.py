@@ -352,3 +352,32 @@ def test_neighbours_share_a_container(spark):
 def test_empty_table(spark):
     assert pack(spark, [], 100) == []
     assert pack(spark, [(1, None)], 100) == []
+
+
+def test_shards_see_most_of_the_best_neighbours():
+    import numpy as np
+
+    r = random.Random(21)
+    counter = packing.TokenCounter(packing.VOCABULARY)
+    topics = [[r.choice(WORDS) + r.choice(WORDS) for _ in range(8)] for _ in range(60)]
+    texts = [" ".join(r.choices(r.choice(topics), k=20) + r.choices(WORDS, k=20)) for _ in range(900)]
+    found = [counter.analyse(t) for t in texts]
+    sizes = np.array([n for n, _, _ in found])
+    df = np.bincount(np.concatenate([t for _, t, _ in found]), minlength=packing.BUCKETS)
+    idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    make = lambda rows: packing.Shard(sizes[rows], [found[i][1] for i in rows], [found[i][2] for i in rows], sizes[rows].astype(float), idf, float(sizes.mean()))
+    whole = make(np.arange(len(texts)))
+    x = packing.sketches([t for _, t, _ in found], [c for _, _, c in found], idf)
+    order = np.argsort(packing.leaves(x, *packing.fit_tree(x[::3])), kind="stable")
+    hits = total = 0
+    for rows in np.array_split(order, 3):
+        shard = make(rows)
+        for at in range(0, len(rows), 7):
+            for x, i in ((whole, rows[at]), (shard, at)):
+                x.take(int(i))
+            best = [int(i) for i in whole.neighbours(int(rows[at]), 10**6)[:10]]
+            seen = {int(rows[i]) for i in shard.neighbours(at, 10**6)[:10]}
+            hits, total = hits + len(seen & set(best)), total + len(best)
+            whole.free[:] = True
+            shard.free[:] = True
+    assert hits / total > 0.5  # a third by chance
