@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from terrasieve.llm.gridlinks import cell_links, with_cells
 from terrasieve.plans.scratch import Scratch
 
 
-def propagate_minimum(cells: DataFrame, links: DataFrame, scratch: Scratch, *, max_rounds: int = 100) -> DataFrame:
+def propagate_minimum(cells: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(cell, label): the smallest cell number of each connected part, by minimum labels passed on until none changes.
 
     ``cells`` has ``cell``; ``links`` has (a, b). Each round also lets a cell take its label's label, so long
@@ -19,7 +19,7 @@ def propagate_minimum(cells: DataFrame, links: DataFrame, scratch: Scratch, *, m
     """
     both = scratch.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = scratch.write(cells.select("cell", F.col("cell").alias("label")), "labels_0")
-    for r in range(1, max_rounds + 1):
+    for r in count(1):  # labels only fall, so this ends
         offered = both.join(
             labels.select(F.col("cell").alias("b"), "label"),
             "b",
@@ -40,7 +40,6 @@ def propagate_minimum(cells: DataFrame, links: DataFrame, scratch: Scratch, *, m
         labels = step.select("cell", "label")
         if step.filter("changed").isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
 def grid_clusters(records: DataFrame, key: str, x: str, y: str, tolerance: float, *, min_cell_rows: int = 1) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Added to a tolerance, so that differences equal to it in decimals are not lost in binary.
 FLOAT_SLACK = 1e-9
-#: A hot cell is thinned in this many parts before its nearest points are found.
-SALTS = 32
+#: A cell is thinned in parts of about so many points before its nearest points are found.
+PART_POINTS = 5_000
 
 
 def with_cells(points: DataFrame, x: str, y: str, tolerance: float) -> DataFrame:
@@ -23,9 +23,9 @@ def with_cells(points: DataFrame, x: str, y: str, tolerance: float) -> DataFrame
 
 
 def _near_corner(points: DataFrame, right: int, up: int) -> DataFrame:
-    """Points of a cell that no point of the same part of it beats in both directions (``right``, ``up`` = 1 or -1)."""
+    """Points of a cell that no point of the same part of it beats in both directions (``right``, ``up`` = 1 or -1); ``n`` is the cell's number of points."""
     px, py = F.col("x") * right, F.col("y") * up
-    part = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS))
+    part = F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("n") / PART_POINTS))
     before = Window.partitionBy("cx", "cy", "part").orderBy(
         F.col("px").desc(),
         F.col("py").desc(),
@@ -49,6 +49,7 @@ def cell_links(points: DataFrame, tolerance: float) -> DataFrame:
         F.max("x").alias("x1"),
         F.min("y").alias("y0"),
         F.max("y").alias("y1"),
+        F.count(F.lit(1)).alias("n"),
     )
     a = cells.select(
         F.col("cx").alias("ax"),
@@ -86,10 +87,11 @@ def cell_links(points: DataFrame, tolerance: float) -> DataFrame:
         (F.col("dx") == 1) & (F.col("dy") != 0) & x_close & F.when(F.col("dy") == 1, up_close).otherwise(down_close)
     )
     links = straight.select("ax", "ay", "bx", "by")
+    sized = points.join(cells.select("cx", "cy", "n"), ["cx", "cy"])
     for up in (1, -1):
         pairs = corner.filter(F.col("dy") == up).select("ax", "ay", "bx", "by")
-        from_a = pairs.join(_near_corner(points, 1, up), (F.col("ax") == F.col("cx")) & (F.col("ay") == F.col("cy")))
-        from_b = pairs.join(_near_corner(points, -1, -up), (F.col("bx") == F.col("cx")) & (F.col("by") == F.col("cy")))
+        from_a = pairs.join(_near_corner(sized, 1, up), (F.col("ax") == F.col("cx")) & (F.col("ay") == F.col("cy")))
+        from_b = pairs.join(_near_corner(sized, -1, -up), (F.col("bx") == F.col("cx")) & (F.col("by") == F.col("cy")))
         # sweep along x: a point of A reaches x + w; the lowest point of B so far decides
         events = from_a.select(
             "ax",

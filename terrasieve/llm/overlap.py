@@ -201,3 +201,37 @@ def cross_split_overlaps(
     near = places.join(t, ["train_x", "train_y"]).join(e, ["eval_x", "eval_y"]).select("t", "e", "split")
     both = same.unionByName(near)
     return both.select(F.least("t", "e").alias(f"{key}_1"), F.greatest("t", "e").alias(f"{key}_2"), "split").dropDuplicates()
+
+
+def cross_split_links(
+    records: DataFrame,
+    splits: DataFrame,
+    key: str,
+    x: str,
+    y: str,
+    tolerance: float,
+    *,
+    train: str = "train",
+) -> DataFrame:
+    """(key, split, place_key, n_links): for every record listed as train, with how many records of each other split it overlaps.
+
+    The same matches as ``cross_split_overlaps``, but records of one place stand as one class, named by its smallest
+    train key as ``place_key`` (the key itself where the place is unknown): the spans of evaluation places that a
+    class matches are merged and their records counted, so no pair of records is listed, however many share a place.
+    Nulls, unlisted records and empty inputs as there; records without an overlap give no row.
+    """
+    scratch = Scratch(records.sparkSession, "overlap-links")
+    place = records.select(key, F.col(x).alias("x"), F.col(y).alias("y")).filter(F.col(key).isNotNull())
+    listed = scratch.write(splits.select(key, "split").dropna().dropDuplicates().join(place, key), "members")
+    left, right = listed.filter(F.col("split") == train).drop("split"), listed.filter(F.col("split") != train)
+    found = matched_strings(left.dropDuplicates(), right.select(key, "x", "y").dropDuplicates(), key, "x", "y", tolerance)
+    places = scratch.write(found.filter(F.col("kind") == _PLACE).select("train_x", "train_y", "eval_x", "eval_y"), "places")
+    held = right.groupBy(F.col("x").alias("eval_x"), F.col("y").alias("eval_y"), "split").agg(F.count(F.lit(1)).alias("n"))
+    spans = places.join(held, ["eval_x", "eval_y"]).groupBy("train_x", "train_y", "split").agg(F.sum("n").alias("n_links"))
+    classes = left.dropna().groupBy("x", "y").agg(F.min(key).alias("place_key"))
+    members = left.join(classes, ["x", "y"]).select(key, "place_key", F.col("x").alias("train_x"), F.col("y").alias("train_y"))
+    near = members.join(spans, ["train_x", "train_y"]).select(key, "split", "place_key", "n_links")
+    # a record listed on both sides meets itself at its place; without one it meets only itself
+    lone = left.filter(F.col("x").isNull() | F.col("y").isNull()).select(key)
+    itself = lone.join(right.select(key, "split"), key).select(key, "split", F.col(key).alias("place_key"), F.lit(1).cast("long").alias("n_links"))
+    return near.unionByName(itself)

@@ -37,7 +37,7 @@ BUCKETS = 1 << 18
 #: Texts in a shard, and the query terms of a seed.
 SHARD_TEXTS, QUERY_TERMS = 20_000, 12
 #: Numbers in a text's sketch, levels of the tree that orders texts, and texts that it is fitted on.
-SKETCH, TREE_DEPTH, SAMPLE_TEXTS = 64, 8, 20_000
+SKETCH, TREE_DEPTH, SAMPLE_TEXTS = 64, 8, 8_000
 #: Containers emptier than this after the first pass are opened again and their texts packed once more.
 WELL_FILLED = 0.98
 K1, B = 1.2, 0.75

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrasieve.llm import accessions as acc
 from terrasieve.llm.clusters import describe_clusters, grid_clusters
 from terrasieve.llm.leakage import leaked_passages
-from terrasieve.llm.overlap import cross_split_overlaps
+from terrasieve.llm.overlap import cross_split_links, cross_split_overlaps
 from terrasieve.llm.packing import pack_containers
 from terrasieve.llm.spam import spam_pages
 from terrasieve.llm.splits import assign_splits, place_edges, related_groups, shared_value_edges
@@ -25,6 +25,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return cross_split_overlaps(both, acc.listed_splits(table(spark, d, "splits")), "iid", "x", "y", SAME_PLACE)
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Accessions listed as train by how many accessions of each other split they overlap; those of a place share a class."""
+    both = acc.in_both(table(spark, d, "coords_with_bioclim"), table(spark, d, "combined_variables_dataset_normalized"))
+    return cross_split_links(both, acc.listed_splits(table(spark, d, "splits")), "iid", "x", "y", SAME_PLACE)
+
+
 def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Pairs per split and collection of the pair's accessions; a pair counts once for each collection it touches."""
     coords = table(spark, d, "coords_with_bioclim")
@@ -108,6 +114,13 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Climate groups made of cells with two records or more; records of thinner cells belong to none."""
+    rows = acc.measured(table(spark, d, "combined_variables_dataset_normalized"), ["bio1", "bio_11_6"])
+    out = grid_clusters(rows, "iid", "bio1", "bio_11_6", SAME_CLIMATE, min_cell_rows=2)
+    return out.select("iid", F.col("cluster").alias("cluster_iid"), "size", "cell_rows")
+
+
 #: Tokens a container holds.
 CAPACITY = 2048
 
@@ -164,7 +177,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters,
+QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p1_links": p1_links, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_dense": p5_dense,
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p8_near": p8_near, "p9_found": p9_found, "p9_by_source": p9_by_source}
 
 _ACC = """c as (select iid, max(case when ok then long end) x, max(case when ok then lat end) y, max(case when fid not in (0, -9) then fid end) fid
@@ -193,6 +206,14 @@ b as (select *, row_number() over (partition by variable, snp_index order by w d
 select 'peaks' src, variable, snp_index, embedding_dim, peak_index from a where r <= 5 union all select 'weights', variable, snp_index, embedding_dim, 0 from b where r <= 3""",
     "p2_ranks": """select variable, snp_index, embedding_dim, peak_index, zscore, cast(r as integer) "rank" from (select *, row_number() over (partition by variable, snp_index order by zscore desc, embedding_dim, peak_index) r from
  (select distinct variable, snp_index, embedding_dim, peak_index, zscore from gradient_peaks_summary where zscore is not null and not isnan(zscore))) where r <= 5""",
+    "p1_links": f"""with {_P1}, u as (select t.iid, e.iid other, e.split from g t join e on t.gx = e.gx and t.gy = e.gy where t.split = 'train' and abs(t.x - e.x) <= 0.002 + 1e-9 and abs(t.y - e.y) <= 0.002 + 1e-9
+ union select t.iid, t.iid, e.split from m t join m e on t.iid = e.iid where t.split = 'train' and e.split <> 'train'), w as (select iid, coalesce(min(iid) over (partition by x, y), iid) place_key, x, y from m where split = 'train')
+select u.iid, u.split, case when w.x is null or w.y is null then u.iid else w.place_key end place_key, count(*) n_links from u join w on u.iid = w.iid group by 1, 2, 3""",
+    "p5_dense": f"""with recursive {_CLIMATE}, c as (select iid, x, y, cast(floor(x / (0.0025::double + 1e-9::double)) as bigint) gx, cast(floor(y / (0.0025::double + 1e-9::double)) as bigint) gy from r),
+d as (select gx, gy, min(iid) cell, count(*) cell_rows from c group by 1, 2 having count(*) >= 2), q as (select c.*, cell from c join d using (gx, gy)),
+h as (select q.cell, x, y, gx + i gx, gy + j gy from q, (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j)), l as (select distinct q.cell a, h.cell b from q join h on q.gx = h.gx and q.gy = h.gy where abs(q.x - h.x) <= 0.0025 + 1e-9 and abs(q.y - h.y) <= 0.0025 + 1e-9),
+reach as (select a node, a root from l union select l.b, reach.root from reach join l on reach.node = l.a), s as (select node cell, min(root) cluster_iid from reach group by node), z as (select cluster_iid, cast(sum(cell_rows) as bigint) size from d join s using (cell) group by 1)
+select distinct q.iid, s.cluster_iid, z.size, d.cell_rows from q join s on s.cell = q.cell join z on z.cluster_iid = s.cluster_iid join d on d.gx = q.gx and d.gy = q.gy""",
     "p5_found": f"with {_CLIMATE} select iid, cluster_iid from k where n > 1",
     "p4_found": f"""with recursive {_ACC},
 g as (select *, cast(floor(x / 0.002001) as bigint) gx, cast(floor(y / 0.002001) as bigint) gy from c),

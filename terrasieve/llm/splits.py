@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from terrasieve.plans.scratch import Scratch
 LARGE_SHARE = 0.005
 
 
-def random_mate_components(edges: DataFrame, scratch: Scratch, *, seed: int = 0, max_rounds: int = 200) -> DataFrame:
+def random_mate_components(edges: DataFrame, scratch: Scratch, *, seed: int = 0) -> DataFrame:
     """(node, root) for every node of an edge: nodes of one component, and only those, share a root.
 
     Random-mate contraction: each round every node draws a coin from a hash; a tail joins its smallest head
@@ -32,7 +33,7 @@ def random_mate_components(edges: DataFrame, scratch: Scratch, *, seed: int = 0,
         "edges_0",
     )
     mates: list[DataFrame] = []
-    for r in range(1, max_rounds + 1):
+    for r in count(1):  # every round draws new coins, so edges run out
         if current.isEmpty():
             break
         head = lambda c, r=r: F.xxhash64(F.col(c), F.lit(seed), F.lit(r)).bitwiseAND(F.lit(1)) == 1
@@ -54,15 +55,13 @@ def random_mate_components(edges: DataFrame, scratch: Scratch, *, seed: int = 0,
             f"edges_{r}",
         )
         scratch.drop(f"edges_{r - 1}")
-    else:
-        raise RuntimeError(f"edges are left after {max_rounds} rounds")
     if not mates:
         return edges.select(u.cast("long").alias("node"), v.cast("long").alias("root")).limit(0)
     forest = mates[0]
     for m in mates[1:]:
         forest = forest.unionByName(m)
     forest = scratch.write(forest, "forest_0")
-    for i in range(1, 64):
+    for i in count(1):  # doubling ends after the logarithm of the longest path
         up = forest.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         forest = scratch.write(
             forest.join(up, "parent", "left").select(

@@ -98,6 +98,28 @@ def test_overlaps_match_brute_force(spark, monkeypatch, bounds):
     assert got == want and len(want) > 100
 
 
+def test_links_count_what_overlaps_lists(spark):
+    r = random.Random(31)
+    pts = cloud(31, 60) + [(1.0, 1.0)] * 25 + [(None, None)] * 5
+    rows = [(i, *p) for i, p in enumerate(pts)]
+    listed = [(i, s) for i in range(len(pts)) for s in r.sample(["train", "val", "test"], r.randint(1, 2))]
+    df = spark.createDataFrame(rows, "iid long, x double, y double").selectExpr("*", "1 as n", "'a' as split", "2 as place_key")
+    ls = spark.createDataFrame(listed, "iid long, split string")
+    members = defaultdict(set)
+    for i, s in listed:
+        members[s].add(i)
+    want = {}
+    for i in members["train"]:
+        for s in ("val", "test"):
+            n = sum(j == i or (None not in pts[i] and None not in pts[j] and near(pts[i], pts[j])) for j in members[s])
+            if n:
+                same = [j for j in members["train"] if pts[j] == pts[i]] if None not in pts[i] else [i]
+                want[i, s] = (min(same), n)
+    got = {(x["iid"], x["split"]): (x["place_key"], x["n_links"]) for x in overlap.cross_split_links(df, ls, "iid", "x", "y", TOL).collect()}
+    assert got == want and max(n for _, n in want.values()) > 8
+    assert overlap.cross_split_links(df.limit(0), ls, "iid", "x", "y", TOL).collect() == []
+
+
 def test_overlaps_of_nothing(spark):
     df = spark.createDataFrame([], "iid long, x double, y double")
     ls = spark.createDataFrame([(1, "train")], "iid long, split string")
