@@ -73,6 +73,11 @@ def with_place(df: DataFrame, x: str = "long", y: str = "lat", mark: float = -9.
     return df.filter(is_present(x) & is_present(y) & (F.col(x) != mark) & (F.col(y) != mark))
 
 
+def without_metadata(df: DataFrame, position: str = "position") -> DataFrame:
+    """Rows of positions from 0 on; lower ones mark rows that describe the table. Null positions go."""
+    return df.filter(F.col(position) >= 0)
+
+
 def plain_names(df: DataFrame, drop_suffix: str = "_uncertainty", suffix: str = "_soil") -> DataFrame:
     """Without columns of ``drop_suffix``; ``x<suffix>`` becomes ``x`` where there is no x."""
     kept = [c for c in df.columns if not c.endswith(drop_suffix)]

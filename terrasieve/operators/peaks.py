@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.plans.joins import join_same
+from terrasieve.plans.scratch import Scratch
 
 
 def series_zscore(df: DataFrame, group: Sequence[str], value: str, absolute: bool = False, name: str = "z") -> DataFrame:
@@ -31,14 +32,16 @@ def greedy_peaks(
     """(group, peak_index, position, zscore): up to ``max_peaks`` positions of highest z, each more than half a window from those before.
 
     Each peak is one aggregate over what the peaks before leave, so a series of any length is never gathered. Ties
-    go to the smaller position.
+    go to the smaller position. The candidates and each round's peaks are written tables, so no round runs twice.
     """
     half = window // 2
+    scratch = Scratch(df.sparkSession, "peaks")
     left = series_zscore(df, group, value, absolute=True).filter(F.col("z") >= threshold).select(
         *group,
         F.col(position).alias("p"),
         "z",
     )
+    left = scratch.write(left, "candidates")
     found = None
     for i in range(max_peaks):
         top = left.groupBy(*group).agg(F.max(F.struct("z", (-F.col("p")).alias("np"))).alias("t")).select(
@@ -47,6 +50,7 @@ def greedy_peaks(
             (-F.col("t.np")).alias("at"),
             F.col("t.z").alias("zscore"),
         )
+        top = scratch.write(top, f"peak_{i}")
         found = top if found is None else found.unionByName(top)
         left = join_same(left, top.select(*group, "at"), group).filter(F.abs(F.col("p") - F.col("at")) > half).drop("at")
     return found.select(*group, "peak_index", F.col("at").alias(position), "zscore")

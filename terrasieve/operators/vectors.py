@@ -40,6 +40,18 @@ def flattened(df: DataFrame, group: Sequence[str], order: str, vector: str) -> D
     )
 
 
+def nested_regions(df: DataFrame, keys: Sequence[str], nested: str) -> DataFrame:
+    """(keys, chromosome, region, embedding): a list of chromosomes, each a list of region vectors, as one row a region.
+
+    Chromosomes count from 1 and regions from 0 through all chromosomes, in order; vectors come as floats, and empty
+    or null chromosomes and a null list give no rows.
+    """
+    chromosomes = df.select(*keys, F.col(nested).alias("__all"), F.posexplode(nested).alias("__c", "__regions"))
+    before = F.aggregate(F.slice("__all", 1, F.col("__c")), F.lit(0), lambda n, c: n + F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)))
+    rows = chromosomes.select(*keys, (F.col("__c") + 1).alias("chromosome"), before.alias("__before"), F.posexplode("__regions").alias("__r", "__v"))
+    return rows.select(*keys, "chromosome", (F.col("__before") + F.col("__r")).alias("region"), F.col("__v").cast("array<float>").alias("embedding"))
+
+
 def replace_row(matrix: Column, row: Column, values: Column) -> Column:
     """A matrix (array of arrays) with one row replaced."""
     return F.transform(matrix, lambda x, i: F.when(i == row, values).otherwise(x))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasieve.functions.values import present
-from terrasieve.operators import clean, cluster, graph, intervals, peaks, rank, sequence, stats
+from terrasieve.operators import clean, cluster, graph, intervals, peaks, rank, sequence, stats, vectors
 from terrasieve.plans.scratch import Scratch
 from terrasieve.queries import table
 from terrasieve.queries.environment import COORDS, CORRELATED, FIXED, _variable_components, ok, val
-from terrasieve.queries.genetics import _L, _SEQ, PEAKS, sequences
+from terrasieve.queries.genetics import _L, _PFM, _SEQ, PEAKS, sequences
 from terrasieve.sources import tables, text
 
 
@@ -137,6 +137,21 @@ def chromosome_codes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def positions_only(spark: SparkSession, d: str) -> DataFrame:
+    """Base composition with a row of metadata for each chromosome among its positions, and without it again."""
+    rows = sequence.position_counts(sequences(spark, d), ["chromosome"], "seq")
+    marks = rows.select("chromosome").dropDuplicates().select("chromosome", F.lit(-1).alias("position"), *[F.lit(0).cast("long").alias(f"n_{b}") for b in "acgtn"])
+    return clean.without_metadata(rows.unionByName(marks))
+
+
+def nested_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector as four chromosomes of four regions, taken apart again."""
+    part = lambda i: F.slice("embedding", F.lit(1) + 4 * i, F.lit(4))
+    nested = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: part(4 * c + r)))
+    rows = vectors.nested_regions(table(spark, d, "embeddings").select("vec_id", nested.alias("nested")), ["vec_id"], "nested")
+    return rows.select("vec_id", "chromosome", "region", F.element_at("embedding", 1).cast("double").alias("first"))
+
+
 def site_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of single and combined variants."""
     rows = table(spark, d, "variant_overlap_summary").select("variant_id", "snp_index", "variant_type", "positions", "alt_bases").dropDuplicates()
@@ -222,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tab_round_trip, genotype_matrix_round_trip, site_list_round_trip, count_lines_round_trip, json_splits_round_trip, commented_table_round_trip, path_parts, kept_output, json_summary, plain_names,
-        segments_complemented, chromosome_codes, site_labels, genomic_positions, numbered_records, scores_on_columns, motif_clusters, unweighted_pairs, exact_regions, variable_mapping, fold_consensus, group_split,
+        segments_complemented, chromosome_codes, site_labels, positions_only, nested_regions, genomic_positions, numbered_records, scores_on_columns, motif_clusters, unweighted_pairs, exact_regions, variable_mapping, fold_consensus, group_split,
     )
 }
 
@@ -250,6 +265,8 @@ def _oracles() -> dict[str, str]:
         "plain_names": f"select iid, {val('bio1')} bio1, {val('bio2')} bio2, {val('bio2')} bio2_soil from {COORDS}",
         "segments_complemented": f"with {_SEQ} select doc_id, record_no, translate(reverse(substr(seq, 21)), 'ACGT', 'TGCA') || '[SEP]' || translate(reverse(substr(seq, 1, 20)), 'ACGT', 'TGCA') other from x",
         "chromosome_codes": f"select case chromosome when 5 then -1 else chromosome end code, count(*) n from {PEAKS} group by 1",
+        "positions_only": f"with {_SEQ}, {_L}, {_PFM} select * from p",
+        "nested_regions": "select vec_id, cast(r // 4 + 1 as integer) chromosome, cast(r as integer) region, cast(embedding[4 * r + 1] as double) first from embeddings, range(16) t(r)",
         "site_labels": """select distinct variant_id, label from (select variant_id, case when variant_type = 'single' then 'SNP' || snp_index || '_' || positions || '_N>' || alt_bases else 'COMBO' || snp_index || '_' || positions end label from variant_overlap_summary) where variant_id is not null and label is not null""",
         "genomic_positions": f"select distinct variable, snp_index, embedding_dim, peak_index, region_start + max_grad_pos place from {PEAKS} where embedding_dim >= 0",
         "numbered_records": f"with {_SEQ}, r as (select row_number() over (order by doc_id, record_no) - 1 record_no, accession || '|>x|' || \"start\" header, seq from x), n as (select snp_index, count(*) n from {PEAKS} group by 1) select r.record_no, header, seq, coalesce(n, 0) n_peaks from r left join n on n.snp_index = r.record_no",
