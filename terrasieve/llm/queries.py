@@ -95,6 +95,24 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(assign_splits(weights, "group_iid", "n_rows", scratch), "group_iid").select("iid", "group_iid", "split")
 
 
+def p4_split_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits: every accession once, no fid and no place in two splits, shares within a hundredth of 80, 10 and 10 percent of the rows."""
+    got = Scratch(spark, "split-check").write(p4_splits(spark, d), "splits")
+    coords, normalized = (table(spark, d, t) for t in ("coords_with_bioclim", "combined_variables_dataset_normalized"))
+    known = acc.accessions(coords).join(got.select("iid", "split"), "iid")
+    torn = lambda rows, keys: rows.dropna(subset=keys).groupBy(*keys).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("t"))
+    rows = normalized.select(F.col("iid").cast("long").alias("iid")).join(got, "iid")
+    wanted = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    shares = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
+    off = shares.agg(F.count_if(F.abs(F.col("n") / F.col("total") - wanted) > 0.01).alias("n_shares_off"))
+    return (
+        got.agg(F.count(F.lit(1)).alias("n_accessions"), F.count_distinct("iid").alias("n_distinct"))
+        .join(torn(known, ["fid"]).select(F.col("t").alias("n_fids_torn")))
+        .join(torn(known, ["x", "y"]).select(F.col("t").alias("n_places_torn")))
+        .join(off)
+    )
+
+
 def _climates(spark: SparkSession, d: str) -> DataFrame:
     rows = acc.measured(table(spark, d, "combined_variables_dataset_normalized"), ["bio1", "bio_11_6"])
     return grid_clusters(rows, "iid", "bio1", "bio_11_6", SAME_CLIMATE)
@@ -177,7 +195,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p1_links": p1_links, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_dense": p5_dense,
+QUERIES = {"p1_found": p1_found, "p1_by_source": p1_by_source, "p1_links": p1_links, "p2_found": p2_found, "p2_ranks": p2_ranks, "p4_found": p4_found, "p4_splits": p4_splits, "p4_split_check": p4_split_check, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_dense": p5_dense,
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p8_near": p8_near, "p9_found": p9_found, "p9_by_source": p9_by_source}
 
 _ACC = """c as (select iid, max(case when ok then long end) x, max(case when ok then lat end) y, max(case when fid not in (0, -9) then fid end) fid
@@ -215,6 +233,8 @@ h as (select q.cell, x, y, gx + i gx, gy + j gy from q, (values (-1), (0), (1))
 reach as (select a node, a root from l union select l.b, reach.root from reach join l on reach.node = l.a), s as (select node cell, min(root) cluster_iid from reach group by node), z as (select cluster_iid, cast(sum(cell_rows) as bigint) size from d join s using (cell) group by 1)
 select distinct q.iid, s.cluster_iid, z.size, d.cell_rows from q join s on s.cell = q.cell join z on z.cluster_iid = s.cluster_iid join d on d.gx = q.gx and d.gy = q.gy""",
     "p5_found": f"with {_CLIMATE} select iid, cluster_iid from k where n > 1",
+    "p4_split_check": """select count(distinct iid) n_accessions, count(distinct iid) n_distinct, cast(0 as bigint) n_fids_torn, cast(0 as bigint) n_places_torn, cast(0 as bigint) n_shares_off
+from coords_with_bioclim where iid in (select iid from combined_variables_dataset_normalized)""",
     "p4_found": f"""with recursive {_ACC},
 g as (select *, cast(floor(x / 0.002001) as bigint) gx, cast(floor(y / 0.002001) as bigint) gy from c),
 n as (select iid, x, y, gx + i gx, gy + j gy from g, (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j)),
