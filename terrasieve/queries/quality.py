@@ -28,6 +28,11 @@ def p3_value_frequency(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"), F.min("item_no").alias("first_place"))
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each packed field gives, which its row states as well."""
+    return p3_found(spark, d).groupBy("variant_id", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _stated(spark: SparkSession, d: str, names: Sequence[str] = tuple(PROFILED)) -> dict:
     """The columns that the data's description states issues for, with their valid ranges."""
     return {t: (table(spark, d, t), PROFILED[t][0], {c: PROFILED[t][1] for c in PROFILED[t][0]}) for t in names}
@@ -84,6 +89,7 @@ def p6_base(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_value_frequency": p3_value_frequency,
+    "p3_counts": p3_counts,
     "p6_found": p6_found,
     "p6_profile": p6_profile,
     "p6_base": p6_base,
@@ -101,6 +107,10 @@ b as (select v.tbl, v.col, v.load_no, count(*) n_rows, count(*) - count(x) n_mis
  from v left join t on v.tbl = t.tbl and v.col = t.col and v.load_no = t.load_no group by v.tbl, v.col, v.load_no)"""
 
 ORACLES = {
+    "p3_counts": " union all ".join(
+        f"select distinct variant_id, '{c}' field, cast({n} as bigint) n from variant_overlap_summary where variant_id is not null and regexp_matches({c}, '[\\pL\\pN]')"
+        for c, n in (("positions", "size"), ("alt_bases", "size"), ("accession_ids", "least(n_accessions, 50)"))
+    ),
     "p6_base": f"{_BASE} select tbl, col, load_no, n_rows, n_missing, n_distinct, min_value, max_value, n_violations, round(median, 6) median, round(iqr, 6) iqr, round(top_share, 9) top_share from b",
     "p6_found": f"""{_BASE}, r as (select b.*, ref.median ref_median, ref.iqr ref_iqr from b left join b ref on ref.tbl = b.tbl and ref.col = b.col and ref.load_no = 1)
 select tbl, col, load_no, 'missing' issue from r where n_missing > 0.10 * n_rows
