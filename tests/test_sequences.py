@@ -98,18 +98,18 @@ def sequence_folder(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["token_checksum_whole", "variant_places_whole", "double_mutants_all"])
+@pytest.mark.parametrize("name", ["token_checksum", "variant_places", "double_mutants_all"])
 def test_whole_sequences_agree_with_sql(spark, sequence_folder, name):
     same_rows(genetics.QUERIES[name](spark, sequence_folder), connection(sequence_folder), genetics.ORACLES[name])
 
 
 def test_checksum_and_place_see_letters_after_120(spark, sequence_folder):
-    tokens = {r["doc_id"]: r["tokens"] for r in genetics.token_checksum_whole(spark, sequence_folder).collect()}
+    tokens = {r["doc_id"]: r["tokens"] for r in genetics.token_checksum(spark, sequence_folder).collect()}
     assert tokens[0] != tokens[1]
-    at = {r["doc_id"]: r["at"] for r in genetics.variant_places_whole(spark, sequence_folder).collect()}
+    at = {r["doc_id"]: r["at"] for r in genetics.variant_places(spark, sequence_folder).collect()}
     assert (at[0], at[2], at[3]) == (160, 148, -1)
 
 
 def test_double_mutants_of_every_chromosome(spark, sequence_folder):
-    found = {r["doc_id"] for r in genetics.double_mutants_all(spark, sequence_folder).select("doc_id").distinct().collect()}
+    found = {r["doc_id"] for r in genetics.double_mutants(spark, sequence_folder).select("doc_id").distinct().collect()}
     assert found == {0, 1, 2, 5}
