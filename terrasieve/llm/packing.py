@@ -360,7 +360,8 @@ def pack_containers(
         order = [F.col(first), F.col(second), spread]
         return rows.repartitionByRange(min(max(1, math.ceil(texts / SHARD_TEXTS)), most), *order).sortWithinPartitions(*order)
 
-    signed = sharded(rest.mapInArrow(sign, item), n, "leaf", "term")
+    # written, as ranges are found by a pass of their own over the rows to be divided
+    signed = sharded(scratch.write(rest.mapInArrow(sign, item), "signed"), n, "leaf", "term")
     first = scratch.write(signed.mapInArrow(packed(False), out_schema), "first")
     done = first.filter(F.col("filled") >= WELL_FILLED)
     open_ = first.filter(F.col("filled") < WELL_FILLED).select(*item.names)
