@@ -21,14 +21,18 @@ from pyspark.sql import types as T
 
 #: A word, also inside a compound written in mixed case, or a figure.
 _SYMBOL = re.compile(r"\d+|[A-ZÀ-Þ]+(?![a-zß-ÿ])|[^\W\d_A-ZÀ-Þ]+|[^\W\d_][^\W\d_A-ZÀ-Þ]*")
-#: Lines, sentences and addresses are taken apart; an address is a part of its own.
-_PART = re.compile(r"(?<=[.!?])\s+|[\r\n]+|(\S*//\S*)")
-_CLOSED = re.compile(r"(?<![.!?])[.!?][\"'”»)]*\s*$")
+#: Lines, sentences and addresses are taken apart; an address is a part of its own, and is looked for where a run of
+#: letters begins, as a search from each of its letters would take the square of its length.
+_PART = re.compile(r"(?<=[.!?])\s+|[\r\n]+|(?<!\S)(\S*//\S*)")
+#: The same for a page without an address; spaces after a line's end go with it.
+_BREAK = re.compile(r"\s(?:(?<=[\r\n])|(?<=[.!?]\s))\s*")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 #: Words and figures the shortest sentence has.
 SENTENCE_WORDS = 7
 #: Words of a page above which its automaton is packed.
 PACKED_WORDS = 200_000
+#: Words held between pages; the number of them has no part in any result.
+_CACHED_WORDS = 200_000
 
 
 def repeated_cover(symbols: list[int], min_repeats: int) -> list[bool]:
@@ -104,9 +108,36 @@ def repeated_cover(symbols: list[int], min_repeats: int) -> list[bool]:
     return [depth > 0 for depth in accumulate(edge[:n])]
 
 
-def page_measures(text: str, spacing: int) -> tuple[float, float]:
+class _Words(dict):
+    """The number of each word's lower-case form and how many letters it has, none for a figure."""
+
+    def __init__(self):
+        super().__init__()
+        self.ids: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        found = self[word] = (self.ids.setdefault(word.lower(), len(self.ids)), 0 if word[0].isdigit() else len(word))
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.ids.clear()
+
+
+_words = _Words()
+
+
+def _closed(part: str) -> bool:
+    """Whether one mark ends the part, quotes and brackets after it aside."""
+    end = part.rstrip().rstrip("\"'”»)")[-2:]
+    return end[-1:] in (".", "!", "?") and end[:-1] not in (".", "!", "?")
+
+
+def page_measures(text: str, spacing: int, min_loose: float = 0.0) -> tuple[float, float]:
     """(loose, covered): the share of the page's letters outside sentences and records, and of those letters the share in repeated phrases.
 
+    Of a page whose ``loose`` is below ``min_loose`` nothing else is asked: no automaton is built and ``covered`` is 0.
+
     A phrase counts as repeated if it returns once in ``spacing`` words of the page or more often, twice at least. A
     part has a sentence's form if one mark closes it, it is long enough, and no word of four letters or more makes up
     a tenth of it three times over. A line that is figures by half or more, without address or tag, is a record.
@@ -115,32 +146,38 @@ def page_measures(text: str, spacing: int) -> tuple[float, float]:
         text = html.unescape(text)
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    words: list[str] = []
-    parts: list[tuple[int, bool, bool]] = []  # words up to here, closed as a sentence is, an address or tags
-    for part in _PART.split(text):
-        if part and (found := _SYMBOL.findall(part)):
-            words += found
-            linked = "//" in part
-            parts.append((len(words), not linked and bool(_CLOSED.search(part)), linked or "#" in part))
-    if not words:
-        return 0.0, 0.0
-    ids: dict[str, int] = {}
-    known = {w: (ids.setdefault(w.lower(), len(ids)), 0 if w[0].isdigit() else len(w)) for w in set(words)}
-    symbols, letters = map(list, zip(*[known[w] for w in words], strict=True))
-    cover = repeated_cover(symbols, max(2, -(-len(words) // spacing)))
-    loose = covered = a = 0
-    for b, closed, linked in parts:
-        sizes = letters[a:b]
-        told = not linked and 2 * sizes.count(0) >= b - a
-        if not told and closed and b - a >= SENTENCE_WORDS:
-            most = max(Counter([w for w, n in zip(symbols[a:b], sizes, strict=True) if n > 3]).values(), default=0)
-            told = most < 3 or most < 0.1 * (b - a)
+    if len(_words) > _CACHED_WORDS:
+        _words.clear()
+    symbols: list[int] = []
+    letters: list[int] = []
+    spans: list[tuple[int, int]] = []  # the words of each part that isn't told
+    a = total = loose = 0
+    for part in (_PART if "//" in text else _BREAK).split(text):
+        if not part or not (found := _SYMBOL.findall(part)):
+            continue
+        own, sizes = zip(*map(_words.__getitem__, found), strict=True)
+        symbols += own
+        letters += sizes
+        n, size = len(own), sum(sizes)
+        total += size
+        told = False
+        if "//" not in part:
+            told = "#" not in part and 2 * sizes.count(0) >= n
+            # two words of a part must be the same as others before one can stand there three times
+            if not told and n >= SENTENCE_WORDS and _closed(part):
+                told = len(set(own)) > n - 2
+                if not told:
+                    most = max(Counter([w for w, k in zip(own, sizes, strict=True) if k > 3]).values(), default=0)
+                    told = most < 3 or most < 0.1 * n
         if not told:
-            loose += sum(sizes)
-            covered += sum(compress(sizes, cover[a:b]))
-        a = b
-    total = sum(letters)
-    return (loose / total if total else 0.0), (covered / loose if loose else 0.0)
+            spans.append((a, a + n))
+            loose += size
+        a += n
+    share = loose / total if total else 0.0
+    if not loose or share < min_loose:
+        return share, 0.0
+    cover = repeated_cover(symbols, max(2, -(-a // spacing)))
+    return share, sum(sum(compress(letters[a:b], cover[a:b])) for a, b in spans) / loose
 
 
 def spam_pages(
@@ -158,8 +195,8 @@ def spam_pages(
     repeated phrases cover; their sum must reach ``min_score``, so a page without sentences needs few repeats and a
     page with some needs many, and no page is found by either alone while ``min_score`` is above 1.
 
-    Every page's automaton is built from its whole text, one page at a time; the table is not shuffled. Null, empty
-    and blank texts are no spam; other columns are ignored; a null key is kept as it is. An empty table gives no rows.
+    An automaton is built from a page's whole text, one page at a time, where ``loose`` reaches ``min_loose``: no other
+    page can be found, whatever repeats in it. The table is not shuffled. Null, empty and blank texts are no spam; other columns are ignored; a null key is kept as it is. An empty table gives no rows.
     """
     source = docs.select(key, text)
     schema = T.StructType([source.schema[0], T.StructField("loose", T.DoubleType()), T.StructField("covered", T.DoubleType())])
@@ -169,7 +206,7 @@ def spam_pages(
             keep, looses, covers = [], [], []
             for i, value in enumerate(batch.column(1)):
                 t = value.as_py()
-                loose, covered = page_measures(t, spacing) if t else (0.0, 0.0)
+                loose, covered = page_measures(t, spacing, min_loose) if t else (0.0, 0.0)
                 if loose >= min_loose and loose + covered >= min_score:
                     keep.append(i), looses.append(loose), covers.append(covered)
             yield pa.RecordBatch.from_arrays(

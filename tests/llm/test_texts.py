@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -275,6 +277,34 @@ def test_phrases_repeat_across_any_distance():
     assert sum(spam.repeated_cover(half + [40_001] + half, 2)) == 300_000
 
 
+def test_an_automaton_is_built_where_it_can_decide(monkeypatch):
+    asked = []
+    real = spam.repeated_cover
+    monkeypatch.setattr(spam, "repeated_cover", lambda s, k: asked.append(len(s)) or real(s, k))
+    whole = [spam.page_measures(t, 80) for t in SPAM + SOUND]
+    n = len(asked)
+    assert [spam.page_measures(t, 80, 0.4) for t in SPAM + SOUND] == [(a, b if a >= 0.4 else 0.0) for a, b in whole]
+    assert len(asked) - n == sum(a >= 0.4 for a, _ in whole) < n
+
+
+def test_a_run_of_letters_takes_time_by_its_length():
+    began = time.process_time()
+    assert spam.page_measures("ACGT" * 25_000, 80) == (1.0, 0.0)
+    assert time.process_time() - began < 5  # every letter searched the rest of the run for an address: 35 s
+
+
+def test_words_held_between_pages_change_nothing(monkeypatch):
+    whole = [spam.page_measures(t, 80) for t in SPAM + SOUND]
+    monkeypatch.setattr(spam, "_CACHED_WORDS", 0)
+    assert [spam.page_measures(t, 80) for t in SPAM + SOUND] == whole
+
+
+@pytest.mark.parametrize("end", ["", ".", "..", "!\"", "?')", ". )", ".»\n", "a.\t ", '"', ")."])
+def test_marks_that_close_a_part(end):
+    closed = re.compile(r"(?<![.!?])[.!?][\"'”»)]*\s*$")
+    assert [spam._closed(w + end) for w in ("", "ab", "a.")] == [bool(closed.search(w + end)) for w in ("", "ab", "a.")]
+
+
 def test_very_long_page(spark):
     df = spark.createDataFrame([(1, "cheap grow light online " * 60_000)], "doc_id long, text string")
     assert spam.spam_pages(df).count() == 1
