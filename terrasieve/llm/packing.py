@@ -17,6 +17,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,10 @@ SKETCH, TREE_DEPTH, SAMPLE_TEXTS = 64, 8, 8_000
 #: Containers emptier than this after the first pass are opened again and their texts packed once more.
 WELL_FILLED = 0.98
 K1, B = 1.2, 0.75
-_CACHED_PIECES = 300_000
+#: Pieces, and stretches of at most so many letters, that a task holds with what was found for them.
+_CACHED_PIECES, _CACHED_LETTERS = 300_000, 60
+#: A piece's term plus one has so many bits.
+_TERM_BITS = 20
 
 
 @cache
@@ -51,30 +55,76 @@ def _tokenizer(path: str) -> tuple[tiktoken.Encoding, regex.Pattern]:
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(PATTERN)
 
 
+class _Uneven(Exception):
+    """A stretch between single spaces that is empty or begins or ends with another blank."""
+
+
 class TokenCounter:
-    """Tokens and terms of texts. Merges never cross the pattern's pieces, so a text's count is the sum over its pieces, each merged once."""
+    """Tokens and terms of texts. Merges never cross the pattern's pieces, so a text's count is the sum over its pieces, each merged once.
+
+    A piece ends before every space that stands alone between two letters or marks, and neither side's pieces depend on
+    the other's; so a text is taken apart at its spaces and the pattern is asked once for each stretch between two. A
+    text in which blanks follow each other there goes through the pattern as a whole. A piece is one number: its tokens
+    above, its term plus one in the lowest bits.
+    """
 
     def __init__(self, path: str):
         self.encoding, self.pattern = _tokenizer(path)
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
+        self.stretches = _Stretches(self)
 
-    def _piece(self, piece: str) -> tuple[int, int]:
+    def _piece(self, piece: str) -> int:
         if len(self.known) > _CACHED_PIECES:
             self.known.clear()
         word = piece.strip().lower()
         term = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS if len(word) > 1 and word[0].isalpha() else -1
-        found = self.known[piece] = (len(self.encoding.encode_ordinary(piece)), term)
+        found = self.known[piece] = len(self.encoding.encode_ordinary(piece)) << _TERM_BITS | term + 1
         return found
 
+    def pieces(self, text: str) -> list[int]:
+        known, new = self.known, self._piece
+        return [known.get(p) or new(p) for p in self.pattern.findall(text)]
+
+    def _numbers(self, text: str) -> list[int]:
+        head, *others = text.split(" ")
+        if not others or head[-1:].isspace() or others[-1].isspace():
+            return self.pieces(text)
+        end = " " + others.pop() if text[-1].isspace() else ""  # blanks that end a text are apart from those within
+        try:
+            found = self.pieces(head)
+            found.extend(chain.from_iterable(map(self.stretches.__getitem__, others)))
+        except _Uneven:
+            return self.pieces(text)
+        return found + self.pieces(end) if end else found
+
     def analyse(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """(tokens, terms, counts): the size of a text and its hashed terms, ascending, with their frequencies."""
-        known, new = self.known, self._piece
-        pairs = [known.get(p) or new(p) for p in self.pattern.findall(text)]
-        if not pairs:
-            return 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
-        both = np.array(pairs, np.int64)
-        terms, counts = np.unique(both[both[:, 1] >= 0, 1], return_counts=True)
-        return int(both[:, 0].sum()), terms.astype(np.int32), counts.astype(np.int32)
+        numbers = np.array(self._numbers(text), np.int64)
+        terms = numbers & ((1 << _TERM_BITS) - 1)
+        terms.sort()
+        terms = terms[terms.searchsorted(1) :]
+        edge = np.ones(len(terms) + 1, bool)
+        np.not_equal(terms[1:], terms[:-1], out=edge[1:-1])
+        at = edge.nonzero()[0]
+        return int((numbers >> _TERM_BITS).sum()), (terms[at[:-1]] - 1).astype(np.int32), (at[1:] - at[:-1]).astype(np.int32)
+
+
+class _Stretches(dict):
+    """The pieces of a space and what follows it up to the next one."""
+
+    def __init__(self, counter: TokenCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+            raise _Uneven
+        found = tuple(self.counter.pieces(" " + stretch))
+        if len(stretch) <= _CACHED_LETTERS:
+            if len(self) > _CACHED_PIECES:
+                self.clear()
+            self[stretch] = found
+        return found
 
 
 def analysed(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -251,13 +301,13 @@ def fill_containers(shard: Shard, capacity: int) -> list[list[int]]:
         shard.take(seed)
         held, room = [int(seed)], capacity - int(shard.sizes[seed])
         if room > 0:
-            for i in shard.neighbours(int(seed), room):
-                if shard.sizes[i] <= room:
-                    shard.take(i)
-                    held.append(int(i))
-                    room -= int(shard.sizes[i])
-                    if not room:
-                        break
+            near = shard.neighbours(int(seed), room)
+            while len(near):
+                i = int(near[0])
+                shard.take(i)
+                held.append(i)
+                room -= int(shard.sizes[i])
+                near = near[1:][shard.sizes[near[1:]] <= room]
         while room > 0 and (i := shard.largest(room)) >= 0:
             shard.take(i)
             held.append(i)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -331,6 +332,71 @@ def test_tokens_by_pieces_equal_the_tokenizer():
         assert counter.analyse(t)[0] == len(counter.encoding.encode_ordinary(t))
 
 
+def test_stretches_give_the_pieces_of_the_whole_text():
+    r = random.Random(61)
+    counter = packing.TokenCounter(packing.VOCABULARY)
+    marks = [*"ab'sé1.,²日 \n\t\r\x1c\x85\u200b\u3000", " ", " ", " ", "don't", "Ⅷ"]
+    texts = ["", " ", "  ", " a", "a ", "a b ", "a b \n", "a b\n", "a  b c", "a \nb c", " \ta b", "a b\t c", "x" * 200 + " b " + "x" * 200]
+    for t in texts + ["".join(r.choices(marks, k=r.randint(1, 25))) for _ in range(3_000)]:
+        want = Counter()
+        for p in counter.pattern.findall(t):
+            w = p.strip().lower()
+            if len(w) > 1 and w[0].isalpha():
+                want[zlib.crc32(w.encode()) % packing.BUCKETS] += 1
+        n, terms, counts = counter.analyse(t)
+        assert n == len(counter.encoding.encode_ordinary(t))
+        assert (terms.tolist(), counts.tolist()) == (sorted(want), [want[k] for k in sorted(want)])
+    assert max(map(len, counter.stretches)) <= packing._CACHED_LETTERS
+
+
+def test_the_pattern_is_asked_once_for_a_stretch():
+    counter = packing.TokenCounter(packing.VOCABULARY)
+    asked = []
+    real = counter.pieces
+    counter.pieces = lambda t: asked.append(len(t)) or real(t)
+    r = random.Random(62)
+    texts = [words(r, 400) for _ in range(50)]
+    for t in texts:
+        counter.analyse(t)
+    assert sum(asked) < 0.1 * sum(map(len, texts))
+
+
+def test_held_pieces_stay_within_their_bound(monkeypatch):
+    r = random.Random(63)
+    texts = [words(r, 60) for _ in range(20)]
+    whole = [[x if isinstance(x, int) else x.tolist() for x in packing.TokenCounter(packing.VOCABULARY).analyse(t)] for t in texts]
+    monkeypatch.setattr(packing, "_CACHED_PIECES", 5)
+    counter = packing.TokenCounter(packing.VOCABULARY)
+    assert [[x if isinstance(x, int) else x.tolist() for x in counter.analyse(t)] for t in texts] == whole
+    assert max(len(counter.known), len(counter.stretches)) <= 6
+
+
+def test_neighbours_fill_a_container_best_first():
+    import numpy as np
+
+    r = random.Random(64)
+    sizes = np.array([r.randint(1, 60) for _ in range(200)])
+    terms = [np.array(sorted(r.sample(range(30), 5)), np.int32) for _ in sizes]
+    make = lambda: packing.Shard(sizes, terms, [np.ones(5, np.int32) for _ in sizes], sizes.astype(float), np.ones(30, np.float32), 30.0)
+    shard, want = make(), []
+    for seed in shard.by_size[::-1]:
+        if not shard.free[seed]:
+            continue
+        shard.take(seed)
+        held, room = [int(seed)], 100 - int(sizes[seed])
+        for i in shard.neighbours(int(seed), room):
+            if sizes[i] <= room:
+                shard.take(i)
+                held.append(int(i))
+                room -= int(sizes[i])
+        while room > 0 and (i := shard.largest(room)) >= 0:
+            shard.take(i)
+            held.append(i)
+            room -= int(sizes[i])
+        want.append(held)
+    assert packing.fill_containers(make(), 100) == want
+
+
 def pack(spark, docs, capacity):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as tokens", "2 as terms", "3 as filled")
     return packing.pack_containers(df, capacity=capacity).collect()
