@@ -1,7 +1,7 @@
 """Keyword-stuffed and link-list pages.
 
 A page is spam when its words stand outside sentences and are the same words over and over. Repetition is measured
-with the suffix automaton of every page, whose symbols are the page's words and figures: for every place the longest
+with the suffix automaton of a whole page, whose symbols are the page's words and figures: for every place the longest
 phrase ending there that returns often enough is read off the suffix links, and what these repeated maximal phrases
 cover is counted in characters. Sentences are told by their form alone, so no language is known or unknown to it.
 """
